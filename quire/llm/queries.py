@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .jaccard_join import jaccard_classes
 from .substring_dedup import substring_dedup_digest
 
 
@@ -20,8 +21,15 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup_digest(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=50)
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"), size=5, percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_substring_dedup": op2_substring_dedup}
+    return {
+        "op2_substring_dedup": op2_substring_dedup,
+        "op3_jaccard_join": op3_jaccard_join,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
