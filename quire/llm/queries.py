@@ -7,9 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .jaccard_join import jaccard_classes
+from .packing import pack_documents
+from .pareto_mix import mix_digest
 from .substring_dedup import substring_dedup_digest
 
 
@@ -25,10 +28,21 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"), size=5, percent=80)
 
 
+def op9_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_digest(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, max_copies=2.0)
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer, capacity=2048, end_id=0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_substring_dedup": op2_substring_dedup,
         "op3_jaccard_join": op3_jaccard_join,
+        "op9_pareto_mix": op9_pareto_mix,
+        "op10_best_fit_packing": op10_best_fit_packing,
     }
 
 
