@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch
+from .shared import Scratch, blocks
 
 #: Pieces numbered in one group of a length.
 GROUP = 100_000
-#: Words whose ids a task remembers.
-CACHE = 400_000
+#: Words whose ids a worker remembers, about 200 bytes each.
+CACHE = 1_200_000
 
 
 def plan_sequences(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -137,51 +137,103 @@ class Places:
 
 
 class Ids:
-    """Token ids of texts; ids of words are remembered where a tokenizer treats words between white space apart."""
+    """Token ids of texts; ids of words are remembered where a tokenizer treats words between white space apart.
+
+    New words are encoded together: those of letters only with spaces between them, told apart by the tokenizer's ends
+    of words; others with an added token between them, which is found before anything else. Texts that hold an added
+    token are encoded whole. Remembered words are in two generations: when the young one has half of ``CACHE``, the old
+    one is forgotten, so that frequent words stay. ``shared`` keeps one such memory for all tasks of a worker.
+    """
+
+    _shared: dict[str, Ids] = {}
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.apart = all(self._ids(a + b + c) == self._ids(a) + self._ids(c) for a in ("it's", "a1b", "(x", "É") for b in (" ", "\n", "\t ") for c in ("don't", "9.", "--", "ß"))
-        self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, bytes] = {}
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.marks = [t.content for t in added.values()]
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
+        self.apart = False
+        if added:
+            self.mark_id, self.mark = next((k, t.content) for k, t in added.items())
+            words = ("it's", "a1b", "É", "(x", "--", "ß", "9.")
+            own = [self._ids(w) for w in words]
+            self.apart = self._ids(self.mark.join(words)) == sum(([*w, self.mark_id] for w in own), [])[:-1] and all(
+                self._ids(space.join(words)) == sum(own, []) for space in (" ", "\n", "\t ", "\r\n", "\x0b", "\x0c")
+            )
+
+    @classmethod
+    def shared(cls, path: str) -> Ids:
+        if path not in cls._shared:
+            cls._shared[path] = cls(path)
+        return cls._shared[path]
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def of(self, text: str) -> np.ndarray:
-        """Ids of the whole text. Words are only looked up apart if nothing in the text joins over white space."""
-        if not self.apart or any(m in text for m in self.marks):
-            return np.array(self._ids(text), np.uint32)
-        words = text.split()
-        known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) > CACHE:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[w] = np.array(e.ids, np.uint32).tobytes()
-        return np.frombuffer(b"".join([known[w] for w in words]), np.uint32)
+    def _together(self, words: list[str], between: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([between.join(words)], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _learn(self, new: list[bytes]) -> None:
+        letters, others = [], []
+        for w in new:
+            (letters if w.decode().isalpha() else others).append(w)
+        for k in range(0, len(letters), 20_000):
+            part = letters[k : k + 20_000]
+            ids = self._together([w.decode() for w in part], " ")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part):  # some letter became more than one word
+                others += part
+                continue
+            self._keep(part, ids, np.concatenate([[0], ends[:-1]]), ends)
+        for k in range(0, len(others), 20_000):
+            part = others[k : k + 20_000]
+            ids = self._together([w.decode() for w in part], self.mark)
+            cuts = np.flatnonzero(ids == self.mark_id)
+            self._keep(part, ids, np.concatenate([[0], cuts + 1]), np.append(cuts, len(ids)))
+
+    def _keep(self, words: list[bytes], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        raw = ids.tobytes()
+        self.young.update(zip(words, [raw[a:b] for a, b in zip((starts * 4).tolist(), (ends * 4).tolist())], strict=True))
+
+    def of(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each whole text. Words are only looked up apart if nothing in the text joins over white space."""
+        plain = [self.apart and not any(m in t for m in self.marks) for t in texts]
+        split = [t.encode().split() if p else [] for t, p in zip(texts, plain)]
+        wanted = set().union(*split)
+        new = wanted.difference(self.young)
+        if len(self.young) + len(new) > CACHE // 2:
+            self.old, self.young, new = self.young, {}, wanted
+        known = new.intersection(self.old)
+        self.young.update((w, self.old[w]) for w in known)
+        self._learn(list(new.difference(known)))
+        look = self.young.__getitem__
+        for text, p, words in zip(texts, plain, split):
+            yield np.frombuffer(b"".join(map(look, words)), np.uint32) if p else np.array(self._ids(text), np.uint32)
 
 
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(path)
+        ids = Ids.shared(path)
         end = np.array([end_id], np.uint32)
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                tokens = np.concatenate([ids.of(text.as_py() or ""), end])
-                for k, start in enumerate(range(0, len(tokens), capacity)):
-                    part = tokens[start : start + capacity]
-                    rows.append((doc, k, start, len(part), zlib.crc32(part.astype("<u4").tobytes())))
-            columns = list(zip(*rows)) or [()] * 5
-            yield pa.record_batch(
-                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
-                ["doc_id", "piece", "start", "length", "ids_crc32"],
-            )
+            for row, stop, _, _ in blocks(batch.column(1)):
+                rows = []
+                texts = [t or "" for t in batch.column(1)[row:stop].to_pylist()]
+                for doc, own in zip(batch.column(0)[row:stop].to_pylist(), ids.of(texts)):
+                    tokens = np.concatenate([own, end])
+                    for k, start in enumerate(range(0, len(tokens), capacity)):
+                        part = tokens[start : start + capacity]
+                        rows.append((doc, k, start, len(part), zlib.crc32(part.astype("<u4").tobytes())))
+                yield pa.record_batch(
+                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
+                    ["doc_id", "piece", "start", "length", "ids_crc32"],
+                )
 
     return run
 
