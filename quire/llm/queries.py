@@ -9,11 +9,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import ppm_language, toxicity_pu
 from .jaccard_join import jaccard_classes
 from .packing import pack_documents
 from .pareto_mix import mix_digest
 from .substring_dedup import substring_dedup_digest
+from .tiff import text_media
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +31,23 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"), size=5, percent=80)
 
 
+def op4_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    scored = toxicity_pu.score_toxicity(docs, toxicity_pu.learn(docs, labels, modulus=5, remainder=0))
+    held_out = toxicity_pu.is_held_out(F.col("doc_id"), 5, 0).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    named = ppm_language.identify_language(docs.select("doc_id", "text"), ppm_language.learn(docs.select("doc_id", "text", "lang"), modulus=4, remainder=2))
+    return named.select("doc_id", ppm_language.is_held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op9_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_digest(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, max_copies=2.0)
 
@@ -41,6 +61,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_substring_dedup": op2_substring_dedup,
         "op3_jaccard_join": op3_jaccard_join,
+        "op4_tiff_media": op4_tiff_media,
+        "op5_toxicity_pu": op5_toxicity_pu,
+        "op7_ppm_language": op7_ppm_language,
         "op9_pareto_mix": op9_pareto_mix,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
