@@ -1,27 +1,73 @@
-"""From documents to packed training sequences: stages of the corpus operators, each over all that the last one kept."""
+"""From documents to packed training sequences: five corpus operators in turn, each over all that the last one kept.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. A
+driver writes each result as Parquet and reads it back as the next stage's docs; ``run`` does so in the scratch folder.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quire.llm.jaccard_join import jaccard_dedup
+from quire.llm.packing import pack_documents
+from quire.llm.pareto_mix import mixed_documents
+from quire.llm.ppm_language import identify_language, learn
+from quire.llm.shared import Scratch
 from quire.llm.substring_dedup import substring_dedup
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: A text whose best language needs more bits a byte is no text of any learned language (bytes at random need over 8).
+MOST_BITS_A_BYTE = 7.5
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learned language; those without letters, and those that no language's statistics fit, go."""
+    named = identify_language(docs, learn(docs), keep=docs.columns)
+    return named.where((F.col("lang_pred") != "und") & (F.col("bits_per_byte") <= MOST_BITS_A_BYTE)).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest doc_id of each group of near-duplicates."""
+    return jaccard_dedup(docs, size=5, percent=80)
+
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return substring_dedup(docs, min_words=50)
+    """Texts without passages of 50 words that an earlier document has; documents of which nothing is left go."""
+    kept = substring_dedup(docs, min_words=50)
+    return kept.where("text <> ''").withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixed_documents(docs, weights=(3, 1, 2), share=1.5, max_copies=2.0)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all pieces in sequences of 2048 tokens."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
-STAGES: list[tuple[str, Stage]] = [("substring", substring_stage)]
+STAGES: list[tuple[str, Stage]] = [
+    ("language", language_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("substrings", substring_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
 
+#: Language statistics, automata and tokens are beyond SQL; tests/llm hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = scratch.cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

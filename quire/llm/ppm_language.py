@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import blocks
+from .shared import blocks, hash_sample
 
 ORDER = 3
 LEARN_DOCS = 400
@@ -124,26 +125,27 @@ class ContextTrees:
 
 
 def _scores(trees):
+    """The last two columns are the text and whether it has a letter; the others pass."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = trees.value
         for batch in batches:
-            ids, has_letter = batch.column(0), np.asarray(batch.column(2))
-            for row, end, data, offsets in blocks(batch.column(1), 1 << 19):
+            n = batch.num_columns - 2
+            has_letter = np.asarray(batch.column(n + 1))
+            for row, end, data, offsets in blocks(batch.column(n), 1 << 19):
                 bits = own.lengths(data, offsets)
                 best = bits.argmin(axis=1)
                 least = bits.min(axis=1)
                 share = 1 / np.exp2(-(bits - least[:, None])).sum(axis=1)
                 ok = has_letter[row:end]
                 size = np.maximum(np.diff(offsets), 1)
-                yield pa.record_batch(
-                    [
-                        ids[row:end],
-                        pa.array([own.languages[b] if k else "und" for b, k in zip(best, ok)], pa.string()),
-                        pa.array(np.where(ok, share, 0.0)),
-                        pa.array(np.where(ok, least / size, 0.0)),
-                    ],
-                    ["doc_id", "lang_pred", "score", "bits_per_byte"],
-                )
+                scored = [
+                    pa.array([own.languages[b] if k else "und" for b, k in zip(best, ok)], pa.string()),
+                    pa.array(np.where(ok, share, 0.0)),
+                    pa.array(np.where(ok, least / size, 0.0)),
+                ]
+                passed = [c[row:end] for c in batch.columns[:n]]
+                yield pa.record_batch([*passed, *scored], [*batch.schema.names[:n], "lang_pred", "score", "bits_per_byte"])
 
     return run
 
@@ -154,17 +156,18 @@ def learn(docs: DataFrame, modulus: int = 4, remainder: int = 2) -> ContextTrees
     languages = [r["lang"] for r in own.select("lang").distinct().orderBy("lang").collect()]
     texts = {}
     for lang in languages:
-        chosen = own.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text")
-        texts[lang] = [r["text"].encode() for r in chosen.limit(LEARN_DOCS).collect()]
+        chosen = hash_sample(own.where(F.col("lang") == lang), LEARN_DOCS).select("doc_id", "text").collect()
+        texts[lang] = [r["text"].encode() for r in sorted(chosen)]
     return ContextTrees(texts) if texts else None
 
 
-def identify_language(docs: DataFrame, trees: ContextTrees | None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, lang_pred, score (of the language's share in all likelihoods), bits_per_byte."""
-    plain = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has_letter")
-    )
+def identify_language(docs: DataFrame, trees: ContextTrees | None, keep: list[str] | None = None) -> DataFrame:
+    """doc_id (or the columns ``keep``) with lang_pred, score (its share in all likelihoods) and bits_per_byte."""
+    kept = docs.select(*(keep or ["doc_id"]))
     if trees is None:
-        return plain.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte"))
+        return kept.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "bits_per_byte": F.lit(0.0)})
+    text = F.col("text").cast("string")
+    plain = docs.select(*kept.columns, text.alias("_text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
     shared = docs.sparkSession.sparkContext.broadcast(trees)
-    return plain.mapInArrow(_scores(shared), "doc_id long, lang_pred string, score double, bits_per_byte double")
+    schema = T.StructType([*kept.schema.fields, *(T.StructField(k, t) for k, t in (("lang_pred", T.StringType()), ("score", T.DoubleType()), ("bits_per_byte", T.DoubleType())))])
+    return plain.mapInArrow(_scores(shared), schema)

@@ -133,6 +133,16 @@ def grams(words: np.ndarray, k: int) -> np.ndarray:
     return spans_hash(words, at, at + k)
 
 
+def hash_sample(rows: DataFrame, most: int) -> DataFrame:
+    """About ``most`` rows (all, if there are no more): those whose doc_id has the least hashes; equal doc_ids together.
+
+    Only hashes are ordered, and one is sent to the driver: the rows themselves are filtered where they are.
+    """
+    mark = F.xxhash64(F.lit(5), F.col("doc_id"))
+    last = rows.select(mark.alias("h")).orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    return rows.where(mark <= last) if last is not None else rows.where("false")
+
+
 def components(scratch: Scratch, edges: DataFrame, label: str) -> DataFrame:
     """(node, component) of every node in ``edges`` (a, b; both long); the component is its least node.
 

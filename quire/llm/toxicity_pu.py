@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ppm_language import is_held_out
-from .shared import blocks, mix, word_hashes
+from .shared import blocks, hash_sample, mix, word_hashes
 
 BITS = 18
 POSITIVES = 4000
@@ -125,15 +125,15 @@ def learn(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int =
     known = marks.agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n")).first()
     if not known["toxic"]:
         return None
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
     texts = free(docs).select("doc_id", "text")
 
-    def rows(which: DataFrame, most: int) -> list[np.ndarray]:
-        chosen = which.orderBy(*order, "text").limit(most).select(F.lit(0).alias("toxic"), "text")
-        return [np.array(r["features"], np.int64) for r in chosen.mapInArrow(_featured, "toxic int, features array<int>").toLocalIterator()]
+    def rows(chosen: DataFrame) -> list[np.ndarray]:
+        found = chosen.select(F.lit(0).alias("toxic"), "text").mapInArrow(_featured, "toxic int, features array<int>")
+        return [np.array(r["features"], np.int64) for r in found.collect()]
 
-    positive = rows(texts.join(marks.where("toxic = 1"), "doc_id", "left_semi"), POSITIVES)
-    unlabelled = rows(texts, UNLABELLED)
+    toxic = hash_sample(marks.where("toxic = 1").select("doc_id"), POSITIVES)
+    positive = rows(texts.join(F.broadcast(toxic), "doc_id", "left_semi"))
+    unlabelled = rows(hash_sample(texts, UNLABELLED))
     return train(positive, unlabelled, known["toxic"] / known["n"]) if positive else None
 
 
