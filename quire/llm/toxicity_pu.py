@@ -27,10 +27,13 @@ from pyspark.sql import functions as F
 from .ppm_language import is_held_out
 from .shared import blocks, hash_sample, mix, word_hashes
 
-BITS = 18
+BITS = 16
 POSITIVES = 4000
 UNLABELLED = 16000
-EPOCHS = 12
+EPOCHS = 24
+#: Words of fewer positives than this have no weight.
+SUPPORT = 8
+RATE, SHRINK = 0.6, 1e-4
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +55,7 @@ def _letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class Classifier:
-    """score = sigmoid(bias + sum of the weights of a text's distinct words / sqrt(their number) )"""
+    """score = sigmoid(bias + sum of the weights of a text's distinct words)"""
 
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights, bias
@@ -66,47 +69,51 @@ class Classifier:
 
 
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int = 7) -> Classifier:
-    """Adagrad on the non-negative risk with the logistic loss; weights of rare words are held near 0 by an L1 step."""
+    """Adagrad on the non-negative risk with the logistic loss, over words that ``SUPPORT`` positives have.
+
+    An L1 step in each update holds weights at 0 that the risk doesn't ask for; the weights are averaged over the second
+    half of the updates.
+    """
     dim = 1 << BITS
     rng = np.random.default_rng(seed)
+    known = np.bincount(np.concatenate(positive), minlength=dim) >= min(SUPPORT, len(positive))
+    positive, unlabelled = ([r[known[r]] for r in rows] for rows in (positive, unlabelled))
     weights, bias = np.zeros(dim), -2.0
     squares, bias_square = np.full(dim, 1e-2), 1e-2
     n_batches = max(1, len(unlabelled) // 256)
-    rate, shrink = 0.3, 2e-4
+    total, total_bias, n = np.zeros(dim), 0.0, 0
 
-    def gradient(rows: list[np.ndarray], label: float) -> tuple[float, np.ndarray, np.ndarray, float]:
-        """Mean loss of calling rows ``label``; its gradient as features and amounts, and for the bias."""
-        flat = np.concatenate(rows)
-        sizes = np.array([len(r) for r in rows])
-        starts = np.concatenate([[0], np.cumsum(sizes)])
+    def gradient(rows: list[np.ndarray], label: float) -> tuple[float, np.ndarray, float]:
+        """Mean loss of calling rows ``label``, and its gradient for weights and bias."""
+        flat, sizes = np.concatenate(rows), np.array([len(r) for r in rows])
         sums = np.concatenate([[0.0], np.cumsum(weights[flat])])
-        margin = bias + sums[starts[1:]] - sums[starts[:-1]]
-        loss = np.logaddexp(0, -label * margin)
+        ends = np.cumsum(sizes)
+        margin = bias + sums[ends] - sums[ends - sizes]
         slope = -label / (1 + np.exp(np.clip(label * margin, -40, 40))) / len(rows)
-        return float(loss.mean()), flat, np.repeat(slope, sizes), float(slope.sum())
+        return float(np.logaddexp(0, -label * margin).mean()), np.bincount(flat, np.repeat(slope, sizes), dim), float(slope.sum())
 
-    for _ in range(EPOCHS):
-        for p, u in zip(np.array_split(rng.permutation(len(positive)), n_batches), np.array_split(rng.permutation(len(unlabelled)), n_batches)):
-            if not len(p):
-                p = rng.integers(0, len(positive), min(32, len(positive)))
+    for epoch in range(EPOCHS):
+        order = rng.permutation(len(positive))
+        for k, u in enumerate(np.array_split(rng.permutation(len(unlabelled)), n_batches)):
             if not len(u):
                 continue
-            own, rest = [positive[i] for i in p], [unlabelled[i] for i in u]
-            _, f1, g1, b1 = gradient(own, 1.0)
-            l2, f2, g2, b2 = gradient(rest, -1.0)
-            l3, f3, g3, b3 = gradient(own, -1.0)
+            own = [positive[order[i % len(order)]] for i in range(64 * k, 64 * k + min(64, len(order)))]
+            _, g1, b1 = gradient(own, 1.0)
+            l2, g2, b2 = gradient([unlabelled[i] for i in u], -1.0)
+            l3, g3, b3 = gradient(own, -1.0)
             if l2 - prior * l3 >= 0:
-                parts, b = ((f1, prior * g1), (f2, g2), (f3, -prior * g3)), prior * b1 + b2 - prior * b3
+                g, b = prior * (g1 - g3) + g2, prior * (b1 - b3) + b2
             else:
-                parts, b = ((f2, -g2), (f3, prior * g3)), prior * b3 - b2
-            at, inverse = np.unique(np.concatenate([f for f, _ in parts]), return_inverse=True)
-            g = np.bincount(inverse, np.concatenate([x for _, x in parts]))
-            squares[at] += g * g
-            moved = weights[at] - rate * g / np.sqrt(squares[at])
-            weights[at] = np.sign(moved) * np.maximum(0, np.abs(moved) - rate * shrink / np.sqrt(squares[at]))
+                g, b = prior * g3 - g2, prior * b3 - b2
+            squares += g * g
+            step = RATE / np.sqrt(squares)
+            weights -= step * g
+            weights = np.sign(weights) * np.maximum(0, np.abs(weights) - step * SHRINK)
             bias_square += b * b
-            bias -= rate * b / np.sqrt(bias_square)
-    return Classifier(weights.astype(np.float32), float(bias))
+            bias -= RATE * b / np.sqrt(bias_square)
+            if epoch >= EPOCHS // 2:
+                total, total_bias, n = total + weights, total_bias + bias, n + 1
+    return Classifier((total / max(n, 1)).astype(np.float32), total_bias / max(n, 1))
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +121,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, end, data, offsets in blocks(batch.column(1)):
             flat, starts = features(data, offsets)
             yield pa.record_batch(
-                [batch.column(0)[row:end], pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat.astype(np.int32)))], ["toxic", "features"]
+                [batch.column(0)[row:end], pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat.astype(np.int32)))], ["doc_id", "features"]
             )
 
 
@@ -128,8 +135,8 @@ def learn(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int =
     texts = free(docs).select("doc_id", "text")
 
     def rows(chosen: DataFrame) -> list[np.ndarray]:
-        found = chosen.select(F.lit(0).alias("toxic"), "text").mapInArrow(_featured, "toxic int, features array<int>")
-        return [np.array(r["features"], np.int64) for r in found.collect()]
+        found = chosen.select("doc_id", "text").mapInArrow(_featured, "doc_id long, features array<int>")
+        return [np.array(r["features"], np.int64) for r in sorted(found.collect())]
 
     toxic = hash_sample(marks.where("toxic = 1").select("doc_id"), POSITIVES)
     positive = rows(texts.join(F.broadcast(toxic), "doc_id", "left_semi"))
