@@ -33,7 +33,7 @@ UNLABELLED = 16000
 EPOCHS = 24
 #: Words of fewer positives than this have no weight.
 SUPPORT = 8
-RATE, SHRINK = 0.6, 1e-4
+RATE, SHRINK = 0.3, 1e-4
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
