@@ -101,6 +101,11 @@ def _window_anchors(words: np.ndarray, before: np.ndarray, size: int) -> tuple[n
     return low, doc[:n] == doc[size - 1 : size - 1 + n]
 
 
+def _key(digest: bytes) -> int:
+    """What stands for a digest beside a doc_id, where rows with different texts may share one."""
+    return int.from_bytes(digest[:8], "big", signed=True)
+
+
 def _profiles(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,9 +124,10 @@ def _profiles(size: int):
                         ids[row:end],
                         pa.array(np.diff(before)),
                         pa.array(digests, pa.binary()),
+                        pa.array([_key(x) for x in digests], pa.int64()),
                         pa.ListArray.from_arrays(pa.array(cuts), pa.array(low[at].view(np.int64))),
                     ],
-                    ["doc_id", "n_words", "digest", "anchors"],
+                    ["doc_id", "n_words", "digest", "key", "anchors"],
                 )
 
     return run
@@ -139,7 +145,11 @@ def _windows(size: int):
                 shared = np.asarray(anchors[row:end].flatten()).view(np.uint64)
                 at = np.flatnonzero(inside & np.isin(low, shared))
                 doc = np.repeat(np.arange(row, end), np.diff(before))[at] if len(at) else at
-                yield pa.record_batch([pa.array(grams(words, size)[at].view(np.int64)), ids.take(pa.array(doc))], ["w", "doc_id"])
+                hashes = grams(words, size)[at]
+                order = np.lexsort((hashes, doc))  # a window that a document repeats counts once
+                doc, hashes = doc[order], hashes[order]
+                once = np.append(True, (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])) if len(doc) else np.zeros(0, bool)
+                yield pa.record_batch([pa.array(hashes[once].view(np.int64)), ids.take(pa.array(doc[once]))], ["w", "doc_id"])
 
     return run
 
@@ -150,8 +160,8 @@ def _streamed(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, automaton = None, None
         for batch in batches:
-            out: list[tuple[int, bytes, list[int], list[int]]] = []
-            ref, salt, mine, ids, digests = (batch.column(i).to_pylist() for i in range(5))
+            out: list[tuple[int, int, list[int], list[int]]] = []
+            ref, salt, mine, ids, keys = (batch.column(i).to_pylist() for i in range(5))
             column = batch.column(5)
             for row, _, data, offsets in blocks(column, 1):
                 words = word_hashes(data, offsets)[0].tolist()
@@ -159,19 +169,19 @@ def _streamed(size: int):
                     if shard != (ref[row], salt[row]):
                         shard, automaton = (ref[row], salt[row]), SuffixAutomaton(words)
                 elif shard == (ref[row], salt[row]) and (spans := automaton.matches(words, size)):
-                    out.append((ids[row], digests[row], [a for a, _ in spans], [b for _, b in spans]))
-            yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "digest", "starts", "ends"), x)) for x in out], _SPANS)
+                    out.append((ids[row], keys[row], [a for a, _ in spans], [b for _, b in spans]))
+            yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "key", "starts", "ends"), x)) for x in out], _SPANS)
 
     return run
 
 
-_SPANS = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
+_SPANS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with the words of their spans (several lists of starts and ends) taken out, the rest joined by one space."""
     for batch in batches:
-        ids, digests, texts, starts, ends = (c.to_pylist() for c in batch.columns)
+        ids, keys, texts, starts, ends = (c.to_pylist() for c in batch.columns)
         removed, kept = [], []
         for text, a, b in zip(texts, starts, ends):
             words = (text or "").encode().split()
@@ -184,22 +194,22 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch(
             [
                 pa.array(ids, pa.int64()),
-                pa.array(digests, pa.binary()),
+                pa.array(keys, pa.int64()),
                 pa.array(removed, pa.int64()),
                 pa.array(kept, pa.string()),
                 pa.array([hashlib.sha256(k.encode()).hexdigest() for k in kept], pa.string()),
             ],
-            ["doc_id", "digest", "n_removed", "kept", "kept_sha256"],
+            ["doc_id", "key", "n_removed", "kept", "kept_sha256"],
         )
 
 
-def _same_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _same_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Only matters where rows with different texts share a doc_id: keeps the text that the profile is of."""
     for batch in batches:
         rows = [
             i
-            for i, (text, digest) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
-            if hashlib.sha256(b" ".join((text or "").encode().split())).digest() == digest
+            for i, (text, key) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
+            if _key(hashlib.sha256(b" ".join((text or "").encode().split())).digest()) == key
         ]
         yield batch.take(pa.array(rows, pa.int64()))
 
@@ -208,24 +218,24 @@ def repeats(docs: DataFrame, min_words: int = 50, scratch: Scratch | None = None
     """Profiles of all rows, and what to do with classes of equal word sequences.
 
     The first has doc_id, n_words, digest (SHA-256 of the words joined by one space), first (the smallest doc_id with
-    that digest). The second has, for the classes that lose some words in their first document, doc_id, digest,
+    that digest) and key. The second has, for the classes that lose some words in their first document, doc_id, key,
     n_removed, kept, kept_sha256. Other documents of a class lose all their words if they have ``min_words``.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "substring-dedup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profiles = scratch.cut(docs.mapInArrow(_profiles(min_words), "doc_id long, n_words long, digest binary, anchors array<long>"), "profiles")
+    profiles = scratch.cut(docs.mapInArrow(_profiles(min_words), "doc_id long, n_words long, digest binary, key long, anchors array<long>"), "profiles")
     firsts = scratch.cut(profiles.groupBy("digest").agg(F.min("doc_id").alias("first")), "firsts")
     marks = (
         profiles.where(f"n_words >= {min_words}")
         .join(firsts, (profiles.digest == firsts.digest) & (F.col("doc_id") == F.col("first")), "left_semi")
-        .select(F.explode("anchors").alias("h"), "doc_id", "digest")
+        .select(F.explode("anchors").alias("h"), "doc_id", "key")
     )
     both = marks.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
-    wanted = marks.join(both, "h").groupBy("doc_id", "digest").agg(F.collect_set("h").alias("anchors"))
+    wanted = marks.join(both, "h").groupBy("doc_id", "key").agg(F.collect_set("h").alias("anchors"))
     wanted = scratch.cut(wanted, "wanted")
-    found = docs.join(wanted, "doc_id").select("doc_id", "text", "digest", "anchors")
-    found = scratch.cut(found.mapInArrow(_same_digest, found.schema).dropDuplicates(["doc_id", "digest"]), "found")
+    found = docs.join(wanted, "doc_id").select("doc_id", "text", "key", "anchors")
+    found = scratch.cut(found.mapInArrow(_same_text, found.schema).dropDuplicates(["doc_id", "key"]), "found")
     scratch.drop("wanted")
 
     windows = scratch.cut(found.select("doc_id", "text", "anchors").mapInArrow(_windows(min_words), "w long, doc_id long"), "windows")
@@ -234,35 +244,35 @@ def repeats(docs: DataFrame, min_words: int = 50, scratch: Scratch | None = None
     routes = scratch.cut(routes, "routes")
     scratch.drop("windows")
     shards = routes.groupBy("ref").agg(F.ceil(F.count("*") / F.lit(DOCS_A_SHARD)).alias("salts"))
-    text = found.select("doc_id", "digest", "text")
+    text = found.select("doc_id", "key", "text")
     references = (
         text.withColumnRenamed("doc_id", "ref").join(shards, "ref")
-        .select("ref", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("mine"), F.col("ref").alias("doc_id"), "digest", "text")
+        .select("ref", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("mine"), F.col("ref").alias("doc_id"), "key", "text")
     )
     streamed = (
         text.join(routes.join(shards, "ref"), "doc_id")
-        .select("ref", F.expr("pmod(xxhash64(doc_id), salts)").alias("salt"), F.lit(False).alias("mine"), "doc_id", "digest", "text")
+        .select("ref", F.expr("pmod(xxhash64(doc_id), salts)").alias("salt"), F.lit(False).alias("mine"), "doc_id", "key", "text")
     )
     spans = (
         references.unionByName(streamed).repartition("ref", "salt").sortWithinPartitions("ref", "salt", F.desc("mine"))
-        .mapInArrow(_streamed(min_words), "doc_id long, digest binary, starts array<int>, ends array<int>")
-        .groupBy("doc_id", "digest").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
+        .mapInArrow(_streamed(min_words), "doc_id long, key long, starts array<int>, ends array<int>")
+        .groupBy("doc_id", "key").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
     )
     kept = (
-        found.select("doc_id", "digest", "text").join(spans, ["doc_id", "digest"])
-        .select("doc_id", "digest", "text", "starts", "ends")
-        .mapInArrow(_kept, "doc_id long, digest binary, n_removed long, kept string, kept_sha256 string")
+        found.select("doc_id", "key", "text").join(spans, ["doc_id", "key"])
+        .select("doc_id", "key", "text", "starts", "ends")
+        .mapInArrow(_kept, "doc_id long, key long, n_removed long, kept string, kept_sha256 string")
     )
     kept = scratch.cut(kept, "kept")
     scratch.drop("found", "routes")
-    classes = profiles.select("doc_id", "n_words", "digest").join(firsts, "digest", "left")
+    classes = profiles.select("doc_id", "n_words", "digest", "key").join(firsts, "digest", "left")
     return classes, kept
 
 
 def _with_verdicts(classes: DataFrame, kept: DataFrame, min_words: int) -> DataFrame:
     """classes with ``copy`` (a smaller document has the same words) and the verdicts of first documents."""
     copy = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)) & (F.col("n_words") >= min_words)
-    return classes.withColumn("copy", copy).join(kept, ["doc_id", "digest"], "left")
+    return classes.withColumn("copy", copy).join(kept, ["doc_id", "key"], "left")
 
 
 def substring_dedup_digest(docs: DataFrame, min_words: int = 50) -> DataFrame:
