@@ -245,7 +245,7 @@ def _list_pairs(percent: int, light: int):
         def pairs(rows: pa.Table) -> list[tuple[int, int]]:
             c = {name: rows.column(name).to_numpy() for name in ("key", "light", "lo", "hi", "doc_id", "n", "pos", "cluster", "block")}
             c["n"], c["pos"] = c["n"].astype(np.int64), c["pos"].astype(np.int64)
-            c["parity"] = np.asarray(rows.column("parity").combine_chunks().flatten()).reshape(len(rows), -1)
+            c["parity"] = np.asarray(rows.column("parity").combine_chunks().flatten()).view(np.uint64).reshape(len(rows), -1)
             cut = np.flatnonzero((c["key"][1:] != c["key"][:-1]) | (c["light"][1:] != c["light"][:-1]) | (c["lo"][1:] != c["lo"][:-1]) | (c["hi"][1:] != c["hi"][:-1])) + 1
             out = []
             for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(rows)]):
