@@ -220,7 +220,7 @@ def oracle_sql() -> dict[str, str]:
         "q16_block_html": X.with_ctes("select doc_id, chapter_id, block_ord, html from html"),
         "q17_chapter_body": X.with_ctes("select doc_id, chapter_ord, title, body from bodies"),
         "q18_chapter_xhtml": X.with_ctes(
-            f"""select doc_id, out_ord, 'chap_' || lpad(out_ord::varchar, greatest(2, length(out_ord::varchar)), '0') || '.xhtml' as href, title, {head} || '<head><title>' || {e("title")} || '</title><meta charset="utf-8"/></head>' || {nl}
+            f"""select doc_id, out_ord, 'chap_' || lpad(out_ord::varchar, greatest(2, length(out_ord::varchar))::int, '0') || '.xhtml' as href, title, {head} || '<head><title>' || {e("title")} || '</title><meta charset="utf-8"/></head>' || {nl}
   || '<body>' || {nl} || '<h1>' || {e("title")} || '</h1>' || {nl} || body || {nl} || '</body>' || {nl} || '</html>' || {nl} as xhtml from kept"""
         ),
         "q19_cover_candidates": X.with_ctes("select doc_id, page_num, page_ord::int as page_ord, image_idx, filename, mime, width, height, fits, sharp from best"),
