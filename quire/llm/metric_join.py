@@ -5,16 +5,17 @@ metric. Pivots partition each label's vectors into cells (nearest pivot); by the
 angle r of another of cell c is no farther from c's pivot than from its own pivot plus 2 r, so it is replicated to the
 cells of those pivots. Cells then join independently: each owns its members, compared with members and replicas.
 
-Equal vectors of a label are one class with a count, so copies cost one row. A cell of more than ``CELL`` members is
-dealt out in blocks of owners, each with the cell's other vectors; within a block, members close to each other
-(within r / 2 of a common centre) are known to link without being compared.
+Equal vectors of a label are one class with a count, so copies cost one row. A cell of more than ``CELL`` vectors is
+dealt out as pairs of blocks (owners of one block, all vectors of another), so what a task holds at once is bounded
+however large the cell is; of the links within a pair of blocks only a spanning forest leaves the task.
 
 Pivots are chosen from a bounded sample (at most ``SAMPLE`` vectors of each label) by farthest-first order; every vector
 is joined, whatever the pivots are.
 
 Defined results: a null label, or a vector that is null, zero, or has null or non-finite components, links with nothing
 and is its own component; vectors of different length never link; a null vec_id is a row without links and with a null
-component; repeated rows link with each other; an empty table gives no rows.
+component; repeated rows link with each other; different vectors of one vec_id share the sum of their links; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from .shared import Scratch, components
 
 SAMPLE = 512
 PIVOTS = 16
-CELL = 1024
+CELL = 4096
 #: Slack for rounding in angles; pairs are decided by their cosine alone.
 _SLACK = 1e-6
 
@@ -83,41 +84,35 @@ def _cells(pivots, radius: float):
 
 
 def _links(threshold: float):
-    """Rows sorted by cell and block, owners first: each owner's links, and links (owner, other) that connect."""
+    """Rows sorted by cell and pair of blocks: each owner's links within the pair, and links that connect what all of them do."""
 
     def joined(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         first, weight = group.column("first").to_numpy(), group.column("weight").to_numpy()
-        owner = group.column("mine").to_numpy()
+        mine, theirs = (np.flatnonzero(group.column(c).to_numpy()) for c in ("mine", "theirs"))
         vectors = _as_matrix(group.column("vector").combine_chunks(), np.arange(len(group)))
         lengths = np.sqrt((vectors * vectors).sum(axis=1))
-        mine = np.flatnonzero(owner)
-        counts, a, b = np.zeros(len(mine), np.int64), [], []
+        counts, a, b = np.zeros(len(mine), np.int64), [first[:0]], [first[:0]]
         for k in range(0, len(mine), 256):
             rows = mine[k : k + 256]
-            linked = (vectors[rows] @ vectors.T) / (lengths[rows][:, None] * lengths[None, :]) >= threshold
-            linked[np.arange(len(rows)), rows] = False
-            counts[k : k + 256] = linked @ weight
-            i, j = np.nonzero(linked)
-            lower = first[j] < first[rows[i]]
-            # For components, each owner's least neighbour and one row for each other that has no smaller one here.
-            for r in np.unique(i):
-                near = j[(i == r) & lower]
-                if len(near):
-                    a.append(np.full(len(near), first[rows[r]]))
-                    b.append(first[near])
-        return first[mine], counts, (np.concatenate(a) if a else first[:0]), (np.concatenate(b) if b else first[:0])
+            linked = (vectors[rows] @ vectors[theirs].T) / (lengths[rows][:, None] * lengths[theirs][None, :]) >= threshold
+            linked &= rows[:, None] != theirs[None, :]
+            counts[k : k + 256] = linked @ weight[theirs]
+            i, j = np.nonzero(linked & (first[theirs][None, :] < first[rows][:, None]))
+            nodes, roots = _forest(first[rows[i]], first[theirs[j]])
+            a.append(nodes)
+            b.append(roots)
+        return first[mine], counts, *_forest(np.concatenate(a), np.concatenate(b))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
 
         def out() -> pa.RecordBatch:
             first, counts, a, b = joined(pa.Table.from_batches(held).combine_chunks())
-            a, b = _forest(a, b)
             kinds = np.concatenate([np.zeros(len(first), bool), np.ones(len(a), bool)])
             return pa.record_batch([pa.array(kinds), pa.array(np.concatenate([first, a])), pa.array(np.concatenate([counts, b]))], ["is_link", "a", "b"])
 
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in range(4))))
+            keys = list(zip(*(batch.column(c).to_pylist() for c in range(5))))
             start = 0
             for k in range(len(keys) + 1):
                 if k == len(keys) or k > start and keys[k] != keys[start]:
@@ -136,20 +131,17 @@ def _links(threshold: float):
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Fewer links with the same components: each node with its component's least node."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for x, y in zip(a.tolist(), b.tolist()):
-        x, y = root(x), root(y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-    kept = [(x, root(x)) for x in parent if root(x) != x]
-    return np.array([x for x, _ in kept], np.int64), np.array([y for _, y in kept], np.int64)
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while (apart := root[x] != root[y]).any():
+        x, y = x[apart], y[apart]
+        low = np.minimum(root[x], root[y])
+        np.minimum.at(root, np.maximum(root[x], root[y]), low)
+        while ((further := root[root]) != root).any():
+            root = further
+    rest = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[rest], nodes[root[rest]]
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
@@ -177,18 +169,23 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     label_type = vectors.schema["label"].dataType.simpleString()
     base = f"label {label_type}, size int, first long, vector array<double>, weight long"
     placed = scratch.cut(classes.mapInArrow(_cells(pivots, radius), f"{base}, cell int, owner boolean"), "placed")
-    blocks = placed.groupBy("label", "size", "cell").agg(F.ceil(F.sum(F.col("owner").cast("long")) / F.lit(CELL)).cast("int").alias("blocks")).where("blocks > 0")
+    blocks = placed.groupBy("label", "size", "cell").agg(F.ceil(F.count("*") / F.lit(CELL)).cast("int").alias("of"))
+    pair = "named_struct('block', {}, 'other', {}, 'mine', {}, 'theirs', {})".format
+    places = (
+        f"flatten(transform(sequence(0, of - 1), j -> case when j = at then array({pair('at', 'at', 'owner', 'true')})"
+        f" when owner then array({pair('at', 'j', 'true', 'false')}, {pair('j', 'at', 'false', 'true')}) else array({pair('j', 'at', 'false', 'true')}) end))"
+    )
     dealt = (
         placed.join(blocks, ["label", "size", "cell"])
-        .withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
-        .withColumn("mine", F.col("owner") & (F.col("block") == F.expr("pmod(xxhash64(first), blocks)")))
-        .select("label", "size", "cell", "block", "first", "vector", "weight", "mine")
+        .withColumn("at", F.expr("cast(pmod(xxhash64(vector), of) as int)"))
+        .withColumn("place", F.explode(F.expr(places)))
+        .select("label", "size", "cell", "place.block", "place.other", "first", "vector", "weight", "place.mine", "place.theirs")
     )
-    keys = ("label", "size", "cell", "block")
+    keys = ("label", "size", "cell", "block", "other")
     out = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_links(threshold), "is_link boolean, a long, b long")
     out = scratch.cut(out, "links")
     joined = components(scratch, out.where("is_link").select("a", "b"), "components").withColumnRenamed("node", "first")
-    counts = out.where("not is_link").select(F.col("a").alias("first"), F.col("b").alias("others"))
+    counts = out.where("not is_link").groupBy(F.col("a").alias("first")).agg(F.sum("b").alias("others"))
     verdicts = scratch.cut(
         classes.select("label", "vector", "first", "weight").join(counts, "first", "left").join(joined, "first", "left")
         .select("label", "vector", (F.coalesce("others", F.lit(0).cast("long")) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "first").alias("component")),

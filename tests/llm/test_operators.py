@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from quire.llm import jaccard_join
+from quire.llm import jaccard_join, metric_join
 from quire.llm.fixity import fixity_audit
 from quire.llm.jaccard_join import jaccard_classes, jaccard_dedup
 from quire.llm.line_block import main_text
@@ -129,7 +129,9 @@ def test_toxicity(spark, odd):
     assert all(0 <= r["score"] <= 1 for r in score_toxicity(odd, model).collect()) and score_toxicity(odd, None).count() == 5
 
 
-def test_metric_join(spark):
+@pytest.mark.parametrize("cell", [4096, 10])
+def test_metric_join(spark, cell, monkeypatch):
+    monkeypatch.setattr(metric_join, "CELL", cell)
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(6, 8))
     rows = []
