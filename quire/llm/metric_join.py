@@ -169,15 +169,15 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     label_type = vectors.schema["label"].dataType.simpleString()
     base = f"label {label_type}, size int, first long, vector array<double>, weight long"
     placed = scratch.cut(classes.mapInArrow(_cells(pivots, radius), f"{base}, cell int, owner boolean"), "placed")
-    blocks = placed.groupBy("label", "size", "cell").agg(F.ceil(F.count("*") / F.lit(CELL)).cast("int").alias("of"))
-    pair = "named_struct('block', {}, 'other', {}, 'mine', {}, 'theirs', {})".format
-    places = (
-        f"flatten(transform(sequence(0, of - 1), j -> case when j = at then array({pair('at', 'at', 'owner', 'true')})"
-        f" when owner then array({pair('at', 'j', 'true', 'false')}, {pair('j', 'at', 'false', 'true')}) else array({pair('j', 'at', 'false', 'true')}) end))"
-    )
+    parts = lambda n: F.ceil(n / F.lit(CELL)).cast("int")
+    blocks = placed.groupBy("label", "size", "cell").agg(parts(F.sum(F.col("owner").cast("long"))).alias("owners"), parts(F.count("*")).alias("every"))
+    blocks = blocks.where("owners > 0")
+    places = """concat(
+        transform(sequence(0, owners - 1), i -> named_struct('block', i, 'other', theirs, 'mine', owner and i = mine, 'theirs', true)),
+        transform(filter(sequence(0, every - 1), j -> owner and j <> theirs), j -> named_struct('block', mine, 'other', j, 'mine', true, 'theirs', false)))"""
     dealt = (
         placed.join(blocks, ["label", "size", "cell"])
-        .withColumn("at", F.expr("cast(pmod(xxhash64(vector), of) as int)"))
+        .withColumns({"mine": F.expr("cast(pmod(xxhash64(vector), owners) as int)"), "theirs": F.expr("cast(pmod(xxhash64(vector), every) as int)")})
         .withColumn("place", F.explode(F.expr(places)))
         .select("label", "size", "cell", "place.block", "place.other", "first", "vector", "weight", "place.mine", "place.theirs")
     )
