@@ -18,6 +18,7 @@ from .line_block import extract_main_text
 from .metric_join import near_vectors
 from .packing import pack_documents
 from .pareto_mix import mix_digest
+from .sql import ORACLES
 from .substring_dedup import substring_dedup_digest
 from .tiff import text_media
 
@@ -95,4 +96,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
