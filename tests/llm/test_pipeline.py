@@ -1,0 +1,120 @@
+"""Each stage of the pipeline, on what the one before it kept, against brute force."""
+
+import re
+from collections import Counter, defaultdict
+
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+
+SMALL = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+CAPACITY = 2048
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """Documents, then the rows of each stage; every result is written and read again."""
+    folder = tmp_path_factory.mktemp("stages")
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    out = {"documents": docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SMALL).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+        out[name] = docs.collect()
+        if name != "packing":
+            assert set(docs.columns) == set(spark.read.parquet(f"{SMALL}/documents.parquet").columns)
+    return out
+
+
+def test_language_keeps_clean_documents(tables):
+    kept = {r["doc_id"]: r for r in tables["language"]}
+    for r in tables["documents"]:
+        if r["doc_id"] in kept:
+            assert kept[r["doc_id"]] == r
+        else:
+            assert not any(c.isalpha() for c in r["text"] or "") or len(WORD.findall(r["text"])) < 5
+
+
+def shingles(text):
+    words = WORD.findall(re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_duplicates(tables):
+    sets = sorted((r["doc_id"], shingles(r["text"])) for r in tables["language"])
+    group = {d: d for d, _ in sets}
+    for i, (b, y) in enumerate(sets):
+        for a, x in sets[:i]:
+            if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                old, new = sorted((group[a], group[b]), reverse=True)
+                group = {d: new if g == old else g for d, g in group.items()}
+    assert sorted(r["doc_id"] for r in tables["near_duplicates"]) == sorted({g for g in group.values()})
+
+
+def test_substrings(tables):
+    first = {}
+    docs = sorted((r["doc_id"], WORD.findall(r["text"] or "")) for r in tables["near_duplicates"])
+    for d, words in docs:
+        for i in range(len(words) - 49):
+            first.setdefault(tuple(words[i : i + 50]), d)
+    want = {}
+    for d, words in docs:
+        goes = set()
+        for i in range(len(words) - 49):
+            if first[tuple(words[i : i + 50])] < d:
+                goes.update(range(i, i + 50))
+        want[d] = [w for i, w in enumerate(words) if i not in goes]
+    got = {r["doc_id"]: WORD.findall(r["text"]) for r in tables["substrings"]}
+    assert got == {d: words for d, words in want.items() if words or d in got}
+    assert all(r["n_chars"] == len(r["text"]) for r in tables["substrings"])
+
+
+def test_mixing(tables):
+    """Each source's words come to its target, up to its largest document; no document more than twice."""
+    sizes = {r["doc_id"]: (r["source"], len(WORD.findall(r["text"]))) for r in tables["substrings"]}
+    taken = Counter(r["doc_id"] for r in tables["mixing"])
+    assert set(taken) <= set(sizes) and max(taken.values()) <= 2
+    of, largest, got = defaultdict(int), defaultdict(int), defaultdict(int)
+    for d, (source, n) in sizes.items():
+        of[source] += n
+        largest[source] = max(largest[source], n)
+        got[source] += n * taken[d]
+    order = sorted(of, key=lambda s: (s is None, s))
+    weights = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    left, target, open_ = 1.5 * sum(of.values()), {}, set(order)
+    while True:
+        share = {s: left * weights[s] / sum(weights[x] for x in open_) for s in open_}
+        over = {s for s in open_ if share[s] > 2 * of[s]}
+        if not over:
+            target |= share
+            break
+        for s in over:
+            target[s] = 2 * of[s]
+            left -= target[s]
+        open_ -= over
+    assert all(abs(got[s] - target[s]) <= largest[s] for s in order)
+
+
+def test_packing(tables):
+    """Every document's ids are in the pieces as often as the mix holds it, gapless in sequences that are nearly full."""
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    docs = tables["mixing"]
+    lengths = {r["doc_id"]: len(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in docs}
+    want = Counter()
+    for r in docs:
+        n = lengths[r["doc_id"]]
+        want.update((r["doc_id"], start, min(CAPACITY, n - start)) for start in range(0, n, CAPACITY))
+    assert Counter((r["doc_id"], r["start"], r["length"]) for r in tables["packing"]) == want
+    places = defaultdict(list)
+    for r in tables["packing"]:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    for spans in places.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= CAPACITY
+    assert len(places) <= 1 + 1.05 * sum(r["length"] for r in tables["packing"]) / CAPACITY
