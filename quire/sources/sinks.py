@@ -11,7 +11,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,9 +54,9 @@ def build_epub(title: str, author: str, lang: str, chapters: list[tuple[str, str
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr(zipfile.ZipInfo("mimetype"), "application/epub+zip", zipfile.ZIP_STORED)
-        z.writestr(zipfile.ZipInfo("META-INF/container.xml"), CONTAINER)
+        z.writestr(zipfile.ZipInfo("META-INF/container.xml"), CONTAINER, zipfile.ZIP_DEFLATED)
         for name in sorted(files):
-            z.writestr(zipfile.ZipInfo(f"OEBPS/{name}"), files[name])
+            z.writestr(zipfile.ZipInfo(f"OEBPS/{name}"), files[name], zipfile.ZIP_DEFLATED)
     return out.getvalue()
 
 
@@ -72,31 +72,35 @@ def epub_files(meta: DataFrame, chapters: DataFrame, resources: DataFrame, cover
         .unionByName(covers.select("doc_id", F.lit("cover").alias("kind"), F.lit(0).alias("k"), F.col("filename").alias("a"), F.col("mime").alias("b"), F.col("xhtml").alias("c"), "bytes"), True)
     )
 
-    def book(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        of = lambda kind: list(pdf[pdf["kind"] == kind].itertuples())
+    schema = pa.schema([("doc_id", pa.int64()), ("path", pa.string()), ("content", pa.binary())])
+
+    def book(table: pa.Table) -> pa.Table:
+        parts = sorted(table.to_pylist(), key=lambda r: r["k"])
+        of = lambda kind: [r for r in parts if r["kind"] == kind]
         if not (head := of("meta")):
-            return pd.DataFrame({"doc_id": [], "path": [], "content": []})
-        cover = next(((x.a, x.b, bytes(x.bytes), x.c) for x in of("cover") if x.bytes is not None), None)
-        data = build_epub(head[0].b, head[0].c or "", lang, [(x.a, x.b, x.c) for x in of("chapter")], [(x.a, x.b, bytes(x.bytes)) for x in of("image")], cover)
-        return pd.DataFrame({"doc_id": [head[0].doc_id], "path": [f"{head[0].doc_id}-{head[0].a}"], "content": [data]})
+            return schema.empty_table()
+        cover = next(((r["a"], r["b"], r["bytes"], r["c"]) for r in of("cover") if r["bytes"] is not None), None)
+        chapter = [(r["a"], r["b"], r["c"]) for r in of("chapter")]
+        images = [(r["a"], r["b"], r["bytes"]) for r in of("image")]
+        data = build_epub(head[0]["b"], head[0]["c"] or "", lang, chapter, images, cover)
+        return pa.table([[head[0]["doc_id"]], [f"{head[0]['doc_id']}-{head[0]['a']}"], [data]], schema=schema)
 
-    return rows.groupBy("doc_id").applyInPandas(book, "doc_id long, path string, content binary")
+    return rows.groupBy("doc_id").applyInArrow(book, "doc_id long, path string, content binary")
 
 
 def write_files(files: DataFrame, folder: str) -> DataFrame:
     """Write path and content of each row below ``folder`` (a path that every executor sees); returns the paths."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.makedirs(folder, exist_ok=True)
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
                 part = f"{folder}/.{path}.part"
                 with open(part, "wb") as f:
                     f.write(content)
                 os.replace(part, f"{folder}/{path}")  # a task that runs again writes the same file
-            yield pdf[["doc_id", "path"]]
+            yield batch.select(["doc_id", "path"])
 
-    return files.select("doc_id", "path", "content").mapInPandas(run, "doc_id long, path string")
+    return files.select("doc_id", "path", "content").mapInArrow(run, "doc_id long, path string")
