@@ -21,14 +21,11 @@ from quire.llm.substring_dedup import substring_dedup
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: A text whose best language needs more bits a byte is no text of any learned language (bytes at random need over 8).
-MOST_BITS_A_BYTE = 7.5
-
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; those without letters, and those that no language's statistics fit, go."""
+    """Documents that have a language; only those named ``und`` (null text, or no letter) go."""
     named = identify_language(docs, learn(docs), keep=docs.columns)
-    return named.where((F.col("lang_pred") != "und") & (F.col("bits_per_byte") <= MOST_BITS_A_BYTE)).select(*docs.columns)
+    return named.where(F.col("lang_pred") != "und").select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
