@@ -1,11 +1,12 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to one line per block of the page. What is no article by its element or its name (menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles, comments) keeps its line but counts as empty, and so does
-the heading-like text outside an article element. Text lengths are summed over a window of ``WINDOW`` lines; a surge
-is where this sum rises to at least ``SURGE`` after an empty window (or at the start), a dive where it next falls to
-nothing. The text between a surge and its dive is kept. Where the page marks its article by an element, lines outside
-are empty, every block within it counts, however short, and the distribution runs over that article's lines.
+footers, sidebars, notices, adverts, forms, scripts, styles, comments) keeps its line but counts as empty. Text lengths
+are summed over a window of ``WINDOW`` lines; a surge is where this sum rises to at least ``SURGE`` after an empty window
+(or at the start), a dive where it next falls to nothing. The text between a surge and its dive is kept: on a page
+without an article element that is every block that is no clutter, however short and wherever it stands. Where the page
+marks its article by an element, lines outside are empty, every block within it counts, however short, and the
+distribution runs over that article's lines.
 
 White space inside a block becomes one space; a line break element is white space; blocks are joined by two newlines.
 
@@ -26,8 +27,6 @@ from pyspark.sql import functions as F
 
 WINDOW = 3
 SURGE = 1
-#: Outside of an article element, a window must hold as many characters to be a surge.
-SURGE_UNMARKED = 86
 
 # Element names of HTML, and words that name what is no article.
 _BLOCKS = frozenset(
@@ -147,12 +146,11 @@ def main_text(html: str | None, window: int = WINDOW) -> str:
         return ""
     marked = any(inside and not clutter for _, clutter, inside in lines)
     sizes = np.array([0 if clutter or marked and not inside else len(text) for text, clutter, inside in lines])
-    least = SURGE if marked else min(SURGE_UNMARKED, int(sizes.max()))
     # One window for each line: the line and those after it.
     sums = np.convolve(sizes, np.ones(window, np.int64))[window - 1 :]
     keep, at = np.zeros(len(lines), bool), 0
     while at < len(lines):
-        if sizes[at] and sums[at] >= least:  # surge
+        if sizes[at] and sums[at] >= SURGE:  # surge
             end = at
             while end < len(lines) and sums[end]:
                 end += 1

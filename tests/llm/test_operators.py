@@ -173,6 +173,15 @@ def test_main_text():
     assert main_text(None) == main_text("") == main_text("<p> </p>") == ""
 
 
+def test_main_text_without_article_element():
+    """Short blocks stay where they open, close or make up a page."""
+    block = lambda n: f"<p>{'x' * n}</p>"
+    gap = "<ul class=menu>" + "<li>Go</li>" * 3 + "</ul>"
+    for parts in ([20, 15, 22, 18, 300], [300, 250, gap, 40], [*[25] * 30, gap, 120], [9, gap, 200, 7, gap, 8, gap, 150], [3]):
+        page = "<body><div>" + "".join(p if p == gap else block(p) for p in parts) + "</div></body>"
+        assert [len(t) for t in main_text(page).split("\n\n")] == [p for p in parts if p != gap]
+
+
 def test_mix(spark, odd):
     rng = random.Random(6)
     rows = [(k, " ".join("w" * rng.randint(1, 120)), None, ("a", "b", "c", None)[k % 4], 0, "") for k in range(800)]
