@@ -4,9 +4,10 @@ Markup is stripped to one line per block of the page. What is no article by its
 footers, sidebars, notices, adverts, forms, scripts, styles, comments) keeps its line but counts as empty. Text lengths
 are summed over a window of ``WINDOW`` lines; a surge is where this sum rises to at least ``SURGE`` after an empty window
 (or at the start), a dive where it next falls to nothing. The text between a surge and its dive is kept: on a page
-without an article element that is every block that is no clutter, however short and wherever it stands. Where the page
-marks its article by an element, lines outside are empty, every block within it counts, however short, and the
-distribution runs over that article's lines.
+without an article element that is every block that is no clutter, however short and wherever it stands. So it is where
+article elements hold less text than stands outside them. Where they hold at least as much, every block within them is
+kept, and the lines outside have a distribution of their own: a surge there needs ``SURGE_OUTSIDE`` characters, and takes
+the lines up to it back to the next empty one.
 
 White space inside a block becomes one space; a line break element is white space; blocks are joined by two newlines.
 
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 
 WINDOW = 3
 SURGE = 1
+#: On a page whose article element has most of its text, a window outside must hold as many characters to be a surge.
+SURGE_OUTSIDE = 86
 
 # Element names of HTML, and words that name what is no article.
 _BLOCKS = frozenset(
@@ -139,26 +142,38 @@ def page_lines(html: str) -> list[tuple[str, bool, bool]]:
     return lines
 
 
-def main_text(html: str | None, window: int = WINDOW) -> str:
-    """The blocks of the page between surges and dives of the line-block distribution."""
-    lines = page_lines(html or "")
-    if not lines:
-        return ""
-    marked = any(inside and not clutter for _, clutter, inside in lines)
-    sizes = np.array([0 if clutter or marked and not inside else len(text) for text, clutter, inside in lines])
+def _between(sizes: np.ndarray, least: int, window: int) -> np.ndarray:
+    """Which lines stand between a surge and its dive, or before a surge without an empty line between."""
     # One window for each line: the line and those after it.
     sums = np.convolve(sizes, np.ones(window, np.int64))[window - 1 :]
-    keep, at = np.zeros(len(lines), bool), 0
-    while at < len(lines):
-        if sizes[at] and sums[at] >= SURGE:  # surge
-            end = at
-            while end < len(lines) and sums[end]:
+    keep, at = np.zeros(len(sizes), bool), 0
+    while at < len(sizes):
+        if sizes[at] and sums[at] >= least:  # surge
+            start = end = at
+            while start and sizes[start - 1]:
+                start -= 1
+            while end < len(sizes) and sums[end]:
                 end += 1
-            keep[at:end] = True  # dive: nothing for a whole window
+            keep[start:end] = True  # dive: nothing for a whole window
             at = end
         else:
             at += 1
-    return "\n\n".join(text for (text, _, _), k, n in zip(lines, keep, sizes) if k and n)
+    return keep & (sizes > 0)
+
+
+def main_text(html: str | None, window: int = WINDOW) -> str:
+    """The blocks of the page between surges and dives of the line-block distribution."""
+    lines = page_lines(html or "")
+    if not lines:
+        return ""
+    sizes = np.array([0 if clutter else len(text) for text, clutter, _ in lines])
+    inside = np.array([a for _, _, a in lines])
+    outside = np.where(inside, 0, sizes)
+    if 0 < outside.sum() <= (sizes - outside).sum():
+        keep = _between(sizes - outside, SURGE, window) | _between(outside, SURGE_OUTSIDE, window)
+    else:
+        keep = _between(sizes, SURGE, window)
+    return "\n\n".join(text for (text, _, _), k in zip(lines, keep) if k)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

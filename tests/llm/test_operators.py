@@ -182,6 +182,17 @@ def test_main_text_without_article_element():
         assert [len(t) for t in main_text(page).split("\n\n")] == [p for p in parts if p != gap]
 
 
+def test_main_text_outside_article_element():
+    """A short article element takes nothing from longer text outside; beside a long one, long text outside stays as well."""
+    block = lambda n: f"<p>{'x' * n}</p>"
+    sizes = lambda page: [len(t) for t in main_text(f"<body>{page}</body>").split("\n\n")]
+    outside = "<div>" + "".join(map(block, (20, 300, 8, 400))) + "</div>"
+    assert sizes(outside + f"<article>{block(50)}</article>") == [20, 300, 8, 400, 50]
+    assert sizes("<div>" + block(25) * 30 + f"</div><article>{block(60)}</article>") == [25] * 30 + [60]
+    assert sizes(f"<article>{block(900)}{block(5)}</article>" + outside) == [900, 5, 20, 300, 8, 400]
+    assert sizes(f"<p>Site</p><article>{block(900)}{block(5)}</article><p>Tags</p>") == [900, 5]
+
+
 def test_mix(spark, odd):
     rng = random.Random(6)
     rows = [(k, " ".join("w" * rng.randint(1, 120)), None, ("a", "b", "c", None)[k % 4], 0, "") for k in range(800)]
