@@ -7,7 +7,10 @@ nothing is learned, so a byte's cost depends on the ``ORDER`` bytes before it on
 code length of a text is then a sum over its bytes, exact in double precision.
 
 The trees are learned from a bounded sample: of each language the ``LEARN_DOCS`` documents with the least hashes of their
-doc_id, of those with at most ``LEARN_CHARS`` characters. Whole texts are learned from, and whole texts are scored.
+doc_id, of those with at most ``LEARN_CHARS`` characters. A language with fewer of them also learns from its longer
+texts, shortest first, up to ``LEARN_DOCS`` documents in all and ``LEARN_LONG`` characters of longer texts; where already
+the shortest has more and nothing else is there to learn from, from that many of its first characters. So every language
+that a text is labelled with is learned. Other texts are learned from whole, and whole texts are scored.
 
 Defined results: null text and text without a letter are ``und`` with score 0; equal code lengths go to the first
 language by name; repeated rows and null doc_ids are scored like others; no labelled rows at all: ``und`` for all;
@@ -29,6 +32,7 @@ from .shared import blocks, hash_sample
 ORDER = 3
 LEARN_DOCS = 400
 LEARN_CHARS = 20_000
+LEARN_LONG = 2_000_000
 
 
 def is_held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
@@ -152,15 +156,30 @@ def _scores(trees):
 
 def learn(docs: DataFrame, modulus: int = 4, remainder: int = 2) -> ContextTrees | None:
     """Trees from text and lang of the documents that are not held out; None if there are none."""
-    own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.length("text").between(1, LEARN_CHARS) & ~is_held_out(F.col("doc_id"), modulus, remainder))
+    own = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & ~is_held_out(F.col("doc_id"), modulus, remainder))
     languages = [r["lang"] for r in own.select("lang").distinct().orderBy("lang").collect()]
     texts = {}
     for lang in languages:
-        chosen = hash_sample(own.where(F.col("lang") == lang), LEARN_DOCS).select("doc_id", "text").collect()
+        mine = own.where(F.col("lang") == lang)
+        chosen = hash_sample(mine.where(F.length("text") <= LEARN_CHARS), LEARN_DOCS).select("doc_id", "text").collect()
         texts[lang] = [r["text"].encode() for r in sorted(chosen)]
+        if len(chosen) < LEARN_DOCS:
+            texts[lang] += _longer(mine, LEARN_DOCS - len(chosen), not chosen)
     return ContextTrees(texts) if texts else None
 
 
+def _longer(rows: DataFrame, most: int, needed: bool) -> list[bytes]:
+    """The shortest texts of over ``LEARN_CHARS`` characters: at most ``most``, of ``LEARN_LONG`` in all; one if ``needed``."""
+    size = F.length("text")
+    sizes = [r[0] for r in rows.where(size > LEARN_CHARS).select(size.alias("size")).orderBy("size").limit(most).collect()]
+    n = max(int(np.searchsorted(np.cumsum(sizes), LEARN_LONG, side="right")), int(needed and len(sizes) > 0))
+    if not n:
+        return []
+    longer = rows.where((size > LEARN_CHARS) & (size <= sizes[n - 1]))
+    chosen = longer.orderBy(size, F.xxhash64(F.lit(5), F.col("doc_id")), "text").limit(n).select(F.substring("text", 1, LEARN_LONG).alias("text"))
+    return [r["text"].encode() for r in chosen.collect()]
+
+
 def identify_language(docs: DataFrame, trees: ContextTrees | None, keep: list[str] | None = None) -> DataFrame:
     """doc_id (or the columns ``keep``) with lang_pred, score (its share in all likelihoods) and bits_per_byte."""
     kept = docs.select(*(keep or ["doc_id"]))

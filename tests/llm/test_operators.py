@@ -164,6 +164,17 @@ def test_language(spark, odd):
     assert tree.lengths(np.frombuffer(b"abra", np.uint8), np.array([0, 4]))[0, 0] < tree.lengths(np.frombuffer(b"zqxj", np.uint8), np.array([0, 4]))[0, 0]
 
 
+def test_language_of_long_texts_only(spark, monkeypatch):
+    """A language whose labelled texts are all long is learned, also where one text has more than is learned from."""
+    rows = [(k, "the cat and the dog " * 30, "en", "s", 0, "") for k in range(20)] + [(100 + k, "žluťoučký kůň úpěl " * (1200 + k), "cs", "s", 0, "") for k in range(8)]
+    df = spark.createDataFrame(rows, DOCS)
+    for most in (2_000_000, 5_000):
+        monkeypatch.setattr("quire.llm.ppm_language.LEARN_LONG", most, raising=False)
+        trees = learn(df)
+        assert trees.languages == ["cs", "en"]
+        assert all(r["lang"] == r["lang_pred"] for r in identify_language(df, trees, keep=["lang"]).collect())
+
+
 def test_main_text():
     page = """<html><head><title>T</title><script>var a="</p>";</script></head><body><nav><ul><li><a>Menu</a></li></ul></nav><div class="ad">Buy</div>
     <article><h1>Head &amp; title</h1><p>One <b>two<br>three<p>Short.<div class="comments"><p>I think so</p></div><!-- x --></article><footer>&copy; me</footer>"""
