@@ -32,8 +32,8 @@ BITS = 16
 POSITIVES = 4000
 UNLABELLED = 16000
 EPOCHS = 48
-#: Words of fewer positives than this have no weight.
-SUPPORT = 8
+#: Words of fewer positives than this have no weight; beyond it the L1 step decides.
+SUPPORT = 2
 RATE, SHRINK = 1.0, 2e-4
 #: Positives in a mini-batch; there are four times as many unlabelled ones.
 BATCH = 256

@@ -129,6 +129,14 @@ def test_toxicity(spark, odd):
     assert all(0 <= r["score"] <= 1 for r in score_toxicity(odd, model).collect()) and score_toxicity(odd, None).count() == 5
 
 
+def test_toxicity_of_few_positives():
+    """With six positives, words that three of them hold have a weight."""
+    rng = np.random.default_rng(6)
+    make = lambda *own: np.unique(np.concatenate([rng.integers(100, 400, 40), own]).astype(np.int64))
+    model = train([make(1 + k % 2) for k in range(6)], [make() for _ in range(400)], 0.1)
+    assert model.weights[1] > 0 and model.weights[2] > 0
+
+
 @pytest.mark.parametrize("cell", [4096, 10])
 def test_metric_join(spark, cell, monkeypatch):
     monkeypatch.setattr(metric_join, "CELL", cell)
