@@ -17,6 +17,7 @@ from quire.llm.metric_join import near_vectors
 from quire.llm.packing import pack_documents, plan_sequences
 from quire.llm.pareto_mix import mix_digest, mixed_documents
 from quire.llm.ppm_language import ContextTrees, identify_language, learn
+from quire.llm.queries import damaged_replica
 from quire.llm.substring_dedup import SuffixAutomaton, substring_dedup, substring_dedup_digest
 from quire.llm.tiff import read_pages, text_media, tiff_pages, write_tiff
 from quire.llm.toxicity_pu import score_toxicity, train
@@ -261,3 +262,8 @@ def test_fixity(spark):
     one, other = spark.createDataFrame(rows, schema), spark.createDataFrame(damaged, schema)
     assert sorted(r["page_id"] for r in fixity_audit(one, other, 64, 4).collect()) == [5, 170, 299, 900]
     assert fixity_audit(one, one, 64, 4).count() == 0 and fixity_audit(one.limit(0), one.limit(0)).count() == 0
+
+
+def test_fixity_damages_pages_without_html(spark):
+    pages = spark.createDataFrame([(12, "u", None), (13, "u", None), (110, "u", "h")], "page_id long, url string, html string")
+    assert sorted(r["page_id"] for r in fixity_audit(pages, damaged_replica(pages), 64, 4).collect()) == [13, 110]
