@@ -28,12 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, blocks
+from .shared import LOWER, Scratch, blocks, byte_hashes, word_bounds
 
 #: Pieces numbered in one group of a length.
 GROUP = 100_000
-#: Words whose ids a worker remembers, about 200 bytes each.
-CACHE = 1_200_000
+#: Words whose ids a worker remembers.
+CACHE = 2_000_000
+_ALNUM, _MARKS = np.zeros(256, bool), np.zeros(256, bool)
+_ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = True
+_MARKS[33:127] = ~_ALNUM[33:127]
+_MARKS[39] = False  # an apostrophe may begin the ending of a word
 
 
 def plan_sequences(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -136,10 +140,74 @@ class Places:
         return first[at] + numbers - (self.ends[length][at] - times[at]), offset[at]
 
 
+class Memory:
+    """Token ids of words by the words' 64-bit hashes: an open table with linear probing, all in numpy, 20 to 40 bytes a word."""
+
+    def __init__(self, slots: int = 1 << 16):
+        self.keys, self.at = np.zeros(slots, np.uint64), np.zeros(slots, np.int32)
+        self.starts, self.pool = np.zeros(1 << 15, np.int64), np.zeros(1 << 17, np.uint32)
+        self.words = 0
+
+    def _first(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(65 - len(self.keys).bit_length())).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each word, or -1."""
+        out, left, slot = np.full(len(hashes), -1, np.int64), np.arange(len(hashes)), self._first(hashes)
+        while len(left):
+            key = self.keys[slot]
+            hit = key == hashes[left]
+            out[left[hit]] = self.at[slot[hit]]
+            on = ~hit & (key != 0)
+            left, slot = left[on], (slot[on] + 1) & (len(self.keys) - 1)
+        return out
+
+    def add(self, hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Distinct new words with their numbers of ids, and all those ids in a row."""
+        end = self.starts[self.words]
+        if 2 * (self.words + len(hashes)) > len(self.keys):
+            known = np.flatnonzero(self.keys)
+            old, at = self.keys[known], self.at[known]
+            grown = max(2 * len(self.keys), 1 << (4 * (self.words + len(hashes)) - 1).bit_length())
+            self.keys, self.at = np.zeros(grown, np.uint64), np.zeros(grown, np.int32)
+            self._put(old, at)
+        self.starts = _room(self.starts, self.words + len(hashes) + 1)
+        self.pool = _room(self.pool, end + len(ids))
+        self.pool[end : end + len(ids)] = ids
+        self._put(hashes, np.arange(self.words, self.words + len(hashes), dtype=np.int32))
+        self.starts[self.words + 1 : self.words + len(hashes) + 1] = end + np.cumsum(sizes)
+        self.words += len(hashes)
+
+    def _put(self, hashes: np.ndarray, at: np.ndarray) -> None:
+        left, slot = np.arange(len(hashes)), self._first(hashes)
+        while len(left):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = hashes[left[free]]  # of several words for one slot, one stays
+            won = self.keys[slot] == hashes[left]
+            self.at[slot[won]] = at[left[won]]
+            left, slot = left[~won], (slot[~won] + 1) & (len(self.keys) - 1)
+
+    def sizes(self, numbers: np.ndarray) -> np.ndarray:
+        return self.starts[numbers + 1] - self.starts[numbers]
+
+    def ids(self, numbers: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The ids of words by their numbers, in a row."""
+        return self.pool[np.arange(sizes.sum()) + np.repeat(self.starts[numbers] - np.cumsum(sizes) + sizes, sizes)]
+
+
+def _room(array: np.ndarray, n: int) -> np.ndarray:
+    if n <= len(array):
+        return array
+    grown = np.zeros(max(n, len(array) * 3 // 2), array.dtype)
+    grown[: len(array)] = array
+    return grown
+
+
 class Ids:
     """Token ids of texts; ids of words are remembered where a tokenizer treats words between white space apart.
 
-    New words are encoded together: those of letters only with spaces between them, told apart by the tokenizer's ends
+    Where it also ignores the case of ASCII words and takes ASCII marks after an ASCII letter or digit apart, words are
+    remembered without either. Whether it does is tried on some words. New words are encoded together: those of letters only with spaces between them, told apart by the tokenizer's ends
     of words; others with an added token between them, which is found before anything else. Texts that hold an added
     token are encoded whole. Remembered words are in two generations: when the young one has half of ``CACHE``, the old
     one is forgotten, so that frequent words stay. ``shared`` keeps one such memory for all tasks of a worker.
@@ -152,13 +220,12 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         added = self.tokenizer.get_added_tokens_decoder()
-        self.marks = [t.content for t in added.values()]
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.marks = [t.content.encode() for t in added.values()]
+        self.young, self.old = Memory(), Memory()
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
-        self.apart = False
+        self.apart = self.folds = False
         if added:
             self.mark_id, self.mark = next((k, t.content) for k, t in added.items())
             words = ("it's", "a1b", "É", "(x", "--", "ß", "9.")
@@ -166,6 +233,8 @@ class Ids:
             self.apart = self._ids(self.mark.join(words)) == sum(([*w, self.mark_id] for w in own), [])[:-1] and all(
                 self._ids(space.join(words)) == sum(own, []) for space in (" ", "\n", "\t ", "\r\n", "\x0b", "\x0c")
             )
+            bases, ends = ("Word", "it's", "A1b2", "çãO", "'s", "x-Y", "QZ7"), (".", ",&&&", ")\"", "-", "!?", "%%%", "_", "~/<")
+            self.folds = all(self._ids(b + e) == self._ids(b.lower() if b.isascii() else b) + self._ids(e) for b in bases for e in ends)
 
     @classmethod
     def shared(cls, path: str) -> Ids:
@@ -179,65 +248,103 @@ class Ids:
     def _together(self, words: list[str], between: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([between.join(words)], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _learn(self, new: list[bytes]) -> None:
-        letters, others = [], []
-        for w in new:
-            (letters if w.decode().isalpha() else others).append(w)
+    def _learn(self, words: list[str], hashes: np.ndarray) -> None:
+        plain = np.fromiter((w.isalpha() for w in words), bool, len(words))
+        letters, others = np.flatnonzero(plain), [np.flatnonzero(~plain)]
         for k in range(0, len(letters), 20_000):
             part = letters[k : k + 20_000]
-            ids = self._together([w.decode() for w in part], " ")
+            ids = self._together([words[i] for i in part], " ")
             ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(part):  # some letter became more than one word
-                others += part
-                continue
-            self._keep(part, ids, np.concatenate([[0], ends[:-1]]), ends)
-        for k in range(0, len(others), 20_000):
-            part = others[k : k + 20_000]
-            ids = self._together([w.decode() for w in part], self.mark)
+            if len(ends) == len(part):
+                self.young.add(hashes[part], np.diff(ends, prepend=0), ids)
+            else:  # some letter became more than one word
+                others.append(part)
+        rest = np.concatenate(others)
+        for k in range(0, len(rest), 20_000):
+            part = rest[k : k + 20_000]
+            ids = self._together([words[i] for i in part], self.mark)
             cuts = np.flatnonzero(ids == self.mark_id)
-            self._keep(part, ids, np.concatenate([[0], cuts + 1]), np.append(cuts, len(ids)))
-
-    def _keep(self, words: list[bytes], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        raw = ids.tobytes()
-        self.young.update(zip(words, [raw[a:b] for a, b in zip((starts * 4).tolist(), (ends * 4).tolist())], strict=True))
-
-    def of(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """Ids of each whole text. Words are only looked up apart if nothing in the text joins over white space."""
-        plain = [self.apart and not any(m in t for m in self.marks) for t in texts]
-        split = [t.encode().split() if p else [] for t, p in zip(texts, plain)]
-        wanted = set().union(*split)
-        new = wanted.difference(self.young)
-        if len(self.young) + len(new) > CACHE // 2:
-            self.old, self.young, new = self.young, {}, wanted
-        known = new.intersection(self.old)
-        self.young.update((w, self.old[w]) for w in known)
-        self._learn(list(new.difference(known)))
-        look = self.young.__getitem__
-        for text, p, words in zip(texts, plain, split):
-            yield np.frombuffer(b"".join(map(look, words)), np.uint32) if p else np.array(self._ids(text), np.uint32)
+            self.young.add(hashes[part], np.diff(cuts, prepend=-1, append=len(ids)) - 1, np.delete(ids, cuts))
+
+    def _numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The number of each word in the young memory; it may hold one block's words beyond its bound."""
+        numbers = self.young.find(hashes)
+        miss = np.flatnonzero(numbers < 0)
+        if not len(miss):
+            return numbers
+        new, first = np.unique(hashes[miss], return_index=True)
+        if 2 * (self.young.words + len(new)) > CACHE and self.young.words:
+            self.old, self.young = self.young, Memory()
+            return self._numbers(data, starts, ends, hashes)
+        at = self.old.find(new)
+        known = at >= 0
+        sizes = self.old.sizes(at[known])
+        self.young.add(new[known], sizes, self.old.ids(at[known], sizes))
+        raw, first = data.tobytes(), miss[first[~known]]
+        self._learn([raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist())], new[~known])
+        numbers[miss] = self.young.find(hashes[miss])
+        return numbers
+
+    def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts in a row, and where each text's begin (and the end).
+
+        Words are only looked up apart if nothing in the texts joins over white space.
+        """
+        raw = data.tobytes()
+        if not self.apart or any(m in raw for m in self.marks):
+            parts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            if not self.apart or len(parts) == 1:
+                own = [np.array(self._ids(p.decode()), np.uint32) for p in parts]
+            else:
+                own = [self.of(np.frombuffer(p, np.uint8), np.array([0, len(p)]))[0] for p in parts]
+            return np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])])
+        starts, ends, before = word_bounds(data, offsets)
+        if self.folds and len(starts):
+            data, starts, ends, before = _folded(data, starts, ends, before)
+        hashes = np.maximum(byte_hashes(data, starts, ends), np.uint64(1))
+        numbers = self._numbers(data, starts, ends, hashes)
+        sizes = self.young.sizes(numbers)
+        return self.young.ids(numbers, sizes), np.concatenate([[0], np.cumsum(sizes)])[before]
+
+
+def _folded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes with ASCII words in lower case, and bounds of words with their last marks as words of their own."""
+    ascii_ = np.maximum.reduceat(data, starts) < 128  # white space after a word is ASCII too
+    spans = np.diff(starts, append=len(data))
+    data = data.copy()
+    data[starts[0] :] = np.where(np.repeat(ascii_, spans), LOWER[data[starts[0] :]], data[starts[0] :])
+    marked = np.flatnonzero(_MARKS[data[ends - 1]])
+    last = np.maximum.accumulate(np.where(_MARKS[data], 0, np.arange(len(data))))[ends[marked] - 1]
+    apart = (last >= starts[marked]) & _ALNUM[data[last]]
+    marked, cut = marked[apart], last[apart] + 1
+    return data, np.insert(starts, marked + 1, cut), np.insert(ends, marked, cut), before + np.searchsorted(marked, before)
 
 
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = Ids.shared(path)
-        end = np.array([end_id], np.uint32)
         for batch in batches:
-            for row, stop, _, _ in blocks(batch.column(1)):
-                rows = []
-                texts = [t or "" for t in batch.column(1)[row:stop].to_pylist()]
-                for doc, own in zip(batch.column(0)[row:stop].to_pylist(), ids.of(texts)):
-                    tokens = np.concatenate([own, end])
-                    for k, start in enumerate(range(0, len(tokens), capacity)):
-                        part = tokens[start : start + capacity]
-                        rows.append((doc, k, start, len(part), zlib.crc32(part.astype("<u4").tobytes())))
-                yield pa.record_batch(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
-                    ["doc_id", "piece", "start", "length", "ids_crc32"],
-                )
+            for row, stop, data, offsets in blocks(batch.column(1)):
+                tokens, ends = ids.of(data, offsets)
+                tokens = memoryview(np.insert(tokens, ends[1:], end_id).astype("<u4")).cast("B")
+                first = ends[:-1] + np.arange(stop - row)
+                sizes = np.diff(ends) + 1
+                count = -(-sizes // capacity)
+                doc = np.repeat(np.arange(stop - row), count)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+                start = piece * capacity
+                length = np.minimum(sizes[doc] - start, capacity)
+                places = (4 * (first[doc] + start)).tolist()
+                crc = [zlib.crc32(tokens[a : a + 4 * n]) for a, n in zip(places, length.tolist())]
+                keys = batch.column(0)[row:stop].take(pa.array(doc))
+                yield pa.record_batch([keys, pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], _PIECE)
 
     return run
 
 
+_PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
+
+
 def _placed(places):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

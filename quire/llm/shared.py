@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 class Scratch:
@@ -112,8 +112,11 @@ def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word of a block, and the number of words before each text (and at the end)."""
     starts, ends, before = word_bounds(data, offsets)
-    if lower:
-        data = _LOWER[data]
+    return byte_hashes(LOWER[data] if lower else data, starts, ends), before
+
+
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each data[start:end]; starts and ends ascend."""
     parts = []
     i = 0
     while i < len(starts):
@@ -121,7 +124,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> t
         a = starts[i]
         parts.append(spans_hash(data[a : ends[j - 1]], starts[i:j] - a, ends[i:j] - a))
         i = j
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), before
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
 def grams(words: np.ndarray, k: int) -> np.ndarray:
