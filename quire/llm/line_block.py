@@ -1,18 +1,25 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to one line per block of the page. What is no article by its element or its name (menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles, comments) keeps its line but counts as empty. Text lengths
-are summed over a window of ``WINDOW`` lines; a surge is where this sum rises to at least ``SURGE`` after an empty window
-(or at the start), a dive where it next falls to nothing. The text between a surge and its dive is kept: on a page
-without an article element that is every block that is no clutter, however short and wherever it stands. So it is where
-article elements hold less text than stands outside them. Where they hold at least as much, every block within them is
-kept, and the lines outside have a distribution of their own: a surge there needs ``SURGE_OUTSIDE`` characters, and takes
-the lines up to it back to the next empty one.
+footers, sidebars, notices, adverts, forms, scripts, styles, comments) is an empty line, one for each such element: a box
+within an article is a short gap, a row of them before or after it a long one. Text lengths are summed over a window of
+``WINDOW`` lines. A surge is where this sum rises to the page's threshold, together with the lines that lead up to it; a
+dive is where it next falls to nothing. The text between a surge and its dive is kept.
 
-White space inside a block becomes one space; a line break element is white space; blocks are joined by two newlines.
+The threshold is ``MOST``, the value published with the method for windows of three lines, and less on pages of short
+blocks: a ``SHARE`` of the mean of all sums over text. Structure is a weight of lines only: where article elements hold
+at least half of the text, their lines weigh ``INSIDE`` times their length, and lines within and without are two
+distributions, held to one threshold. Otherwise all lines are one distribution. So text that no rule marks goes where it
+is short and stands apart: within an article that is a line of at most ten characters between rows of three boxes.
+
+Within an article element, class words count only as whole names of a menu, an advert, a form, a notice, a sidebar or of
+readers' comments. White space inside a block becomes one space; a line break element is white space; blocks are joined
+by two newlines.
 
 Defined results: null, empty or textless html gives an empty text; unclosed elements end where HTML lets them end or
-with the page; repeated rows are extracted each; an empty table gives no rows.
+with the page; a tag without an end is no text; pages of any length and depth are read in time linear in their length;
+repeated rows are extracted each; equal sums at the threshold are surges; an empty table gives no rows; other columns of
+the table are not read.
 """
 
 from __future__ import annotations
@@ -27,16 +34,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
-SURGE = 1
-#: On a page whose article element has most of its text, a window outside must hold as many characters to be a surge.
-SURGE_OUTSIDE = 86
+#: Characters in a window that are a surge on any page, and the share of the page's mean that is one where that is less.
+MOST, SHARE = 86, 0.25
+#: What a line within an article element weighs, where these hold most of the text.
+INSIDE = 8
 
 # Element names of HTML, and words that name what is no article.
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
-    " header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
+    " header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul xmp".split()
 )
-_RAW = frozenset("script style noscript template textarea iframe svg math object title head xmp noembed noframes".split())
+_UNSEEN = frozenset("script style template textarea iframe title desc metadata noembed noframes".split())
 _CLUTTER = frozenset("nav header footer aside form menu dialog button select option input label fieldset legend".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _NAMED = re.compile(
@@ -45,112 +53,216 @@ _NAMED = re.compile(
     r"|share|sharing|social|related|recommended|recommendations|pagination|pager|toolbar|copyright|legal|disclaimer|search)(?:$|[\s_-])",
     re.I,
 )
+#: Whole class names and ids that are clutter within an article element as well.
+_NAMED_INSIDE = re.compile(
+    r"(?:^|\s)(?:(?:google-|side-)?ads?(?:-box|-slot|-unit|-container|vert|vertisement)?|advertisements?|adverts?|advertising|adsense|sponsored|promo|banner|menu|nav|navbar|navigation|breadcrumbs?"
+    r"|sidebar|(?:cookie-|site-)?notices?|cookies?|cookie-(?:banner|consent)|(?:newsletter|signup|subscribe|login|search)(?:-form|-box)?|(?:user-|reader-)?comments?(?:-list|-section|-area|-thread)?"
+    r"|respond|disqus_thread)(?:$|\s)",
+    re.I,
+)
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*+)")
+_QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+")
 _SPACE = re.compile(r"\s+")
+_BODY = re.compile(r"<body[\s>]", re.I)
 #: Elements that an opening one of the second kind ends.
 _ENDED = {"p": _BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
 
 
-def _is_clutter(name: str, attributes: str) -> bool:
+def _is_clutter(name: str, attributes: str, inside: bool) -> bool:
     if name in _CLUTTER:
         return True
     if not attributes or name in ("html", "body", "article", "main"):
         return False
+    words = _NAMED_INSIDE if inside else _NAMED
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key in ("class", "id") and _NAMED.search(value) or key == "role" and value.strip().lower() in _ROLES or key == "aria-hidden" and value == "true":
+        if key in ("class", "id") and words.search(value) or key == "role" and value.strip().lower() in _ROLES or key == "aria-hidden" and value == "true":
             return True
-        if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+        if key == "hidden" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)))
+    return False
+
+
+class _Tags:
+    """Where tags and unseen elements end, each place of the page looked at a bounded number of times."""
+
+    def __init__(self, html: str):
+        self.html, self.quotes, self.open_ended = html, True, set()
+
+    def end(self, at: int) -> int:
+        """Behind the '>' of a tag whose name ends at ``at``. Once quotes don't pair, they no longer count."""
+        if self.quotes:
+            if m := _QUOTED.match(self.html, at):
+                return m.end()
+            self.quotes = False
+        found = self.html.find(">", at)
+        return len(self.html) if found < 0 else found + 1
+
+    def find(self, what: str, at: int) -> int:
+        """The place of ``what``, or -1; what isn't found is not looked for again."""
+        if what in self.open_ended:
+            return -1
+        found = self.html.find(what, at)
+        if found < 0:
+            self.open_ended.add(what)
+        return found
+
+    def body(self, at: int) -> int:
+        """Where the body begins, or -1."""
+        if "<body" in self.open_ended:
+            return -1
+        if m := _BODY.search(self.html, at):
+            return m.start()
+        self.open_ended.add("<body")
+        return -1
+
+    def close(self, name: str, at: int) -> tuple[int, int] | None:
+        """Where the end tag of an unseen element begins and ends."""
+        if name in self.open_ended:
+            return None
+        m = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*+>", re.I).search(self.html, at)
+        if m is None:
+            self.open_ended.add(name)
+            return None
+        return m.span()
+
+
+class _Open:
+    """Open elements, with the places of each name and of blocks at hand."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, bool, bool]] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.clutter = self.article = 0
+
+    def push(self, name: str, clutter: bool, article: bool) -> None:
+        at = len(self.stack)
+        self.places.setdefault(name, []).append(at)
+        if name in _BLOCKS:
+            self.blocks.append(at)
+        self.stack.append((name, clutter, article))
+        self.clutter += clutter
+        self.article += article
+
+    def cut(self, size: int) -> None:
+        while len(self.stack) > size:
+            name, clutter, article = self.stack.pop()
+            self.places[name].pop()
+            if name in _BLOCKS:
+                self.blocks.pop()
+            self.clutter -= clutter
+            self.article -= article
+
+    def end(self, name: str) -> None:
+        """An end tag; an inline one doesn't end the blocks around it."""
+        if places := self.places.get(name):
+            if name in _BLOCKS or not self.blocks or self.blocks[-1] < places[-1]:
+                self.cut(places[-1])
+
+    def begin(self, name: str) -> None:
+        """What the start tag of a block ends."""
+        if self.blocks and name in _ENDED.get(self.stack[self.blocks[-1]][0], ()):
+            self.cut(self.blocks[-1])
 
 
 def page_lines(html: str) -> list[tuple[str, bool, bool]]:
-    """(text, clutter, in an article element) of each block of a page, in order; blocks without text are left out."""
+    """(text, clutter, in an article element) of each block of a page, in order; blocks without text are left out.
+
+    Clutter within a block goes from its text; the blocks of one clutter element that follow each other are one line.
+    """
     lines: list[tuple[str, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []
-    part: list[str] = []
-    clutter = article = 0
+    part: list[tuple[str, bool]] = []
+    tags, open_ = _Tags(html), _Open()
+    box = last_box = 0  # a number for each outermost clutter element
 
     def end_line() -> None:
-        if part:
-            text = _SPACE.sub(" ", unescape("".join(part))).strip()
+        nonlocal last_box
+        for clutter in (False, True):
+            text = _SPACE.sub(" ", unescape("".join(t for t, c in part if c == clutter))).strip()
             if text:
-                lines.append((text, clutter > 0, article > 0))
-            part.clear()
+                if not (clutter and lines and lines[-1][1] and last_box == box):
+                    lines.append((text, clutter, open_.article > 0))
+                    last_box = box
+                break
+        part.clear()
 
-    def pop() -> None:
-        nonlocal clutter, article
-        _, c, a = stack.pop()
-        clutter -= c
-        article -= a
+    def add(text: str) -> None:
+        part.append((text, open_.clutter > 0))
 
     at, n = 0, len(html)
     while at < n:
-        m = _TOKEN.search(html, at)
-        if m is None:
-            part.append(html[at:])
+        start = html.find("<", at)
+        if start < 0:
+            add(html[at:])
             break
-        part.append(html[at : m.start()])
-        at = m.end()
-        if m[1] is not None:
-            part.append(m[1].replace("&", "&amp;"))
-        name = (m[3] or "").lower()
-        if not name:
+        add(html[at:start])
+        at = start + 1
+        if html.startswith("!--", at):
+            end = tags.find("-->", at + 1)
+            at = n if end < 0 else end + 3
+            continue
+        if html.startswith("![CDATA[", at):
+            end = tags.find("]]>", at)
+            add(html[at + 8 : n if end < 0 else end].replace("&", "&amp;"))
+            at = n if end < 0 else end + 3
+            continue
+        if html[at : at + 1] in ("!", "?"):
+            end = tags.find(">", at)
+            at = n if end < 0 else end + 1
+            continue
+        m = _NAME.match(html, at)
+        if m is None:
+            add("<")
+            continue
+        name, closing = m[1].lower(), html[at] == "/"
+        at = tags.end(m.end())
+        attributes = html[m.end() : at - 1]
+        if name in _UNSEEN and not closing:
+            close = tags.close(name, at)
+            at = close[1] if close else n if name in ("script", "style") else at
             continue
-        if name in _RAW and not m[2]:
-            if name in ("head", "svg", "math", "object", "noscript", "template"):
-                close = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-                if name == "head":
-                    body = re.compile(r"<body[\s>]", re.I).search(html, at)
-                    at = close.end() if close and not (body and body.start() < close.start()) else body.start() if body else at
-                elif close:
-                    at = close.end()
-            else:
-                close = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-                at = close.end() if close else n if name in ("script", "style") else at
+        if name == "head" and not closing:
+            close, body = tags.close(name, at), tags.body(at)
+            if close and not 0 <= body < close[0]:
+                at = close[1]
+            elif body >= 0:
+                at = body
             continue
         if name in _BLOCKS:
             end_line()
-        elif name in ("br", "wbr"):
-            part.append(" " if name == "br" else "")
-        if name in _VOID:
+        elif name == "br":
+            add(" ")
+        if name == "xmp" and not closing:
+            close = tags.close(name, at)
+            add(html[at : close[0] if close else n].replace("&", "&amp;"))
+            end_line()
+            at = close[1] if close else n
+        if name in _VOID or name == "xmp":
             continue
-        if m[2]:
-            names = [s[0] for s in stack]
-            if name in names:
-                # An inline end doesn't end the blocks around it.
-                deep = len(names) - 1 - names[::-1].index(name)
-                if name in _BLOCKS or not any(x in _BLOCKS for x in names[deep + 1 :]):
-                    while len(stack) > deep:
-                        pop()
+        if closing:
+            open_.end(name)
             continue
-        if stack and name in _BLOCKS:
-            inner = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in _BLOCKS), None)
-            if inner is not None and name in _ENDED.get(stack[inner][0], ()):
-                while len(stack) > inner:
-                    pop()
-        if (m[4] or "").endswith("/") and name not in _BLOCKS:
+        if name in _BLOCKS:
+            open_.begin(name)
+        elif attributes.endswith("/"):
             continue
-        c, a = _is_clutter(name, m[4] or ""), name == "article" or name == "main"
-        stack.append((name, c, a))
-        clutter += c
-        article += a
+        clutter = _is_clutter(name, attributes, open_.article > 0)
+        box += clutter and not open_.clutter
+        open_.push(name, clutter, name in ("article", "main"))
     end_line()
     return lines
 
 
-def _between(sizes: np.ndarray, least: int, window: int) -> np.ndarray:
-    """Which lines stand between a surge and its dive, or before a surge without an empty line between."""
-    # One window for each line: the line and those after it.
-    sums = np.convolve(sizes, np.ones(window, np.int64))[window - 1 :]
+def _between(sums: np.ndarray, sizes: np.ndarray, least: float) -> np.ndarray:
+    """Which lines stand between a surge and its dive, or lead up to a surge without an empty line between."""
     keep, at = np.zeros(len(sizes), bool), 0
     while at < len(sizes):
         if sizes[at] and sums[at] >= least:  # surge
             start = end = at
-            while start and sizes[start - 1]:
+            while start and sizes[start - 1] and not keep[start - 1]:
                 start -= 1
             while end < len(sizes) and sums[end]:
                 end += 1
@@ -161,19 +273,30 @@ def _between(sizes: np.ndarray, least: int, window: int) -> np.ndarray:
     return keep & (sizes > 0)
 
 
+def chosen_lines(sizes: np.ndarray, inside: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Which lines to keep, by their lengths (0 for clutter) and whether they are in an article element."""
+    mine = np.where(inside, sizes, 0)
+    apart = 2 * mine.sum() >= sizes.sum() and (sizes > mine).any() and mine.any()
+    weight = INSIDE if 2 * mine.sum() >= sizes.sum() else 1
+    parts = [mine * weight, sizes - mine] if apart else [sizes * weight]
+    # One window for each line: the line and those after it.
+    sums = [np.convolve(p, np.ones(window, np.int64))[window - 1 :] for p in parts]
+    filled = np.concatenate([s[s > 0] for s in sums])
+    least = min(MOST, SHARE * filled.mean()) if len(filled) else MOST
+    keep = np.zeros(len(sizes), bool)
+    for p, s in zip(parts, sums):
+        keep |= _between(s, p, least)
+    return keep
+
+
 def main_text(html: str | None, window: int = WINDOW) -> str:
     """The blocks of the page between surges and dives of the line-block distribution."""
     lines = page_lines(html or "")
-    if not lines:
+    sizes = np.array([0 if clutter else len(text) for text, clutter, _ in lines], np.int64)
+    inside = np.array([a for _, _, a in lines], bool)
+    if not sizes.any():
         return ""
-    sizes = np.array([0 if clutter else len(text) for text, clutter, _ in lines])
-    inside = np.array([a for _, _, a in lines])
-    outside = np.where(inside, 0, sizes)
-    if 0 < outside.sum() <= (sizes - outside).sum():
-        keep = _between(sizes - outside, SURGE, window) | _between(outside, SURGE_OUTSIDE, window)
-    else:
-        keep = _between(sizes, SURGE, window)
-    return "\n\n".join(text for (text, _, _), k in zip(lines, keep) if k)
+    return "\n\n".join(lines[k][0] for k in np.flatnonzero(chosen_lines(sizes, inside, window)))
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

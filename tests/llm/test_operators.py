@@ -3,16 +3,17 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
 
-from quire.llm import jaccard_join, metric_join
+from quire.llm import jaccard_join, line_block, metric_join
 from quire.llm.fixity import fixity_audit
 from quire.llm.jaccard_join import jaccard_classes, jaccard_dedup
-from quire.llm.line_block import main_text
+from quire.llm.line_block import extract_main_text, main_text
 from quire.llm.metric_join import near_vectors
 from quire.llm.packing import pack_documents, plan_sequences
 from quire.llm.pareto_mix import mix_digest, mixed_documents
@@ -213,6 +214,70 @@ def test_main_text_outside_article_element():
     assert sizes(f"<p>Site</p><article>{block(900)}{block(5)}</article><p>Tags</p>") == [900, 5]
 
 
+def test_main_text_keeps_what_is_no_clutter():
+    """Within an article, class words drop menus, adverts, forms and comments only; all visible text stays."""
+    page = """<article><h2 class="section-header">Heading</h2><p class="discussion">One</p><div class="legal side">Two</div><math><mi>E</mi> = <mi>m</mi> c</math>
+    <object><p>Three</p></object><noscript>Four</noscript><xmp>a <b> &amp; c</xmp><p>Five <span class="ad">buy</span> six<label>x</label>.</p><ul class="menu"><li>Go</ul>
+    <div class="comments">Me too</div><form>Mail</form><div class=ad>Buy</div><textarea>t</textarea><p hidden>no</p><p>Seven &lt;b&gt; &#233;</article>"""
+    assert main_text(page).split("\n\n") == ["Heading", "One", "Two", "E = m c", "Three", "Four", "a <b> &amp; c", "Five six.", "Seven <b> é"]
+    assert main_text("<p>a <b <p>b</p> c") == "a b\n\nc" and main_text("x <a href='y>z</a> w") == "x z w" and main_text("1 < 2 <!-- z") == "1 < 2"
+
+
+def test_main_text_drops_short_text_apart():
+    """Where neither element nor name says so: short lines beyond rows of boxes go, long ones stay."""
+    gap = "<nav>a</nav><div class=ad>b</div><form>c</form>"
+    assert main_text(f"<p>Site</p>{gap}<p>{'x' * 500}</p><p>y</p>{gap}<p>Up</p>{gap}<p>{'z' * 90}</p>") == f"{'x' * 500}\n\ny\n\n{'z' * 90}"
+    assert main_text(f"<p>Site</p><article><p>{'x' * 500}</p><p>y</p></article><p>Tags</p>") == f"{'x' * 500}\n\ny"
+
+
+def test_distribution_against_windows_line_by_line():
+    rng = random.Random(8)
+    for _ in range(400):
+        n = rng.randint(1, 25)
+        sizes = np.array([rng.choice((0, 0, 3, 9, 40, 200)) for _ in range(n)])
+        inside = np.array([rng.random() < 0.5 if n % 2 else 5 <= k < 15 for k in range(n)])
+        if not sizes.any():
+            continue
+        mine = int(sizes[inside].sum())
+        weight = line_block.INSIDE if 2 * mine >= sizes.sum() else 1
+        groups = [[int(s) if i else 0 for s, i in zip(sizes, inside)], [0 if i else int(s) for s, i in zip(sizes, inside)]]
+        if weight == 1 or not any(groups[1]):
+            groups = [[int(s) for s in sizes]]
+        groups[0] = [s * weight for s in groups[0]]
+        window = lambda g, k: sum(g[k : k + 3])
+        filled = [window(g, k) for g in groups for k in range(n) if window(g, k)]
+        least = min(86, sum(filled) / len(filled) / 4)
+        want = set()
+        for g in groups:
+            for k in range(n):
+                if not g[k]:
+                    continue
+                up = k  # back over lines with text, or over what no window finds empty, to a surge
+                while window(g, up) < least and up + 1 < n and g[up + 1]:
+                    up += 1
+                back = next((j for j in range(k, -1, -1) if not window(g, j) or g[j] and window(g, j) >= least), None)
+                if window(g, up) >= least or back is not None and g[back] and window(g, back) >= least and all(window(g, j) for j in range(back, k + 1)):
+                    want.add(k)
+        assert set(np.flatnonzero(line_block.chosen_lines(sizes, inside))) == want
+
+
+@pytest.mark.parametrize("page", ["<a " * 60_000, "<b>" * 60_000 + "</i>" * 60_000, '<a ">" ' * 40_000, "<head>" * 40_000, "<textarea>" * 40_000, "<p " + "x" * 200_000 + ">y", "<div>" * 50_000])
+def test_main_text_takes_linear_time(page):
+    began = time.time()
+    main_text(page)
+    assert time.time() - began < 3
+
+
+def test_extracted_pages(spark):
+    long = "<article>" + "".join(f"<p>{'word ' * 200}{k}</p>" for k in range(3000)) + "</article>"
+    rows = [(1, "u", "<p>a</p>", "x"), (1, "u", "<p>a</p>", "x"), (None, None, None, None), (2, "v", "", "y"), (3, "w", long, "z")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = sorted(((r["page_id"] or 0, r["url"], r["text"], r["n_chars"]) for r in extract_main_text(pages).collect()), key=str)
+    want = "\n\n".join("word " * 200 + str(k) for k in range(3000))
+    assert got == [(0, None, "", 0), (1, "u", "a", 1), (1, "u", "a", 1), (2, "v", "", 0), (3, "w", want, len(want))]
+    assert extract_main_text(pages.limit(0)).count() == 0
+
+
 def test_mix(spark, odd):
     rng = random.Random(6)
     rows = [(k, " ".join("w" * rng.randint(1, 120)), None, ("a", "b", "c", None)[k % 4], 0, "") for k in range(800)]
