@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from quire.llm import jaccard_join, line_block, metric_join
+from quire.llm import jaccard_join, line_block, metric_join, pareto_mix
 from quire.llm.fixity import fixity_audit
 from quire.llm.jaccard_join import jaccard_classes, jaccard_dedup
 from quire.llm.line_block import extract_main_text, main_text
@@ -290,7 +290,44 @@ def test_mix(spark, odd):
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 60 and all(r["taken"] <= 2 * r["size"] for r in own)
     copies = mixed_documents(df)
     assert copies.columns == df.columns and copies.count() == sum(r["taken"] // max(r["size"], 1) for r in found.values())
-    assert mix_digest(odd).count() == 5 and mix_digest(odd.limit(0)).count() == 0
+    assert mix_digest(odd).count() == 5 and mix_digest(odd.limit(0)).count() == 0 and mixed_documents(odd.limit(0)).count() == 0
+
+
+def test_mix_probabilities(spark):
+    """Over many seeds: documents of one source are taken as often as their own expected copies, longer ones more often."""
+    sizes = [1, 3, 10, 40, 160, 640] * 6
+    df = spark.createDataFrame([(k, " ".join("w" * n), "ab"[k % 6 > 2]) for k, n in enumerate(sizes)], "doc_id long, text string, source string").cache()
+    runs, got = 8, {}
+    for seed in range(runs):
+        for r in mix_digest(df, seed=seed).collect():
+            got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["taken"] / max(r["size"], 1)
+    from quire.llm.pareto_mix import class_rates
+
+    narrow = spark.createDataFrame([("ab"[k % 6 > 2], int(2 * np.log2(n + 1)), n) for k, n in enumerate(sizes)], "source string, class int, size long")
+    rate = {(r["source"], r["class"]): r["rate"] for r in class_rates(narrow, (3, 1, 2), 1.5, 2.0, 0.25).collect()}
+    for k in range(6):  # six documents of each length
+        mean = sum(got[j] for j in range(k, 36, 6)) / (6 * runs)
+        assert abs(mean - rate["ab"[k > 2], int(2 * np.log2(sizes[k] + 1))]) < 0.25
+    assert len({round(x, 6) for (s, _), x in rate.items() if s == "b"}) > 1
+
+
+def test_mix_with_one_id_for_half_a_source(spark, monkeypatch):
+    """Rows of one doc_id, and of null, are dealt one by one; columns of any names pass."""
+    monkeypatch.setattr(pareto_mix, "GROUP", 40)
+    rows = [(7 if k < 500 else None if k < 700 else k, f"{k} " + "w " * (k % 2 + 29), "ab"[k % 10 == 9], "x", k, True, "y") for k in range(1000)]
+    schema = "doc_id int, text string, source string, target string, mix_size long, cut boolean, last string"
+    df = spark.createDataFrame(rows, schema)
+    found = mix_digest(df).collect()
+    assert len(found) == 1000
+    for target in {r["target"] for r in found}:
+        assert abs(sum(r["taken"] for r in found if r["target"] == target) - target) <= 16
+    mixed = mixed_documents(df)
+    assert mixed.columns == df.columns
+    got, own = {}, {r[4]: r for r in rows}
+    for r in mixed.collect():
+        assert tuple(r) == own[r["mix_size"]]
+        got[r["source"]] = got.get(r["source"], 0) + len(WORD.findall(r["text"]))
+    assert sum(got.values()) == sum(r["taken"] for r in found)
 
 
 def test_packing(spark, odd):
