@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def damaged_replica(pages: DataFrame) -> DataFrame:
-    """Pages as a second archive might hold them: every 97th with a changed letter at its end, every 211th empty."""
+    """Pages as a second archive might hold them: every 97th with a NUL after its end, every 211th empty."""
     html = F.when(F.col("page_id") % 97 == 13, F.concat(F.coalesce("html", F.lit("")), F.lit("\x00"))).when(F.col("page_id") % 211 == 7, F.lit("")).otherwise(F.col("html"))
     return pages.withColumn("html", html)
 

@@ -9,23 +9,27 @@ _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _RECORD = """concat('WARC/1.0', e'\\r\\n', 'WARC-Type: response', e'\\r\\n', 'WARC-Target-URI: ', coalesce(url, ''), e'\\r\\n',
     'Content-Type: text/html', e'\\r\\n', 'Content-Length: ', octet_length(encode({html})), e'\\r\\n\\r\\n', {html}, e'\\r\\n\\r\\n')"""
 
-_LEAVES = """SELECT page_id, page_id // 1024 AS file_no, record, octet_length(encode(record)) AS length, sha256(record) AS digest
-    FROM (SELECT page_id, {record} AS record FROM pages WHERE page_id IS NOT NULL)"""
+_LEAVES = """SELECT page_id, CAST(floor(page_id / 1024) AS BIGINT) AS file_no,
+    coalesce(((page_id % 1024) + 1024) % 1024, CAST('0x' || left(digest, 6) AS BIGINT) % 1024) AS record_no, digest, length, count(*) AS copies
+    FROM (SELECT page_id, octet_length(encode(record)) AS length, sha256(record) AS digest FROM (SELECT page_id, {record} AS record FROM pages)) GROUP BY ALL"""
 
 _DAMAGED = """CASE WHEN page_id % 97 = 13 THEN coalesce(html, '') || chr(0) WHEN page_id % 211 = 7 THEN '' ELSE coalesce(html, '') END"""
 
-_PLACED = """SELECT file_no, row_number() OVER w - 1 AS record_no, page_id, digest, length,
-    coalesce(sum(length) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM {leaves}
-    WINDOW w AS (PARTITION BY file_no ORDER BY page_id, digest)"""
+_PLACED = """SELECT *, coalesce(sum(length * copies) OVER (PARTITION BY file_no ORDER BY record_no, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
+    FROM {leaves}"""
 
 OP1 = f"""
 WITH mine AS ({_LEAVES.format(record=_RECORD.format(html="coalesce(html, '')"))}),
 theirs AS ({_LEAVES.format(record=_RECORD.format(html=_DAMAGED))}),
-m AS ({_PLACED.format(leaves="mine")}), t AS ({_PLACED.format(leaves="theirs")})
-SELECT CAST(file_no AS BIGINT) AS file_no, CAST(record_no AS BIGINT) AS record_no, coalesce(m.page_id, t.page_id) AS page_id,
-    CAST(coalesce(m.place, t.place) AS BIGINT) AS "offset", CAST(coalesce(m.length, t.length) AS BIGINT) AS length,
-    m.digest AS digest, t.digest AS other_digest
-FROM m FULL JOIN t USING (file_no, record_no) WHERE m.digest IS DISTINCT FROM t.digest
+m AS ({_PLACED.format(leaves="mine")}), t AS ({_PLACED.format(leaves="theirs")}),
+d AS (SELECT coalesce(m.file_no, t.file_no) AS file_no, coalesce(m.record_no, t.record_no) AS record_no, coalesce(m.page_id, t.page_id) AS page_id,
+    coalesce(m.place, t.place) AS place, coalesce(m.length, t.length) AS length, coalesce(m.digest, t.digest) AS digest, coalesce(m.copies, 0) - coalesce(t.copies, 0) AS surplus
+    FROM m FULL JOIN t ON m.page_id IS NOT DISTINCT FROM t.page_id AND m.digest = t.digest WHERE coalesce(m.copies, 0) <> coalesce(t.copies, 0)),
+c AS (SELECT *, page_id IS NOT NULL AND sum(greatest(surplus, 0)) OVER w = 1 AND sum(greatest(-surplus, 0)) OVER w = 1 AS changed,
+    max(CASE WHEN surplus < 0 THEN digest END) OVER w AS new FROM d WINDOW w AS (PARTITION BY page_id))
+SELECT file_no, CAST(record_no AS BIGINT) AS record_no, page_id, CAST(place AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length,
+    CASE WHEN surplus > 0 THEN digest END AS digest, CASE WHEN changed THEN new WHEN surplus < 0 THEN digest END AS other_digest, CAST(abs(surplus) AS BIGINT) AS copies
+FROM c WHERE surplus > 0 OR NOT changed
 """
 
 OP2 = f"""

@@ -358,12 +358,31 @@ def test_packing(spark, odd):
 
 
 def test_fixity(spark):
-    rows = [(k, f"http://x/{k}", "<p>é" * (k % 7)) for k in range(300)] + [(None, "u", "h")]
+    rows = [(k, f"http://x/{k}", "<p>é" * (k % 7)) for k in range(-70, 300)] + [(None, "u", "h")]
     damaged = [(k, u, h + "!" if k in (5, 170) else h) for k, u, h in rows if k != 299] + [(900, "new", None)]
     schema = "page_id long, url string, html string"
     one, other = spark.createDataFrame(rows, schema), spark.createDataFrame(damaged, schema)
     assert sorted(r["page_id"] for r in fixity_audit(one, other, 64, 4).collect()) == [5, 170, 299, 900]
     assert fixity_audit(one, one, 64, 4).count() == 0 and fixity_audit(one.limit(0), one.limit(0)).count() == 0
+    assert fixity_audit(one, one.limit(0), 64, 4).count() == 371
+
+
+def test_fixity_of_one_loss(spark):
+    """A record lost in the middle of a file is one row, also among records of one page_id and without one."""
+    rows = [(k, "u", "x" * k) for k in range(256)] + [(9, "u", f"again {k}") for k in range(300)] + [(9, "u", "same")] * 50 + [(None, "u", f"null {k}") for k in range(90)]
+    schema = "page_id long, url string, html string"
+    gone = [rows[5], rows[300], rows[560], rows[-40]]
+    left = list(rows)
+    for r in gone:
+        left.remove(r)
+    found = fixity_audit(spark.createDataFrame(rows, schema), spark.createDataFrame(left, schema), 256).collect()
+    assert sorted((r["page_id"] or -1, r["copies"], r["other_digest"]) for r in found) == [(-1, 1, None), (5, 1, None), (9, 1, None), (9, 1, None)]
+    record = lambda h: f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: u\r\nContent-Type: text/html\r\nContent-Length: {len(h)}\r\n\r\n{h}\r\n\r\n".encode()
+    assert {r["digest"] for r in found} == {hashlib.sha256(record(r[2])).hexdigest() for r in gone}
+    own = sorted((k, hashlib.sha256(record(h)).hexdigest(), len(record(h))) for k, _, h in rows if k is not None)
+    for r in found:
+        if r["page_id"] is not None:
+            assert r["offset"] == sum(n for k, x, n in own if (k, x) < (r["page_id"], r["digest"]))
 
 
 def test_fixity_damages_pages_without_html(spark):
