@@ -174,12 +174,60 @@ def test_language(spark, odd):
     assert tree.lengths(np.frombuffer(b"abra", np.uint8), np.array([0, 4]))[0, 0] < tree.lengths(np.frombuffer(b"zqxj", np.uint8), np.array([0, 4]))[0, 0]
 
 
+def plain_ppm(learned, text, order):
+    """The code length of a text, byte by byte, from counts in dictionaries."""
+    counts = {}
+    for t in learned:
+        t = bytes([10]) * order + t
+        for i in range(order, len(t)):
+            for k in range(order + 1):
+                counts.setdefault(t[i - k : i], {}).setdefault(t[i], 0)
+                counts[t[i - k : i]][t[i]] += 1
+    bits, t = 0.0, bytes([10]) * order + text
+    for i in range(order, len(t)):
+        for k in range(order, -2, -1):
+            if k < 0:
+                bits += 8
+            elif own := counts.get(t[i - k : i]):
+                total = sum(own.values()) + len(own)
+                if t[i] in own:
+                    bits -= np.log2(own[t[i]] / total)
+                    break
+                bits -= np.log2(len(own) / total)
+    return bits
+
+
+@pytest.mark.parametrize("order", [0, 1, 3])
+def test_code_lengths_against_plain_ppm(order):
+    rng = random.Random(order)
+    make = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(0, 60))).encode()
+    learned = {f"l{j}": [make(letters) for _ in range(12)] for j, letters in enumerate(("abc ", "bcde é", "xyz", "aaab", "жука ", "c"))}
+    texts = [make("abcdexyzé жу!") for _ in range(40)] + [b"", b"\n\n\n\n", bytes(range(256)), b"abc" * 4000]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    got = ContextTrees(learned, order).lengths(data, offsets)
+    want = np.array([[plain_ppm(learned[x], t, order) for x in sorted(learned)] for t in texts])
+    assert np.allclose(got, want, rtol=1e-5, atol=1e-3)
+
+
+def test_language_of_odd_tables(spark, odd):
+    """Ties go to the first name; result names may be chosen where columns have them; one document repeated is learned once."""
+    rows = [(k, "abab", x, None, 0, "") for k, x in enumerate(["b", "a"] * 20)] + [(1000, "abab " * 50, "b", None, 0, "")] * 300
+    df = spark.createDataFrame(rows, DOCS).withColumnRenamed("anchors", "score")
+    trees = learn(df.where("doc_id < 1000"))
+    tied = ContextTrees({"b": [b"abab"], "a": [b"abab"]})
+    assert {(r["lang_pred"], r["score"]) for r in identify_language(df, tied).collect()} == {("a", 0.5)}
+    assert learn(df).languages == ["a", "b"] and learn(df.limit(0)) is None and learn(odd.where("lang is null")) is None
+    named = identify_language(df, trees, keep=df.columns, names=("p", "q", "r"))
+    assert named.columns == [*df.columns, "p", "q", "r"] and named.count() == 340
+    assert identify_language(df.limit(0), trees).count() == 0
+
+
 def test_language_of_long_texts_only(spark, monkeypatch):
     """A language whose labelled texts are all long is learned, also where one text has more than is learned from."""
     rows = [(k, "the cat and the dog " * 30, "en", "s", 0, "") for k in range(20)] + [(100 + k, "žluťoučký kůň úpěl " * (1200 + k), "cs", "s", 0, "") for k in range(8)]
     df = spark.createDataFrame(rows, DOCS)
     for most in (2_000_000, 5_000):
-        monkeypatch.setattr("quire.llm.ppm_language.LEARN_LONG", most, raising=False)
+        monkeypatch.setattr("quire.llm.ppm_language.LEARN_SUM", most)
         trees = learn(df)
         assert trees.languages == ["cs", "en"]
         assert all(r["lang"] == r["lang_pred"] for r in identify_language(df, trees, keep=["lang"]).collect())
