@@ -16,7 +16,7 @@ from quire.llm.jaccard_join import jaccard_dedup
 from quire.llm.packing import pack_documents
 from quire.llm.pareto_mix import mixed_documents
 from quire.llm.ppm_language import identify_language, learn
-from quire.llm.shared import Scratch
+from quire.llm.shared import Scratch, fresh
 from quire.llm.substring_dedup import substring_dedup
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -24,8 +24,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that have a language; only those named ``und`` (null text, or no letter) go."""
-    named = identify_language(docs, learn(docs), keep=docs.columns)
-    return named.where(F.col("lang_pred") != "und").select(*docs.columns)
+    names = tuple(fresh(docs.columns, "lang_pred", "score", "bits_per_byte"))
+    named = identify_language(docs, learn(docs), keep=docs.columns, names=names)
+    return named.where(F.col(names[0]) != "und").select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
