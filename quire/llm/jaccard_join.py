@@ -9,13 +9,16 @@ prefix entries and list positions that they replace.
    Equal digests are one class, for which its smallest doc_id stands; only classes meet.
 2. Near classes that share a least hash are compared with the smallest class that has it. What links becomes one
    cluster, so the pairs within a large group of near copies are never enumerated.
-3. Prefixes: shingles are ordered by a counting sketch of fixed size (rare first), whose errors cost time but no link.
-   By length, position and parity filters (all exact), lists keep pairs of different clusters only. A list longer than
-   ``LIST_BLOCK`` is dealt out as pairs of blocks.
+3. Prefixes: shingles are ordered by a counting sketch of fixed size (rare first), whose errors cost time but no link:
+   what counts is how far a counter is above the middle one, so that it tells common shingles however full it is. By
+   length, position and parity filters (all exact), lists keep pairs of different clusters only. A list longer than
+   ``LIST_BLOCK`` is split by set size (only sets of one class of sizes or of the next can link), and what is longer
+   still is dealt out as pairs of blocks; a cluster with many members in a list has blocks of its own, which never meet.
 4. Surviving pairs are verified on whole sets; components of all links follow.
 
 Defined results: null text or no words is an empty set, linked with nothing; fewer words than ``size`` are one shingle;
-a null doc_id is its own row with a null component; repeated rows are equal sets; an empty table gives no rows.
+a null doc_id is its own row with a null component; repeated rows are equal sets; texts of any length are one set; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,10 +31,9 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, blocks, components, grams, mix, spans_hash, word_hashes
+from .shared import Scratch, blocks, components, fresh, grams, mix, spans_hash, word_hashes
 
 #: Counters of the sketch; with its levels in a byte each, this is also the size of what is broadcast.
 SKETCH = 1 << 22
@@ -124,11 +126,12 @@ def _profiles(size: int):
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by part: one row with the summed counters of each part, as levels (half powers of two)."""
+    """Rows sorted by part: one row with the summed counters of each part, as levels (half powers of two above the middle one)."""
     part, total = None, None
 
     def out() -> pa.RecordBatch:
-        level = np.round(2 * np.log2(total.astype(np.float64) + 1)).astype(np.uint8)
+        above = np.maximum(total - int(np.median(total)), 0)
+        level = np.round(2 * np.log2(above + 1.0)).astype(np.uint8)
         return pa.record_batch([pa.array([part], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["part", "counts"])
 
     for batch in batches:
@@ -213,6 +216,46 @@ def _entries(size: int, percent: int, light: int, levels):
     return run
 
 
+#: A list, a class of sizes in it, and a pair of its blocks.
+_LIST = ("key", "light", "sizes", "lo", "hi")
+
+
+def _dealt(scratch: Scratch, listed: DataFrame, percent: int) -> DataFrame:
+    """Entries of lists (with members, cluster and parity) to where pairs of them are compared.
+
+    In a class of sizes, entries of the class below are guests, who don't meet each other there.
+    """
+    of = ["key", "light", "sizes"]
+    rest = ["doc_id", "n", "pos", "cluster", "parity"]
+    zero = F.lit(0)
+    short = listed.where(f"members <= {LIST_BLOCK}").select("key", "light", zero.alias("sizes"), zero.alias("lo"), zero.alias("hi"), *rest, zero.alias("block"), F.lit(False).alias("guest"))
+    own = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent * (1 + 1e-9))))).cast("int")
+    long = listed.where(f"members > {LIST_BLOCK}").withColumn("guest", F.explode(F.array(F.lit(False), F.lit(True))))
+    long = long.withColumn("sizes", own + F.col("guest").cast("int"))
+    held = long.groupBy(*of, "cluster").agg(F.count("*").alias("held"), F.count_if(~F.col("guest")).alias("owners"))
+    big, parts = F.col("held") > LIST_BLOCK, lambda n: F.ceil(n / F.lit(LIST_BLOCK)).cast("int")
+    blocks = held.groupBy(*of).agg(
+        parts(F.coalesce(F.sum(F.when(~big, F.col("held"))), F.lit(0))).alias("small"),
+        F.array_sort(F.collect_list(F.when(big, F.struct(F.col("cluster").alias("c"), parts(F.col("held")).alias("parts"))))).alias("big"),
+        F.sum("owners").alias("owners"),
+    )
+    blocks = scratch.cut(blocks.where("owners > 0").drop("owners"), "blocks")
+    # All blocks of a list in a row: those of small clusters together, then those of each big one.
+    every = """flatten(concat(
+        array(transform(filter(sequence(0, small), i -> i < small), i -> named_struct('big', false, 'c', 0L, 'i', i))),
+        transform(big, b -> transform(sequence(0, b.parts - 1), i -> named_struct('big', true, 'c', b.c, 'i', i)))))"""
+    mine = "filter(big, b -> b.c = cluster)"
+    place = f"""if(size({mine}) > 0, named_struct('big', true, 'c', cluster, 'i', cast(pmod(xxhash64(doc_id), {mine}[0].parts) as int)),
+        named_struct('big', false, 'c', 0L, 'i', cast(pmod(xxhash64(doc_id), greatest(small, 1)) as int)))"""
+    dealt = (
+        long.join(blocks, of).withColumn("every", F.expr(every))
+        .withColumn("block", F.expr(f"cast(array_position(every, {place}) - 1 as int)"))
+        .withColumn("other", F.explode(F.expr("filter(sequence(0, size(every) - 1), j -> not every[j].big or every[j].c <> cluster)")))
+        .select(*of, F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), *rest, "block", "guest")
+    )
+    return short.unionByName(dealt)
+
+
 def _list_pairs(percent: int, light: int):
     """Rows sorted by list and block pair: the pairs of a list that pass all filters, once for each task."""
 
@@ -223,6 +266,8 @@ def _list_pairs(percent: int, light: int):
             j = order[at + 1 :]
             j = j[: np.searchsorted(n[j], 100 * n[i] // percent, side="right")]
             j = j[x["cluster"][j] != x["cluster"][i]]
+            if x["guest"][i]:
+                j = j[~x["guest"][j]]
             if cross:
                 j = j[x["block"][j] != x["block"][i]]
             if not len(j):
@@ -243,10 +288,10 @@ def _list_pairs(percent: int, light: int):
         rest: pa.Table | None = None
 
         def pairs(rows: pa.Table) -> list[tuple[int, int]]:
-            c = {name: rows.column(name).to_numpy() for name in ("key", "light", "lo", "hi", "doc_id", "n", "pos", "cluster", "block")}
+            c = {name: rows.column(name).to_numpy() for name in (*_LIST, "doc_id", "n", "pos", "cluster", "block", "guest")}
             c["n"], c["pos"] = c["n"].astype(np.int64), c["pos"].astype(np.int64)
             c["parity"] = np.asarray(rows.column("parity").combine_chunks().flatten()).view(np.uint64).reshape(len(rows), -1)
-            cut = np.flatnonzero((c["key"][1:] != c["key"][:-1]) | (c["light"][1:] != c["light"][:-1]) | (c["lo"][1:] != c["lo"][:-1]) | (c["hi"][1:] != c["hi"][:-1])) + 1
+            cut = np.flatnonzero(np.logical_or.reduce([c[k][1:] != c[k][:-1] for k in _LIST])) + 1
             out = []
             for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(rows)]):
                 if b - a > 1:
@@ -264,11 +309,11 @@ def _list_pairs(percent: int, light: int):
         for batch in batches:
             rows = pa.Table.from_batches([batch])
             rows = rows if rest is None else pa.concat_tables([rest, rows])
-            last = [rows.column(c)[len(rows) - 1].as_py() for c in ("key", "light", "lo", "hi")] if len(rows) else None
+            last = [rows.column(c)[len(rows) - 1].as_py() for c in _LIST] if len(rows) else None
             if last is None:
                 continue
             same = np.ones(len(rows), bool)
-            for c, v in zip(("key", "light", "lo", "hi"), last):
+            for c, v in zip(_LIST, last):
                 same &= rows.column(c).to_numpy() == v
             at = int(np.argmax(same))  # sorted, so the last list is a suffix
             rest = rows.slice(at).combine_chunks()
@@ -340,22 +385,12 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     links = verified(near, "near")
     clusters = scratch.cut(components(scratch, links, "clusters"), "near-clusters").withColumnRenamed("node", "doc_id")
 
-    entries = texts.mapInArrow(_entries(size, percent, light, shared), _ENTRY_DDL)
-    listed = entries.withColumn("members", F.count("*").over(Window.partitionBy("key", "light"))).where("members > 1")
-    listed = scratch.cut(listed, "listed")
-    blocks_of = F.ceil(F.col("members") / F.lit(LIST_BLOCK)).cast("int")
-    dealt = (
-        listed.join(sets.select("doc_id", "parity"), "doc_id").join(clusters, "doc_id", "left")
-        .withColumn("cluster", F.coalesce("component", "doc_id"))
-        .withColumn("of", blocks_of)
-        .withColumn("block", F.expr("cast(pmod(xxhash64(doc_id), of) as int)"))
-        .withColumn("other", F.explode(F.expr("sequence(0, of - 1)")))
-        .select("key", "light", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc_id", "n", "pos", "cluster", "block", "parity")
-    )
-    far = (
-        dealt.repartition("key", "light", "lo", "hi").sortWithinPartitions("key", "light", "lo", "hi")
-        .mapInArrow(_list_pairs(percent, light), "a long, b long")
-    )
+    entries = scratch.cut(texts.mapInArrow(_entries(size, percent, light, shared), _ENTRY_DDL), "entries")
+    shared_keys = entries.groupBy("key", "light").agg(F.count("*").alias("members")).where("members > 1")
+    listed = entries.join(shared_keys, ["key", "light"]).join(sets.select("doc_id", "parity"), "doc_id").join(clusters, "doc_id", "left")
+    listed = scratch.cut(listed.withColumn("cluster", F.coalesce("component", "doc_id")).drop("component"), "listed")
+    scratch.drop("entries")
+    far = _dealt(scratch, listed, percent).repartition(*_LIST).sortWithinPartitions(*_LIST).mapInArrow(_list_pairs(percent, light), "a long, b long")
     links = links.union(verified(far, "far"))
     joined = scratch.cut(components(scratch, links, "components"), "classes")
     named = profiles.select("doc_id", "n", "digest").join(firsts, "digest", "left").withColumn("first", F.when(F.col("n") > 0, F.coalesce("first", "doc_id")).otherwise(F.col("doc_id")))
@@ -365,7 +400,11 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 
 def jaccard_dedup(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without those that link, directly or not, with a document of smaller doc_id (or repeat its row)."""
-    classes = jaccard_classes(docs, size, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    """``docs`` without those that link, directly or not, with a document of smaller doc_id.
+
+    Rows of one doc_id go or stay together; those of null stay. Columns may have any names.
+    """
+    (gone_id,) = fresh(docs.columns, "gone_id")
+    classes = jaccard_classes(docs, size, percent).where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)).distinct()
     gone = Scratch(docs.sparkSession, "jaccard-dedup").cut(classes, "gone")
-    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone[gone_id], "left_anti")
