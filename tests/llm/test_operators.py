@@ -139,9 +139,12 @@ def test_toxicity_of_few_positives():
     assert model.weights[1] > 0 and model.weights[2] > 0
 
 
-@pytest.mark.parametrize("cell", [4096, 10])
+@pytest.mark.parametrize("cell", [1 << 20, 80])
 def test_metric_join(spark, cell, monkeypatch):
-    monkeypatch.setattr(metric_join, "CELL", cell)
+    monkeypatch.setattr(metric_join, "CELL_VALUES", cell)
+    if cell == 80:  # many cells, and labels that have none
+        monkeypatch.setattr(metric_join, "PIVOTED", 1)
+        monkeypatch.setattr(metric_join, "chosen_pivots", lambda sample, *_: metric_join.farthest_first(sample, 9))
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(6, 8))
     rows = []
@@ -154,8 +157,30 @@ def test_metric_join(spark, cell, monkeypatch):
     component = {k: k for k, _, _ in rows}
     for _ in range(len(rows)):
         component = {k: min([component[k], *(component[j] for j in near.get(k, ()))]) for k in component}
-    found = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = near_vectors(df)
     assert sorted(map(tuple, found.collect())) == sorted((k, len(near.get(k, ())), component[k], component[k] == k) for k in component)
+    assert near_vectors(df.limit(0)).count() == 0
+
+
+def test_metric_join_of_odd_rows(spark):
+    """Null vec_ids, rows that repeat, vectors of other lengths, string labels and columns of other names."""
+    rows = [(None, [1.0, 0.0], "a"), (3, [1.0, 0.0], "a"), (3, [1.0, 0.0], "a"), (4, [2.0, 0.0], "a"), (5, [1.0, 0.0, 0.0], "a"), (6, [1.0, 0.0], None), (7, [1.0, None], "a"), (8, [-1.0, 0.0], "a")]
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<float>, label string").selectExpr("*", "1 as first", "2 as component", "3 as h1")
+    got = sorted(((r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in near_vectors(df).collect()), key=str)
+    assert got == [(0, 0, None, True), (3, 2, 3, True), (3, 2, 3, True), (4, 2, 3, False), (5, 0, 5, True), (6, 0, 6, True), (7, 0, 7, True), (8, 0, 8, True)]
+
+
+def test_replication_reaches_every_neighbour():
+    """Each pair within the radius meets in the cell with the smaller number."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 6))
+    vectors = metric_join.unit(centres[rng.integers(0, 12, 600)] + rng.normal(size=(600, 6)) * rng.choice([0.01, 0.1, 1.0], (600, 1)))
+    radius = float(np.arccos(0.98))
+    for k in (2, 5, 16):
+        home, reach = metric_join.placed_in(vectors, metric_join.farthest_first(vectors, k), radius)
+        for i, j in zip(*np.nonzero(vectors @ vectors.T >= 0.98)):
+            assert home[i] == home[j] or reach[i, home[j]] or reach[j, home[i]]
 
 
 def test_language(spark, odd):
