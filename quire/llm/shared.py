@@ -1,11 +1,14 @@
 """What the corpus operators have in common: scratch tables, word hashes over Arrow batches, connected components.
 
-Scratch tables are Parquet folders under ``spark.checkpoint.dir`` (read from the session; ``/tmp/checkpoints`` only
-where it is unset, as in tests). They cut lineage: a lost executor costs the tasks that ran there, not the job.
+Scratch tables are Parquet folders under ``spark.checkpoint.dir`` (read from the session; where it is unset, in a temporary
+folder of a local master, as in tests, and an error on a cluster). They cut lineage: a lost executor costs the tasks that
+ran there, not the job. Tables that a result reads live as long as the session; its end deletes them.
 """
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -26,8 +29,16 @@ class Scratch:
     """Tables of one operator run, in a folder of their own that all executors share."""
 
     def __init__(self, spark: SparkSession, name: str):
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
+        base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not base:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            base = f"{tempfile.gettempdir()}/checkpoints"
         self.spark, self.root = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
 
     def cut(self, df: DataFrame, label: str) -> DataFrame:
         """Write ``df`` and read it back: computed once, and recovered from files instead of from its lineage."""
@@ -148,13 +159,15 @@ def grams(words: np.ndarray, k: int) -> np.ndarray:
 
 
 def hash_sample(rows: DataFrame, most: int) -> DataFrame:
-    """About ``most`` rows (all, if there are no more): those whose doc_id has the least hashes; equal doc_ids together.
+    """A row of each of ``most`` doc_ids (all, if there are no more): those with the least hashes.
 
-    Only hashes are ordered, and one is sent to the driver: the rows themselves are filtered where they are.
+    Only hashes are ordered, those of some more than ``most`` doc_ids, and one is sent to the driver.
     """
     mark = F.xxhash64(F.lit(5), F.col("doc_id"))
-    last = rows.select(mark.alias("h")).orderBy("h").limit(most).agg(F.max("h")).first()[0]
-    return rows.where(mark <= last) if last is not None else rows.where("false")
+    count = rows.agg(F.approx_count_distinct("doc_id")).first()[0]
+    low = rows if count <= 2 * most else rows.where(mark.cast("double") <= F.lit(-(2.0**63)) + F.lit(2.0**64 * 1.5 * most / count))
+    last = low.select(mark.alias("h")).distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    return rows.where(mark <= last).dropDuplicates(["doc_id"]) if last is not None else rows.where("false")
 
 
 def components(scratch: Scratch, edges: DataFrame, label: str) -> DataFrame:

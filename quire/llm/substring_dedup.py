@@ -3,34 +3,61 @@
 A word goes when ``min_words`` consecutive words around it also stand in a document with a smaller doc_id.
 
 The reference is the corpus itself, which has no size bound, so no automaton of all of it can be broadcast, and to
-stream every document past every shard would be quadratic. A shard is therefore one reference document, its automaton
-is sent (once for every 256 documents routed to it) to where these documents are streamed, and routes are found first:
+stream every document past every shard would be quadratic. A shard is therefore a reference document (a long one is
+several, of ``SHARD_WORDS`` words that overlap by a window), its automaton is sent (once for every 256 documents routed to
+it) to where these documents are streamed, and routes are found first:
 
 1. Copies with the same word sequence are one class; its smallest doc_id speaks for it.
 2. Of every window of ``min_words`` words, the least hashed ``ANCHOR``-word gram is its anchor. Equal windows have
    equal anchors, so windows whose anchor stands in one document only are settled.
-3. The remaining windows are hashed; for each, the smallest document that holds it is the reference.
+3. The remaining windows are hashed; for each, the smallest document that holds it is the reference, and its shard
+   there the one to stream past.
 4. Every document with such windows is streamed past the automata of its references. The matching statistics alone
    decide what goes: maximal spans of at least ``min_words`` words.
 
 Defined results: null text is no words; null doc_id is never a reference and loses nothing; repeated rows with one
-doc_id are no references of each other; an empty table gives no rows; columns of other names pass by.
+doc_id are no references of each other; texts of any length are handled in pieces of bounded size; an empty table gives
+no rows; columns of any other names pass by.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, blocks, grams, word_hashes
+from .shared import BLOCK_BYTES, Scratch, blocks, fresh, grams, word_hashes
 
 ANCHOR = 16
 DOCS_A_SHARD = 256
+#: Words of a reference in one automaton, which takes some hundred bytes a word.
+SHARD_WORDS = 50_000
+_BREAK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_pieces(raw: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, some at a time."""
+    at = 0
+    while at < len(raw):
+        cut = _BREAK.search(raw, at + BLOCK_BYTES) if len(raw) - at > BLOCK_BYTES else None
+        end = cut.start() if cut else len(raw)
+        yield raw[at:end].split()
+        at = end
+
+
+def words_digest(raw: bytes) -> bytes:
+    """SHA-256 of a text's words joined by one space."""
+    digest, some = hashlib.sha256(), False
+    for words in word_pieces(raw):
+        if words:
+            digest.update((b" " if some else b"") + b" ".join(words))
+            some = True
+    return digest.digest()
 
 
 class SuffixAutomaton:
@@ -65,7 +92,7 @@ class SuffixAutomaton:
                     link[q] = link[cur] = clone
             last = cur
 
-    def matches(self, items: list, least: int) -> list[tuple[int, int]]:
+    def matches(self, items: Iterable, least: int) -> list[tuple[int, int]]:
         """The maximal spans [start, end) of items covered by matches of at least ``least`` items, joined where they meet."""
         nxt, length, link = self.next, self.length, self.link
         state = run = 0
@@ -117,7 +144,7 @@ def _profiles(size: int):
                 new[1:] &= ~inside[:-1] | (low[1:] != low[:-1])
                 at = np.flatnonzero(new)
                 raw = data.tobytes()
-                digests = [hashlib.sha256(b" ".join(raw[a:b].split())).digest() for a, b in zip(offsets[:-1], offsets[1:])]
+                digests = [words_digest(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
                 cuts = np.searchsorted(at, before).astype(np.int32)
                 yield pa.record_batch(
                     [
@@ -133,8 +160,8 @@ def _profiles(size: int):
     return run
 
 
-def _windows(size: int):
-    """Of candidate documents: the windows whose anchors stand in other documents too."""
+def _windows(size: int, shard_words: int):
+    """Of candidate documents: the windows whose anchors stand in other documents too, and the shard that has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,30 +173,33 @@ def _windows(size: int):
                 at = np.flatnonzero(inside & np.isin(low, shared))
                 doc = np.repeat(np.arange(row, end), np.diff(before))[at] if len(at) else at
                 hashes = grams(words, size)[at]
+                shard = (at - before[doc - row]) // shard_words
                 order = np.lexsort((hashes, doc))  # a window that a document repeats counts once
-                doc, hashes = doc[order], hashes[order]
+                doc, hashes, shard = doc[order], hashes[order], shard[order]
                 once = np.append(True, (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])) if len(doc) else np.zeros(0, bool)
-                yield pa.record_batch([pa.array(hashes[once].view(np.int64)), ids.take(pa.array(doc[once]))], ["w", "doc_id"])
+                yield pa.record_batch([pa.array(hashes[once].view(np.int64)), ids.take(pa.array(doc[once])), pa.array(shard[once], pa.int32())], ["w", "doc_id", "shard"])
 
     return run
 
 
-def _streamed(size: int):
+def _streamed(size: int, shard_words: int):
     """Rows sorted by shard, the reference first: its automaton, then the spans that it covers of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, automaton = None, None
+        held, automaton = None, None
         for batch in batches:
             out: list[tuple[int, int, list[int], list[int]]] = []
-            ref, salt, mine, ids, keys = (batch.column(i).to_pylist() for i in range(5))
-            column = batch.column(5)
-            for row, _, data, offsets in blocks(column, 1):
-                words = word_hashes(data, offsets)[0].tolist()
+            ref, shard, salt, mine, ids, keys = (batch.column(i).to_pylist() for i in range(6))
+            for row, _, data, offsets in blocks(batch.column(6), 1):
+                words, place = word_hashes(data, offsets)[0], (ref[row], shard[row], salt[row])
                 if mine[row]:
-                    if shard != (ref[row], salt[row]):
-                        shard, automaton = (ref[row], salt[row]), SuffixAutomaton(words)
-                elif shard == (ref[row], salt[row]) and (spans := automaton.matches(words, size)):
-                    out.append((ids[row], keys[row], [a for a, _ in spans], [b for _, b in spans]))
+                    if held != place:
+                        start = shard[row] * shard_words
+                        held, automaton = place, SuffixAutomaton(words[start : start + shard_words + size - 1].tolist())
+                elif held == place:
+                    items = (x for k in range(0, len(words), shard_words) for x in words[k : k + shard_words].tolist())
+                    if spans := automaton.matches(items if len(words) > shard_words else words.tolist(), size):
+                        out.append((ids[row], keys[row], [a for a, _ in spans], [b for _, b in spans]))
             yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "key", "starts", "ends"), x)) for x in out], _SPANS)
 
     return run
@@ -184,13 +214,20 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, keys, texts, starts, ends = (c.to_pylist() for c in batch.columns)
         removed, kept = [], []
         for text, a, b in zip(texts, starts, ends):
-            words = (text or "").encode().split()
-            gone = np.zeros(len(words) + 1, np.int32)
-            np.add.at(gone, [x for part in a for x in part], 1)
-            np.add.at(gone, [x for part in b for x in part], -1)
-            gone = np.cumsum(gone[:-1]) > 0
-            removed.append(int(gone.sum()))
-            kept.append(b" ".join(w for w, g in zip(words, gone) if not g).decode())
+            lost, parts, at, open_ = 0, [], 0, 0
+            marks = sorted([(x, 1) for part in a for x in part] + [(x, -1) for part in b for x in part])
+            marks = np.array(marks, np.int64).reshape(-1, 2)
+            for words in word_pieces((text or "").encode()):
+                own = marks[(marks[:, 0] >= at) & (marks[:, 0] < at + len(words))]
+                gone = np.zeros(len(words) + 1, np.int64)
+                np.add.at(gone, own[:, 0] - at, own[:, 1])
+                gone = np.cumsum(gone[:-1]) + open_
+                at, open_ = at + len(words), open_ + int(own[:, 1].sum())
+                lost += int((gone > 0).sum())
+                if left := [w for w, g in zip(words, (gone > 0).tolist()) if not g]:
+                    parts.append(b" ".join(left))
+            removed.append(lost)
+            kept.append(b" ".join(parts).decode())
         yield pa.record_batch(
             [
                 pa.array(ids, pa.int64()),
@@ -209,7 +246,7 @@ def _same_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [
             i
             for i, (text, key) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
-            if _key(hashlib.sha256(b" ".join((text or "").encode().split())).digest()) == key
+            if _key(words_digest((text or "").encode())) == key
         ]
         yield batch.take(pa.array(rows, pa.int64()))
 
@@ -238,24 +275,25 @@ def repeats(docs: DataFrame, min_words: int = 50, scratch: Scratch | None = None
     found = scratch.cut(found.mapInArrow(_same_text, found.schema).dropDuplicates(["doc_id", "key"]), "found")
     scratch.drop("wanted")
 
-    windows = scratch.cut(found.select("doc_id", "text", "anchors").mapInArrow(_windows(min_words), "w long, doc_id long"), "windows")
-    held = windows.groupBy("w").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("last")).where("ref < last").select("w", "ref")
-    routes = windows.join(held, "w").where("doc_id > ref").select("doc_id", "ref").distinct()
+    windows = scratch.cut(found.select("doc_id", "text", "anchors").mapInArrow(_windows(min_words, SHARD_WORDS), "w long, doc_id long, shard int"), "windows")
+    held = windows.groupBy("w").agg(F.min(F.struct("doc_id", "shard")).alias("least"), F.max("doc_id").alias("last"))
+    held = held.where("least.doc_id < last").select("w", F.col("least.doc_id").alias("ref"), F.col("least.shard").alias("shard"))
+    routes = windows.drop("shard").join(held, "w").where("doc_id > ref").select("doc_id", "ref", "shard").distinct()
     routes = scratch.cut(routes, "routes")
     scratch.drop("windows")
-    shards = routes.groupBy("ref").agg(F.ceil(F.count("*") / F.lit(DOCS_A_SHARD)).alias("salts"))
+    shards = routes.groupBy("ref", "shard").agg(F.ceil(F.count("*") / F.lit(DOCS_A_SHARD)).alias("salts"))
     text = found.select("doc_id", "key", "text")
     references = (
         text.withColumnRenamed("doc_id", "ref").join(shards, "ref")
-        .select("ref", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("mine"), F.col("ref").alias("doc_id"), "key", "text")
+        .select("ref", "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("mine"), F.col("ref").alias("doc_id"), "key", "text")
     )
     streamed = (
-        text.join(routes.join(shards, "ref"), "doc_id")
-        .select("ref", F.expr("pmod(xxhash64(doc_id), salts)").alias("salt"), F.lit(False).alias("mine"), "doc_id", "key", "text")
+        text.join(routes.join(shards, ["ref", "shard"]), "doc_id")
+        .select("ref", "shard", F.expr("pmod(xxhash64(doc_id), salts)").alias("salt"), F.lit(False).alias("mine"), "doc_id", "key", "text")
     )
     spans = (
-        references.unionByName(streamed).repartition("ref", "salt").sortWithinPartitions("ref", "salt", F.desc("mine"))
-        .mapInArrow(_streamed(min_words), "doc_id long, key long, starts array<int>, ends array<int>")
+        references.unionByName(streamed).repartition("ref", "shard", "salt").sortWithinPartitions("ref", "shard", "salt", F.desc("mine"))
+        .mapInArrow(_streamed(min_words, SHARD_WORDS), "doc_id long, key long, starts array<int>, ends array<int>")
         .groupBy("doc_id", "key").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
     )
     kept = (
@@ -294,12 +332,12 @@ def substring_dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "substring-dedup")
     classes, kept = repeats(docs, min_words, scratch)
+    row, left = fresh(docs.columns, "changed_id", "kept")
     changed = (
         _with_verdicts(classes, kept.drop("kept_sha256"), min_words)
         .where("copy or n_removed > 0")
-        .select(F.col("doc_id").alias("_id"), F.when(F.col("copy"), F.lit("")).otherwise(F.col("kept")).alias("_kept"))
-        .distinct()
+        .select(F.col("doc_id").alias(row), F.when(F.col("copy"), F.lit("")).otherwise(F.col("kept")).alias(left))
     )
-    changed = scratch.cut(changed.groupBy("_id").agg(F.min("_kept").alias("_kept")), "changed")
-    joined = docs.join(changed, docs["doc_id"] == changed["_id"], "left")
-    return joined.select(*[F.coalesce("_kept", docs[c]).alias(c) if c == "text" else docs[c] for c in docs.columns])
+    changed = scratch.cut(changed.groupBy(row).agg(F.min(left).alias(left)), "changed")
+    joined = docs.join(changed, docs["doc_id"] == changed[row], "left")
+    return joined.select(*[F.coalesce(changed[left], docs[c]).alias(c) if c == "text" else docs[c] for c in docs.columns])

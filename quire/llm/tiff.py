@@ -1,10 +1,14 @@
 """TIFF media columns: a writer, and a reader that gives one row per page.
 
 The reader walks the chain of image directories of either byte order and decodes strips and tiles that are stored plain
-or compressed by PackBits, LZW or deflate, undoes horizontal differencing, and gives each page's samples. It is written
-from the public TIFF 6.0 specification. Damaged files give a row with ``error`` for the page that fails and end there.
-
-Defined results: a null or empty file has no pages; a directory that was walked before ends the chain.
+or compressed by PackBits, LZW or deflate, undoes horizontal differencing, and gives each page's samples: 1, 2, 4, 8 or 16
+bits, chunky or in planes. It is written from the public TIFF 6.0 specification. A page that can't be decoded is a row
+with ``error``, and the chain goes on; a chain that can't be followed ends in such a row.
+
+Defined results: a null or empty file has no pages; a directory that was walked before ends the chain; a page of more than
+``MOST_BYTES`` samples is an error row, so that no claim of a size takes a task's memory; null texts are empty; texts of
+any length are stored, in several pages; repeated rows are files each; null ids stay null; an empty table gives no rows;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ _FIELD = {1: (1, "B"), 3: (2, "H"), 4: (4, "I")}
 PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 _NAMES = {PLAIN: "none", LZW: "lzw", DEFLATE: "deflate", OLD_DEFLATE: "deflate", PACKBITS: "packbits"}
 
+#: Samples of a page, at most.
+MOST_BYTES = 1 << 30
 #: The query's pages: rows of this many samples, at most so many rows a page and a strip.
 ROW = 576
 PAGE_ROWS, STRIP_ROWS = 4096, 256
@@ -184,8 +190,8 @@ def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: i
     return bytes(out)
 
 
-def read_pages(file: bytes) -> Iterator[tuple[dict[int, list[int]], np.ndarray]]:
-    """The fields and the samples (rows x width x samples) of each page."""
+def read_pages(file: bytes, most: int = MOST_BYTES) -> Iterator[tuple[dict[int, list[int]], np.ndarray | str]]:
+    """The fields and the samples (rows x width x samples) of each page; a text in their place says why there are none."""
     order = {b"II": "<", b"MM": ">"}.get(file[:2])
     if order is None or struct.unpack_from(order + "H", file, 2)[0] != 42:
         raise ValueError("no TIFF header")
@@ -193,49 +199,76 @@ def read_pages(file: bytes) -> Iterator[tuple[dict[int, list[int]], np.ndarray]]
     while at and at not in walked:
         walked.add(at)
         (n,) = struct.unpack_from(order + "H", file, at)
+        (after,) = struct.unpack_from(order + "I", file, at + 2 + 12 * n)
         fields: dict[int, list[int]] = {}
-        for k in range(n):
-            tag, kind, count = struct.unpack_from(order + "HHI", file, at + 2 + 12 * k)
-            if kind in _FIELD:
-                size, code = _FIELD[kind]
-                where = at + 2 + 12 * k + 8
-                if size * count > 4:
-                    (where,) = struct.unpack_from(order + "I", file, where)
-                fields[tag] = list(struct.unpack_from(f"{order}{count}{code}", file, where))
-        yield fields, _samples(file, fields)
-        (at,) = struct.unpack_from(order + "I", file, at + 2 + 12 * n)
-
-
-def _samples(file: bytes, fields: dict[int, list[int]]) -> np.ndarray:
+        try:
+            for k in range(n):
+                tag, kind, count = struct.unpack_from(order + "HHI", file, at + 2 + 12 * k)
+                if kind in _FIELD:
+                    size, code = _FIELD[kind]
+                    where = at + 2 + 12 * k + 8
+                    if size * count > 4:
+                        (where,) = struct.unpack_from(order + "I", file, where)
+                    if where + size * count > len(file):
+                        raise ValueError("a field beyond the file")
+                    fields[tag] = list(struct.unpack_from(f"{order}{count}{code}", file, where))
+            page = _samples(file, fields, order, most)
+        except _DAMAGE as e:
+            page = f"{type(e).__name__}: {e}"[:200]
+        yield fields, page
+        at = after
+
+
+_DAMAGE = (ValueError, KeyError, IndexError, MemoryError, OverflowError, struct.error, zlib.error)
+
+
+def _samples(file: bytes, fields: dict[int, list[int]], order: str, most: int) -> np.ndarray:
     one = lambda tag, default: fields.get(tag, [default])[0]
     width, height, samples = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1)
-    compression, predictor = one(COMPRESSION, PLAIN), one(PREDICTOR, 1)
-    if any(b != 8 for b in fields.get(BITS, [1])) or one(PLANAR, 1) != 1 or compression not in _NAMES or predictor not in (1, 2):
-        raise ValueError("unsupported samples, layout or compression")
-    page = np.empty((height, width, samples), np.uint8)
+    compression, predictor, bits = one(COMPRESSION, PLAIN), one(PREDICTOR, 1), one(BITS, 1)
+    if any(b != bits for b in fields.get(BITS, [1])) or bits not in (1, 2, 4, 8, 16) or compression not in _NAMES or predictor not in (1, 2) or predictor == 2 and bits < 8:
+        raise ValueError("unsupported samples or compression")
+    planes, deep = (samples, 1) if one(PLANAR, 1) == 2 else (1, samples)
+    if width * height * samples * (bits // 16 + 1) > most:
+        raise ValueError("the page is too large")
     if TILE_OFFSETS in fields:
         th, tw = one(TILE_HEIGHT, 0), one(TILE_WIDTH, 0)
-        spots = [(y, x) for y in range(0, height, th) for x in range(0, width, tw)]
         offsets, counts = fields[TILE_OFFSETS], fields[TILE_COUNTS]
     else:
         th, tw = min(one(ROWS_PER_STRIP, height), height), width
-        spots = [(y, 0) for y in range(0, height, th)]
         offsets, counts = fields[STRIP_OFFSETS], fields[STRIP_COUNTS]
-    for (y, x), start, count in zip(spots, offsets, counts, strict=True):
+    if min(width, height, samples, th, tw) < 1 or th * tw * deep * 2 > most:
+        raise ValueError("no size, or too large a strip or tile")
+    across, down = -(-width // tw), -(-height // th)
+    if len(offsets) != planes * across * down or len(counts) != len(offsets):
+        raise ValueError("strips or tiles are missing")
+    kind = np.dtype(order + "u2") if bits == 16 else np.dtype(np.uint8)
+    page = None
+    for k, (start, count) in enumerate(zip(offsets, counts)):
+        plane, y, x = k // (across * down), k // across % down * th, k % across * tw
         rows = th if TILE_OFFSETS in fields else min(th, height - y)
-        size, raw = rows * tw * samples, file[start : start + count]
+        line = -(-tw * deep * bits // 8)
+        size, raw = rows * line, file[start : start + count]
         if compression in (DEFLATE, OLD_DEFLATE):
-            raw = zlib.decompress(raw)
+            raw = zlib.decompressobj().decompress(raw, size)
         elif compression == LZW:
             raw = lzw_decode(raw, size)
         elif compression == PACKBITS:
             raw = packbits_decode(raw, size)
         if len(raw) < size:
             raise ValueError("a strip or tile is too short")
-        block = np.frombuffer(raw, np.uint8, size).reshape(rows, tw, samples)
+        if bits < 8:
+            packed = np.unpackbits(np.frombuffer(raw, np.uint8, size).reshape(rows, line), axis=1)[:, : tw * deep * bits].reshape(rows, -1, bits)
+            block = (packed << np.arange(bits - 1, -1, -1, dtype=np.uint8)).sum(axis=2, dtype=np.uint8)
+        else:
+            block = np.frombuffer(raw, kind, rows * tw * deep)
+        block = block.reshape(rows, tw, deep)
         if predictor == 2:
-            block = np.cumsum(block, axis=1, dtype=np.uint8)
-        page[y : y + rows, x : x + tw] = block[: height - y, : width - x]
+            block = np.cumsum(block, axis=1, dtype=kind.newbyteorder("="))
+        if page is None:  # only once a strip holds what it claims
+            page = np.zeros((height, width, samples), kind.newbyteorder("="))
+        part = slice(plane, plane + 1) if planes > 1 else slice(None)
+        page[y : y + rows, x : x + tw, part] = block[: height - y, : width - x]
     return page
 
 
@@ -247,20 +280,26 @@ _PAGE = pa.schema(
 
 
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A batch for each page, so that one page's samples are held at once."""
     for batch in batches:
         for key, file in zip(batch.column(0).to_pylist(), batch.column(1)):
-            rows, file = [], file.as_py()
+            count, file = 0, file.as_py()
+            row = lambda *x: pa.RecordBatch.from_pylist([dict(zip(_PAGE.names, (key, count, *x)))], _PAGE)  # noqa: B023, E731
             try:
                 for fields, page in read_pages(file) if file else ():
-                    kind = _NAMES[fields.get(COMPRESSION, [PLAIN])[0]]
-                    rows.append((key, len(rows), page.shape[1], page.shape[0], page.shape[2], kind, fields.get(PREDICTOR, [1])[0], page.tobytes(), None))
-            except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
-                rows.append((key, len(rows), *[None] * 6, f"{type(e).__name__}: {e}"[:200]))
-            yield pa.RecordBatch.from_pylist([dict(zip(_PAGE.names, r)) for r in rows], _PAGE)
+                    if isinstance(page, str):
+                        yield row(*[None] * 6, page)
+                    else:
+                        kind = _NAMES[fields.get(COMPRESSION, [PLAIN])[0]]
+                        raw = page.astype(page.dtype.newbyteorder("<"), copy=False).tobytes()
+                        yield row(page.shape[1], page.shape[0], page.shape[2], kind, fields.get(PREDICTOR, [1])[0], raw, None)
+                    count += 1
+            except _DAMAGE as e:
+                yield row(*[None] * 6, f"{type(e).__name__}: {e}"[:200])
 
 
 def tiff_pages(files: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
-    """One row per page of the files in ``bytes_col``: the page's size, kind and decoded bytes."""
+    """One row per page of the files in ``bytes_col``: its size, kind and samples (a byte each; of 16 bits two, low first)."""
     return files.select(F.col(id_col).cast("long"), F.col(bytes_col)).mapInArrow(_pages, _PAGE_DDL)
 
 

@@ -12,8 +12,9 @@ their doc_id) of the rows that are not held out; this bounds the driver's memory
 among the labelled rows that are not held out. All rows are scored, on whole texts.
 
 Defined results: null and empty text score by the bias alone; null doc_ids are scored and never learned from; without
-positives to learn from, all scores are 0; repeated labels of a document count once, toxic if any says so; an empty
-table gives no rows.
+positives to learn from, all scores are 0; repeated labels of a document count once, toxic if any says so; of rows that
+share a doc_id, one is learned from and all are scored; texts of any length are scored in blocks; an empty table gives
+no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -142,7 +143,7 @@ def learn(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int =
         return [np.array(r["features"], np.int64) for r in sorted(found.collect())]
 
     toxic = hash_sample(marks.where("toxic = 1").select("doc_id"), POSITIVES)
-    positive = rows(texts.join(F.broadcast(toxic), "doc_id", "left_semi"))
+    positive = rows(texts.join(F.broadcast(toxic), "doc_id", "left_semi").dropDuplicates(["doc_id"]))  # at most POSITIVES
     unlabelled = rows(hash_sample(texts, UNLABELLED))
     return train(positive, unlabelled, known["toxic"] / known["n"]) if positive else None
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 import time
 import zlib
 
@@ -11,6 +12,7 @@ import public_tokenizers
 import pytest
 
 from quire.llm import jaccard_join, line_block, metric_join, pareto_mix
+from quire.llm import substring_dedup as substring_module
 from quire.llm.fixity import fixity_audit
 from quire.llm.jaccard_join import jaccard_classes, jaccard_dedup
 from quire.llm.line_block import extract_main_text, main_text
@@ -20,7 +22,7 @@ from quire.llm.pareto_mix import mix_digest, mixed_documents
 from quire.llm.ppm_language import ContextTrees, identify_language, learn
 from quire.llm.queries import damaged_replica
 from quire.llm.substring_dedup import SuffixAutomaton, substring_dedup, substring_dedup_digest
-from quire.llm.tiff import read_pages, text_media, tiff_pages, write_tiff
+from quire.llm.tiff import read_pages, text_media, text_tiff, tiff_pages, write_tiff
 from quire.llm.toxicity_pu import score_toxicity, train
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -80,6 +82,33 @@ def test_substring_dedup(spark, odd):
     assert substring_dedup(odd).columns == odd.columns and substring_dedup_digest(odd.limit(0)).count() == 0
 
 
+def test_substrings_of_long_references(spark, monkeypatch):
+    """Matches that cross the shards of a long reference, in several pieces of a long document; columns of any names."""
+    monkeypatch.setattr(substring_module, "SHARD_WORDS", 70)
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(500)}" for _ in range(3000)]
+    new = lambda n: [f"n{rng.randrange(10**6)}" for _ in range(n)]
+    rows = [(1, words), (2, new(30) + words[100:900] + new(10) + words[40:89] + new(3) + words[850:1000]), (5, words[2990:] + words[:2000]), (4, words[1500:1560])]
+    df = spark.createDataFrame([(k, " ".join(w), k, "x") for k, w in rows], "doc_id long, text string, _kept long, changed_id string")
+    first = {}
+    for key, w in sorted(rows):
+        for i in range(len(w) - 49):
+            first.setdefault(tuple(w[i : i + 50]), key)
+    want = {}
+    for key, w in rows:
+        gone = {i + j for i in range(len(w) - 49) if first[tuple(w[i : i + 50])] < key for j in range(50)}
+        want[key] = [x for i, x in enumerate(w) if i not in gone]
+    assert {r["doc_id"]: r["text"].split() for r in substring_dedup(df).collect()} == want
+    assert substring_dedup(df).columns == df.columns
+
+
+def test_words_in_pieces(monkeypatch):
+    monkeypatch.setattr(substring_module, "BLOCK_BYTES", 50)
+    raw = ("é a\tbb  ccc\n" * 40 + "x" * 300 + " end ").encode()
+    assert sum(substring_module.word_pieces(raw), []) == raw.split()
+    assert substring_module.words_digest(raw) == hashlib.sha256(b" ".join(raw.split())).digest() and substring_module.words_digest(b" ") == hashlib.sha256(b"").digest()
+
+
 @pytest.mark.parametrize("block", [512, 3])
 def test_jaccard_join(spark, odd, block, monkeypatch):
     monkeypatch.setattr(jaccard_join, "LIST_BLOCK", block)
@@ -114,14 +143,49 @@ def test_tiff(spark, odd):
                 for order in "<>":
                     back = [p for _, p in read_pages(write_tiff(pages, compression, predictor, 16, tile, order))]
                     assert all((a.reshape(b.shape) == b).all() for a, b in zip(pages, back, strict=True))
-    files = spark.createDataFrame([(1, write_tiff(pages)), (2, b"II*\0junk"), (3, None)], "id long, file binary")
-    assert sorted((r["file_id"], r["page"], r["error"] is None) for r in tiff_pages(files, "id", "file").collect()) == [(1, 0, True), (1, 1, True), (1, 2, True), (2, 0, False)]
+    huge = bytearray(write_tiff(pages[1:]))
+    at = huge.index(struct.pack("<HHII", 256, 4, 1, 33)) + 8
+    huge[at : at + 4], huge[at + 12 : at + 16] = struct.pack("<I", 4_000_000_000), struct.pack("<I", 2_000_000_000)
+    files = spark.createDataFrame([(1, write_tiff(pages)), (2, b"II*\0junk"), (3, None), (4, bytes(huge)), (1, b"")], "id long, file binary")
+    got = sorted((r["file_id"], r["page"], r["error"] is None) for r in tiff_pages(files, "id", "file").collect())
+    assert got == [(1, 0, True), (1, 1, True), (1, 2, True), (2, 0, False), (4, 0, False), (4, 1, True)]
+    assert tiff_pages(files.limit(0), "id", "file").count() == 0 and text_media(odd.limit(0)).count() == 0
+    long = "long é " * 400_000  # several pages
+    (r,) = text_media(spark.createDataFrame([(9, long)], "doc_id long, text string")).collect()
+    raw, file = long.encode(), text_tiff(long.encode())
+    padded = raw + b"\xff" * (-len(raw) % 576)
+    assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["pages"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), -(-len(padded) // (576 * 4096)))
+    assert (r["media_bytes"], r["media_sha256"]) == (len(file), hashlib.sha256(file).hexdigest())
+    assert r["feature"] == f"pages={r['pages']};rows={len(padded) // 576};mean={sum(padded) / len(padded):.6f};high={sum(b >= 128 for b in padded) / len(padded):.6f}"
     for r, text in zip(text_media(odd).collect(), [x[1] for x in ODD]):
         raw = (text or "").encode()
         padded = raw.ljust(576, b"\xff")
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), 576, hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-32:]))
 
 
+@pytest.mark.parametrize(("bits", "planes"), [(1, 1), (2, 1), (4, 2), (16, 1), (16, 3)])
+def test_tiff_depths(bits, planes):
+    """Pages of other depths and of planes, with strips put together by hand."""
+    rng = np.random.default_rng(bits)
+    want = rng.integers(0, 1 << bits, (5, 7, planes)).astype(np.uint16)
+    strips = []
+    for p in range(planes):
+        text = [format(int(v), f"0{bits}b") for v in want[:, :, p].ravel()]
+        lines = ["".join(text[k : k + 7]) for k in range(0, 35, 7)]
+        strips.append(b"".join(int(x.ljust(-len(x) % 8 + len(x), "0"), 2).to_bytes((len(x) + 7) // 8, "big") for x in lines))
+    data = b"MM\0*" + struct.pack(">I", 8 + sum(map(len, strips)))
+    offsets = [8 + sum(map(len, strips[:p])) for p in range(planes)]
+    entry = lambda tag, kind, values, at: struct.pack(">HHI", tag, kind, len(values)) + (struct.pack(">I", at) if len(values) > 1 else struct.pack(">H2x" if kind == 3 else ">I", values[0]))
+    start = len(data) + sum(map(len, strips)) + 2 + 12 * 9 + 4
+    fields = [(256, 3, [7]), (257, 3, [5]), (258, 4, [bits] * planes), (259, 3, [1]), (273, 4, offsets), (277, 3, [planes]), (278, 3, [5]), (279, 4, [len(x) for x in strips]), (284, 3, [2 if planes > 1 else 1])]
+    tail, out = b"", struct.pack(">H", 9)
+    for tag, kind, values in fields:
+        out += entry(tag, kind, values, start + len(tail))
+        tail += struct.pack(f">{len(values)}I", *values) if len(values) > 1 else b""
+    ((_, got),) = read_pages(data + b"".join(strips) + out + bytes(4) + tail)
+    assert (got == want).all()
+
+
 def test_toxicity(spark, odd):
     rng = np.random.default_rng(2)
     make = lambda toxic: np.unique(np.concatenate([rng.integers(100, 400, 40), rng.integers(0, 5, 2) if toxic else []]).astype(np.int64))
