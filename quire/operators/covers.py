@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import data_uri, escape_html
@@ -11,44 +11,57 @@ from ..functions.text import data_uri, escape_html
 LEAST_WIDTH, LEAST_HEIGHT = 300, 400
 GOOD_WIDTH, GOOD_HEIGHT = 625, 1000
 DRAWN_WIDTH, DRAWN_HEIGHT = 1600, 2560
+#: The look of a preview page: a column of text on paper, chapters told apart by a rule.
 PREVIEW_STYLE = (
-    "body{max-width:700px;margin:2rem auto;font-family:Georgia,serif;line-height:1.5;padding:0 1rem}img{max-width:100%;display:block;margin:1rem auto}"
-    "img.cover{max-height:80vh;box-shadow:0 2px 12px rgba(0,0,0,.3)}h2{border-top:1px solid #ccc;padding-top:1rem}"
+    "html{background:#e8e6e1}body{box-sizing:border-box;width:min(100%,44rem);min-height:100vh;margin:auto;padding:2.5rem 2rem;background:#fff;color:#222;font:1.05rem/1.6 serif}"
+    "h1,h2{line-height:1.2;font-weight:600}h2[id]{margin-top:3rem}hr{border:0;height:1px;background:#bbb}figure,img{width:auto;height:auto;max-width:100%}img.cover{height:60vh;border:1px solid #bbb}"
+    ".legenda{font-size:.85em;text-align:center}.direita{text-align:right}"
 )
 
 
-def cover_candidates(pages: DataFrame, events: DataFrame, images: DataFrame) -> DataFrame:
-    """The largest image (of equal ones the last) of each of the first two pages, with fits and sharp."""
-    opening = pages.withColumn("page_ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_num"))).where("page_ord <= 2")
-    shown = events.where("is_image = 1").select("doc_id", "page_num", "event_seq", "image_idx")
-    sized = shown.join(opening.select("doc_id", "page_num", "page_ord"), ["doc_id", "page_num"]).join(
-        images.select("doc_id", "image_idx", "filename", "mime", "width", "height"), ["doc_id", "image_idx"]
-    )
-    area = F.col("width").cast("long") * F.col("height").cast("long")
-    order = Window.partitionBy("doc_id", "page_ord").orderBy(area.desc(), F.col("event_seq").desc())
-    best = sized.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k", "event_seq")
-    return best.withColumns(
+def with_candidates(profile: DataFrame) -> DataFrame:
+    """``profile`` with candidates: of each of the first two pages the largest image (of equal ones the last)."""
+    known = "filter(shown, s -> s.page_num = p and names[s.image_idx] is not null)"
+    sized = f"transform({known}, s -> named_struct('area', cast(names[s.image_idx].width as long) * names[s.image_idx].height, 'y', s.y, 'at', s.arrival_seq, 'image_idx', s.image_idx))"
+    best = f"transform(opening, (p, k) -> named_struct('page_num', p, 'page_ord', k + 1, 'best', array_max({sized})))"
+    return profile.withColumn("candidates", F.expr(f"filter({best}, c -> c.best is not null)"))
+
+
+def cover_candidates(profile: DataFrame) -> DataFrame:
+    """The largest image of each of the first two pages, with fits and sharp."""
+    found = with_candidates(profile).select("doc_id", "names", F.explode("candidates").alias("c"))
+    named = found.select("doc_id", "c.page_num", "c.page_ord", F.col("c.best.image_idx").alias("image_idx"), F.element_at("names", F.col("c.best.image_idx")).alias("n"))
+    return named.select("doc_id", "page_num", "page_ord", "image_idx", "n.*").withColumns(
         {"fits": (F.col("width") >= LEAST_WIDTH) & (F.col("height") >= LEAST_HEIGHT), "sharp": (F.col("width") >= GOOD_WIDTH) & (F.col("height") >= GOOD_HEIGHT)}
     )
 
 
-def select_covers(docs: DataFrame, candidates: DataFrame, given: DataFrame | None = None) -> DataFrame:
-    """One row per document: source (given, detected or drawn), filename, mime, width, height, consumed_image.
+def with_cover(profile: DataFrame, given: DataFrame | None = None) -> DataFrame:
+    """``profile`` with cover: source (given, detected or drawn), filename, mime, width, height, consumed_image.
 
-    ``given`` has doc_id, mime, width and height of usable cover files.
+    ``given`` has doc_id, mime, width and height of usable cover files; at most one for each document.
     """
-    first = Window.partitionBy("doc_id").orderBy("page_ord")
-    extension = F.when(F.col("mime") == "image/jpeg", F.lit("cover.jpg")).otherwise(F.lit("cover.png"))
-    shape = ["doc_id", "priority", "source", "filename", "mime", "width", "height", "consumed_image"]
-    found = candidates.where("fits").withColumn("_k", F.row_number().over(first)).where("_k = 1")
-    found = found.select("doc_id", F.lit(2).alias("priority"), F.lit("detected").alias("source"), extension.alias("filename"), "mime", "width", "height", F.col("image_idx").alias("consumed_image"))
-    none = F.lit(None).cast("int").alias("consumed_image")
-    drawn = docs.select("doc_id", F.lit(3).alias("priority"), F.lit("drawn").alias("source"), F.lit("cover.jpg").alias("filename"), F.lit("image/jpeg").alias("mime"), F.lit(DRAWN_WIDTH).alias("width"), F.lit(DRAWN_HEIGHT).alias("height"), none)
-    every = found.select(*shape).unionByName(drawn.select(*shape))
+    size = f"names[c.best.image_idx].width >= {LEAST_WIDTH} and names[c.best.image_idx].height >= {LEAST_HEIGHT}"
+    out = with_candidates(profile).withColumn("_i", F.expr(f"get(filter(candidates, c -> {size}), 0).best.image_idx"))
+    image = F.element_at("names", F.col("_i"))
+
+    def cover(source: str, filename: Column, mime: Column, width: Column, height: Column, consumed: Column) -> Column:
+        parts = (F.lit(source).alias("source"), filename.alias("filename"), mime.alias("mime"), width.cast("int").alias("width"), height.cast("int").alias("height"), consumed.cast("int").alias("consumed_image"))
+        return F.struct(*parts)
+
+    name = lambda mime: F.when(mime == "image/jpeg", F.lit("cover.jpg")).otherwise(F.lit("cover.png"))
+    drawn = cover("drawn", F.lit("cover.svg"), F.lit("image/svg+xml"), F.lit(DRAWN_WIDTH), F.lit(DRAWN_HEIGHT), F.lit(None))
+    best = F.when(F.col("_i").isNotNull(), cover("detected", name(image["mime"]), image["mime"], image["width"], image["height"], F.col("_i"))).otherwise(drawn)
     if given is not None:
-        every = every.unionByName(given.select("doc_id", F.lit(1).alias("priority"), F.lit("given").alias("source"), extension.alias("filename"), "mime", "width", "height", none))
-    best = Window.partitionBy("doc_id").orderBy("priority")
-    return every.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k", "priority")
+        own = given.select("doc_id", *[F.col(c).alias(f"_{c}") for c in ("mime", "width", "height")])
+        out = out.join(own, "doc_id", "left")
+        best = F.when(F.col("_mime").isNotNull(), cover("given", name(F.col("_mime")), F.col("_mime"), F.col("_width"), F.col("_height"), F.lit(None))).otherwise(best)
+    return out.withColumn("cover", best).drop("_i", "_mime", "_width", "_height", "candidates")
+
+
+def select_covers(profile: DataFrame, given: DataFrame | None = None) -> DataFrame:
+    """One row per document: its cover."""
+    return with_cover(profile, given).select("doc_id", "cover.*")
 
 
 def resources(images: DataFrame, covers: DataFrame) -> DataFrame:

@@ -2,8 +2,12 @@
 
 Tables: ``docs`` (doc_id), ``events`` (doc_id, page_num, arrival_seq, y, is_image, text, font_size, x_start, image_idx),
 ``images`` (doc_id, image_idx, filename, mime, width, height, and bytes at sinks only). Reading order is explicit in
-``event_seq``. Every state that runs along a document is a lag or a running sum over windows by doc_id, so that one
-exchange by doc_id serves all of them.
+``event_seq``.
+
+Two exchanges by doc_id carry a document: its numbers (no text), from which one aggregate makes the ``profile`` with all
+that is known of the whole document (metrics, opening images, names of images), and its events. These meet by doc_id, and
+every later state is a lag or a running sum over windows by doc_id, every later aggregate has doc_id among its keys: text
+is sent once.
 """
 
 from __future__ import annotations
@@ -30,107 +34,146 @@ def ordered(events: DataFrame) -> DataFrame:
     return events.withColumn("event_seq", F.row_number().over(order))
 
 
+def all_events(lines: DataFrame, images: DataFrame) -> DataFrame:
+    return lines.unionByName(images, allowMissingColumns=True)
+
+
 def union_events(lines: DataFrame, images: DataFrame) -> DataFrame:
-    return ordered(lines.unionByName(images, allowMissingColumns=True))
+    return ordered(all_events(lines, images))
 
 
 def text_lines(events: DataFrame) -> DataFrame:
     return events.where("is_image = 0").withColumn("text", utrim(F.col("text"))).where("text <> ''")
 
 
-def nearest_rank(df: DataFrame, keys: list[str], value: str, q: float, name: str) -> DataFrame:
-    """The value at index round((n - 1) * q) of the sorted values of each group (half away from zero)."""
-    by = Window.partitionBy(*keys)
-    ranked = df.select(*keys, value, F.row_number().over(by.orderBy(value)).alias("_k"), F.count("*").over(by).alias("_n"))
-    return ranked.where(F.col("_k") == F.round((F.col("_n") - 1) * d(q)).cast("int") + 1).select(*keys, F.col(value).alias(name))
+def ranked(values: str, q: str) -> str:
+    """SQL of the value at index round((n - 1) * q) of a sorted array (half away from zero); null of an empty one."""
+    return f"if(size({values}) = 0, null, {values}[cast(round((size({values}) - 1) * {q}D) as int)])"
 
 
-def line_gaps(events: DataFrame) -> DataFrame:
-    """Positive distances between consecutive lines of a page."""
-    within = Window.partitionBy("doc_id", "page_num").orderBy("event_seq")
-    return text_lines(events).select("doc_id", "page_num", "event_seq", (F.col("y") - F.lag("y").over(within)).alias("gap")).where("gap > 0")
+def numbers(events: DataFrame) -> DataFrame:
+    """One row per document with events: its lines and shown images as arrays in reading order, and its first two pages."""
+    line = F.struct("page_num", "y", "arrival_seq", (utrim(F.col("text")) == "").alias("blank"), "font_size", "x_start")
+    shown = F.struct("page_num", "y", "arrival_seq", "image_idx")
+    slim = events.select("doc_id", "page_num", F.when(F.col("is_image") == 0, line).alias("line"), F.when(F.col("is_image") == 1, shown).alias("shown"))
+    return slim.groupBy("doc_id").agg(
+        F.array_sort(F.collect_list("line")).alias("lines"),
+        F.array_sort(F.collect_list("shown")).alias("shown"),
+        F.slice(F.array_sort(F.collect_set("page_num")), 1, 2).alias("opening"),
+    )
+
+
+def measured(arrays: DataFrame) -> DataFrame:
+    """Adds body_font, margin, gap (null without such lines) and chapter_font to ``numbers``."""
+    texts = arrays.withColumn("texts", F.expr("filter(lines, l -> not l.blank)"))
+    sorted_ = {
+        "_fonts": "sort_array(transform(texts, l -> l.font_size))",
+        "_margins": "sort_array(transform(texts, l -> l.x_start))",
+        "_all": "sort_array(transform(lines, l -> l.font_size))",
+        "_gaps": """sort_array(filter(transform(texts, (l, i) -> if(i > 0 and texts[i - 1].page_num = l.page_num, l.y - texts[i - 1].y, null)), g -> g > 0))""",
+    }
+    texts = texts.withColumns({k: F.expr(v) for k, v in sorted_.items()})
+    found = {
+        "body_font": f"greatest({ranked('_fonts', '0.5')}, {SMALLEST}D)",
+        "margin": ranked("_margins", "0.10"),
+        "gap": f"greatest({ranked('_gaps', '0.5')}, {SMALLEST}D)",
+        "chapter_font": "if(size(_all) = 0, null, _all[cast(floor(size(_all) / 2) as int)])",
+    }
+    return texts.withColumns({k: F.when(F.expr("size(_gaps) > 0") if k == "gap" else F.expr("size(_fonts) > 0 or size(_all) > 0"), F.expr(v)) for k, v in found.items()}).drop("texts", *sorted_)
+
+
+def profile(docs: DataFrame, events: DataFrame, images: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
+    """One row per document: baseline_font, left_margin, line_gap (1, 0 and 1 without lines), baseline (of chapters; 1
+    without lines), shown, opening, and names (of images, by image_idx).
+
+    ``pages`` (doc_id, page_num), where given, are the document's pages; else they are those that have events.
+    """
+    found = measured(numbers(events)).select("doc_id", "shown", "opening", "body_font", "margin", "gap", "chapter_font")
+    out = docs.select("doc_id").join(found, "doc_id", "left")
+    if pages is not None:
+        opening = pages.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_set("page_num")), 1, 2).alias("opening"))
+        out = out.drop("opening").join(opening, "doc_id", "left")
+    if images is not None:
+        entry = F.struct("image_idx", F.struct("filename", "mime", "width", "height"))
+        out = out.join(images.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(entry)).alias("names")), "doc_id", "left")
+    font = F.when(F.col("body_font") > 0, F.col("body_font")).otherwise(d(1))
+    return out.withColumns(
+        {"baseline_font": F.coalesce("body_font", d(1)), "left_margin": F.coalesce("margin", d(0)), "line_gap": F.coalesce("gap", font), "baseline": F.coalesce("chapter_font", d(1))}
+    ).drop("body_font", "margin", "gap", "chapter_font")
 
 
 def body_font(events: DataFrame) -> DataFrame:
-    out = nearest_rank(text_lines(events), ["doc_id"], "font_size", 0.5, "baseline_font")
-    return out.withColumn("baseline_font", F.greatest("baseline_font", d(SMALLEST)))
+    return measured(numbers(events)).where("body_font is not null").select("doc_id", F.col("body_font").alias("baseline_font"))
 
 
 def left_margin(events: DataFrame) -> DataFrame:
-    return nearest_rank(text_lines(events), ["doc_id"], "x_start", 0.10, "left_margin")
+    return measured(numbers(events)).where("margin is not null").select("doc_id", F.col("margin").alias("left_margin"))
 
 
 def line_gap(events: DataFrame) -> DataFrame:
-    out = nearest_rank(line_gaps(events), ["doc_id"], "gap", 0.5, "line_gap")
-    return out.withColumn("line_gap", F.greatest("line_gap", d(SMALLEST)))
+    return measured(numbers(events)).where("gap is not null").select("doc_id", F.col("gap").alias("line_gap"))
 
 
 def layout_metrics(docs: DataFrame, events: DataFrame) -> DataFrame:
-    """One row per document: baseline_font, left_margin, line_gap (1, 0 and 1 without lines)."""
-    out = docs.select("doc_id")
-    for part in (body_font(events), left_margin(events), line_gap(events)):
-        out = out.join(part, "doc_id", "left")
-    font = F.coalesce("baseline_font", d(1))
-    return out.select("doc_id", font.alias("baseline_font"), F.coalesce("left_margin", d(0)).alias("left_margin"), F.coalesce("line_gap", font).alias("line_gap"))
+    return profile(docs, events).select("doc_id", "baseline_font", "left_margin", "line_gap")
 
 
 def chapter_baseline(docs: DataFrame, events: DataFrame) -> DataFrame:
     """The upper median of the font sizes of all lines, blank ones too; 1 without lines."""
-    by = Window.partitionBy("doc_id")
-    lines = events.where("is_image = 0").select("doc_id", "font_size", F.row_number().over(by.orderBy("font_size")).alias("_k"), F.count("*").over(by).alias("_n"))
-    middle = lines.where(F.col("_k") - 1 == F.floor(F.col("_n") / 2)).select("doc_id", F.col("font_size").alias("font"))
-    return docs.select("doc_id").join(middle, "doc_id", "left").select("doc_id", F.coalesce("font", d(1)).alias("baseline"))
+    return profile(docs, events).select("doc_id", "baseline")
 
 
-def with_headings(docs: DataFrame, events: DataFrame) -> DataFrame:
-    """events with the chapter baseline and is_heading."""
+def with_headings(flow: DataFrame) -> DataFrame:
+    """``flow`` (events with their document's baseline) with is_heading."""
     text, base = utrim(F.col("text")), F.col("baseline")
     sized = (base > 0) & (F.col("font_size") >= base * d(CHAPTER_FONT)) & (F.char_length(text) < HEADING_CHARS)
     heading = (F.col("is_image") == 0) & has_words(text) & (is_chapter_line(text) | sized)
-    return events.join(chapter_baseline(docs, events), "doc_id").withColumn("is_heading", F.coalesce(heading, F.lit(False)))
+    return flow.withColumn("is_heading", F.coalesce(heading, F.lit(False)))
 
 
-def chapter_events(docs: DataFrame, events: DataFrame) -> DataFrame:
-    """events with is_heading and chapter_id: the number of heading runs so far."""
+def chapter_events(flow: DataFrame) -> DataFrame:
+    """``flow`` with is_heading and chapter_id: the number of heading runs so far."""
     order = Window.partitionBy("doc_id").orderBy("event_seq")
     starts = F.col("is_heading") & ~F.coalesce(F.lag("is_heading").over(order), F.lit(False))
-    marked = with_headings(docs, events).withColumn("starts", starts.cast("int"))
-    return marked.withColumn("chapter_id", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = with_headings(flow).withColumn("starts", starts.cast("int"))
+    return marked.withColumn("chapter_id", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("starts")
 
 
-def chapters(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """doc_id, chapter_id, chapter_ord, title, n_events: chapters with a body; the last one of documents that have none."""
-    found = marked.groupBy("doc_id", "chapter_id").agg(
-        F.expr("listagg(case when is_heading then regexp_replace(text, '(?U)^\\\\s+|\\\\s+$', '') end, ' ') within group (order by event_seq)").alias("title"),
-        F.count_if(~F.col("is_heading")).alias("n_events"),
-    )
-    all_of = docs.select("doc_id").join(found, "doc_id", "left")
+def _retained(found: DataFrame) -> DataFrame:
+    """Of all chapters (doc_id, chapter_id, title, n_events) those with a body; the last one of documents that have none."""
     by = Window.partitionBy("doc_id")
-    kept = all_of.withColumn("any", F.max(F.coalesce("n_events", F.lit(0))).over(by)).withColumn("last", F.max("chapter_id").over(by))
-    kept = kept.where("n_events > 0 or (any = 0 and chapter_id <=> last)")
-    return kept.select(
-        "doc_id",
-        F.coalesce("chapter_id", F.lit(0).cast("long")).alias("chapter_id"),
-        F.row_number().over(by.orderBy("chapter_id")).alias("chapter_ord"),
-        F.coalesce("title", F.lit(FIRST_CHAPTER)).alias("title"),
-        F.coalesce("n_events", F.lit(0).cast("long")).alias("n_events"),
-    )
+    kept = found.withColumn("any", F.max("n_events").over(by)).withColumn("last", F.max("chapter_id").over(by)).where("n_events > 0 or (any = 0 and chapter_id = last)")
+    number = F.row_number().over(by.orderBy("chapter_id"))
+    return kept.drop("any", "last").withColumns({"chapter_ord": number, "title": F.coalesce("title", F.lit(FIRST_CHAPTER))})
+
+
+_TITLE = "listagg(case when is_heading then regexp_replace(text, '(?U)^\\\\s+|\\\\s+$', '') end, ' ') within group (order by event_seq)"
+
+
+def chapters(marked: DataFrame) -> DataFrame:
+    """doc_id, chapter_id, chapter_ord, title, n_events: chapters with a body; the last one of documents that have none.
 
+    A document without events has one row in ``marked``, whose event_seq is null.
+    """
+    body = F.col("event_seq").isNotNull() & ~F.col("is_heading")
+    found = marked.groupBy("doc_id", "chapter_id").agg(F.expr(_TITLE).alias("title"), F.count_if(body).alias("n_events"))
+    return _retained(found).select("doc_id", "chapter_id", "chapter_ord", "title", "n_events")
 
-def body_events(marked: DataFrame, consumed: DataFrame | None = None) -> DataFrame:
-    """Events of chapter bodies, without the image that became the cover (``consumed``: doc_id, consumed_image)."""
-    body = marked.where("not is_heading")
-    if consumed is None:
-        return body
-    return body.join(consumed.select("doc_id", "consumed_image"), "doc_id", "left").where("not (is_image = 1 and image_idx <=> consumed_image)")
 
+def classified(marked: DataFrame) -> DataFrame:
+    """``marked`` with live, kind, indented, gapped, after_image and block_ord (from 1), chapter by chapter.
 
-def classified(body: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Non-blank lines and images of bodies with kind, indented, gapped and after_image, chapter by chapter."""
+    Live are non-blank lines and images of bodies, without the image that became the cover; other rows have no kind.
+    ``marked`` has the metrics of its document, and consumed_image.
+    """
     order = Window.partitionBy("doc_id", "chapter_id").orderBy("event_seq")
-    lines = body.withColumn("text", utrim(F.col("text"))).where("is_image = 1 or text <> ''").join(metrics, "doc_id")
-    after = F.coalesce(F.lag("is_image").over(order) == 1, F.lit(False))
-    lines = lines.withColumn("after_image", after).withColumn("previous_y", F.when(~F.col("after_image"), F.lag("y").over(order)))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    lines = marked.withColumn("text", utrim(F.col("text")))
+    cover = (F.col("is_image") == 1) & F.col("image_idx").eqNullSafe(F.col("consumed_image"))
+    live = ~F.col("is_heading") & ((F.col("is_image") == 1) | (F.col("text") != "")) & ~cover
+    lines = lines.withColumn("live", F.coalesce(live, F.lit(False)))
+    lines = lines.withColumn("_p", F.last(F.when(F.col("live"), F.struct("is_image", "y")), ignorenulls=True).over(before))
+    lines = lines.withColumn("after_image", F.coalesce(F.col("_p.is_image") == 1, F.lit(False)))
     chars, font, base = F.char_length("text"), F.col("font_size"), F.col("baseline_font")
     kind = (
         F.when(F.col("is_image") == 1, "image")
@@ -139,38 +182,62 @@ def classified(body: DataFrame, metrics: DataFrame) -> DataFrame:
         .when((F.col("x_start") > RIGHT_X) & (chars < RIGHT_CHARS), "right")
         .otherwise("paragraph")
     )
-    gap = F.col("y") - F.col("previous_y")
-    return (
-        lines.withColumn("kind", kind)
+    gap = F.col("y") - F.when(~F.col("after_image"), F.col("_p.y"))
+    lines = (
+        lines.withColumn("kind", F.when(F.col("live"), kind))
         .withColumn("indented", F.coalesce(F.col("x_start") > F.col("left_margin") + d(INDENT), F.lit(False)))
         .withColumn("gapped", F.coalesce((gap > 0) & (gap > F.col("line_gap") * d(PARAGRAPH_GAP)), F.lit(False)))
     )
+    previous = F.last("kind", ignorenulls=True).over(before)
+    starts = (
+        (F.col("kind") == "image") | F.col("after_image") | previous.isNull() | (F.col("kind") != previous) | ((F.col("kind") == "paragraph") & (F.col("indented") | F.col("gapped")))
+    )
+    marked = lines.withColumn("_s", F.when(F.col("live"), starts.cast("int")))
+    return marked.withColumn("block_ord", F.when(F.col("live"), F.sum("_s").over(order.rowsBetween(Window.unboundedPreceding, 0)))).drop("_p", "_s")
+
+
+def _grouped(kinds: DataFrame) -> DataFrame:
+    """Blocks by block_ord; rows that are not live are block 0, which has the chapter's title."""
+    filename = [F.max("filename").alias("filename")] if "filename" in kinds.columns else []
+    return kinds.withColumn("block_ord", F.coalesce("block_ord", F.lit(0).cast("long"))).groupBy("doc_id", "chapter_id", "block_ord").agg(
+        F.max("kind").alias("kind"),
+        F.expr("listagg(case when live then text end, ' ') within group (order by event_seq)").alias("text"),
+        F.max(F.when(F.col("live"), F.col("image_idx"))).alias("image_idx"),
+        F.expr(_TITLE).alias("title"),
+        F.count_if(F.col("event_seq").isNotNull() & ~F.col("is_heading")).alias("n_events"),
+        *filename,
+    )
 
 
 def blocks(kinds: DataFrame) -> DataFrame:
     """doc_id, chapter_id, block_ord, kind, text, image_idx."""
-    order = Window.partitionBy("doc_id", "chapter_id").orderBy("event_seq")
-    starts = (
-        (F.col("kind") == "image") | F.col("after_image") | F.lag("kind").over(order).isNull() | (F.col("kind") != F.lag("kind").over(order))
-        | ((F.col("kind") == "paragraph") & (F.col("indented") | F.col("gapped")))
-    )
-    marked = kinds.withColumn("starts", starts.cast("int")).withColumn("block_ord", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy("doc_id", "chapter_id", "block_ord").agg(
-        F.max("kind").alias("kind"), F.expr("listagg(text, ' ') within group (order by event_seq)").alias("text"), F.max("image_idx").alias("image_idx")
-    )
+    return _grouped(kinds.where("live")).select("doc_id", "chapter_id", "block_ord", "kind", "text", "image_idx")
 
 
-def rendered_blocks(found: DataFrame, images: DataFrame) -> DataFrame:
-    """blocks with html; images without an asset are dropped."""
-    names = images.select("doc_id", "image_idx", "filename")
-    html = block_html(F.col("kind"), F.col("text"), F.col("filename"))
-    return found.join(names, ["doc_id", "image_idx"], "left").withColumn("html", html).where("html is not null")
+def with_names(flow: DataFrame, value: str = "filename") -> DataFrame:
+    """``flow`` with the file name of each shown image, null if it has no asset."""
+    return flow.withColumn("filename", F.when(F.col("image_idx").isNotNull(), F.element_at("names", F.col("image_idx"))[value])).drop("names")
+
+
+def rendered_blocks(kinds: DataFrame) -> DataFrame:
+    """blocks with html; images without an asset are dropped. ``kinds`` has filename."""
+    found = _grouped(kinds.where("live"))
+    return found.withColumn("html", block_html(F.col("kind"), F.col("text"), F.col("filename"))).where("html is not null").drop("title", "n_events")
 
 
-def chapter_bodies(listed: DataFrame, html: DataFrame) -> DataFrame:
-    """Chapters with body, '' if nothing was rendered."""
-    joined = html.groupBy("doc_id", "chapter_id").agg(F.expr("listagg(html, '') within group (order by block_ord)").alias("body"))
-    return listed.join(joined, ["doc_id", "chapter_id"], "left").withColumn("body", F.coalesce("body", F.lit("")))
+def chapter_bodies(kinds: DataFrame, image_html: Column | None = None) -> DataFrame:
+    """Chapters (doc_id, chapter_id, chapter_ord, title, n_events) with body, '' if nothing was rendered.
+
+    ``image_html`` is the markup of an image by filename, where it is not that of a file beside the chapter.
+    """
+    html = block_html(F.col("kind"), F.col("text"), F.col("filename"))
+    if image_html is not None:
+        html = F.when(F.col("kind") == "image", image_html).otherwise(html)
+    parts = _grouped(kinds).withColumn("html", F.when(F.col("block_ord") > 0, html))
+    found = parts.groupBy("doc_id", "chapter_id").agg(
+        F.max("title").alias("title"), F.sum("n_events").alias("n_events"), F.coalesce(F.expr("listagg(html, '') within group (order by block_ord)"), F.lit("")).alias("body")
+    )
+    return _retained(found).select("doc_id", "chapter_id", "chapter_ord", "title", "n_events", "body")
 
 
 def chapter_documents(bodies: DataFrame) -> DataFrame:

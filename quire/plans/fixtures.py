@@ -109,8 +109,8 @@ CTES = {
     "best": """select *, width >= 300 and height >= 400 as fits, width >= 625 and height >= 1000 as sharp from (select doc_id, page_num, page_ord, image_idx, filename, mime, width, height,
   row_number() over (partition by doc_id, page_ord order by width::bigint * height desc, event_seq desc) k from events join (select *, row_number() over (partition by doc_id order by page_num) as page_ord from pages_) using (doc_id, page_num)
   join images using (doc_id, image_idx) where is_image = 1 and page_ord <= 2) where k = 1""",
-    "covers": """select doc_id, case when image_idx is null then 'drawn' else 'detected' end as source, case when image_idx is null or mime = 'image/jpeg' then 'cover.jpg' else 'cover.png' end as filename,
-  coalesce(mime, 'image/jpeg') as mime, coalesce(width, 1600) as width, coalesce(height, 2560) as height, image_idx as consumed_image
+    "covers": """select doc_id, case when image_idx is null then 'drawn' else 'detected' end as source, case when mime is null then 'cover.svg' when mime = 'image/jpeg' then 'cover.jpg' else 'cover.png' end as filename,
+  coalesce(mime, 'image/svg+xml') as mime, coalesce(width, 1600) as width, coalesce(height, 2560) as height, image_idx as consumed_image
   from docs left join (select *, row_number() over (partition by doc_id order by page_ord) r from best where fits) b using (doc_id) where r is null or r = 1""",
     "body": "select m.* from marked m join covers c using (doc_id) where not is_heading and not (is_image = 1 and image_idx is not distinct from consumed_image)",
     "kinds": r"""select *, case when is_image = 1 then 'image' when regexp_matches(t, '[\p{L}\p{N}]') and font_size >= baseline_font * 1.10::double and length(t) < 80 then 'heading'

@@ -28,29 +28,19 @@ class Flow:
         self.events = L.union_events(X.flow_lines(self.documents), X.flow_images(self.documents))
         self.images = X.image_assets(self.documents)
 
-    def metrics(self) -> DataFrame:
-        return L.layout_metrics(self.docs, self.events)
+    def profile(self) -> DataFrame:
+        """Of documents; events are ordered where their text goes, so here they need not be."""
+        return L.profile(self.docs, L.all_events(X.flow_lines(self.documents), X.flow_images(self.documents)), self.images.drop("bytes"))
 
-    def marked(self) -> DataFrame:
-        return L.chapter_events(self.docs, self.events)
+    def covered(self) -> DataFrame:
+        return C.with_cover(self.profile()).withColumn("consumed_image", F.col("cover.consumed_image")).drop("shown", "opening", "cover")
 
-    def candidates(self) -> DataFrame:
-        return C.cover_candidates(self.events.select("doc_id", "page_num").distinct(), self.events, self.images)
+    def headings(self) -> DataFrame:
+        """Events with their document's baseline; a row without an event for documents that have none."""
+        return L.profile(self.docs, L.all_events(X.flow_lines(self.documents), X.flow_images(self.documents))).select("doc_id", "baseline").join(self.events, "doc_id", "left")
 
-    def covers(self) -> DataFrame:
-        return C.select_covers(self.docs, self.candidates())
-
-    def kinds(self) -> DataFrame:
-        return L.classified(L.body_events(self.marked(), self.covers()), self.metrics())
-
-    def html(self) -> DataFrame:
-        return L.rendered_blocks(L.blocks(self.kinds()), self.images)
-
-    def bodies(self) -> DataFrame:
-        return L.chapter_bodies(L.chapters(self.docs, self.marked()), self.html())
-
-    def documents_out(self) -> DataFrame:
-        return L.chapter_documents(self.bodies())
+    def kinds(self, value: str = "filename") -> DataFrame:
+        return L.classified(L.chapter_events(L.with_names(self.covered().join(self.events, "doc_id", "left"), value)))
 
 
 def documents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,12 +120,10 @@ def _wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     flow = Flow(spark, sf_dir)
-    sources = C.image_uris(flow.images).select("doc_id", "image_idx", F.col("uri").alias("filename"))
-    html = L.blocks(flow.kinds()).join(sources, ["doc_id", "image_idx"], "left")
-    html = html.withColumn("html", F.coalesce(F.when(F.col("kind") == "image", T.image_tag(F.col("filename"))), T.block_html(F.col("kind"), F.col("text"), F.lit("")))).where("not (kind = 'image' and filename is null)")
-    chapters = L.chapter_documents(L.chapter_bodies(L.chapters(flow.docs, flow.marked()), html))
+    flow.images = C.image_uris(flow.images).withColumn("filename", F.col("uri"))
+    chapters = L.chapter_documents(L.chapter_bodies(flow.kinds(), T.image_tag(F.col("filename"))))
     meta = flow.docs.select("doc_id", F.concat(F.lit("Doc & "), F.col("doc_id").cast("string")).alias("title"), F.lit("A <B>").alias("author"))
-    uris = flow.covers().select("doc_id", F.concat(F.lit("cover:"), "filename").alias("cover_uri"))
+    uris = C.select_covers(Flow(spark, sf_dir).profile()).select("doc_id", F.concat(F.lit("cover:"), "filename").alias("cover_uri"))
     return C.preview_pages(chapters, meta, uris).select("doc_id", F.md5("html").alias("digest"), F.char_length("html").cast("long").alias("n_chars"))
 
 
@@ -148,22 +136,22 @@ def queries() -> dict[str, Query]:
         "q04_nearest_rank_font": flow(lambda x: L.body_font(x.events)),
         "q05_left_margin": flow(lambda x: L.left_margin(x.events)),
         "q06_line_gap": flow(lambda x: L.line_gap(x.events)),
-        "q07_layout_metrics": flow(lambda x: x.metrics()),
+        "q07_layout_metrics": flow(lambda x: L.layout_metrics(x.docs, x.events)),
         "q08_chapter_baseline": flow(lambda x: L.chapter_baseline(x.docs, x.events)),
-        "q09_heading_lines": flow(lambda x: L.with_headings(x.docs, x.events).where("is_heading").select("doc_id", "event_seq", T.utrim(F.col("text")).alias("text"))),
-        "q10_chapters": flow(lambda x: L.chapters(x.docs, x.marked())),
-        "q11_line_kinds": flow(lambda x: x.kinds().select("doc_id", "chapter_id", "event_seq", "kind")),
-        "q12_paragraph_breaks": flow(lambda x: x.kinds().select("doc_id", "event_seq", "indented", "gapped", "after_image")),
+        "q09_heading_lines": flow(lambda x: L.with_headings(x.headings()).where("is_heading").select("doc_id", "event_seq", T.utrim(F.col("text")).alias("text"))),
+        "q10_chapters": flow(lambda x: L.chapters(L.chapter_events(x.headings()))),
+        "q11_line_kinds": flow(lambda x: x.kinds().where("live").select("doc_id", "chapter_id", "event_seq", "kind")),
+        "q12_paragraph_breaks": flow(lambda x: x.kinds().where("live").select("doc_id", "event_seq", "indented", "gapped", "after_image")),
         "q13_blocks": flow(lambda x: L.blocks(x.kinds())),
         "q14_block_counts": flow(lambda x: L.blocks(x.kinds()).groupBy("kind").agg(F.count("*").alias("n"))),
         "q15_escape_html": lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.md5(T.escape_html(F.col("html"))).alias("digest")),
-        "q16_block_html": flow(lambda x: x.html().select("doc_id", "chapter_id", "block_ord", "html")),
-        "q17_chapter_body": flow(lambda x: x.bodies().select("doc_id", "chapter_ord", "title", "body")),
-        "q18_chapter_xhtml": flow(lambda x: x.documents_out().select("doc_id", "out_ord", "href", "title", "xhtml")),
-        "q19_cover_candidates": flow(lambda x: x.candidates()),
-        "q20_cover_selection": flow(lambda x: x.covers()),
-        "q21_cover_xhtml": flow(lambda x: x.covers().select("doc_id", T.cover_xhtml(F.col("filename"), F.col("width"), F.col("height")).alias("xhtml"))),
-        "q22_resources": flow(lambda x: C.resources(x.images.drop("bytes"), x.covers()).select("doc_id", "image_idx", "filename", "mime")),
+        "q16_block_html": flow(lambda x: L.rendered_blocks(x.kinds()).select("doc_id", "chapter_id", "block_ord", "html")),
+        "q17_chapter_body": flow(lambda x: L.chapter_bodies(x.kinds()).select("doc_id", "chapter_ord", "title", "body")),
+        "q18_chapter_xhtml": flow(lambda x: L.chapter_documents(L.chapter_bodies(x.kinds())).select("doc_id", "out_ord", "href", "title", "xhtml")),
+        "q19_cover_candidates": flow(lambda x: C.cover_candidates(x.profile())),
+        "q20_cover_selection": flow(lambda x: C.select_covers(x.profile())),
+        "q21_cover_xhtml": flow(lambda x: C.select_covers(x.profile()).select("doc_id", T.cover_xhtml(F.col("filename"), F.col("width"), F.col("height")).alias("xhtml"))),
+        "q22_resources": flow(lambda x: C.resources(x.images.drop("bytes"), C.select_covers(x.profile())).select("doc_id", "image_idx", "filename", "mime")),
         "q23_data_uri": flow(lambda x: C.image_uris(x.images).select("doc_id", "image_idx", "uri")),
         "q24_preview_html": _previews,
         "q25_glyph_lines": lambda spark, sf_dir: G.glyph_lines(X.word_glyphs(documents_of(spark, sf_dir))),
@@ -176,7 +164,7 @@ def queries() -> dict[str, Query]:
         "q30_unpack_bits": _unpacked,
         "q31_indexed_palette": _indexed,
         "q32_codec_dispatch": _codecs,
-        "q33_diagnostics": flow(lambda x: C.newest(C.diagnostics(x.marked(), x.candidates())).select("stage", "age", "doc_id", "page_num", "event_seq", "level", "message")),
+        "q33_diagnostics": flow(lambda x: C.newest(C.diagnostics(L.chapter_events(x.headings()), C.cover_candidates(x.profile()))).select("stage", "age", "doc_id", "page_num", "event_seq", "level", "message")),
         "q34_pdf_roundtrip": _roundtrip,
         "q35_word_wrap": _wrapped,
     }

@@ -52,9 +52,9 @@ def flow(spark, rows):
 
 def block_list(spark, rows, metrics=(15.0, 0.12, 19.5)):
     docs, events = flow(spark, rows)
-    body = events.withColumn("chapter_id", F.lit(0))
-    m = docs.select("doc_id", *[F.lit(v).alias(n) for n, v in zip(("baseline_font", "left_margin", "line_gap"), metrics)])
-    found = L.blocks(L.classified(body, m)).orderBy("block_ord").collect()
+    body = events.withColumns({"chapter_id": F.lit(0), "is_heading": F.lit(False), "consumed_image": F.lit(None).cast("int")})
+    body = body.withColumns({n: F.lit(v) for n, v in zip(("baseline_font", "left_margin", "line_gap"), metrics)})
+    found = L.blocks(L.classified(body)).orderBy("block_ord").collect()
     return [(r["kind"], r["text"] if r["kind"] != "image" else r["image_idx"]) for r in found]
 
 
@@ -80,7 +80,7 @@ def test_blocks(spark, rows, expected):
 
 def chapter_list(spark, rows):
     docs, events = flow(spark, rows)
-    return [(r["title"], r["n_events"]) for r in L.chapters(docs, L.chapter_events(docs, events)).orderBy("chapter_ord").collect()]
+    return [(r["title"], r["n_events"]) for r in L.chapters(L.chapter_events(L.profile(docs, events).join(events, "doc_id", "left"))).orderBy("chapter_ord").collect()]
 
 
 @pytest.mark.parametrize(
@@ -114,7 +114,7 @@ def test_covers(spark, sizes, expected):
     docs, events = flow(spark, [(p, k, k, 0, 0) for k, (p, _, _) in enumerate(sizes)])
     images = spark.createDataFrame([(1, k, f"i{k}.jpg", "image/jpeg", w, h) for k, (_, w, h) in enumerate(sizes)], "doc_id long, image_idx int, filename string, mime string, width int, height int")
     pages = spark.createDataFrame([(1, p) for p in range(1, 4)], "doc_id long, page_num int")
-    row = C.select_covers(docs, C.cover_candidates(pages, events, images)).first()
+    row = C.select_covers(L.profile(docs, events, images, pages)).first()
     assert (row["source"], row["consumed_image"], row["width"]) == expected
 
 
