@@ -46,6 +46,7 @@ def block_html(kind: Column, text: Column, filename: Column) -> Column:
     return out
 
 
+#: The markup of documents is fixed: a reader of either output finds the same.
 def xhtml_document(title: Column, body: Column) -> Column:
     title = escape_html(title)
     return F.concat(
@@ -68,13 +69,6 @@ def data_uri(mime: Column, data: Column) -> Column:
     return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.regexp_replace(F.base64(data), "[\r\n]", ""))
 
 
-def pdf_string(b: Column) -> Column:
-    """A PDF text string: UTF-16BE after its mark (an odd last byte is left out), else Latin-1."""
-    even = F.floor((F.octet_length(b) - 2) / 2).cast("int") * 2
-    utf16 = F.decode(F.substring(b, F.lit(3), even), "UTF-16BE")
-    return F.when(F.substring(b, F.lit(1), F.lit(2)) == F.unhex(F.lit("FEFF")), utf16).otherwise(F.decode(b, "ISO-8859-1"))
-
-
 def file_stem(path: Column) -> Column:
     """The last part of a path without its last extension; null if there is none."""
     name = F.regexp_extract(path, r"([^/]*)/*$", 1)
@@ -87,14 +81,3 @@ def file_title(path: Column) -> Column:
 
 def epub_name(path: Column) -> Column:
     return F.concat(F.coalesce(file_stem(path), F.lit(DEFAULT_NAME)), F.lit(".epub"))
-
-
-def image_error(filters: Column) -> Column:
-    """Why an image with these stream filters can't become an asset; null if it can."""
-    return F.when(F.array_contains(filters, "DCTDecode"), F.when(F.size(filters) > 1, F.lit("DCTDecode with other filters"))).when(
-        F.arrays_overlap(filters, F.array(*[F.lit(x) for x in ("JPXDecode", "CCITTFaxDecode", "JBIG2Decode")])), F.lit("unsupported codec")
-    )
-
-
-def image_filename(obj: Column, gen: Column, filters: Column) -> Column:
-    return F.format_string("img_%d_%d.%s", obj, gen, F.when(F.array_contains(filters, "DCTDecode"), F.lit("jpg")).otherwise(F.lit("png")))

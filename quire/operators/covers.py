@@ -92,6 +92,21 @@ def image_uris(images: DataFrame) -> DataFrame:
     return images.withColumn("uri", data_uri(F.col("mime"), F.col("bytes"))).drop("bytes")
 
 
+def inlined(documents: DataFrame, uris: DataFrame) -> DataFrame:
+    """``documents`` (doc_id, body) with data URIs in the place of paths of images (doc_id, image_idx, filename, uri)."""
+    own = uris.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("image_idx", "filename", "uri"))).alias("_uris"))
+    body = F.expr("aggregate(_uris, body, (b, u) -> replace(b, concat('images/', u.filename), u.uri))")
+    return documents.join(own, "doc_id", "left").withColumn("body", F.coalesce(body, F.col("body"))).drop("_uris")
+
+
+def parse_diagnostics(rows: DataFrame) -> DataFrame:
+    """What the parser found, and the counts of each page."""
+    counts = F.concat(F.col("k").cast("string"), F.lit(" lines"))
+    stage, zero = F.lit("parse").alias("stage"), F.lit(0).alias("event_seq")
+    found = rows.where("kind = 'diagnostic'").select("doc_id", stage, F.coalesce("page_num", F.lit(0)).alias("page_num"), zero, F.lit("warning").alias("level"), F.col("text").alias("message"))
+    return found.unionByName(rows.where("kind = 'page'").select("doc_id", stage, "page_num", zero, F.lit("info").alias("level"), counts.alias("message")))
+
+
 def diagnostics(marked: DataFrame, candidates: DataFrame) -> DataFrame:
     """What a reader should review: each heading found, covers that are too small or not sharp."""
     headings = marked.where("is_heading").select("doc_id", F.lit("chapters").alias("stage"), "page_num", "event_seq", F.lit("info").alias("level"), F.concat(F.lit("heading: "), "text").alias("message"))

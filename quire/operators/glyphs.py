@@ -14,11 +14,6 @@ from ..functions.text import utrim
 JUMP, STEP = 1.5, 0.5
 
 
-def effective_font(font_size: Column, a: Column, b: Column, c: Column, d: Column) -> Column:
-    """The size of a glyph of ``font_size`` under the matrix [a b c d]."""
-    return F.sqrt(F.abs((a * font_size + c * font_size) * (b * font_size + d * font_size)))
-
-
 def glyph_lines(glyphs: DataFrame) -> DataFrame:
     """Lines by page: doc_id, page_num, line_ord, text, y, font_size, x_start (a share of the page width)."""
     order = Window.partitionBy("doc_id", "page_num").orderBy("k")

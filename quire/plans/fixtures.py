@@ -128,17 +128,18 @@ CTES = {
 }
 
 
-def with_ctes(select: str) -> str:
-    """A DuckDB query over the expressions that it needs."""
+def with_ctes(select: str, others: dict[str, str] | None = None) -> str:
+    """A DuckDB query over the expressions that it needs, some of which may be ``others``."""
     import re
 
     needed: list[str] = []
+    ctes = CTES | (others or {})
 
     def visit(sql: str) -> None:
-        for name in CTES:
+        for name in ctes:
             if name not in needed and re.search(rf"(?:from|join)\s+\(?\s*{name}\b", sql):
-                visit(CTES[name])
+                visit(ctes[name])
                 needed.append(name)
 
     visit(select)
-    return (f"with {', '.join(f'{n} as ({CTES[n]})' for n in needed)} " if needed else "") + select
+    return (f"with {', '.join(f'{n} as ({ctes[n]})' for n in needed)} " if needed else "") + select

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
+import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,6 +18,7 @@ from ..operators import layout as L
 from ..sources import pdf, raster
 from ..functions.wrap import wrap_text
 from . import fixtures as X
+from .convert import convert, document_metadata
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,23 +51,30 @@ def documents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.record_batch([batch.column(0), pa.array([pdf.pdf_text(b) if b is not None else None for b in batch.column(1).to_pylist()], pa.string())], ["doc_id", "s"])
+
+
 def _pdf_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents_of(spark, sf_dir)
-    wide = F.col("text").rlike(r"[^\x00-ÿ]") | (F.col("doc_id") % 2 == 0)
-    odd = F.when(F.col("doc_id") % 3 == 0, F.unhex(F.lit("00"))).otherwise(F.lit(b""))
+    wide = F.col("text").rlike(r"[^\x00-ÿ]") | (F.char_length("text") % 2 == 0)
+    odd = F.when(F.char_length("text") % 3 == 0, F.unhex(F.lit("00"))).otherwise(F.lit(b""))
     raw = F.when(wide, F.concat(F.unhex(F.lit("FEFF")), F.encode("text", "UTF-16BE"), odd)).otherwise(F.encode("text", "ISO-8859-1"))
-    return docs.select("doc_id", T.pdf_string(raw).alias("s")).select("doc_id", F.md5("s").alias("digest"), F.char_length("s").cast("long").alias("n_chars"))
+    return docs.select("doc_id", raw.alias("raw")).mapInArrow(_decoded, "doc_id long, s string").select("doc_id", F.md5("s").alias("digest"), F.char_length("s").cast("long").alias("n_chars"))
 
 
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first bits of samples of 1, 2, 4 or 8 bits, in two rows, out of each line's bytes."""
     for batch in batches:
-        rows = [raster.unpack_bits(bytes((a, b)), w, 1)[0] for a, b, w in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))]
-        yield pa.record_batch([batch.column(0), pa.array(["".join(map(str, r)) for r in rows], pa.string())], ["doc_id", "bits"])
+        out = []
+        for i, line in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            out.append("".join(map(str, raster.unpack_bits(line.encode()[:24], 3 + len(line) % 9, 2, 1 << i % 4).ravel())))
+        yield pa.record_batch([*batch.columns[:2], pa.array(out, pa.string())], ["doc_id", "i", "bits"])
 
 
 def _unpacked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = documents_of(spark, sf_dir).selectExpr("doc_id", "cast(doc_id * 37 % 256 as int) as a", "cast(doc_id * 91 % 256 as int) as b", "cast(9 + doc_id % 8 as int) as w")
-    return rows.mapInArrow(_bits, "doc_id long, bits string")
+    return X.document_lines(documents_of(spark, sf_dir)).mapInArrow(_bits, "doc_id long, i int, bits string")
 
 
 def _palettes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,39 +84,96 @@ def _palettes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = F.element_at(F.array(*[F.lit(b) for b in ("DeviceGray", "DeviceRGB", "DeviceCMYK")]), (F.col("doc_id") % 3).cast("int") + 1)
+    base = F.element_at(F.array(*[F.lit(b) for b in ("DeviceGray", "DeviceRGB", "DeviceCMYK")]), (F.coalesce(F.char_length("text"), F.lit(0)) % 3).cast("int") + 1)
     out = documents_of(spark, sf_dir).select("doc_id", "text", base.alias("base")).mapInArrow(_palettes, "doc_id long, rgb string")
     return out.select("doc_id", F.md5("rgb").alias("digest"), (F.length("rgb") / 6).cast("long").alias("pixels"))
 
 
+def _inks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first four characters of each line as the inks of a pixel."""
+    for batch in batches:
+        raw = b"".join(bytes(ord(c) & 255 for c in line[:4]).ljust(4, b"\0") for line in batch.column(2).to_pylist())
+        rgb = raster.cmyk_to_rgb(raw)
+        yield pa.record_batch([*batch.columns[:2], *(pa.array(list(rgb[k::3]), pa.int32()) for k in range(3))], ["doc_id", "i", "r", "g", "b"])
+
+
 def _cmyk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ink = lambda k: f"(cast(1 as float) - cast(cast((doc_id * {k} + i * 7) % 256 as float) / cast(255 as float) as float))"
-    mixed = lambda k: f"cast(floor(cast(255 as float) * {ink(k)} * {ink(53)}) as int)"
-    return X.document_lines(documents_of(spark, sf_dir)).selectExpr("doc_id", "i", f"{mixed(31)} as r", f"{mixed(37)} as g", f"{mixed(41)} as b")
+    return X.document_lines(documents_of(spark, sf_dir)).mapInArrow(_inks, "doc_id long, i int, r int, g int, b int")
+
 
+_FILTERS = (["DCTDecode"], ["DCTDecode", "FlateDecode"], ["FlateDecode"], ["JPXDecode"], ["CCITTFaxDecode"], ["JBIG2Decode", "FlateDecode"], [], ["ASCII85Decode", "LZWDecode"])
 
-_FILTERS = ["array('DCTDecode')", "array('DCTDecode', 'FlateDecode')", "array('FlateDecode')", "array('JPXDecode')", "array('CCITTFaxDecode')", "array('JBIG2Decode', 'FlateDecode')", "cast(array() as array<string>)"]
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes = [len(t or "") for t in batch.column(1).to_pylist()]
+        errors = [pdf.image_error(_FILTERS[n % 8]) for n in sizes]
+        names = [None if e else pdf.image_filename(n % 100, n % 3, _FILTERS[n % 8]) for n, e in zip(sizes, errors)]
+        yield pa.record_batch([batch.column(0), pa.array(errors, pa.string()), pa.array(names, pa.string())], ["doc_id", "error", "filename"])
 
 
 def _codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = documents_of(spark, sf_dir).selectExpr("doc_id", f"element_at(array({', '.join(_FILTERS)}), cast(doc_id % 7 as int) + 1) as filters")
-    filters = F.col("filters")
-    return rows.select("doc_id", T.image_error(filters).alias("error"), F.when(T.image_error(filters).isNull(), T.image_filename((F.col("doc_id") % 100).cast("int"), F.lit(0), filters)).alias("filename"))
+    return documents_of(spark, sf_dir).mapInArrow(_named, "doc_id long, error string, filename string")
 
 
 def _as_pdf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        files = []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             lines = (text or "").split("\n")
             pages = [[(60.0 + 9 * (k % 3), 60.0 + 17 * k, 10.0, t) for k, t in enumerate(lines[a : a + 40])] for a in range(0, len(lines), 40)]
-            files.append(pdf.write_pdf(pages, f"Document {key}", "quire"))
-        yield pa.record_batch([batch.column(0), pa.array(files, pa.binary())], ["doc_id", "content"])
+            yield pa.record_batch([pa.array([key], pa.int64()), pa.array([pdf.write_pdf(pages, f"Document {key}", "quire")], pa.binary())], ["doc_id", "content"])
 
 
 def _roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = documents_of(spark, sf_dir).mapInArrow(_as_pdf, "doc_id long, content binary")
-    return G.glyph_lines(pdf.parsed_glyphs(pdf.parse_pdfs(files))).select("doc_id", "page_num", "line_ord", "text", F.round("y", 6).alias("y"), "font_size", F.round("x_start", 9).alias("x_start"))
+    return pdf.parse_pdfs(files).where("kind = 'line'").select("doc_id", "page_num", (F.col("k") + 1).alias("line_ord"), "text", F.round("y", 6).alias("y"), "font_size", F.round("x_start", 9).alias("x_start"))
+
+
+def _flow_pdf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The flow's lines as a PDF, at five times their distances: no two of them are one line."""
+    for batch in batches:
+        for key, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            pages: dict[int, list] = {}
+            for r in lines or []:
+                pages.setdefault(r["page_num"], []).append((600 * r["x_start"], 5 * r["y"], r["font_size"], r["text"]))
+            made = pdf.write_pdf([pages[n] for n in sorted(pages)], f"Doc & {key}", "A <B>", 600, 4500)
+            yield pa.record_batch([pa.array([key], pa.int64()), pa.array([f"/in/book_{key}.pdf"]), pa.array([made], pa.binary())], ["doc_id", "path", "content"])
+
+
+def _unzipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for key, path, content in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            book = zipfile.ZipFile(io.BytesIO(content))
+            for k, name in enumerate(sorted((n for n in book.namelist() if n.startswith("OEBPS/chap_")), key=lambda n: (len(n), n))):
+                rows.append((key, path, k + 1, name.removeprefix("OEBPS/"), hashlib.md5(book.read(name)).hexdigest()))
+        kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string())
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 5, kinds)], ["doc_id", "path", "out_ord", "href", "digest"])
+
+
+def flow_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = documents_of(spark, sf_dir)
+    line = F.struct("page_num", "arrival_seq", "y", "x_start", "font_size", "text")
+    lines = X.flow_lines(documents).groupBy("doc_id").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    return documents.select("doc_id").join(lines, "doc_id", "left").mapInArrow(_flow_pdf, "doc_id long, path string, content binary")
+
+
+def _converted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chapters of EPUB files, made of PDF files, read back."""
+    return convert(flow_files(spark, sf_dir)).epubs.mapInArrow(_unzipped, "doc_id long, path string, out_ord int, href string, digest string")
+
+
+def _titled_pdf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = [pdf.write_pdf([], (t or "").split("\n")[0] if len(t or "") % 3 else " \t", ["", " ", f" {s} "][len(t or "") % 3]) for t, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        yield pa.record_batch([*batch.columns[:2], pa.array(made, pa.binary())], ["doc_id", "path", "content"])
+
+
+def _metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    path = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("/in/vol."), F.col("doc_id").cast("string"), F.lit(".final.pdf"))).otherwise(F.lit("/in/livro.PDF"))
+    files = docs.select("doc_id", path.alias("path"), "text", F.coalesce("source", F.lit("x")).alias("source")).mapInArrow(_titled_pdf, "doc_id long, path string, content binary")
+    return document_metadata(files, pdf.parse_pdfs(files, metadata_only=True)).select("doc_id", "title", "author", "name")
 
 
 def _wraps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,8 +188,7 @@ def _wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     flow = Flow(spark, sf_dir)
-    flow.images = C.image_uris(flow.images).withColumn("filename", F.col("uri"))
-    chapters = L.chapter_documents(L.chapter_bodies(flow.kinds(), T.image_tag(F.col("filename"))))
+    chapters = C.inlined(L.chapter_documents(L.chapter_bodies(flow.kinds())), C.image_uris(flow.images))
     meta = flow.docs.select("doc_id", F.concat(F.lit("Doc & "), F.col("doc_id").cast("string")).alias("title"), F.lit("A <B>").alias("author"))
     uris = C.select_covers(Flow(spark, sf_dir).profile()).select("doc_id", F.concat(F.lit("cover:"), "filename").alias("cover_uri"))
     return C.preview_pages(chapters, meta, uris).select("doc_id", F.md5("html").alias("digest"), F.char_length("html").cast("long").alias("n_chars"))
@@ -156,7 +223,7 @@ def queries() -> dict[str, Query]:
         "q24_preview_html": _previews,
         "q25_glyph_lines": lambda spark, sf_dir: G.glyph_lines(X.word_glyphs(documents_of(spark, sf_dir))),
         "q26_image_position": lambda spark, sf_dir: X.document_lines(documents_of(spark, sf_dir)).select(
-            "doc_id", "i", G.image_y(F.lit(800.0), (F.col("doc_id") % 400 - 200).cast("double"), (F.col("i") * 7 % 800).cast("double")).alias("y")
+            "doc_id", "i", G.image_y(F.lit(800.0), (F.char_length("line") * 3 % 400 - 200).cast("double"), (F.char_length("line") * 7 % 800).cast("double")).alias("y")
         ),
         "q27_pdf_string_decode": _pdf_strings,
         "q28_output_names": lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", T.file_title(F.col("url")).alias("title"), T.epub_name(F.col("url")).alias("epub")),
@@ -167,6 +234,8 @@ def queries() -> dict[str, Query]:
         "q33_diagnostics": flow(lambda x: C.newest(C.diagnostics(L.chapter_events(x.headings()), C.cover_candidates(x.profile()))).select("stage", "age", "doc_id", "page_num", "event_seq", "level", "message")),
         "q34_pdf_roundtrip": _roundtrip,
         "q35_word_wrap": _wrapped,
+        "q36_convert": _converted,
+        "q37_metadata": _metadata,
     }
 
 
@@ -177,8 +246,15 @@ _STEM = r"nullif(regexp_replace(regexp_extract({}, '([^/]*)/*$', 1), '(.)\.[^.]*
 def oracle_sql() -> dict[str, str]:
     nl, e = "chr(10)", _ESCAPED.format
     head = f"""'<?xml version="1.0" encoding="UTF-8"?>' || {nl} || '<!DOCTYPE html>' || {nl} || '<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops">' || {nl}"""
-    ink = lambda k: f"(1::float - (((doc_id * {k} + i * 7) % 256)::float / 255::float)::float)"
-    mixed = lambda k: f"floor(255::float * {ink(k)} * {ink(53)})::int"
+    ink = lambda k: f"(1::float - ((case when length(line) >= {k} then unicode(substr(line, {k}, 1)) % 256 else 0 end)::float / 255::float)::float)"
+    mixed = lambda k: f"floor(255::float * {ink(k)} * {ink(4)})::int"
+    table = lambda k, v: f"(case when {k} * v + {v} < 200 then {k} * v + {v} else 0 end)"
+    pale = lambda j: f"floor(255::float * (1::float - ({table(4, j)}::float / 255::float)::float) * (1::float - ({table(4, 3)}::float / 255::float)::float))::int"
+    hexed = lambda *x: " || ".join(f"lpad(lower(hex({v})), 2, '0')" for v in x)
+    blank = r"regexp_replace(text, '^\s+|\s+$', '', 'g') <> ''"
+    only_lines = {"lines": f"select * from ({X.CTES['lines']}) where {blank}", "shown": f"select * from ({X.CTES['shown']}) where false"}
+    titled = r"case when length(coalesce(text, '')) % 3 > 0 then nullif(regexp_replace(string_split(text, chr(10))[1], '^\s+|\s+$', '', 'g'), '') end"
+    path = "case when doc_id % 2 = 0 then '/in/vol.' || doc_id::varchar || '.final' else '/in/livro' end"
     image = f"""'<img src="data:' || mime || ';base64,' || base64(encode(bytes)) || '" alt=""/>' || {nl}"""
     previews = X.with_ctes(
         f"""select doc_id, md5(html) as digest, length(html)::bigint as n_chars from (select c.doc_id,
@@ -231,13 +307,34 @@ def oracle_sql() -> dict[str, str]:
   l as (select *, sum(s) over (partition by doc_id, page_num order by k rows unbounded preceding) as line_id from b),
   a as (select doc_id, page_num, line_id, regexp_replace(string_agg(ch, '' order by k), '^\\s+|\\s+$', '', 'g') as text, arg_min(y, k) as y, max(fs) as font_size, least(greatest(min(x) / 600::double, 0::double), 1::double) as x_start from l group by all)
   select doc_id, page_num, row_number() over (partition by doc_id, page_num order by line_id)::int as line_ord, text, y, font_size, x_start from a where text <> ''""",
-        "q26_image_position": X.with_ctes("select doc_id, i, least(800::double - (i * 7 % 800)::double, 800::double - (doc_id % 400 - 200)::double - (i * 7 % 800)::double) as y from q"),
+        "q26_image_position": X.with_ctes("select doc_id, i, least(800::double - (length(line) * 7 % 800)::double, 800::double - (length(line) * 3 % 400 - 200)::double - (length(line) * 7 % 800)::double) as y from q"),
         "q27_pdf_string_decode": "select doc_id, md5(text) as digest, length(text)::bigint as n_chars from documents",
         "q28_output_names": f"select page_id, coalesce({_STEM.format('url')}, 'Documento') as title, coalesce({_STEM.format('url')}, 'livro') || '.epub' as epub from pages",
-        "q29_cmyk_rgb": X.with_ctes(f"select doc_id, i, {mixed(31)} as r, {mixed(37)} as g, {mixed(41)} as b from q"),
-        "q30_unpack_bits": "select doc_id, substr(lpad(bin(doc_id * 37 % 256), 8, '0') || lpad(bin(doc_id * 91 % 256), 8, '0'), 1, (9 + doc_id % 8)::int) as bits from documents",
-        "q32_codec_dispatch": """select doc_id, case doc_id % 7 when 1 then 'DCTDecode with other filters' when 3 then 'unsupported codec' when 4 then 'unsupported codec' when 5 then 'unsupported codec' end as error,
-  case when doc_id % 7 in (0, 2, 6) then 'img_' || (doc_id % 100)::varchar || '_0.' || case when doc_id % 7 = 0 then 'jpg' else 'png' end end as filename from documents""",
+        "q29_cmyk_rgb": X.with_ctes(f"select doc_id, i, {mixed(1)} as r, {mixed(2)} as g, {mixed(3)} as b from q"),
+        "q30_unpack_bits": X.with_ctes(
+            """select doc_id, i, array_to_string(list_transform(range(2 * w), lambda x: substr(b, ((x // w) * (((w * d + 7) // 8) * 8) + (x % w) * d + 1)::int, 1)), '') as bits from
+  (select doc_id, i, 3 + length(line) % 9 as w, [1, 2, 4, 8][i % 4 + 1] as d, rpad(left(array_to_string(list_transform(string_split(lower(hex(encode(line))), ''), lambda c: lpad(bin(instr('0123456789abcdef', c) - 1), 4, '0')), ''), 192), 400, '0') as b
+   from q where line <> '' union all select doc_id, i, 3, 1, repeat('0', 400) from q where line = '')"""
+        ),
+        "q31_indexed_palette": f"""with v as (select unnest(range(256)) as v), p as (select v, 0 as base, {hexed(table(1, 0), table(1, 0), table(1, 0))} as rgb from v
+  union all select v, 1, {hexed(table(3, 0), table(3, 1), table(3, 2))} from v union all select v, 2, {hexed(pale(0), pale(1), pale(2))} from v),
+  t as (select doc_id, length(coalesce(text, '')) % 3 as base, unnest(bytes) as h, generate_subscripts(bytes, 1) as pos from (select doc_id, text, regexp_extract_all(lower(hex(encode(text))), '..') as bytes from documents)),
+  j as (select doc_id, string_agg(rgb, '' order by pos) as rgb from t join p on t.base = p.base and v = (instr('0123456789abcdef', h[1]) - 1) * 16 + instr('0123456789abcdef', h[2]) - 1 group by doc_id)
+  select doc_id, md5(coalesce(rgb, '')) as digest, (length(coalesce(rgb, '')) // 6)::bigint as pixels from documents left join j using (doc_id)""",
+        "q32_codec_dispatch": """select doc_id, case n % 8 when 1 then 'DCTDecode with other filters' when 3 then 'unsupported codec' when 4 then 'unsupported codec' when 5 then 'unsupported codec' end as error,
+  case when n % 8 in (0, 2, 6, 7) then 'img_' || (n % 100)::varchar || '_' || (n % 3)::varchar || '.' || case when n % 8 = 0 then 'jpg' else 'png' end end as filename from (select doc_id, length(coalesce(text, '')) as n from documents)""",
+        "q34_pdf_roundtrip": X.with_ctes(
+            r"""select doc_id, (i // 40)::int + 1 as page_num, row_number() over (partition by doc_id, i // 40 order by i)::int as line_ord, t as text, 60::double + 17 * (i % 40) as y, 10::double as font_size,
+  round((60 + 9 * (i % 40 % 3)) / 600::double, 9) as x_start from (select *, regexp_replace(line, '^\s+|\s+$', '', 'g') as t from q) where t <> ''"""
+        ),
+        "q36_convert": X.with_ctes(
+            f"""select doc_id, 'book_' || doc_id::varchar || '.epub' as path, out_ord, 'chap_' || lpad(out_ord::varchar, greatest(2, length(out_ord::varchar))::int, '0') || '.xhtml' as href,
+  md5({head} || '<head><title>' || {e("title")} || '</title><meta charset="utf-8"/><link rel="stylesheet" type="text/css" href="stylesheet.css"/></head>' || {nl}
+  || '<body>' || {nl} || '<h1>' || {e("title")} || '</h1>' || {nl} || body || {nl} || '</body>' || {nl} || '</html>' || {nl}) as digest from kept""",
+            only_lines,
+        ),
+        "q37_metadata": f"""select doc_id, coalesce({titled}, {_STEM.format(path + " || '.pdf'")}) as title, case when length(coalesce(text, '')) % 3 = 2 then trim(coalesce(source, 'x')) else '' end as author,
+  case when doc_id % 2 = 1 and (select count(*) from documents where doc_id % 2 = 1) > 1 then doc_id::varchar || '-' else '' end || {_STEM.format(path + " || '.pdf'")} || '.epub' as name from documents""",
         "q33_diagnostics": X.with_ctes(
             """select * from (select stage, row_number() over (partition by stage order by doc_id desc, page_num desc, event_seq desc)::int as age, doc_id, page_num, event_seq, level, message from
   (select doc_id, 'chapters' as stage, page_num, event_seq, 'info' as level, 'heading: ' || text as message from marked where is_heading union all

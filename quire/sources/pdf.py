@@ -1,8 +1,11 @@
-"""PDF source: bytes to pages, glyphs, image events, image assets, metadata and diagnostics.
+"""PDF source: files to pages, lines of text, drawn images, image assets, metadata and diagnostics.
 
 Written from the public PDF specification. Objects are found by scanning for them, so that damaged cross-references do
-no harm; object streams are opened, streams are inflated with their predictors. ``parse_pdfs`` runs one document at a
-time in ``mapInArrow``: a document that fails gives a diagnostic row, never a failed job.
+no harm; object streams are opened, streams are decoded with their predictors. ``parse_pdfs`` runs one document at a time
+in ``mapInArrow``: what fails in a document gives a diagnostic row, never a failed job. Encrypted files are refused.
+
+Text is closed into lines where it is read, string by string: a line can only break where a shown string begins, so no
+glyph becomes a row. Page trees and forms may be of any depth; what refers to itself is cut there, with a diagnostic.
 """
 
 from __future__ import annotations
@@ -17,6 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.glyphs import JUMP, STEP, image_y
+from .filters import ascii85, ascii_hex, lzw, run_length
+from .fonts import Font
 from .raster import decode_raster, encode_png
 
 
@@ -195,45 +201,57 @@ class Document:
         return [str(self.get(x)) for x in found] if isinstance(found, list) else [str(found)] if found else []
 
     def content(self, stream: Stream) -> bytes:
-        """The stream without its filters; ValueError for those that are not lossless text or deflate."""
+        """The stream without its filters; ValueError for those of images that are no samples."""
         data, parms = stream.raw, self.get(stream.info.get("DecodeParms"))
         for k, kind in enumerate(self.filters(stream)):
             own = self.get(parms[k]) if isinstance(parms, list) and k < len(parms) else parms if isinstance(parms, dict) else None
+            one = lambda key, default: int(self.get(own.get(key, default))) if own else default  # noqa: B023, E731
             if kind in ("FlateDecode", "Fl"):
                 data = zlib.decompressobj().decompress(data)
-                if own:
-                    one = lambda key, default: int(self.get(own.get(key, default)))  # noqa: B023, E731
-                    data = unpredicted(data, one("Predictor", 1), one("Colors", 1), one("BitsPerComponent", 8), one("Columns", 1))
+            elif kind in ("LZWDecode", "LZW"):
+                data = lzw(data, one("EarlyChange", 1))
             elif kind in ("ASCIIHexDecode", "AHx"):
-                digits = re.sub(rb"[^0-9A-Fa-f]", b"", data.split(b">")[0])
-                data = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+                data = ascii_hex(data)
+            elif kind in ("ASCII85Decode", "A85"):
+                data = ascii85(data)
+            elif kind in ("RunLengthDecode", "RL"):
+                data = run_length(data)
             else:
                 raise ValueError(f"unsupported filter: {kind}")
+            if own and kind in ("FlateDecode", "Fl", "LZWDecode", "LZW"):
+                data = unpredicted(data, one("Predictor", 1), one("Colors", 1), one("BitsPerComponent", 8), one("Columns", 1))
         return data
 
-    def pages(self) -> list[dict]:
-        out: list[dict] = []
-
-        def walk(node, depth: int = 0) -> None:
-            node = self.get(node)
-            if not isinstance(node, dict) or depth > 64:
-                return
-            if isinstance(kids := self.get(node.get("Kids")), list):
-                for kid in kids:
-                    walk(kid, depth + 1)
-            else:
-                out.append(node)
-
-        walk((self.get(self.trailer["Root"]) or {}).get("Pages"))
-        return out
+    def pages(self) -> tuple[list[dict], list[str]]:
+        """Pages in order, and what was cut."""
+        out, cut, walked = [], [], set()
+        left = [(self.get(self.trailer["Root"]) or {}).get("Pages")]
+        while left:
+            ref = left.pop()
+            if isinstance(ref, Ref):
+                if ref in walked:
+                    cut.append(f"object {ref.obj} stands in the page tree again")
+                    continue
+                walked.add(ref)
+            node = self.get(ref)
+            if isinstance(node, dict):
+                if isinstance(kids := self.get(node.get("Kids")), list):
+                    left += reversed(kids)
+                else:
+                    out.append(node)
+        return out, cut
 
     def inherited(self, page: dict, key: str, kind: type):
         """The nearest value of a type on the way up from a page."""
-        node, depth = page, 0
-        while isinstance(node, dict) and depth < 64:
+        node, walked = page, set()
+        while isinstance(node, dict):
             if isinstance(found := self.get(node.get(key)), kind):
                 return found
-            node, depth = self.get(node.get("Parent")), depth + 1
+            up = node.get("Parent")
+            if not isinstance(up, Ref) or up in walked:
+                return None
+            walked.add(up)
+            node = self.get(up)
         return None
 
     def metadata(self) -> tuple[bytes | None, bytes | None]:
@@ -243,6 +261,22 @@ class Document:
         return one("Title"), one("Author")
 
 
+# What is white space at the ends of a text (the Unicode property of that name).
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def pdf_text(raw: bytes) -> str:
+    """A PDF text string: UTF-16BE after its mark (an odd last byte is left out, lone surrogates are U+FFFD), else Latin-1."""
+    if raw[:2] == b"\xfe\xff":
+        return raw[2 : len(raw) // 2 * 2].decode("utf-16-be", "replace")
+    return raw.decode("latin-1")
+
+
+def metadata_text(raw: bytes | None) -> str | None:
+    """Without white space at its ends; null if nothing is left."""
+    return (pdf_text(raw).strip(_WHITE) or None) if raw is not None else None
+
+
 def number(x) -> float:
     return float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else 0.0
 
@@ -257,63 +291,45 @@ def times(m: tuple, n: tuple) -> tuple:
 _UNIT = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 
 
-class Font:
-    """Codes of shown strings to text and advance (in ems)."""
-
-    def __init__(self, doc: Document, info: dict):
-        self.wide = info.get("Subtype") == "Type0"
-        self.map: dict[int, str] = {}
-        if isinstance(stream := doc.get(info.get("ToUnicode")), Stream):
-            self._to_unicode(doc.content(stream))
-        self.first, self.widths = int(number(doc.get(info.get("FirstChar")))), doc.get(info.get("Widths")) or []
-        self.doc = doc
-
-    def _to_unicode(self, data: bytes) -> None:
-        text = lambda x: x[1].decode("utf-16-be", "replace")
-        reader, stack = Reader(data), []
-        while True:
-            try:
-                x = reader.value()
-            except EOFError:
-                return
-            if x == b"endbfchar":
-                for k in range(0, len(stack) - 1, 2):
-                    self.map[int.from_bytes(stack[k][1], "big")] = text(stack[k + 1])
-            elif x == b"endbfrange":
-                for k in range(0, len(stack) - 2, 3):
-                    low, high = (int.from_bytes(stack[k + j][1], "big") for j in (0, 1))
-                    for code in range(low, min(high, low + 65535) + 1):
-                        if isinstance(stack[k + 2], list):
-                            if code - low < len(stack[k + 2]):
-                                self.map[code] = text(stack[k + 2][code - low])
-                        else:
-                            raw = stack[k + 2][1]
-                            self.map[code] = (raw[:-2] + ((int.from_bytes(raw[-2:], "big") + code - low) & 65535).to_bytes(2, "big")).decode("utf-16-be", "replace")
-            if isinstance(x, bytes):
-                stack.clear()
-            else:
-                stack.append(x)
-
-    def glyphs(self, shown: bytes) -> Iterator[tuple[str, float, bool]]:
-        size = 2 if self.wide else 1
-        for k in range(0, len(shown) - size + 1, size):
-            code = int.from_bytes(shown[k : k + size], "big")
-            default = "" if self.wide else bytes((code,)).decode("cp1252", "replace")
-            width = number(self.doc.get(self.widths[code - self.first])) / 1000 if 0 <= code - self.first < len(self.widths) else 0.0
-            yield self.map.get(code, default), width, code == 32 and size == 1
-
-
 @dataclass
 class Page:
     number: int
     width: float = 0.0
     height: float = 0.0
-    glyphs: list[tuple] = field(default_factory=list)
-    images: list[tuple] = field(default_factory=list)
-
-
-def walk_page(doc: Document, node: dict, page: Page, indices: dict[Ref, int]) -> None:
-    """Glyphs and drawn images of a page, in the order of its content."""
+    lines: list[tuple[float, float, float, str]] = field(default_factory=list)  # y, font size, x as a share of the width, text
+    images: list[tuple[float, float, int]] = field(default_factory=list)  # the last two numbers d and f of the matrix, image number
+    failed: list[str] = field(default_factory=list)
+
+
+class _Lines:
+    """Shown strings to lines of a page."""
+
+    def __init__(self, page: Page):
+        self.page, self.parts = page, []
+        self.y = self.font = 0.0
+        self.x = float("inf")
+        self.end: tuple[float, float] | None = None  # right end and y of the last glyph
+
+    def show(self, text: str, x: float, least: float, last: float, y: float, last_y: float, font: float) -> None:
+        """A string whose first glyph is at x, y; ``least`` is the smallest x of its glyphs, ``last`` its right end."""
+        if self.end is not None:
+            down = abs(y - self.end[1])
+            if down > JUMP * font or (x < self.end[0] and down > STEP * font):
+                self.close()
+        if not self.parts:
+            self.y = y
+        self.parts.append(text)
+        self.font, self.x, self.end = max(self.font, font), min(self.x, least), (last, last_y)
+
+    def close(self) -> None:
+        if text := "".join(self.parts).strip(_WHITE):
+            share = self.x / (self.page.width if self.page.width > 0 else 1.0)
+            self.page.lines.append((self.y, self.font if self.font > 0 else 1.0, min(max(share, 0.0), 1.0), text))
+        self.parts, self.font, self.x = [], 0.0, float("inf")
+
+
+def walk_page(doc: Document, node: dict, page: Page, indices: dict[Ref, int], fonts: dict) -> None:
+    """Lines and drawn images of a page, in the order of its content. Text that fails ends the text, not the images."""
     box = doc.inherited(node, "MediaBox", list)
     if box is None or len(box) < 4:
         raise ValueError("no media box")
@@ -322,31 +338,19 @@ def walk_page(doc: Document, node: dict, page: Page, indices: dict[Ref, int]) ->
     content = doc.get(node.get("Contents"))
     streams = [doc.get(c) for c in content] if isinstance(content, list) else [content]
     data = b"\n".join(doc.content(s) for s in streams if isinstance(s, Stream))
-    fonts: dict[int, Font] = {}
-
-    def run(data: bytes, resources: dict, ctm: tuple, depth: int) -> None:
-        saved, stack = [], []
-        tm = line = _UNIT
-        font: Font | None = None
-        size, spacing, word_spacing, scale, leading, rise = 0.0, 0.0, 0.0, 1.0, 0.0, 0.0
+    lines = _Lines(page)
 
-        def show(shown: bytes) -> None:
-            nonlocal tm
-            if font is None:
-                return
-            begins = True
-            for ch, width, blank in font.glyphs(shown):
-                a, b, c, d, e, f = times((scale, 0.0, 0.0, 1.0, 0.0, rise), times(tm, ctm))
-                fs = abs((a * size + c * size) * (b * size + d * size)) ** 0.5
-                page.glyphs.append((len(page.glyphs), e, page.height - f, width, fs, ch, begins))
-                begins = False
-                tm = times((1.0, 0.0, 0.0, 1.0, (width * size + spacing + (word_spacing if blank else 0.0)) * scale, 0.0), tm)
-
-        def move(x: float, y: float) -> None:
-            nonlocal tm, line
-            tm = line = times((1.0, 0.0, 0.0, 1.0, x, y), line)
+    def font_of(ref, info: dict) -> Font:
+        key = ref if isinstance(ref, Ref) else ("direct", id(info))
+        if key not in fonts:
+            fonts[key] = (Font(info, doc.get, doc.content, _values), info)  # with info, so that its id stays its own
+        return fonts[key][0]
 
+    def run(data: bytes, resources: dict, ctm: tuple, forms: tuple) -> None:
+        saved, stack = [], []
+        state = _Text(ctm)
         reader = Reader(data)
+        text_ends = False
         while True:
             try:
                 x = reader.value()
@@ -362,61 +366,132 @@ def walk_page(doc: Document, node: dict, page: Page, indices: dict[Ref, int]) ->
                 ctm = saved.pop() if saved else ctm
             elif x == b"cm" and len(args) == 6:
                 ctm = times(tuple(map(number, args)), ctm)
-            elif x == b"BT":
-                tm = line = _UNIT
-            elif x == b"Tf" and len(args) == 2:
-                info = doc.get((doc.get(resources.get("Font")) or {}).get(args[0]))
-                size = number(args[1])
-                if isinstance(info, dict):
-                    font = fonts.setdefault(id(info), Font(doc, info))
-            elif x in (b"Tc", b"Tw", b"TL", b"Ts", b"Tz") and args:
-                v = number(args[0])
-                if x == b"Tc":
-                    spacing = v
-                elif x == b"Tw":
-                    word_spacing = v
-                elif x == b"TL":
-                    leading = v
-                elif x == b"Ts":
-                    rise = v
-                else:
-                    scale = v / 100
-            elif x in (b"Td", b"TD") and len(args) == 2:
-                leading = -number(args[1]) if x == b"TD" else leading
-                move(number(args[0]), number(args[1]))
-            elif x == b"Tm" and len(args) == 6:
-                tm = line = tuple(map(number, args))
-            elif x == b"T*":
-                move(0.0, -leading)
-            elif x == b"Tj" and args and isinstance(args[-1], tuple):
-                show(args[-1][1])
-            elif x == b"'" and args and isinstance(args[-1], tuple):
-                move(0.0, -leading)
-                show(args[-1][1])
-            elif x == b'"' and len(args) == 3 and isinstance(args[2], tuple):
-                word_spacing, spacing = number(args[0]), number(args[1])
-                move(0.0, -leading)
-                show(args[2][1])
-            elif x == b"TJ" and args and isinstance(args[-1], list):
-                for part in args[-1]:
-                    if isinstance(part, tuple):
-                        show(part[1])
-                    else:
-                        tm = times((1.0, 0.0, 0.0, 1.0, -number(part) / 1000 * size * scale, 0.0), tm)
             elif x == b"Do" and args:
                 ref = (doc.get(resources.get("XObject")) or {}).get(args[0])
                 if ref in indices:
-                    if not depth:
-                        page.images.append((min(page.height - ctm[5], page.height - ctm[3] - ctm[5]), indices[ref]))
-                elif isinstance(form := doc.get(ref), Stream) and form.info.get("Subtype") == "Form" and depth < 12:
+                    if not forms:
+                        page.images.append((ctm[3], ctm[5], indices[ref]))
+                elif isinstance(form := doc.get(ref), Stream) and form.info.get("Subtype") == "Form":
+                    if ref in forms:
+                        page.failed.append(f"form {getattr(ref, 'obj', '')} draws itself")
+                        continue
                     matrix = doc.get(form.info.get("Matrix"))
                     matrix = tuple(number(doc.get(v)) for v in matrix) if isinstance(matrix, list) and len(matrix) == 6 else _UNIT
-                    run(doc.content(form), doc.get(form.info.get("Resources")) or resources, times(matrix, ctm), depth + 1)
+                    try:
+                        run(doc.content(form), doc.get(form.info.get("Resources")) or resources, times(matrix, ctm), (*forms, ref))
+                    except (ValueError, TypeError, RecursionError, zlib.error) as e:
+                        page.failed.append(f"form {getattr(ref, 'obj', '')}: {e}")
             elif x == b"BI":
                 end = re.compile(rb"[\x00\t\n\x0c\r ]EI(?=[\x00\t\n\x0c\r ]|$)").search(data, reader.at)
                 reader.at = end.end() if end else len(data)
+            elif not text_ends:
+                try:
+                    if x == b"Tf" and len(args) == 2:
+                        named = (doc.get(resources.get("Font")) or {}).get(args[0])
+                        state.size = number(args[1])
+                        if isinstance(info := doc.get(named), dict):
+                            state.font = font_of(named, info)
+                    else:
+                        state.ctm = ctm
+                        state.operator(x, args, lines, page.height)
+                except Exception as e:  # noqa: BLE001
+                    page.failed.append(f"text: {e}")
+                    text_ends = True
+
+    try:
+        run(data, doc.inherited(node, "Resources", dict) or {}, _UNIT, ())
+    finally:
+        lines.close()
+
 
-    run(data, doc.inherited(node, "Resources", dict) or {}, _UNIT, 0)
+def _values(data: bytes) -> Iterator:
+    reader = Reader(data)
+    while True:
+        try:
+            yield reader.value()
+        except EOFError:
+            return
+
+
+class _Text:
+    """The text state of a content stream."""
+
+    def __init__(self, ctm: tuple):
+        self.ctm, self.tm, self.line, self.font = ctm, _UNIT, _UNIT, None
+        self.size = self.spacing = self.word_spacing = self.leading = self.rise = 0.0
+        self.scale = 1.0
+
+    def operator(self, x: bytes, args: list, lines: _Lines, height: float) -> None:
+        if x == b"Tj" and args and isinstance(args[-1], tuple):
+            self._show(args[-1][1], lines, height)
+        elif x == b"TJ" and args and isinstance(args[-1], list):
+            for part in args[-1]:
+                if isinstance(part, tuple):
+                    self._show(part[1], lines, height)
+                else:
+                    self._advance(-number(part) / 1000 * self.size * self.scale)
+        elif x == b"BT":
+            self.tm = self.line = _UNIT
+        elif x == b"Tm" and len(args) == 6:
+            self.tm = self.line = tuple(map(number, args))
+        elif x in (b"Td", b"TD") and len(args) == 2:
+            self.leading = -number(args[1]) if x == b"TD" else self.leading
+            self._move(number(args[0]), number(args[1]))
+        elif x == b"T*":
+            self._move(0.0, -self.leading)
+        elif x == b"'" and args and isinstance(args[-1], tuple):
+            self._move(0.0, -self.leading)
+            self._show(args[-1][1], lines, height)
+        elif x == b'"' and len(args) == 3 and isinstance(args[2], tuple):
+            self.word_spacing, self.spacing = number(args[0]), number(args[1])
+            self._move(0.0, -self.leading)
+            self._show(args[2][1], lines, height)
+        elif x in _SETTINGS and args:
+            setattr(self, _SETTINGS[x], number(args[0]) / (100 if x == b"Tz" else 1))
+
+    def _move(self, x: float, y: float) -> None:
+        self.tm = self.line = times((1.0, 0.0, 0.0, 1.0, x, y), self.line)
+
+    def _advance(self, x: float) -> None:
+        a, b, c, d, e, f = self.tm
+        self.tm = (a, b, c, d, e + x * a, f + x * b)
+
+    def _show(self, shown: bytes, lines: _Lines, height: float) -> None:
+        if self.font is None or not shown:
+            return
+        text, widths, blanks = self.font.shown(shown)
+        if not widths:
+            return
+        a, b, c, d, e, f = times((self.scale, 0.0, 0.0, 1.0, 0.0, self.rise), times(self.tm, self.ctm))
+        size = abs((a * self.size + c * self.size) * (b * self.size + d * self.size)) ** 0.5
+        # Glyphs of a string stand along one line: x and y change with what was advanced before them.
+        m = times(self.tm, self.ctm)
+        steps = [(w * self.size + self.spacing) * self.scale for w in widths]
+        if self.word_spacing and blanks:
+            steps = [s + self.word_spacing * self.scale * k for s, k in zip(steps, blanks)]
+        before = sum(steps[:-1])
+        x, y = e, height - f
+        least = x if m[0] >= 0 and min(steps) >= 0 else x + min(m[0] * sum(steps[:k]) for k in range(len(steps)))
+        lines.show(text, x, least, x + before * m[0] + widths[-1] * size, y, y - before * m[1], size)
+        self._advance(before + steps[-1])
+
+
+_SETTINGS = {b"Tc": "spacing", b"Tw": "word_spacing", b"TL": "leading", b"Ts": "rise", b"Tz": "scale"}
+
+
+# Filters whose data is no row of samples.
+_CODECS = ("JPXDecode", "CCITTFaxDecode", "JBIG2Decode")
+
+
+def image_error(filters: list[str]) -> str | None:
+    """Why an image with these stream filters can't become an asset; None if it may."""
+    if "DCTDecode" in filters:
+        return "DCTDecode with other filters" if len(filters) > 1 else None
+    return "unsupported codec" if any(x in _CODECS for x in filters) else None
+
+
+def image_filename(obj: int, gen: int, filters: list[str]) -> str:
+    return f"img_{obj}_{gen}.{'jpg' if 'DCTDecode' in filters else 'png'}"
 
 
 def page_assets(doc: Document, node: dict) -> Iterator[tuple[Ref, str, str, int, int, bytes | None, str | None]]:
@@ -426,14 +501,14 @@ def page_assets(doc: Document, node: dict) -> Iterator[tuple[Ref, str, str, int,
         image = doc.get(ref)
         if not isinstance(ref, Ref) or not isinstance(image, Stream) or image.info.get("Subtype") != "Image":
             continue
-        info, base = image.info, f"img_{ref.obj}_{ref.gen}"
+        info, filters = image.info, doc.filters(image)
+        name = image_filename(ref.obj, ref.gen, filters)
         width, height = (max(0, int(number(doc.get(info.get(k))))) for k in ("Width", "Height"))
-        filters = doc.filters(image)
         try:
+            if error := image_error(filters):
+                raise ValueError(error)
             if "DCTDecode" in filters:
-                if len(filters) > 1:
-                    raise ValueError(f"DCTDecode with other filters: {filters}")
-                yield ref, f"{base}.jpg", "image/jpeg", width, height, image.raw, None
+                yield ref, name, "image/jpeg", width, height, image.raw, None
                 continue
             space = doc.get(info.get("ColorSpace", Name("DeviceGray")))
             palette, under = b"", ""
@@ -447,60 +522,91 @@ def page_assets(doc: Document, node: dict) -> Iterator[tuple[Ref, str, str, int,
                 space = doc.get(space[0])
             bits = int(number(doc.get(info.get("BitsPerComponent", 8))))
             kind, samples = decode_raster(doc.content(image), width, height, bits, str(space), palette, under)
-            yield ref, f"{base}.png", "image/png", width, height, encode_png(kind, samples, width, height), None
+            yield ref, name, "image/png", width, height, encode_png(kind, samples, width, height), None
         except (ValueError, TypeError, zlib.error) as e:
-            yield ref, base, "", width, height, None, str(e)
+            yield ref, name, "", width, height, None, str(e)
 
 
 # One row per thing that a document holds; ``kind`` tells which columns count.
-ROWS = pa.schema(
-    [("doc_id", pa.int64()), ("kind", pa.string()), ("page_num", pa.int32()), ("k", pa.int32()), ("x", pa.float64()), ("y", pa.float64()), ("width", pa.float64()), ("height", pa.float64()),
-     ("font_size", pa.float64()), ("ch", pa.string()), ("word_start", pa.bool_()), ("image_idx", pa.int32()), ("filename", pa.string()), ("mime", pa.string()), ("bytes", pa.binary()), ("other", pa.binary()), ("message", pa.string())]
-)
-ROWS_DDL = "doc_id long, kind string, page_num int, k int, x double, y double, width double, height double, font_size double, ch string, word_start boolean, image_idx int, filename string, mime string, bytes binary, other binary, message string"
+_TYPES = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}
+ROWS_DDL = (
+    "doc_id long, kind string, page_num int, k int, y double, width double, height double, font_size double, x_start double, text string, author string, image_idx int, filename string, mime string, bytes binary"
+)
+ROWS = pa.schema([(name, _TYPES[kind]) for name, kind in (c.split(" ") for c in ROWS_DDL.split(", "))])
+
+
+def parse_document(key: int, data: bytes, metadata_only: bool = False) -> Iterator[dict[str, list]]:
+    """Columns of rows, page by page, of kinds
 
+    meta (text: title, author), page (width, height, k: lines), line (k, y, font_size, x_start, text), drawn (k, y: f of the
+    matrix, height: d of it, width: the page's height, image_idx), image (image_idx, filename, mime, width, height, bytes)
+    and diagnostic (text).
+    """
+
+    def diagnostic(text: str, page: int | None = None) -> dict[str, list]:
+        return {"kind": ["diagnostic"], "page_num": [page], "text": [text]}
 
-def parse_document(key: int, data: bytes, metadata_only: bool = False) -> Iterator[dict]:
-    """Rows of kinds meta (bytes: title, other: author), page, glyph, drawn, image and diagnostic."""
     try:
         doc = Document(data)
+        title, author = doc.metadata()
     except Exception as e:  # noqa: BLE001 - any damage is a row, not a failed job
-        yield {"doc_id": key, "kind": "diagnostic", "message": f"not loaded: {e}"}
+        yield diagnostic(f"not loaded: {e}")
+        return
+    yield {"kind": ["meta"], "text": [metadata_text(title)], "author": [metadata_text(author)]}
+    if metadata_only:
         return
-    title, author = doc.metadata()
-    yield {"doc_id": key, "kind": "meta", "bytes": title, "other": author}
-    count = 0
-    for n, node in enumerate([] if metadata_only else doc.pages(), 1):
+    count, fonts = 0, {}
+    pages, cut = doc.pages()
+    for text in cut:
+        yield diagnostic(text)
+    for n, node in enumerate(pages, 1):
         page, indices = Page(n), {}
         try:
             for ref, filename, mime, width, height, body, error in page_assets(doc, node):
                 if error:
-                    yield {"doc_id": key, "kind": "diagnostic", "page_num": n, "message": f"image {filename}: {error}"}
+                    yield diagnostic(f"image {filename}: {error}", n)
                 else:
                     indices[ref] = count
-                    yield {"doc_id": key, "kind": "image", "page_num": n, "image_idx": count, "filename": filename, "mime": mime, "width": float(width), "height": float(height), "bytes": body}
+                    yield {"kind": ["image"], "page_num": [n], "image_idx": [count], "filename": [filename], "mime": [mime], "width": [float(width)], "height": [float(height)], "bytes": [body]}
                     count += 1
-            walk_page(doc, node, page, indices)
         except Exception as e:  # noqa: BLE001
-            yield {"doc_id": key, "kind": "diagnostic", "page_num": n, "message": f"page: {e}"}
-        yield {"doc_id": key, "kind": "page", "page_num": n, "width": page.width, "height": page.height}
-        for k, x, y, width, size, ch, begins in page.glyphs:
-            yield {"doc_id": key, "kind": "glyph", "page_num": n, "k": k, "x": x, "y": y, "width": width, "font_size": size, "ch": ch, "word_start": begins}
-        for k, (y, index) in enumerate(page.images):
-            yield {"doc_id": key, "kind": "drawn", "page_num": n, "k": k, "y": y, "image_idx": index}
+            yield diagnostic(f"images: {e}", n)
+        try:
+            walk_page(doc, node, page, indices, fonts)
+        except Exception as e:  # noqa: BLE001
+            page.failed.append(f"page: {e}")
+        for text in page.failed:
+            yield diagnostic(text, n)
+        yield {"kind": ["page"], "page_num": [n], "width": [page.width], "height": [page.height], "k": [len(page.lines)]}
+        if page.lines:
+            y, size, x, text = (list(c) for c in zip(*page.lines))
+            yield {"kind": ["line"] * len(y), "page_num": [n] * len(y), "k": list(range(len(y))), "y": y, "font_size": size, "x_start": x, "text": text}
+        if page.images:
+            d, f, index = (list(c) for c in zip(*page.images))
+            m = len(d)
+            yield {"kind": ["drawn"] * m, "page_num": [n] * m, "k": list(range(m)), "y": f, "height": d, "width": [page.height] * m, "image_idx": index}
 
 
 def _parsed(metadata_only: bool):
+    def batch_of(held: list[tuple[int, dict[str, list]]]) -> pa.RecordBatch:
+        sizes = [len(c["kind"]) for _, c in held]
+        columns = [pa.array([key for (key, _), n in zip(held, sizes) for _ in range(n)], pa.int64())]
+        for name in ROWS.names[1:]:
+            columns.append(pa.array([x for (_, c), n in zip(held, sizes) for x in (c.get(name) or [None] * n)], ROWS.field(name).type))
+        return pa.record_batch(columns, schema=ROWS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, size = [], 0, 0
         for batch in batches:
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows = []
-                for row in parse_document(key, data.as_py() or b"", metadata_only):
-                    rows.append(row)
-                    if len(rows) == 5000:
-                        yield pa.RecordBatch.from_pylist(rows, ROWS)
-                        rows = []
-                yield pa.RecordBatch.from_pylist(rows, ROWS)
+                for columns in parse_document(key, data.as_py() or b"", metadata_only):
+                    held.append((key, columns))
+                    rows, size = rows + len(columns["kind"]), size + len((columns.get("bytes") or [b""])[0] or b"")
+                    if rows > 5000 or size > 1 << 24:
+                        yield batch_of(held)
+                        held, rows, size = [], 0, 0
+        if held:
+            yield batch_of(held)
 
     return run
 
@@ -510,18 +616,33 @@ def parse_pdfs(files: DataFrame, metadata_only: bool = False) -> DataFrame:
     return files.select(F.col("doc_id").cast("long"), F.col("content")).mapInArrow(_parsed(metadata_only), ROWS_DDL)
 
 
-def parsed_glyphs(rows: DataFrame) -> DataFrame:
-    sizes = rows.where("kind = 'page'").select("doc_id", "page_num", F.col("width").alias("page_width"))
-    return rows.where("kind = 'glyph'").select("doc_id", "page_num", "k", "x", "y", "width", "font_size", "ch", "word_start").join(sizes, ["doc_id", "page_num"])
+def parsed_lines(rows: DataFrame) -> DataFrame:
+    """The lines as events."""
+    return rows.where("kind = 'line'").select("doc_id", "page_num", F.col("k").alias("arrival_seq"), "y", F.lit(0).alias("is_image"), "text", "font_size", "x_start", F.lit(None).cast("int").alias("image_idx"))
+
+
+def parsed_images(rows: DataFrame) -> DataFrame:
+    """The drawn images as events; they follow lines of the same y."""
+    y = image_y(F.col("width"), F.col("height"), F.col("y"))
+    return rows.where("kind = 'drawn'").select("doc_id", "page_num", F.col("k").alias("arrival_seq"), y.alias("y"), F.lit(1).alias("is_image"), "image_idx")
+
+
+def parsed_assets(rows: DataFrame) -> DataFrame:
+    return rows.where("kind = 'image'").select("doc_id", "image_idx", "filename", "mime", F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), "bytes")
 
 
 def write_pdf(pages: list[list[tuple[float, float, float, str]]], title: str = "", author: str = "", width: int = 600, height: int = 800) -> bytes:
-    """A plain PDF of text in lines (x, y from the top, size, text); characters beyond cp1252 become '?'."""
-    string = lambda t: b"(" + re.sub(rb"([()\\])", rb"\\\1", t.encode("cp1252", "replace")) + b")"
-    bodies = [b"", b"", b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>", b"<< /Title " + string(title) + b" /Author " + string(author) + b" >>"]
+    """A plain PDF of text in lines (x, y from the top, size, text) and metadata; any text, as codes of UTF-16."""
+    string = lambda t: b"<feff%s>" % t.encode("utf-16-be", "surrogatepass").hex().encode()
+    cmap = b"1 begincodespacerange <0000> <ffff> endcodespacerange 1 beginbfrange <0000> <ffff> <0000> endbfrange"
+    bodies = [b"", b"", b"<< /Type /Font /Subtype /Type0 /BaseFont /Plain /Encoding /Identity-H /DescendantFonts [5 0 R] /ToUnicode 6 0 R >>"]
+    bodies.append(b"<< /Title " + string(title) + b" /Author " + string(author) + b" >>")
+    bodies.append(b"<< /Type /Font /Subtype /CIDFontType2 /BaseFont /Plain /DW 500 >>")
+    bodies.append(b"<< /Length %d >>\nstream\n%s\nendstream" % (len(cmap), cmap))
     kids = []
     for lines in pages:
-        content = zlib.compress(b"BT\n" + b"".join(b"/F1 %g Tf 1 0 0 1 %g %g Tm %s Tj\n" % (s, x, height - y, string(t)) for x, y, s, t in lines) + b"ET", 6)
+        shown = b"".join(b"/F1 %g Tf 1 0 0 1 %.9g %.9g Tm <%s> Tj\n" % (s, x, height - y, t.encode("utf-16-be", "surrogatepass").hex().encode()) for x, y, s, t in lines)
+        content = zlib.compress(b"BT\n" + shown + b"ET", 1)
         bodies.append(b"<< /Length %d /Filter /FlateDecode >>\nstream\n%s\nendstream" % (len(content), content))
         bodies.append(b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % len(bodies))
         kids.append(len(bodies))

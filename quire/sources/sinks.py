@@ -1,12 +1,12 @@
-"""Sinks: EPUB archives and single-file previews, one file per document, named by doc_id so that none overwrites another.
+"""Sinks: EPUB archives, as rows (path, content), and files in a folder of any store that pyarrow can open.
 
-Files are written by executors through Spark's own file systems: as rows (path, content) of a table, which any store
-that Spark can write holds; ``epub_files`` makes them, ``write_files`` puts them into a folder that all executors share.
+A file is written under a temporary name and moved, so a task that runs again writes the same file again.
 """
 
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
@@ -17,39 +17,69 @@ from pyspark.sql import functions as F
 
 # Parts of an EPUB container.
 CONTAINER = '<?xml version="1.0"?><container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'
-STYLESHEET = (
-    "body { margin: 0 5%; line-height: 1.5; }\nh1 { font-size: 1.5em; margin: 2em 0 1em; }\nh2 { font-size: 1.2em; margin: 1.8em 0 0.6em; }\n"
-    "p { margin: 0; text-indent: 1.4em; }\np.legenda { font-size: 0.85em; text-align: center; text-indent: 0; }\np.direita { text-align: right; text-indent: 0; }\nimg { max-width: 100%; }\n"
-)
+MODIFIED = "2000-01-01T00:00:00Z"
+_META, _LINK = '<meta charset="utf-8"/></head>', '<meta charset="utf-8"/><link rel="stylesheet" type="text/css" href="stylesheet.css"/></head>'
+
+#: How each class of the chapters' markup is set.
+_RULES = {
+    "body": {"padding": "0 4%", "line-height": "1.45", "hyphens": "auto"},
+    "h1": {"font-size": "160%", "page-break-before": "always", "margin-bottom": "1.2em"},
+    "h2": {"font-size": "125%", "margin-top": "1.5em", "page-break-after": "avoid"},
+    "p": {"margin": "0 0 0.2em", "text-indent": "1.2em"},
+    "h1 + p, h2 + p": {"text-indent": "0"},
+    "p.legenda": {"font-size": "90%", "font-style": "italic", "text-indent": "0", "text-align": "center"},
+    "p.direita": {"text-indent": "0", "text-align": "right"},
+    "img": {"width": "auto", "max-width": "100%", "page-break-inside": "avoid"},
+}
+STYLESHEET = "".join(f"{of} {{ {' '.join(f'{k}: {v};' for k, v in rules.items())} }}\n" for of, rules in _RULES.items())
+
+
+def quoted(text: str) -> str:
+    """Text for an attribute."""
+    return escape(text, {'"': "&quot;"})
+
+
+def build_epub(
+    title: str | None, author: str | None, lang: str, chapters: list[tuple[str, str | None, str]], images: list[tuple[str, str, bytes]], cover: tuple[str, str, bytes, str] | None, key: str = ""
+) -> bytes:
+    """An EPUB 3 of chapters (href, title, xhtml), images (filename, mime, bytes) and a cover (filename, mime, bytes, xhtml).
+
+    ``key`` tells books of one title and author apart: the identifier is made of all three.
+    """
+    title, author = title or "", (author or "").strip()
+    items, spine, files = [], [], {}
 
+    def item(id_: str, href: str, mime: str, properties: str = "") -> None:
+        items.append(f'<item id="{id_}" href="{quoted(href)}" media-type="{quoted(mime)}"{f" properties={chr(34)}{properties}{chr(34)}" if properties else ""}/>')
 
-def build_epub(title: str, author: str, lang: str, chapters: list[tuple[str, str, str]], images: list[tuple[str, str, bytes]], cover: tuple[str, str, bytes, str] | None) -> bytes:
-    """An EPUB 3 of chapters (href, title, xhtml), images (filename, mime, bytes) and a cover (filename, mime, bytes, xhtml)."""
-    items, spine, files = [], [], {}
     if cover:
         name, mime, data, page = cover
-        items.append(f'<item id="cover-image" href="{escape(name)}" media-type="{mime}" properties="cover-image"/>')
-        items.append('<item id="cover" href="cover.xhtml" media-type="application/xhtml+xml" properties="svg"/>')
-        spine.append('<itemref idref="cover"/>')
+        item("cover-image", name, mime, "cover-image")
+        item("cover", "cover.xhtml", "application/xhtml+xml", "svg")
+        spine.append("cover")
         files |= {name: data, "cover.xhtml": page.encode()}
-    items.append('<item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/><item id="css" href="stylesheet.css" media-type="text/css"/>')
-    spine.append('<itemref idref="nav"/>')
+    item("nav", "nav.xhtml", "application/xhtml+xml", "nav")
+    item("css", "stylesheet.css", "text/css")
+    spine.append("nav")
     for k, (name, mime, data) in enumerate(images):
-        items.append(f'<item id="i{k}" href="images/{escape(name)}" media-type="{mime}"/>')
+        item(f"i{k}", f"images/{name}", mime)
         files[f"images/{name}"] = data
     for k, (href, _, xhtml) in enumerate(chapters):
-        items.append(f'<item id="c{k}" href="{href}" media-type="application/xhtml+xml"/>')
-        spine.append(f'<itemref idref="c{k}"/>')
-        files[href] = xhtml.encode()
-    links = "".join(f'<li><a href="{href}">{escape(name)}</a></li>' for href, name, _ in chapters)
+        item(f"c{k}", href, "application/xhtml+xml")
+        spine.append(f"c{k}")
+        files[href] = xhtml.replace(_META, _LINK, 1).encode()
+    links = "".join(f'<li><a href="{quoted(href)}">{escape(name or href)}</a></li>' for href, name, _ in chapters) or '<li><a href="nav.xhtml">–</a></li>'
     files["nav.xhtml"] = (
-        f'<?xml version="1.0" encoding="UTF-8"?>\n<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><head><title>{escape(title)}</title></head><body><nav epub:type="toc"><ol>{links}</ol></nav></body></html>'
+        '<?xml version="1.0" encoding="UTF-8"?>\n<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops">'
+        f'<head><title>{escape(title)}</title>{_LINK.removesuffix("</head>")}</head><body><nav epub:type="toc"><ol>{links}</ol></nav></body></html>'
     ).encode()
     files["stylesheet.css"] = STYLESHEET.encode()
-    creator = f"<dc:creator>{escape(author)}</dc:creator>" if author.strip() else ""
+    creator = f"<dc:creator>{escape(author)}</dc:creator>" if author else ""
     files["content.opf"] = (
-        f'<?xml version="1.0" encoding="UTF-8"?>\n<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="id">{escape(title)}</dc:identifier>'
-        f"<dc:title>{escape(title)}</dc:title>{creator}<dc:language>{escape(lang)}</dc:language></metadata><manifest>{''.join(items)}</manifest><spine>{''.join(spine)}</spine></package>"
+        '<?xml version="1.0" encoding="UTF-8"?>\n<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/">'
+        f'<dc:identifier id="id">urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, repr((key, title, author)))}</dc:identifier><dc:title>{escape(title) or "–"}</dc:title>{creator}'
+        f'<dc:language>{escape(lang)}</dc:language><meta property="dcterms:modified">{MODIFIED}</meta></metadata>'
+        f"<manifest>{''.join(items)}</manifest><spine>{''.join(f'<itemref idref={chr(34)}{x}{chr(34)}/>' for x in spine)}</spine></package>"
     ).encode()
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
@@ -61,12 +91,14 @@ def build_epub(title: str, author: str, lang: str, chapters: list[tuple[str, str
 
 
 def epub_files(meta: DataFrame, chapters: DataFrame, resources: DataFrame, covers: DataFrame, lang: str = "pt") -> DataFrame:
-    """doc_id, path, content. meta: doc_id, name, title, author; chapters: doc_id, out_ord, href, title, xhtml;
+    """doc_id, path, content. meta: doc_id, name, title, author (and lang); chapters: doc_id, out_ord, href, title, xhtml;
 
-    resources: doc_id, image_idx, filename, mime, bytes; covers: doc_id, filename, mime, bytes, xhtml.
+    resources: doc_id, image_idx, filename, mime, bytes; covers: doc_id, filename, mime, bytes, xhtml. Documents without
+    meta have no file. A document's parts meet in one task: a book must fit there.
     """
+    own = F.coalesce("lang", F.lit(lang)) if "lang" in meta.columns else F.lit(lang)
     rows = (
-        meta.select("doc_id", F.lit("meta").alias("kind"), F.lit(0).alias("k"), F.col("name").alias("a"), F.col("title").alias("b"), F.col("author").alias("c"))
+        meta.select("doc_id", F.lit("meta").alias("kind"), F.lit(0).alias("k"), F.col("name").alias("a"), F.col("title").alias("b"), F.col("author").alias("c"), own.alias("d"))
         .unionByName(chapters.select("doc_id", F.lit("chapter").alias("kind"), F.col("out_ord").alias("k"), F.col("href").alias("a"), F.col("title").alias("b"), F.col("xhtml").alias("c")), True)
         .unionByName(resources.select("doc_id", F.lit("image").alias("kind"), F.col("image_idx").alias("k"), F.col("filename").alias("a"), F.col("mime").alias("b"), "bytes"), True)
         .unionByName(covers.select("doc_id", F.lit("cover").alias("kind"), F.lit(0).alias("k"), F.col("filename").alias("a"), F.col("mime").alias("b"), F.col("xhtml").alias("c"), "bytes"), True)
@@ -82,25 +114,27 @@ def epub_files(meta: DataFrame, chapters: DataFrame, resources: DataFrame, cover
         cover = next(((r["a"], r["b"], r["bytes"], r["c"]) for r in of("cover") if r["bytes"] is not None), None)
         chapter = [(r["a"], r["b"], r["c"]) for r in of("chapter")]
         images = [(r["a"], r["b"], r["bytes"]) for r in of("image")]
-        data = build_epub(head[0]["b"], head[0]["c"] or "", lang, chapter, images, cover)
-        return pa.table([[head[0]["doc_id"]], [f"{head[0]['doc_id']}-{head[0]['a']}"], [data]], schema=schema)
+        key, name = head[0]["doc_id"], head[0]["a"]
+        data = build_epub(head[0]["b"], head[0]["c"], head[0]["d"], chapter, images, cover, f"{key}/{name}")
+        return pa.table([[key], [name], [data]], schema=schema)
 
     return rows.groupBy("doc_id").applyInArrow(book, "doc_id long, path string, content binary")
 
 
 def write_files(files: DataFrame, folder: str) -> DataFrame:
-    """Write path and content of each row below ``folder`` (a path that every executor sees); returns the paths."""
+    """Write path and content of each row below ``folder`` (a path or URI that every executor sees); returns the paths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
+        from pyarrow import fs
 
-        os.makedirs(folder, exist_ok=True)
+        store, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        store.create_dir(base, recursive=True)
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                part = f"{folder}/.{path}.part"
-                with open(part, "wb") as f:
-                    f.write(content)
-                os.replace(part, f"{folder}/{path}")  # a task that runs again writes the same file
+                part = f"{base}/.{path}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as f:
+                    f.write(content.encode() if isinstance(content, str) else content)
+                store.move(part, f"{base}/{path}")
             yield batch.select(["doc_id", "path"])
 
     return files.select("doc_id", "path", "content").mapInArrow(run, "doc_id long, path string")

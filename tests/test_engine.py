@@ -1,5 +1,8 @@
 """Golden cases of text functions, layout, chapters, covers, rasters and PDF parsing, and queries against DuckDB."""
 
+import random
+import zlib
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -7,9 +10,10 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.functions.wrap import drawn_cover, wrap_text
 from quire.operators import covers as C
+from quire.operators import glyphs as G
 from quire.operators import layout as L
 from quire.plans import registry
-from quire.sources import pdf, raster
+from quire.sources import filters, fonts, pdf, raster
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -23,9 +27,9 @@ def test_escape(spark, raw, text):
     assert one(spark, T.escape_html(F.lit(raw))) == text
 
 
-@pytest.mark.parametrize(("raw", "text"), [("feff0043006f0072006100e700e3006f", "Coração"), ("436f7261e7e36f", "Coração"), ("feff", ""), ("feff004100", "A")])
-def test_pdf_string(spark, raw, text):
-    assert one(spark, T.pdf_string(F.unhex(F.lit(raw)))) == text
+@pytest.mark.parametrize(("raw", "text"), [("feff0043006f0072006100e700e3006f", "Coração"), ("436f7261e7e36f", "Coração"), ("feff", ""), ("feff004100", "A"), ("feffd8000041", "\ufffdA")])
+def test_pdf_string(raw, text):
+    assert pdf.pdf_text(bytes.fromhex(raw)) == text
 
 
 @pytest.mark.parametrize(
@@ -138,35 +142,107 @@ def test_rasters():
         raster.decode_raster(bytes(4), 2, 2, 8, "ICCBased")
 
 
+def parsed(data):
+    """(kind, columns of one row) of a parsed file."""
+    return [(c["kind"][k], {n: v[k] for n, v in c.items()}) for c in pdf.parse_document(7, data) for k in range(len(c["kind"]))]
+
+
+def of_kind(data, kind):
+    return [r for k, r in parsed(data) if k == kind]
+
+
 def test_pdf_parts():
-    made = pdf.write_pdf([[(60, 80, 10, "Hello (world)"), (60, 97, 10, "again")], [(60, 80, 12, "page two")]], " Meu Livro ", "Fulano")
-    rows = list(pdf.parse_document(7, made))
-    assert rows[0]["bytes"] == b" Meu Livro " and rows[0]["other"] == b"Fulano"
-    text = "".join(r["ch"] for r in rows if r["kind"] == "glyph" and r["page_num"] == 1)
-    assert text == "Hello (world)again"
-    assert [r["kind"] for r in pdf.parse_document(7, b"no pdf")] == ["diagnostic"]
+    made = pdf.write_pdf([[(60, 80, 10, "Hello (world)"), (60, 97, 10, "again é 😀")], [(60, 80, 12, "page two")]], " Meu Livro ", "Fulano")
+    (meta,) = of_kind(made, "meta")
+    assert (meta["text"], meta["author"]) == ("Meu Livro", "Fulano")
+    assert [(r["page_num"], r["text"], r["y"]) for r in of_kind(made, "line")] == [(1, "Hello (world)", 80.0), (1, "again é 😀", 97.0), (2, "page two", 80.0)]
+    assert [k for k, _ in parsed(b"no pdf")] == ["diagnostic"]
     assert len(list(pdf.parse_document(7, made, metadata_only=True))) == 1
+    (meta,) = of_kind(pdf.write_pdf([], " ", ""), "meta")
+    assert meta["text"] is None and meta["author"] is None
+
+
+def made_of(*objects):
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (k, o) for k, o in enumerate(objects, 1)) + b"trailer << /Root 1 0 R >>"
+
+
+def stream(data, more=b""):
+    return b"<< /Length %d %s >>\nstream\n%s\nendstream" % (len(data), more, data)
+
+
+CATALOG = b"<< /Type /Catalog /Pages 2 0 R >>"
 
 
 def test_pdf_images_and_forms():
-    content = b"q 50 0 0 30 10 700 cm /I Do Q /F Do BT /F1 10 Tf 20 600 Td <414243> Tj ET"
-    form = b"BT /F1 9 Tf 1 0 0 1 5 500 Tm (form) Tj ET"
-    objects = [
-        b"<< /Type /Catalog /Pages 2 0 R >>",
-        b"<< /Type /Pages /Kids [3 0 R] /MediaBox [0 0 600 800] /Resources << /Font << /F1 4 0 R >> /XObject << /I 5 0 R /F 6 0 R /J 7 0 R >> >> >>",
+    content = b"q 50 0 0 30 10 700 cm /I Do Q /F Do BT /F1 10 Tf 20 600 Td <414243> Tj (x) /Bad [ Tj ET"
+    form = b"BT /F1 9 Tf 1 0 0 1 5 500 Tm (form) Tj ET /F Do"
+    made = made_of(
+        CATALOG,
+        b"<< /Type /Pages /Kids [3 0 R 2 0 R] /MediaBox [0 0 600 800] /Resources << /Font << /F1 4 0 R >> /XObject << /I 5 0 R /F 6 0 R /J 7 0 R >> >> >>",
         b"<< /Type /Page /Parent 2 0 R /Contents 8 0 R >>",
         b"<< /Type /Font /Subtype /Type1 >>",
-        b"<< /Type /XObject /Subtype /Image /Width 2 /Height 1 /ColorSpace [/Indexed /DeviceRGB 1 <010203040506>] /BitsPerComponent 8 /Length 2 >>\nstream\n\x00\x01\nendstream",
-        b"<< /Type /XObject /Subtype /Form /Length %d >>\nstream\n%s\nendstream" % (len(form), form),
-        b"<< /Type /XObject /Subtype /Image /Width 2 /Height 1 /Filter /JPXDecode /Length 1 >>\nstream\nx\nendstream",
-        b"<< /Length %d >>\nstream\n%s\nendstream" % (len(content), content),
-    ]
-    made = b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (k, o) for k, o in enumerate(objects, 1)) + b"trailer << /Root 1 0 R >>"
-    rows = list(pdf.parse_document(1, made))
-    kinds = [r["kind"] for r in rows]
-    assert kinds.count("image") == 1 and kinds.count("diagnostic") == 1
-    assert next(r for r in rows if r["kind"] == "drawn")["y"] == 70.0
-    assert "".join(r["ch"] for r in rows if r["kind"] == "glyph") == "formABC"
+        stream(b"\x00\x01", b"/Type /XObject /Subtype /Image /Width 2 /Height 1 /ColorSpace [/Indexed /DeviceRGB 1 <010203040506>] /BitsPerComponent 8"),
+        stream(form, b"/Type /XObject /Subtype /Form"),
+        stream(b"x", b"/Type /XObject /Subtype /Image /Width 2 /Height 1 /Filter /JPXDecode"),
+        stream(content),
+    )
+    kinds = [k for k, _ in parsed(made)]
+    assert kinds.count("image") == 1 and kinds.count("page") == 1
+    assert sorted(r["text"] for r in of_kind(made, "diagnostic")) == ["form 6 draws itself", "image img_7_0.png: unsupported codec", "object 2 stands in the page tree again"]
+    (drawn,) = of_kind(made, "drawn")
+    assert (drawn["width"], drawn["height"], drawn["y"]) == (800.0, 30.0, 700.0)
+    assert [r["text"] for r in of_kind(made, "line")] == ["form", "ABC"]
+
+
+def test_images_after_failed_text():
+    """Text that can't be read ends the text of a page, not its images."""
+    made = made_of(
+        CATALOG, b"<< /Type /Pages /Kids [3 0 R] >>", b"<< /Type /Page /MediaBox [0 0 600 800] /Contents 4 0 R /Resources << /Font << /F 5 0 R /G 6 0 R >> /XObject << /I 7 0 R >> >> >>",
+        stream(b"BT /F 10 Tf 1 0 0 1 9 700 Tm (one) Tj ET BT /G 10 Tf (two) Tj ET q 10 0 0 10 5 300 cm /I Do Q"), b"<< /Type /Font /Subtype /Type1 >>",
+        b"<< /Type /Font /Subtype /Type0 /DescendantFonts 3 >>" .replace(b"DescendantFonts 3", b"ToUnicode 8 0 R"), stream(b"\x07", b"/Subtype /Image /Width 1 /Height 1 /ColorSpace /DeviceGray"), stream(b"zz", b"/Filter /FlateDecode"),
+    )
+    assert [r["text"] for r in of_kind(made, "line")] == ["one"] and len(of_kind(made, "drawn")) == 1
+    assert any(r["text"].startswith("text: ") for r in of_kind(made, "diagnostic"))
+
+
+def test_fonts_and_filters():
+    import base64
+
+    lzw_of = lambda codes: int("".join(format(c, "09b") for c in codes).ljust(-(-9 * len(codes) // 8) * 8, "0"), 2).to_bytes(-(-9 * len(codes) // 8), "big")
+    assert filters.lzw(lzw_of([256, 45, 45, 45, 45, 45, 65, 45, 45, 45, 66, 257])) == b"-----A---B"
+    assert filters.lzw(lzw_of([256, 45, 258, 258, 65, 259, 66, 257])) == b"-----A---B"
+    raw = bytes(range(256)) + b"\0\0\0\0ab"
+    assert filters.ascii85(base64.a85encode(raw) + b"~>") == raw and filters.run_length(bytes([2, 65, 66, 67, 254, 68, 128, 9])) == b"ABCDDD"
+    show = b"BT /A 10 Tf 1 0 0 1 10 700 Tm (\x01\x02 a) Tj ET BT /B 10 Tf 1 0 0 1 10 600 Tm <00410301> Tj ET BT /C 10 Tf 1 0 0 1 10 500 Tm (\x8e\xd5) Tj ET"
+    packed = base64.a85encode(zlib.compress(show)) + b"~>"
+    made = made_of(
+        CATALOG, b"<< /Type /Pages /Kids [3 0 R] >>", b"<< /Type /Page /MediaBox [0 0 600 800] /Contents 4 0 R /Resources << /Font << /A 5 0 R /B 6 0 R /C 7 0 R >> >> >>",
+        stream(packed, b"/Filter [/ASCII85Decode /FlateDecode]"), b"<< /Subtype /Type1 /BaseFont /ABCDEF+Helvetica-Bold /Encoding << /Differences [1 /eacute /uni00E7] >> >>",
+        b"<< /Subtype /Type0 /Encoding /UniGB-UTF16-H /DescendantFonts [<< /DW 500 /W [65 [250 300] 769 769 900] >>] >>", b"<< /Subtype /TrueType /Encoding /MacRomanEncoding >>",
+    )
+    assert [r["text"] for r in of_kind(made, "line")] == ["éç a", "A\u0301", "é’"]
+    wide = fonts.Font({"Subtype": pdf.Name("Type0"), "DescendantFonts": [{"DW": 500, "W": [65, [250, 300], 769, 770, 900]}]}, lambda x: x, None, None)
+    assert [wide.widths.get(c, wide.width) for c in (65, 66, 67, 770)] == [0.25, 0.3, 0.5, 0.9]
+
+
+def test_lines_of_strings_and_of_glyphs(spark):
+    """The parser closes lines string by string as the operator on glyph tables does glyph by glyph."""
+    rng = random.Random(4)
+    for _ in range(20):
+        page = pdf.Page(1, 600.0, 800.0)
+        lines, glyphs, y = pdf._Lines(page), [], 60.0
+        for _ in range(30):
+            y += rng.choice((0.0, 0.0, 4.0, 6.0, 14.0, 20.0, -30.0))
+            x, size, text = rng.choice((20.0, 60.0, 300.0)), rng.choice((10.0, 12.0)), "".join(rng.choice("ab ") for _ in range(rng.randint(1, 5)))
+            steps = [0.5 * size * k for k in range(len(text))]
+            lines.show(text, x, x, x + steps[-1] + 0.5 * size, y, y, size)
+            glyphs += [(1, 1, len(glyphs) + k, x + s, y, 0.5, size, c, k == 0, 600.0) for k, (s, c) in enumerate(zip(steps, text))]
+        lines.close()
+        if _ % 10:
+            continue
+        table = spark.createDataFrame(glyphs, "doc_id long, page_num int, k int, x double, y double, width double, font_size double, ch string, word_start boolean, page_width double")
+        found = [(r["y"], r["font_size"], round(r["x_start"], 9), r["text"]) for r in G.glyph_lines(table).orderBy("line_ord").collect()]
+        assert found == [(y, f, round(x, 9), t) for y, f, x, t in page.lines]
 
 
 def test_wrap():

@@ -1,44 +1,163 @@
-"""EPUB archives: their parts in order, one file per document, names that need escapes, documents without parts."""
+"""EPUB archives and whole conversions: parts in order, names that need escapes, covers, previews, files, the command."""
 
 import io
+import struct
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 
-from quire.sources.sinks import epub_files, write_files
+import pytest
+
+from quire.__main__ import arguments, main
+from quire.plans.convert import convert, convert_folder, document_metadata, read_pdfs, usable_covers
+from quire.sources import pdf, raster
+from quire.sources.sinks import STYLESHEET, epub_files, write_files
 
 OPF = "{http://www.idpf.org/2007/opf}"
 
 
 def books(spark):
-    meta = spark.createDataFrame([(1, "a.epub", "Q & <A>", "An Author"), (2, "a.epub", "Empty", None)], "doc_id long, name string, title string, author string")
+    meta = spark.createDataFrame([(1, "a.epub", "Q & <A>", "An Author"), (2, "b.epub", None, None)], "doc_id long, name string, title string, author string")
     chapters = spark.createDataFrame(
-        [(1, 1, "c2.xhtml", "Two", "<html>2</html>"), (1, 0, "c1.xhtml", "One & only", "<html>1</html>"), (3, 0, "c1.xhtml", "No meta", "<html/>")],
+        [(1, 1, "c2.xhtml", None, "<html>2</html>"), (1, 0, "c1.xhtml", "One & only", "<html>1</html>"), (3, 0, "c1.xhtml", "No meta", "<html/>")],
         "doc_id long, out_ord int, href string, title string, xhtml string",
     )
-    resources = spark.createDataFrame([(1, 0, "i.png", "image/png", bytearray(b"\x89PNG"))], "doc_id long, image_idx int, filename string, mime string, bytes binary")
+    resources = spark.createDataFrame([(1, 0, 'i"&.png', "image/png", bytearray(b"\x89PNG"))], "doc_id long, image_idx int, filename string, mime string, bytes binary")
     covers = spark.createDataFrame([(1, "cover.svg", "image/svg+xml", bytearray(b"<svg/>"), "<html>cover</html>")], "doc_id long, filename string, mime string, bytes binary, xhtml string")
     return epub_files(meta, chapters, resources, covers)
 
 
-def test_epub(spark):
-    made = {r["doc_id"]: r for r in books(spark).collect()}
-    assert {d: r["path"] for d, r in made.items()} == {1: "1-a.epub", 2: "2-a.epub"}
-    z = zipfile.ZipFile(io.BytesIO(made[1]["content"]))
+def opened(content):
+    z = zipfile.ZipFile(io.BytesIO(content))
     assert z.testzip() is None
-    first = z.infolist()[0]
-    assert (first.filename, first.compress_type, z.read("mimetype")) == ("mimetype", zipfile.ZIP_STORED, b"application/epub+zip")
-    assert all(i.compress_type == zipfile.ZIP_DEFLATED for i in z.infolist()[1:])
     package = ET.fromstring(z.read("OEBPS/content.opf"))
     items = {i.get("id"): i.get("href") for i in package.find(f"{OPF}manifest")}
     assert len(items) == len(set(items.values())) and all(f"OEBPS/{h}" in z.namelist() for h in items.values())
-    assert [items[i.get("idref")] for i in package.find(f"{OPF}spine")] == ["cover.xhtml", "nav.xhtml", "c1.xhtml", "c2.xhtml"]
-    assert [x.text for x in package.find(f"{OPF}metadata")] == ["Q & <A>", "Q & <A>", "An Author", "pt"]
-    assert z.read("OEBPS/images/i.png") == b"\x89PNG" and z.read("OEBPS/c1.xhtml") == b"<html>1</html>"
     ET.fromstring(z.read("OEBPS/nav.xhtml"))
-    empty = zipfile.ZipFile(io.BytesIO(made[2]["content"]))
-    assert "OEBPS/content.opf" in empty.namelist() and not any(n.endswith("c1.xhtml") for n in empty.namelist())
+    return z, package, items, [items[i.get("idref")] for i in package.find(f"{OPF}spine")]
+
+
+def test_epub(spark):
+    made = {r["doc_id"]: r for r in books(spark).collect()}
+    assert {d: r["path"] for d, r in made.items()} == {1: "a.epub", 2: "b.epub"}
+    z, package, items, spine = opened(made[1]["content"])
+    first = z.infolist()[0]
+    assert (first.filename, first.compress_type, z.read("mimetype")) == ("mimetype", zipfile.ZIP_STORED, b"application/epub+zip")
+    assert all(i.compress_type == zipfile.ZIP_DEFLATED for i in z.infolist()[1:])
+    assert spine == ["cover.xhtml", "nav.xhtml", "c1.xhtml", "c2.xhtml"]
+    meta = list(package.find(f"{OPF}metadata"))
+    assert [x.text for x in meta[1:4]] == ["Q & <A>", "An Author", "pt"] and meta[0].text.startswith("urn:uuid:") and meta[4].get("property") == "dcterms:modified"
+    assert z.read('OEBPS/images/i"&.png') == b"\x89PNG" and z.read("OEBPS/c1.xhtml") == b"<html>1</html>"
+    z, package, _, spine = opened(made[2]["content"])
+    assert spine == ["nav.xhtml"] and not any(x.tag.endswith("creator") for x in package.find(f"{OPF}metadata"))
+
+
+def test_stylesheet_has_every_class():
+    assert all(f"{of} {{" in STYLESHEET for of in ("body", "h1", "h2", "p", "p.legenda", "p.direita", "img"))
 
 
 def test_write_files(spark, tmp_path):
     done = write_files(books(spark), str(tmp_path / "out")).collect()
-    assert sorted(r["path"] for r in done) == sorted(p.name for p in (tmp_path / "out").iterdir()) == ["1-a.epub", "2-a.epub"]
+    assert sorted(r["path"] for r in done) == sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.epub", "b.epub"]
+    write_files(books(spark), f"file://{tmp_path}/uri").collect()
+    assert (tmp_path / "uri" / "a.epub").exists()
+
+
+def picture_pdf():
+    """A page with a large image and text, then a chapter with the same image and a small one; damaged parts."""
+    grey = zlib.compress(bytes(range(250)) * 1600)
+    objects = [
+        b"<< /Type /Catalog /Pages 2 0 R >>",
+        b"<< /Type /Pages /Kids [3 0 R 4 0 R] /MediaBox [0 0 600 800] /Resources << /Font << /F 5 0 R >> /XObject << /B 6 0 R /S 7 0 R /X 8 0 R >> >> >>",
+        b"<< /Type /Page /Parent 2 0 R /Contents 9 0 R >>",
+        b"<< /Type /Page /Parent 2 0 R /Contents 10 0 R >>",
+        b"<< /Type /Font /Subtype /Type1 >>",
+        b"<< /Subtype /Image /Width 400 /Height 1000 /ColorSpace /DeviceGray /Filter /FlateDecode /Length %d >>\nstream\n%s\nendstream" % (len(grey), grey),
+        b"<< /Subtype /Image /Width 1 /Height 1 /ColorSpace /DeviceRGB /Length 3 >>\nstream\nabc\nendstream",
+        b"<< /Subtype /Image /Width 9 /Height 9 /Filter /JBIG2Decode /Length 1 >>\nstream\nx\nendstream",
+    ]
+    for body in (b"q 600 0 0 800 0 0 cm /B Do Q BT /F 10 Tf 1 0 0 1 60 90 Tm (Opening words) Tj ET", b"BT /F 10 Tf 1 0 0 1 60 700 Tm (Chapter 1) Tj 1 0 0 1 60 600 Tm (It & that.) Tj ET q 10 0 0 10 60 500 cm /S Do Q q 10 0 0 10 60 300 cm /B Do Q"):
+        objects.append(b"<< /Length %d >>\nstream\n%s\nendstream" % (len(body), body))
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (k, o) for k, o in enumerate(objects, 1)) + b"trailer << /Root 1 0 R >>"
+
+
+def files_of(spark, *files):
+    return spark.createDataFrame([(k, p, bytearray(c)) for k, p, c in files], "doc_id long, path string, content binary")
+
+
+def test_convert(spark):
+    plain = pdf.write_pdf([[(60, 80, 10, "Just text.")]], "T & t", " Ana ")
+    done = convert(files_of(spark, (1, "/in/a.pdf", picture_pdf()), (2, "/in/b c.pdf", plain), (3, "/other/a.pdf", b"broken"), (4, "/in/d.pdf", pdf.write_pdf([]))))
+    summary = {r["doc_id"]: r for r in done.summary.collect()}
+    assert [(summary[k]["title"], summary[k]["author"], summary[k]["pages"], summary[k]["images"], summary[k]["chapters"]) for k in (1, 2, 3, 4)] == [("a", "", 2, 4, 2), ("T & t", "Ana", 1, 0, 1), ("a", "", 0, 0, 0), ("d", "", 0, 0, 0)]
+    assert summary[1]["epub"] == "1-a.epub" and summary[2]["epub"] == "b c.epub" and summary[3]["epub"] is None and "no PDF header" in summary[3]["error"]
+    epubs = {r["doc_id"]: r["content"] for r in done.epubs.collect()}
+    assert sorted(epubs) == [1, 2, 4]
+    z, _, items, spine = opened(epubs[1])
+    assert spine == ["cover.xhtml", "nav.xhtml", "chap_01.xhtml", "chap_02.xhtml"] and items["cover-image"] == "cover.png"
+    assert raster.image_size(z.read("OEBPS/cover.png")) == ("image/png", 400, 1000)
+    chapter = z.read("OEBPS/chap_02.xhtml").decode()
+    assert "<h1>Chapter 1</h1>" in chapter and "<p>It &amp; that.</p>" in chapter and 'src="images/img_7_0.png"' in chapter and 'href="stylesheet.css"' in chapter
+    z, _, items, _ = opened(epubs[2])
+    assert items["cover-image"] == "cover.svg" and ET.fromstring(z.read("OEBPS/cover.svg")).tag.endswith("svg") and b"T &amp; t" in z.read("OEBPS/cover.svg")
+    previews = {r["doc_id"]: r for r in done.previews.collect()}
+    assert previews[1]["path"] == "1-a.preview.html" and "images/" not in previews[1]["content"] and previews[1]["content"].count("data:image/png;base64,") == 3
+    messages = {(r["doc_id"], r["stage"], r["message"]) for r in done.diagnostics.collect()}
+    assert {(1, "parse", "image img_8_0.png: unsupported codec"), (1, "parse", "1 lines"), (1, "chapters", "heading: Chapter 1"), (1, "cover", "cover below the sharp size: 400x1000")} <= messages
+
+
+def test_covers_and_overrides(spark):
+    png = raster.encode_png("gray", bytes(12), 4, 3)
+    jpeg = b"\xff\xd8\xff\xff\xe0\x00\x04ab\xff\xc0\x00\x0b\x08" + struct.pack(">HH", 30, 20) + b"\x01\x01\x11\x00"
+    covers = spark.createDataFrame([(1, bytearray(png)), (2, bytearray(jpeg)), (4, bytearray(b"GIF89a"))], "doc_id long, bytes binary")
+    assert sorted((r["doc_id"], r["mime"], r["width"], r["height"]) for r in usable_covers(covers).collect()) == [(1, "image/png", 4, 3), (2, "image/jpeg", 20, 30)]
+    files = files_of(spark, (1, "/in/a.pdf", picture_pdf()), (2, "/in/b.pdf", pdf.write_pdf([])), (4, "/in/d.pdf", picture_pdf()))
+    overrides = spark.createDataFrame([(1, "Mine ", "  ", "en"), (2, None, "Me", None)], "doc_id long, title string, author string, lang string")
+    done = convert(files, overrides, covers)
+    opf = {r["doc_id"]: opened(r["content"]) for r in done.epubs.collect()}
+    assert {k: items["cover-image"] for k, (_, _, items, _) in opf.items()} == {1: "cover.png", 2: "cover.jpg", 4: "cover.png"}
+    assert opf[1][0].read("OEBPS/cover.png") == png and opf[2][0].read("OEBPS/cover.jpg") == jpeg
+    assert b"img_6_0.png" in opf[1][0].read("OEBPS/chap_01.xhtml")  # a given cover leaves the page's image where it is
+    assert [x.text for x in opf[1][1].find(f"{OPF}metadata")][1:3] == ["Mine", "en"]
+    assert (4, "the given cover is no JPEG or PNG") in {(r["doc_id"], r["message"]) for r in done.diagnostics.collect()}
+    rows = pdf.parse_pdfs(files, metadata_only=True)
+    assert sorted((r["doc_id"], r["title"], r["author"]) for r in document_metadata(files, rows, overrides).collect()) == [(1, "Mine", ""), (2, "b", "Me"), (4, "d", "")]
+
+
+def test_folders(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "Meu livro+1.pdf").write_bytes(pdf.write_pdf([[(60, 80, 10, "Capítulo 1"), (60, 120, 10, "Oi.")]], "", "Eu"))
+    (source / "note.txt").write_text("no")
+    assert [r["path"].rsplit("/", 1)[1] for r in read_pdfs(spark, str(source)).collect()] == ["Meu livro+1.pdf"]
+    (row,) = convert_folder(spark, str(source), str(tmp_path / "out")).collect()
+    assert (row["title"], row["author"], row["epub"], row["chapters"]) == ("Meu livro+1", "Eu", "Meu livro+1.epub", 1)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.is_file()) == ["Meu livro+1.epub", "Meu livro+1.preview.html"]
+
+
+@pytest.mark.parametrize(
+    ("argv", "cover", "source", "target"),
+    [
+        (["livro.pdf"], None, "livro.pdf", None),
+        (["--cover", "capa.jpg", "--headless", "livro.pdf"], "capa.jpg", "livro.pdf", None),
+        (["--headless", "livro.pdf", "saida", "--cover", "capa.jpg"], "capa.jpg", "livro.pdf", "saida"),
+        (["--cover", "./--estranho.jpg", "livro.pdf"], "./--estranho.jpg", "livro.pdf", None),
+    ],
+)
+def test_arguments(argv, cover, source, target):
+    found = arguments(argv)
+    assert (found.cover, found.source, found.target) == (cover, source, target)
+
+
+@pytest.mark.parametrize("argv", [["livro.pdf", "--cover"], ["--cover", "--headless", "livro.pdf"], ["--cover", "a.jpg", "--cover", "b.jpg", "livro.pdf"], []])
+def test_wrong_arguments(argv):
+    with pytest.raises(SystemExit) as e:
+        arguments(argv)
+    assert e.value.code == 2
+
+
+def test_help_and_version(capsys):
+    for flag in ("--help", "--version"):
+        with pytest.raises(SystemExit) as e:
+            main([flag])
+        assert e.value.code == 0 and "quire" in capsys.readouterr().out
