@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 # Widths of characters 32 to 126 in thousandths of an em, of the standard fonts that a file need not describe.
 _SANS = (
@@ -89,7 +90,10 @@ class Font:
                 if base in STANDARD:
                     widths = {32 + k: int(w) / 1000 for k, w in enumerate(STANDARD[base].split())}
         self.widths = widths
-        if not self.wide:
+        if self.wide:
+            self.pairs = all(n == 2 for n, _, _ in self.spaces)
+            self.map, self.widths = _Known(self.map, self._text), _Known(widths, lambda _: self.width)
+        else:
             self._simple(encoding, get)
 
     def _simple(self, encoding, get: Callable) -> None:
@@ -147,11 +151,11 @@ class Font:
                         self.ranges.append((code(a), code(b), to[1]))
             stack = []
 
-    def _codes(self, shown: bytes) -> list[tuple[int, int]]:
-        """Codes of a wide font with their number of bytes: two, or what its code spaces say."""
-        if not self.spaces or all(n == 2 for n, _, _ in self.spaces):
-            return [(int.from_bytes(shown[k : k + 2], "big"), 2) for k in range(0, len(shown) - 1, 2)]
-        out, at = [], 0
+    def _codes(self, shown: bytes) -> tuple[Sequence[int], list[bool]]:
+        """Codes of a wide font, two bytes each or what its code spaces say, and which are a space of one byte."""
+        if self.pairs:
+            return struct.unpack(f">{len(shown) // 2}H", shown[: len(shown) // 2 * 2]), []
+        codes, blanks, at = [], [], 0
         while at < len(shown):
             for n in range(1, 5):
                 value = int.from_bytes(shown[at : at + n], "big")
@@ -159,29 +163,40 @@ class Font:
                     break
             else:
                 n, value = 1, shown[at]
-            out.append((value, n))
+            codes.append(value)
+            blanks.append(value == 32 and n == 1)
             at += n
-        return out
+        return codes, blanks
 
     def shown(self, data: bytes) -> tuple[str, list[float], list[bool]]:
-        """The text of a shown string; the advance of each code, and whether it is a space that word spacing widens."""
+        """The text of a shown string; the advance of each code, and whether it is a space that word spacing widens (or none)."""
         if not self.wide:
             return "".join(map(self.text.__getitem__, data)), list(map(self.advance.__getitem__, data)), [c == 32 for c in data] if 32 in data else []
-        codes = self._codes(data)
-        text = "".join(self._text(c) for c, _ in codes)
+        codes, blanks = self._codes(data)
+        text = "".join(map(self.map.__getitem__, codes))
         if not text.isascii():  # halves of a pair may come from two codes
             text = text.encode("utf-16-be", "surrogatepass").decode("utf-16-be", "replace")
-        return text, [self.widths.get(c, self.width) for c, _ in codes], [c == 32 and n == 1 for c, n in codes]
+        return text, list(map(self.widths.__getitem__, codes)), blanks
 
     def _text(self, code: int) -> str:
-        if code in self.map:
-            return self.map[code]
         for low, high, raw in self.ranges:
             if low <= code <= high:
-                return self.map.setdefault(code, _next(raw, code - low))
+                return _next(raw, code - low)
         return chr(code) if self.utf16 else ""
 
 
+class _Known(dict):
+    """A dictionary that asks for what it doesn't hold, once."""
+
+    def __init__(self, held: dict, ask: Callable):
+        super().__init__(held)
+        self.ask = ask
+
+    def __missing__(self, key):
+        self[key] = found = self.ask(key)
+        return found
+
+
 def _next(raw: bytes, step: int) -> str:
     """The text ``step`` places after ``raw`` (UTF-16BE)."""
     return (raw[:-2] + ((int.from_bytes(raw[-2:], "big") + step) & 65535).to_bytes(2, "big")).decode("utf-16-be", "surrogatepass")

@@ -14,6 +14,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,7 @@ _SPACE = b"\x00\t\n\x0c\r "
 _TOKEN = re.compile(rb"[\x00\t\n\x0c\r ]*(?:%[^\r\n]*[\x00\t\n\x0c\r ]*)*(<<|>>|\[|\]|\(|<|/[^\x00\t\n\x0c\r ()<>\[\]{}/%]*|[^\x00\t\n\x0c\r ()<>\[\]{}/%]+|[{}>)])")
 _REF = re.compile(rb"[\x00\t\n\x0c\r ]+(\d+)[\x00\t\n\x0c\r ]+R(?![^\x00\t\n\x0c\r ()<>\[\]{}/%])")
 _NUMBER = re.compile(rb"[+-]?(?:\d+\.?\d*|\.\d+)$")
+_NOT_HEX = re.compile(rb"[^0-9A-Fa-f]")
 _ESCAPES = {110: b"\n", 114: b"\r", 116: b"\t", 98: b"\b", 102: b"\f"}
 
 
@@ -76,11 +78,15 @@ class Reader:
         if token == b"<":
             end = self.data.find(b">", self.at)
             end = len(self.data) if end < 0 else end
-            digits = re.sub(rb"[^0-9A-Fa-f]", b"", self.data[self.at : end])
+            digits = self.data[self.at : end]
+            if not digits.isalnum():
+                digits = _NOT_HEX.sub(b"", digits)
             self.at = end + 1
             return ("s", bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()))
         if token[:1] == b"/":
-            return Name(re.sub(rb"#([0-9A-Fa-f]{2})", lambda x: bytes.fromhex(x[1].decode()), token[1:]).decode("latin-1"))
+            if b"#" in token:
+                token = re.sub(rb"#([0-9A-Fa-f]{2})", lambda x: bytes.fromhex(x[1].decode()), token)
+            return Name(token[1:].decode("latin-1"))
         if _NUMBER.match(token):
             if token.isdigit() and (r := _REF.match(self.data, self.at)):
                 self.at = r.end()
@@ -471,7 +477,7 @@ class _Text:
             steps = [s + self.word_spacing * self.scale * k for s, k in zip(steps, blanks)]
         before = sum(steps[:-1])
         x, y = e, height - f
-        least = x if m[0] >= 0 and min(steps) >= 0 else x + min(m[0] * sum(steps[:k]) for k in range(len(steps)))
+        least = x if m[0] >= 0 and min(steps) >= 0 else x + min(m[0] * s for s in accumulate(steps[:-1], initial=0.0))
         lines.show(text, x, least, x + before * m[0] + widths[-1] * size, y, y - before * m[1], size)
         self._advance(before + steps[-1])
 
