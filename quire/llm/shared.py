@@ -1,22 +1,16 @@
-"""What the corpus operators have in common: scratch tables, word hashes over Arrow batches, connected components.
-
-Scratch tables are Parquet folders under ``spark.checkpoint.dir`` (read from the session; where it is unset, in a temporary
-folder of a local master, as in tests, and an error on a cluster). They cut lineage: a lost executor costs the tasks that
-ran there, not the job. Tables that a result reads live as long as the session; its end deletes them.
-"""
+"""What the corpus operators have in common: column names, samples, word hashes over Arrow batches, connected components."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
+
 #: Bytes of text that numpy handles at once; a longer document is a block of its own.
 BLOCK_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -25,34 +19,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-class Scratch:
-    """Tables of one operator run, in a folder of their own that all executors share."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not base:
-            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            base = f"{tempfile.gettempdir()}/checkpoints"
-        self.spark, self.root = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        files.mkdirs(path)
-        files.deleteOnExit(path)
-
-    def cut(self, df: DataFrame, label: str) -> DataFrame:
-        """Write ``df`` and read it back: computed once, and recovered from files instead of from its lineage."""
-        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{label}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{label}")
-
-    def drop(self, *labels: str) -> None:
-        """Delete tables that nothing reads any more."""
-        jvm = self.spark._jvm
-        for label in labels:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{label}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def fresh(columns: list[str], *names: str) -> list[str]:
     """``names``, each with as many underscores before it as it takes to differ from all ``columns``."""
     taken, out = {c.lower() for c in columns}, []
