@@ -33,7 +33,7 @@ from .shared import LOWER, Scratch, blocks, byte_hashes, word_bounds
 #: Pieces numbered in one group of a length.
 GROUP = 100_000
 #: Words whose ids a worker remembers.
-CACHE = 2_000_000
+CACHE = 1_000_000
 _ALNUM, _MARKS = np.zeros(256, bool), np.zeros(256, bool)
 _ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = True
 _MARKS[33:127] = ~_ALNUM[33:127]

@@ -85,7 +85,8 @@ def class_rates(narrow: DataFrame, weights: tuple[int, ...], share: float, max_c
 def _sized(docs: DataFrame, seed: int, names: dict[str, str]) -> DataFrame:
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
     size = F.col(names["size"])
-    return docs.withColumn(names["size"], word_count(F.col("text"))).withColumns({names["class"]: F.floor(2 * F.log2(size + 1)).cast("int"), names["u"]: u})
+    # Out of an array, so that words are counted once a row, however often the plan uses their number.
+    return docs.withColumn(names["size"], F.explode(F.array(word_count(F.col("text"))))).withColumns({names["class"]: F.floor(2 * F.log2(size + 1)).cast("int"), names["u"]: u})
 
 
 def _ranked(frame: DataFrame, rates: DataFrame, names: dict[str, str]) -> DataFrame:
