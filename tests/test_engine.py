@@ -253,6 +253,23 @@ def test_wrap():
     assert drawn_cover("A & B", "C").count("<text") == 2
 
 
+def test_wrap_of_all_rows(spark):
+    """Each line is as many of the words that follow as fit, one character of an overlong word at least; all rows of the query."""
+    advance = lambda c: 1.0 if c.islower() else 1.5
+    width = lambda t: sum(map(advance, t))
+    texts = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").select("item_id", "text").collect()}
+    found = registry.queries()["q35_word_wrap"](spark, SMALL).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        lines = r["wrapped"].split("\n") if r["wrapped"] else []
+        assert r["n_lines"] == len(lines) and all(width(x) <= 60 + 1e-6 for x in lines)
+        words = (texts[r["item_id"]] or "").split()
+        assert "".join(lines).replace(" ", "") == "".join(words)
+        if all(width(w) <= 60 for w in words):
+            assert " ".join(lines).split() == words
+            assert all(width(a) + 1 + 0.5 + width(b.split()[0]) > 60 - 1e-6 for a, b in zip(lines, lines[1:]))
+
+
 def rows_of(found):
     return sorted([tuple(round(x, 9) if isinstance(x, float) else int(x) if isinstance(x, bool) else x for x in r) for r in found], key=repr)
 
