@@ -74,12 +74,12 @@ def measured(arrays: DataFrame) -> DataFrame:
     }
     texts = texts.withColumns({k: F.expr(v) for k, v in sorted_.items()})
     found = {
-        "body_font": f"greatest({ranked('_fonts', '0.5')}, {SMALLEST}D)",
+        "body_font": f"if(size(_fonts) = 0, null, greatest({ranked('_fonts', '0.5')}, {SMALLEST}D))",
         "margin": ranked("_margins", "0.10"),
-        "gap": f"greatest({ranked('_gaps', '0.5')}, {SMALLEST}D)",
+        "gap": f"if(size(_gaps) = 0, null, greatest({ranked('_gaps', '0.5')}, {SMALLEST}D))",
         "chapter_font": "if(size(_all) = 0, null, _all[cast(floor(size(_all) / 2) as int)])",
     }
-    return texts.withColumns({k: F.when(F.expr("size(_gaps) > 0") if k == "gap" else F.expr("size(_fonts) > 0 or size(_all) > 0"), F.expr(v)) for k, v in found.items()}).drop("texts", *sorted_)
+    return texts.withColumns({k: F.expr(v) for k, v in found.items()}).drop("texts", *sorted_)
 
 
 def profile(docs: DataFrame, events: DataFrame, images: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:

@@ -104,6 +104,23 @@ def test_chapters(spark, rows, expected):
     assert chapter_list(spark, rows) == expected
 
 
+@pytest.mark.parametrize(
+    ("rows", "expected"),
+    [
+        ([], (1.0, 0.0, 1.0, 1.0)),
+        ([(1, 10, "  ", 15, 0.3), (1, 20, "\t", 12, 0.4)], (1.0, 0.0, 1.0, 15.0)),  # blank lines only
+        ([(1, 10, 0, 0, 0)], (1.0, 0.0, 1.0, 1.0)),
+        ([(1, 10, "a", 0, 0.2)], (L.SMALLEST, 0.2, L.SMALLEST, 0.0)),
+        ([(1, 10, "a", 12, 0.2), (2, 5, "b", 10, 0.1), (2, 25, "c", 14, 0.3), (2, 25, "d", 14, 0.3)], (14.0, 0.1, 20.0, 14.0)),
+    ],
+)
+def test_metrics(spark, rows, expected):
+    docs, events = flow(spark, rows)
+    r = L.profile(docs, events).first()
+    assert (r["baseline_font"], r["left_margin"], r["line_gap"], r["baseline"]) == expected
+    assert L.body_font(events).count() == L.left_margin(events).count() == int(any(isinstance(t, str) and t.strip() for _, _, t, _, _ in rows))
+
+
 @pytest.mark.parametrize(
     ("sizes", "expected"),
     [
