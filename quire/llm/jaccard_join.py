@@ -14,7 +14,8 @@ prefix entries and list positions that they replace.
    length, position and parity filters (all exact), lists keep pairs of different clusters only. A list longer than
    ``LIST_BLOCK`` is split by set size (only sets of one class of sizes or of the next can link), and what is longer
    still is dealt out as pairs of blocks; a cluster with many members in a list has blocks of its own, which never meet.
-4. Surviving pairs are verified on whole sets; components of all links follow.
+4. Surviving pairs are verified on whole sets, a document's own sent once for ``PAIRS`` of them; components of all links
+   follow.
 
 Defined results: null text or no words is an empty set, linked with nothing; fewer words than ``size`` are one shingle;
 a null doc_id is its own row with a null component; repeated rows are equal sets; texts of any length are one set; an
@@ -324,19 +325,27 @@ def _list_pairs(percent: int, light: int):
     return run
 
 
+#: Pairs of one document that are verified in one task; its text is sent once for as many.
+PAIRS = 256
+
+
 def _verified(size: int, percent: int):
-    """Pairs with both texts: those that link, on whole sets."""
+    """Rows (a, salt, b, text) sorted by a and salt, a's own text (without b) first: the pairs that link, on whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, own = None, None
         for batch in batches:
-            keep = []
-            left, right = (list(blocks(batch.column(c), 1)) for c in (2, 3))
-            for k, (x, y) in enumerate(zip(left, right)):
-                a, b = shingle_sets(x[2], x[3], size)[0], shingle_sets(y[2], y[3], size)[0]
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                if both and 100 * both >= percent * (len(a) + len(b) - both):
-                    keep.append(k)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            left, salt, right = (batch.column(c).to_pylist() for c in range(3))
+            found = []
+            for row, _, data, offsets in blocks(batch.column(3), 1):
+                mine = shingle_sets(data, offsets, size)[0]
+                if right[row] is None:
+                    held, own = (left[row], salt[row]), mine
+                elif held == (left[row], salt[row]):
+                    both = len(np.intersect1d(own, mine, assume_unique=True))
+                    if both and 100 * both >= percent * (len(own) + len(mine) - both):
+                        found.append((left[row], right[row]))
+            yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
     return run
 
@@ -366,8 +375,11 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         pairs = scratch.cut(pairs.select("a", "b").distinct(), f"{label}-pairs")
         ids = scratch.cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), f"{label}-ids")
         own = scratch.cut(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), f"{label}-texts")
-        both = pairs.join(own.toDF("a", "text_a"), "a").join(own.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-        out = scratch.cut(both.mapInArrow(_verified(size, percent), "a long, b long"), label)
+        salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(PAIRS)).alias("salts"))
+        heads = own.toDF("a", "text").join(salts, "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "text")
+        rest = pairs.join(salts, "a").select("a", F.expr("pmod(xxhash64(b), salts)").alias("salt"), "b").join(own.toDF("b", "text"), "b").select("a", "salt", "b", "text")
+        dealt = heads.unionByName(rest).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
+        out = scratch.cut(dealt.mapInArrow(_verified(size, percent), "a long, b long"), label)
         scratch.drop(f"{label}-pairs", f"{label}-ids", f"{label}-texts")
         return out
 
