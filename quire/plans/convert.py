@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -40,9 +40,10 @@ def document_metadata(files: DataFrame, rows: DataFrame, overrides: DataFrame |
         out = out.join(own, "doc_id", "left")
     else:
         out = out.withColumns({f"own_{c}": F.lit(None).cast("string") for c in ("title", "author", "lang")})
-    name = T.epub_name(F.col("path"))
-    alone = F.count("*").over(Window.partitionBy("plain")) == 1
-    out = out.withColumn("plain", name).withColumn("name", F.when(alone, F.col("plain")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit("-"), F.col("plain"))))
+    # Counted before they are joined, so that a name that most files have is no task of its own.
+    common = files.groupBy(T.epub_name(F.col("path")).alias("common")).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    out = out.withColumn("plain", T.epub_name(F.col("path"))).join(common, F.col("plain") == F.col("common"), "left")
+    out = out.withColumn("name", F.when(F.col("common").isNull(), F.col("plain")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit("-"), F.col("plain"))))
     return out.select("doc_id", "path", F.coalesce("own_title", "title", T.file_title(F.col("path"))).alias("title"), F.coalesce("own_author", "author", F.lit("")).alias("author"), F.col("own_lang").alias("lang"), "name")
 
 
