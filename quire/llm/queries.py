@@ -12,12 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ppm_language, toxicity_pu
+from .exact_topk import top_k
 from .fixity import fixity_audit
+from .importance import importance_digest
 from .jaccard_join import jaccard_classes
 from .line_block import extract_main_text
 from .metric_join import near_vectors
 from .packing import pack_documents
 from .pareto_mix import mix_digest
+from .point_in_time import labelled_features
 from .sql import ORACLES
 from .substring_dedup import substring_dedup_digest
 from .tiff import text_media
@@ -80,6 +83,19 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer, capacity=2048, end_id=0)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, least_words=20, seed=7)
+
+
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), k=10, modulus=100, scale=1024)
+
+
+def op13_point_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", "lang")
+    return labelled_features(documents, table(spark, sf_dir, "labels").select("doc_id"), fresh_seconds=60)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_fixity": op1_warc_fixity,
@@ -92,6 +108,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_block": op8_line_block,
         "op9_pareto_mix": op9_pareto_mix,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op11_importance_resampling": op11_importance_resampling,
+        "op12_exact_topk": op12_exact_topk,
+        "op13_point_in_time": op13_point_in_time,
     }
 
 

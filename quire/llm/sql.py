@@ -71,4 +71,54 @@ SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component, vec_id) AS compone
 FROM embeddings LEFT JOIN counts ON a = vec_id LEFT JOIN least ON node = vec_id
 """
 
-ORACLES = {"op1_warc_fixity": OP1, "op2_substring_dedup": OP2, "op3_jaccard_join": OP3, "op6_metric_join": OP6}
+_FEATURES = r"""SELECT {id} AS id, words, list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS features
+    FROM (SELECT {id}, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words FROM {table})"""
+
+#: CRC-32 bytewise, by the table of its register after each byte value.
+OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, * FROM ({_FEATURES.format(id="doc_id", table="documents")})), b AS ({_FEATURES.format(id="item_id", table="benchmark")}),
+register AS (SELECT list_transform(range(256), lambda v: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, v)) AS after),
+f AS (SELECT DISTINCT feature FROM (SELECT unnest(features) AS feature FROM d UNION ALL SELECT unnest(features) FROM b)),
+h AS (SELECT feature, xor(list_reduce(list_transform(range(octet_length(encode(feature))), lambda i: CAST('0x' || substr(hex(encode(feature)), 2 * i + 1, 2) AS BIGINT)),
+    lambda c, x: xor(after[xor(c, x) % 256 + 1], c // 256), 4294967295), 4294967295) % 10000 AS bucket FROM f, register),
+dh AS (SELECT r, bucket FROM (SELECT r, unnest(features) AS feature FROM d) JOIN h USING (feature)), bh AS (SELECT bucket FROM (SELECT unnest(features) AS feature FROM b) JOIN h USING (feature)),
+s AS (SELECT bucket, count(*) AS s FROM dh GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM bh GROUP BY bucket),
+gains AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dh) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT count(*) FROM bh) + 10000)::DOUBLE))) AS gain FROM s LEFT JOIN t USING (bucket)),
+sums AS (SELECT r, sum(gain) AS gain FROM dh JOIN gains USING (bucket) GROUP BY r),
+w AS (SELECT r, id AS doc_id, len(words) AS n_words, len(features) AS n_features, CAST(floor(coalesce(gain, 0) / greatest(len(features), 1)) AS BIGINT) AS weight FROM d LEFT JOIN sums USING (r)),
+scored AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((CAST('0x' || left(sha256('7:' || doc_id::VARCHAR), 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM w),
+ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id, n_features, weight) AS rank, count(*) OVER () AS n FROM scored WHERE n_words >= 20 AND score IS NOT NULL)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN rank <= 25 * n // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (r)
+"""
+
+OP12 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT DISTINCT vec_id, e FROM v WHERE vec_id % 100 = 0),
+s AS (SELECT q.vec_id AS query_id, q.e AS asked, v.vec_id, CAST(coalesce(list_inner_product(q.e, v.e), 0) AS BIGINT) AS score FROM q JOIN v ON q.vec_id <> v.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id, asked ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+OP13 = """
+WITH drawn AS (SELECT doc_id, source, lang, CAST(n_chars AS BIGINT) AS n_chars, sha256(doc_id::VARCHAR) AS h FROM documents),
+v AS (SELECT *, event - 60 + CAST('0x' || substr(h, 9, 8) AS BIGINT) % 300 AS arrival, event + CAST('0x' || substr(h, 17, 8) AS BIGINT) % 900 AS expiry
+    FROM (SELECT *, CAST('0x' || left(h, 8) AS BIGINT) % 20000 AS event FROM drawn)),
+asked AS (SELECT row_number() OVER () AS r, doc_id, CAST('0x' || substr(sha256(doc_id::VARCHAR), 25, 8) AS BIGINT) % 20000 AS t FROM labels),
+sources AS (SELECT doc_id, min(source) AS source FROM documents GROUP BY doc_id),
+met AS (SELECT r, t - event AS age, v.doc_id AS version_id, n_chars, lang, row_number() OVER (PARTITION BY r ORDER BY event DESC, arrival, v.doc_id DESC) AS k
+    FROM asked JOIN sources USING (doc_id) JOIN v ON v.source = sources.source WHERE event <= t AND arrival <= t AND t < expiry)
+SELECT doc_id, t, version_id, age, CASE WHEN age IS NULL THEN 'none' WHEN age > 60 THEN 'stale' ELSE 'fresh' END AS status,
+    CASE WHEN age <= 60 THEN n_chars END AS n_chars, CASE WHEN age <= 60 THEN lang END AS lang
+FROM asked LEFT JOIN (SELECT * FROM met WHERE k = 1) USING (r)
+"""
+
+ORACLES = {
+    "op1_warc_fixity": OP1,
+    "op2_substring_dedup": OP2,
+    "op3_jaccard_join": OP3,
+    "op6_metric_join": OP6,
+    "op11_importance_resampling": OP11,
+    "op12_exact_topk": OP12,
+    "op13_point_in_time": OP13,
+}
