@@ -38,9 +38,14 @@ def image_tag(source: Column) -> Column:
     return F.concat(F.lit('<img src="'), source, F.lit('" alt=""/>\n'))
 
 
+def image_path(filename: Column) -> Column:
+    """Where a chapter finds an image of its book."""
+    return F.concat(F.lit("images/"), filename)
+
+
 def block_html(kind: Column, text: Column, filename: Column) -> Column:
     """Markup of a block; null for an image without a file."""
-    out = F.when(kind == "image", image_tag(F.concat(F.lit("images/"), filename)))
+    out = F.when(kind == "image", image_tag(image_path(filename)))
     for name, (opening, closing) in BLOCK_TAGS.items():
         out = out.when(kind == name, tagged(text, opening, closing))
     return out

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import data_uri, escape_html
+from ..functions.text import data_uri, escape_html, image_path
+from .layout import body_html
 
 # Sizes in pixels.
 LEAST_WIDTH, LEAST_HEIGHT = 300, 400
@@ -71,32 +72,33 @@ def resources(images: DataFrame, covers: DataFrame) -> DataFrame:
     return left.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k", "consumed_image")
 
 
-def preview_pages(documents: DataFrame, meta: DataFrame, cover_uris: DataFrame) -> DataFrame:
-    """One page per document: cover, title, author, and all chapters (their body with images as data URIs).
+def image_uris(images: DataFrame) -> DataFrame:
+    """images with uri in the place of bytes."""
+    return images.withColumn("uri", data_uri(F.col("mime"), F.col("bytes"))).drop("bytes")
+
 
-    ``documents``: doc_id, out_ord, title, body; ``meta``: doc_id, title, author; ``cover_uris``: doc_id, cover_uri.
+def preview_pages(chapters: DataFrame, meta: DataFrame, uris: DataFrame) -> DataFrame:
+    """One page per document: cover, title, author, and all chapters with their images as data URIs.
+
+    ``chapters``: doc_id, out_ord, title, pieces (of ``written_chapters``); ``meta``: doc_id, title, author, cover_uri;
+    ``uris``: doc_id, image_idx, filename, uri, of equal names the first counts. A document's URIs are sent once and meet its
+    page, where each image block takes its own: no chapter meets those of others.
     """
-    part = F.concat(F.lit('<h2 id="chap'), F.col("out_ord").cast("string"), F.lit('">'), escape_html(F.col("title")), F.lit("</h2>\n"), F.col("body"), F.lit("\n<hr/>\n"))
-    parts = documents.select("doc_id", "out_ord", part.alias("part")).groupBy("doc_id").agg(F.expr("listagg(part, '') within group (order by out_ord)").alias("parts"))
+    chapter = F.struct("out_ord", "title", "pieces")
+    pages = chapters.groupBy("doc_id").agg(F.array_sort(F.collect_list(chapter)).alias("chapters"))
+    own = uris.repartition("doc_id").groupBy("doc_id", "filename").agg(F.min_by("uri", "image_idx").alias("uri"))
+    own = own.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("filename", "uri"))).alias("uris"))
+    part = lambda c: F.concat(
+        F.lit('<h2 id="chap'), c["out_ord"].cast("string"), F.lit('">'), escape_html(c["title"]), F.lit("</h2>\n"),
+        body_html(c["pieces"], lambda name: F.coalesce(F.element_at("uris", name), image_path(name))), F.lit("\n<hr/>\n"),
+    )
     title, author = escape_html(F.col("title")), escape_html(F.col("author"))
     page = F.concat(
         F.lit('<!doctype html><html><head><meta charset="utf-8"><title>Preview: '), title, F.lit(f"</title><style>{PREVIEW_STYLE}</style></head><body>"),
         F.lit('<img class="cover" src="'), F.col("cover_uri"), F.lit('" alt="Capa"/>\n<h1>'), title, F.lit("</h1>\n<p><em>"), author, F.lit("</em></p>\n"),
-        F.coalesce("parts", F.lit("")), F.lit("</body></html>"),
+        F.coalesce(F.array_join(F.transform("chapters", part), ""), F.lit("")), F.lit("</body></html>"),
     )
-    return meta.join(cover_uris, "doc_id").join(parts, "doc_id", "left").select("doc_id", page.alias("html"))
-
-
-def image_uris(images: DataFrame) -> DataFrame:
-    """images with uri in the place of bytes."""
-    return images.withColumn("uri", data_uri(F.col("mime"), F.col("bytes"))).drop("bytes")
-
-
-def inlined(documents: DataFrame, uris: DataFrame) -> DataFrame:
-    """``documents`` (doc_id, body) with data URIs in the place of paths of images (doc_id, image_idx, filename, uri)."""
-    own = uris.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("image_idx", "filename", "uri"))).alias("_uris"))
-    body = F.expr("aggregate(_uris, body, (b, u) -> replace(b, concat('images/', u.filename), u.uri))")
-    return documents.join(own, "doc_id", "left").withColumn("body", F.coalesce(body, F.col("body"))).drop("_uris")
+    return meta.join(pages, "doc_id", "left").join(own, "doc_id", "left").select("doc_id", page.alias("html"))
 
 
 def parse_diagnostics(rows: DataFrame) -> DataFrame:

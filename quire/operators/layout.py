@@ -7,15 +7,18 @@ Tables: ``docs`` (doc_id), ``events`` (doc_id, page_num, arrival_seq, y, is_imag
 Two exchanges by doc_id carry a document: its numbers (no text), from which one aggregate makes the ``profile`` with all
 that is known of the whole document (metrics, opening images, names of images), and its events. These meet by doc_id, and
 every later state is a lag or a running sum over windows by doc_id, every later aggregate has doc_id among its keys: text
-is sent once.
+is sent once. Documents too large for one task have ``ranges`` in the place of these windows, and ``ranks`` in the place of
+the profile's arrays.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import FIRST_CHAPTER, block_html, has_words, is_chapter_line, utrim, xhtml_document
+from ..functions.text import FIRST_CHAPTER, block_html, has_words, image_path, image_tag, is_chapter_line, utrim, xhtml_document
 
 # Thresholds, relative to a document's metrics or to the page width.
 INDENT, PARAGRAPH_GAP, RIGHT_X = 0.012, 1.35, 0.45
@@ -29,9 +32,9 @@ def d(x: float) -> Column:
 
 
 def ordered(events: DataFrame) -> DataFrame:
-    """Adds event_seq: pages in order, then y, lines before images, then arrival."""
+    """Adds event_seq: pages in order, then y, lines before images, then arrival; null in rows without an event."""
     order = Window.partitionBy("doc_id").orderBy("page_num", "y", "is_image", "arrival_seq")
-    return events.withColumn("event_seq", F.row_number().over(order))
+    return events.withColumn("event_seq", F.when(F.col("is_image").isNotNull(), F.row_number().over(order)))
 
 
 def all_events(lines: DataFrame, images: DataFrame) -> DataFrame:
@@ -51,15 +54,32 @@ def ranked(values: str, q: str) -> str:
     return f"if(size({values}) = 0, null, {values}[cast(round((size({values}) - 1) * {q}D) as int)])"
 
 
-def numbers(events: DataFrame) -> DataFrame:
-    """One row per document with events: its lines and shown images as arrays in reading order, and its first two pages."""
+def profile_rows(docs: DataFrame, events: DataFrame, images: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
+    """What a profile is made of: doc_id with page_num (of a page), line, shown or entry (of an image), or none of them.
+
+    ``pages`` (doc_id, page_num), where given, are the document's pages; else they are those that have events.
+    """
     line = F.struct("page_num", "y", "arrival_seq", (utrim(F.col("text")) == "").alias("blank"), "font_size", "x_start")
     shown = F.struct("page_num", "y", "arrival_seq", "image_idx")
-    slim = events.select("doc_id", "page_num", F.when(F.col("is_image") == 0, line).alias("line"), F.when(F.col("is_image") == 1, shown).alias("shown"))
-    return slim.groupBy("doc_id").agg(
+    page = F.col("page_num") if pages is None else F.lit(None).cast("int")
+    out = events.select("doc_id", page.alias("page_num"), F.when(F.col("is_image") == 0, line).alias("line"), F.when(F.col("is_image") == 1, shown).alias("shown"))
+    out = out.unionByName(docs.select("doc_id"), True)
+    if pages is not None:
+        out = out.unionByName(pages.select("doc_id", "page_num"), True)
+    if images is not None:
+        entry = F.struct(F.col("image_idx").alias("key"), F.struct("filename", "mime", "width", "height").alias("value"))
+        out = out.unionByName(images.select("doc_id", entry.alias("entry")), True)
+    return out
+
+
+def numbers(rows: DataFrame) -> DataFrame:
+    """One row per document: its lines and shown images as arrays in reading order, its first two pages, and entries."""
+    entries = [F.collect_list("entry").alias("entries")] if "entry" in rows.columns else []
+    return rows.groupBy("doc_id").agg(
         F.array_sort(F.collect_list("line")).alias("lines"),
         F.array_sort(F.collect_list("shown")).alias("shown"),
         F.slice(F.array_sort(F.collect_set("page_num")), 1, 2).alias("opening"),
+        *entries,
     )
 
 
@@ -82,45 +102,45 @@ def measured(arrays: DataFrame) -> DataFrame:
     return texts.withColumns({k: F.expr(v) for k, v in found.items()}).drop("texts", *sorted_)
 
 
-def profile(docs: DataFrame, events: DataFrame, images: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
-    """One row per document: baseline_font, left_margin, line_gap (1, 0 and 1 without lines), baseline (of chapters; 1
-    without lines), shown, opening, and names (of images, by image_idx).
-
-    ``pages`` (doc_id, page_num), where given, are the document's pages; else they are those that have events.
-    """
-    found = measured(numbers(events)).select("doc_id", "shown", "opening", "body_font", "margin", "gap", "chapter_font")
-    out = docs.select("doc_id").join(found, "doc_id", "left")
-    if pages is not None:
-        opening = pages.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_set("page_num")), 1, 2).alias("opening"))
-        out = out.drop("opening").join(opening, "doc_id", "left")
-    if images is not None:
-        entry = F.struct("image_idx", F.struct("filename", "mime", "width", "height"))
-        out = out.join(images.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(entry)).alias("names")), "doc_id", "left")
+def profile_of(rows: DataFrame) -> DataFrame:
+    """One row per document of ``profile_rows``: baseline_font, left_margin, line_gap (1, 0 and 1 without lines), baseline
+    (of chapters; 1 without lines), shown, opening, and names (of images, by image_idx; null without images)."""
+    found = measured(numbers(rows))
+    names = [F.when(F.size("entries") > 0, F.map_from_entries("entries")).alias("names")] if "entries" in found.columns else []
     font = F.when(F.col("body_font") > 0, F.col("body_font")).otherwise(d(1))
-    return out.withColumns(
-        {"baseline_font": F.coalesce("body_font", d(1)), "left_margin": F.coalesce("margin", d(0)), "line_gap": F.coalesce("gap", font), "baseline": F.coalesce("chapter_font", d(1))}
-    ).drop("body_font", "margin", "gap", "chapter_font")
+    metrics = {"baseline_font": F.coalesce("body_font", d(1)), "left_margin": F.coalesce("margin", d(0)), "line_gap": F.coalesce("gap", font), "baseline": F.coalesce("chapter_font", d(1))}
+    return found.select("doc_id", "shown", "opening", *names, *[c.alias(n) for n, c in metrics.items()])
+
+
+def profile(docs: DataFrame, events: DataFrame, images: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
+    """``profile_of`` the ``profile_rows`` of these tables."""
+    return profile_of(profile_rows(docs, events, images, pages))
 
 
-def body_font(events: DataFrame) -> DataFrame:
-    return measured(numbers(events)).where("body_font is not null").select("doc_id", F.col("body_font").alias("baseline_font"))
+def body_font(rows: DataFrame) -> DataFrame:
+    """Of ``profile_rows``; this and the next two give no row for documents without such lines."""
+    return measured(numbers(rows)).where("body_font is not null").select("doc_id", F.col("body_font").alias("baseline_font"))
 
 
-def left_margin(events: DataFrame) -> DataFrame:
-    return measured(numbers(events)).where("margin is not null").select("doc_id", F.col("margin").alias("left_margin"))
+def left_margin(rows: DataFrame) -> DataFrame:
+    return measured(numbers(rows)).where("margin is not null").select("doc_id", F.col("margin").alias("left_margin"))
 
 
-def line_gap(events: DataFrame) -> DataFrame:
-    return measured(numbers(events)).where("gap is not null").select("doc_id", F.col("gap").alias("line_gap"))
+def line_gap(rows: DataFrame) -> DataFrame:
+    return measured(numbers(rows)).where("gap is not null").select("doc_id", F.col("gap").alias("line_gap"))
 
 
-def layout_metrics(docs: DataFrame, events: DataFrame) -> DataFrame:
-    return profile(docs, events).select("doc_id", "baseline_font", "left_margin", "line_gap")
+def line_medians(events: DataFrame) -> DataFrame:
+    """doc_id and chapter_font: the upper median of the font sizes of all lines, blank ones too; from counts by size."""
+    sizes = events.where("is_image = 0").groupBy("doc_id", "font_size").agg(F.count("*").alias("n"))
+    of = Window.partitionBy("doc_id")
+    at = sizes.withColumn("upto", F.sum("n").over(of.orderBy("font_size"))).withColumn("place", F.floor(F.sum("n").over(of) / 2))
+    return at.where("upto > place and upto - n <= place").select("doc_id", F.col("font_size").alias("chapter_font"))
 
 
-def chapter_baseline(docs: DataFrame, events: DataFrame) -> DataFrame:
-    """The upper median of the font sizes of all lines, blank ones too; 1 without lines."""
-    return profile(docs, events).select("doc_id", "baseline")
+def with_baselines(events: DataFrame) -> DataFrame:
+    """``events``, ordered or not, with the ``baseline`` of their document: line_medians, or 1 without lines."""
+    return events.join(line_medians(events), "doc_id", "left").withColumn("baseline", F.coalesce("chapter_font", d(1))).drop("chapter_font")
 
 
 def with_headings(flow: DataFrame) -> DataFrame:
@@ -225,23 +245,35 @@ def rendered_blocks(kinds: DataFrame) -> DataFrame:
     return found.withColumn("html", block_html(F.col("kind"), F.col("text"), F.col("filename"))).where("html is not null").drop("title", "n_events")
 
 
-def chapter_bodies(kinds: DataFrame, image_html: Column | None = None) -> DataFrame:
-    """Chapters (doc_id, chapter_id, chapter_ord, title, n_events) with body, '' if nothing was rendered.
+def chapter_pieces(kinds: DataFrame) -> DataFrame:
+    """Chapters (doc_id, chapter_id, chapter_ord, title, n_events) with pieces: their blocks in order, each with html, or,
+    of an image that has an asset, with its filename. ``kinds`` has filename."""
+    parts = _grouped(kinds)
+    html = F.when(F.col("kind") != "image", block_html(F.col("kind"), F.col("text"), F.col("filename")))
+    piece = F.struct("block_ord", html.alias("html"), F.when(F.col("kind") == "image", F.col("filename")).alias("filename"))
+    piece = F.when((F.col("block_ord") > 0) & ((F.col("kind") != "image") | F.col("filename").isNotNull()), piece)
+    found = parts.groupBy("doc_id", "chapter_id").agg(F.max("title").alias("title"), F.sum("n_events").alias("n_events"), F.array_sort(F.collect_list(piece)).alias("pieces"))
+    return _retained(found).select("doc_id", "chapter_id", "chapter_ord", "title", "n_events", "pieces")
 
-    ``image_html`` is the markup of an image by filename, where it is not that of a file beside the chapter.
-    """
-    html = block_html(F.col("kind"), F.col("text"), F.col("filename"))
-    if image_html is not None:
-        html = F.when(F.col("kind") == "image", image_html).otherwise(html)
-    parts = _grouped(kinds).withColumn("html", F.when(F.col("block_ord") > 0, html))
-    found = parts.groupBy("doc_id", "chapter_id").agg(
-        F.max("title").alias("title"), F.sum("n_events").alias("n_events"), F.coalesce(F.expr("listagg(html, '') within group (order by block_ord)"), F.lit("")).alias("body")
-    )
-    return _retained(found).select("doc_id", "chapter_id", "chapter_ord", "title", "n_events", "body")
+
+def body_html(pieces: Column, source: Callable[[Column], Column] = image_path) -> Column:
+    """The markup of ``pieces``, images with the ``source`` of their filename; '' of none."""
+    return F.array_join(F.transform(pieces, lambda p: F.coalesce(p["html"], image_tag(source(p["filename"])))), "")
+
+
+def chapter_bodies(kinds: DataFrame) -> DataFrame:
+    """``chapter_pieces`` with body in the place of pieces; images are files beside the chapter."""
+    return chapter_pieces(kinds).withColumn("body", body_html(F.col("pieces"))).drop("pieces")
+
+
+def written_chapters(pieces: DataFrame) -> DataFrame:
+    """Chapters whose body is not blank, numbered anew: doc_id, out_ord, href, title, pieces."""
+    shows = F.exists("pieces", lambda p: p["filename"].isNotNull() | (utrim(p["html"]) != ""))
+    kept = pieces.where(shows).withColumn("out_ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("chapter_ord")))
+    return kept.select("doc_id", "out_ord", F.format_string("chap_%02d.xhtml", "out_ord").alias("href"), "title", "pieces")
 
 
-def chapter_documents(bodies: DataFrame) -> DataFrame:
-    """Chapters whose body is not blank, numbered anew: doc_id, out_ord, href, title, body, xhtml."""
-    kept = bodies.where(utrim(F.col("body")) != "")
-    out = kept.withColumn("out_ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("chapter_ord")))
-    return out.select("doc_id", "out_ord", F.format_string("chap_%02d.xhtml", "out_ord").alias("href"), "title", "body", xhtml_document(F.col("title"), F.col("body")).alias("xhtml"))
+def chapter_documents(chapters: DataFrame) -> DataFrame:
+    """``written_chapters`` with body and xhtml in the place of pieces."""
+    found = chapters.withColumn("body", body_html(F.col("pieces"))).drop("pieces")
+    return found.withColumn("xhtml", xhtml_document(F.col("title"), F.col("body")))

@@ -97,7 +97,8 @@ def convert(files: DataFrame, overrides: DataFrame | None = None, cover_files: D
     known = scratch.cut(C.with_cover(L.profile(docs, L.all_events(lines, shown), assets.drop("bytes"), pages), given), "profile")
     flow = known.withColumn("consumed_image", F.col("cover.consumed_image")).drop("shown", "opening", "cover").join(L.union_events(lines, shown), "doc_id", "left")
     marked = L.chapter_events(L.with_names(flow))
-    chapters = scratch.cut(L.chapter_documents(L.chapter_bodies(L.classified(marked))), "chapters")
+    written = scratch.cut(L.written_chapters(L.chapter_pieces(L.classified(marked))), "chapters")
+    chapters = L.chapter_documents(written)
 
     chosen = known.select("doc_id", "cover.*")
     covers = chosen.join(assets.select("doc_id", F.col("image_idx").alias("consumed_image"), F.col("bytes").alias("own")), ["doc_id", "consumed_image"], "left")
@@ -112,7 +113,7 @@ def convert(files: DataFrame, overrides: DataFrame | None = None, cover_files: D
     loaded = metadata.join(docs, "doc_id", "left_semi")
     epubs = sinks.epub_files(loaded, chapters, resources, covers, lang)
     uris = covers.select("doc_id", T.data_uri(F.col("mime"), F.col("bytes")).alias("cover_uri"))
-    html = C.preview_pages(C.inlined(chapters, C.image_uris(assets)), loaded.select("doc_id", "title", "author"), uris)
+    html = C.preview_pages(written, loaded.select("doc_id", "title", "author").join(uris, "doc_id"), C.image_uris(assets))
     previews = html.join(loaded.select("doc_id", F.concat(F.regexp_replace("name", r"\.epub$", ""), F.lit(".preview.html")).alias("path")), "doc_id").select("doc_id", "path", F.col("html").alias("content"))
     diagnostics = C.diagnostics(marked, C.cover_candidates(known)).unionByName(C.parse_diagnostics(rows))
     if cover_files is not None:

@@ -14,43 +14,57 @@ def document_lines(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
 
 
-def flow_lines(documents: DataFrame) -> DataFrame:
-    return document_lines(documents).selectExpr(
+def flow_rows(documents: DataFrame) -> DataFrame:
+    """A row for each line with all that comes from it: the line of the flow, and its image where ``pictured``.
+
+    A document without text has one row, whose ``i`` is null.
+    """
+    lines = documents.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("i", "line"))
+    return lines.selectExpr(
         "doc_id",
+        "i",
         "cast(floor(i / 40) as int) + 1 as page_num",
-        "2 * i as arrival_seq",
         "60D + 19.5D * (i % 40) + case when (doc_id * 3 + i) % 8 = 5 then 12D else 0D end as y",
-        "0 as is_image",
         "case when (doc_id + i) % 19 = 7 then concat(element_at(array('Chapter ', 'Capítulo ', 'PARTE ', 'part '), cast((doc_id + i) % 4 as int) + 1), cast(i + 1 as string))"
         " when (doc_id + i) % 31 = 11 then '   ' else line end as text",
         "case when length(line) < 60 and (doc_id * 31 + i * 17) % 23 = 0 then 20D when (doc_id + i * 7) % 29 = 0 then 12D else 15D end as font_size",
         "case when (doc_id * 13 + i * 5) % 7 = 0 then 0.155D when (doc_id + i) % 37 = 0 then 0.62D else 0.126D end as x_start",
-        "cast(null as int) as image_idx",
+        "coalesce((doc_id * 7 + i) % 11 = 0, false) as pictured",
+        "60D + 19.5D * (i % 40) + case when i % 3 = 0 then 0D else 9D end as image_y",
+        "concat('img_', cast((doc_id * 3 + i) % 9 as string), '_0.', case when (doc_id + i) % 3 = 0 then 'png' else 'jpg' end) as filename",
+        "case when (doc_id + i) % 3 = 0 then 'image/png' else 'image/jpeg' end as mime",
+        "cast(100 + (doc_id * 37 + i * 53) % 1500 as int) as width",
+        "cast(100 + (doc_id * 91 + i * 29) % 2000 as int) as height",
     )
 
 
-def flow_images(documents: DataFrame) -> DataFrame:
-    """Image events; every third stands at the height of its line (a tie in y)."""
-    return document_lines(documents).where("(doc_id * 7 + i) % 11 = 0").selectExpr(
-        "doc_id",
-        "cast(floor(i / 40) as int) + 1 as page_num",
-        "2 * i + 1 as arrival_seq",
-        "60D + 19.5D * (i % 40) + case when i % 3 = 0 then 0D else 9D end as y",
-        "1 as is_image",
-        "i as image_idx",
-    )
+_LINE = "named_struct('page_num', page_num, 'arrival_seq', 2 * i, 'y', y, 'is_image', 0, 'text', text, 'font_size', font_size, 'x_start', x_start, 'image_idx', cast(null as int))"
+_SHOWN = "named_struct('page_num', page_num, 'arrival_seq', 2 * i + 1, 'y', image_y, 'is_image', 1, 'text', cast(null as string), 'font_size', cast(null as double), 'x_start', cast(null as double), 'image_idx', i)"
+
+
+def flow_events(rows: DataFrame) -> DataFrame:
+    """The events of ``flow_rows``; a row without an event (all of it null) for documents that have none."""
+    return rows.selectExpr("doc_id", f"inline_outer(case when pictured then array({_LINE}, {_SHOWN}) when i is not null then array({_LINE}) end)")
+
+
+def flow_profile_rows(rows: DataFrame) -> DataFrame:
+    """What ``operators.layout.profile_rows`` makes of the events and images of ``flow_rows``, without taking them apart."""
+    return rows.select(
+        "doc_id", "page_num",
+        F.expr("case when i is not null then named_struct('page_num', page_num, 'y', y, 'arrival_seq', 2 * i, 'blank', regexp_replace(text, '(?U)^\\\\s+|\\\\s+$', '') = '', 'font_size', font_size, 'x_start', x_start) end").alias("line"),
+        F.expr("case when pictured then named_struct('page_num', page_num, 'y', image_y, 'arrival_seq', 2 * i + 1, 'image_idx', i) end").alias("shown"),
+        F.expr("case when pictured then named_struct('key', i, 'value', named_struct('filename', filename, 'mime', mime, 'width', width, 'height', height)) end").alias("entry"),
+    )
+
+
+def flow_lines(documents: DataFrame) -> DataFrame:
+    return flow_rows(documents).where("i is not null").selectExpr("doc_id", f"inline(array({_LINE}))")
 
 
 def image_assets(documents: DataFrame) -> DataFrame:
-    return document_lines(documents).where("(doc_id * 7 + i) % 11 = 0").selectExpr(
-        "doc_id",
-        "i as image_idx",
-        "concat('img_', cast((doc_id * 3 + i) % 9 as string), '_0.', case when (doc_id + i) % 3 = 0 then 'png' else 'jpg' end) as filename",
-        "case when (doc_id + i) % 3 = 0 then 'image/png' else 'image/jpeg' end as mime",
-        "cast(100 + (doc_id * 37 + i * 53) % 1500 as int) as width",
-        "cast(100 + (doc_id * 91 + i * 29) % 2000 as int) as height",
-        "cast(concat('image ', cast(doc_id as string), ' ', cast(i as string)) as binary) as bytes",
-    )
+    """Images; every third stands at the height of its line (a tie in y)."""
+    pictured = flow_rows(documents).where("pictured")
+    return pictured.selectExpr("doc_id", "i as image_idx", "filename", "mime", "width", "height", "cast(concat('image ', cast(doc_id as string), ' ', cast(i as string)) as binary) as bytes")
 
 
 def word_glyphs(documents: DataFrame) -> DataFrame:

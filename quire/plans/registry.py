@@ -24,27 +24,29 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 class Flow:
-    """The tables of the flow fixture, as far as a query asks for them."""
+    """The tables of the flow fixture, as far as a query asks for them; each reads and splits the texts once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-        self.docs = self.documents.select("doc_id")
-        self.events = L.union_events(X.flow_lines(self.documents), X.flow_images(self.documents))
+        self.documents = documents_of(spark, sf_dir)
+        self.rows = X.flow_rows(self.documents)
+        self.numbers = X.flow_profile_rows(self.rows)
+        #: A row without an event for documents that have none.
+        self.all_events = L.ordered(X.flow_events(self.rows))
+        self.events = self.all_events.where("is_image is not null")
         self.images = X.image_assets(self.documents)
 
     def profile(self) -> DataFrame:
-        """Of documents; events are ordered where their text goes, so here they need not be."""
-        return L.profile(self.docs, L.all_events(X.flow_lines(self.documents), X.flow_images(self.documents)), self.images.drop("bytes"))
+        return L.profile_of(self.numbers)
 
     def covered(self) -> DataFrame:
-        return C.with_cover(self.profile()).withColumn("consumed_image", F.col("cover.consumed_image")).drop("shown", "opening", "cover")
+        return C.with_cover(self.profile()).withColumn("consumed_image", F.col("cover.consumed_image"))
 
     def headings(self) -> DataFrame:
-        """Events with their document's baseline; a row without an event for documents that have none."""
-        return L.profile(self.docs, L.all_events(X.flow_lines(self.documents), X.flow_images(self.documents))).select("doc_id", "baseline").join(self.events, "doc_id", "left")
+        """All events with their document's baseline."""
+        return L.with_baselines(self.all_events)
 
-    def kinds(self, value: str = "filename") -> DataFrame:
-        return L.classified(L.chapter_events(L.with_names(self.covered().join(self.events, "doc_id", "left"), value)))
+    def kinds(self) -> DataFrame:
+        return L.classified(L.chapter_events(L.with_names(self.covered().drop("shown", "opening", "cover").join(self.all_events, "doc_id", "left"))))
 
 
 def documents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,10 +190,11 @@ def _wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     flow = Flow(spark, sf_dir)
-    chapters = C.inlined(L.chapter_documents(L.chapter_bodies(flow.kinds())), C.image_uris(flow.images))
-    meta = flow.docs.select("doc_id", F.concat(F.lit("Doc & "), F.col("doc_id").cast("string")).alias("title"), F.lit("A <B>").alias("author"))
-    uris = C.select_covers(Flow(spark, sf_dir).profile()).select("doc_id", F.concat(F.lit("cover:"), "filename").alias("cover_uri"))
-    return C.preview_pages(chapters, meta, uris).select("doc_id", F.md5("html").alias("digest"), F.char_length("html").cast("long").alias("n_chars"))
+    chapters = L.written_chapters(L.chapter_pieces(flow.kinds()))
+    meta = C.select_covers(flow.profile()).select(
+        "doc_id", F.concat(F.lit("Doc & "), F.col("doc_id").cast("string")).alias("title"), F.lit("A <B>").alias("author"), F.concat(F.lit("cover:"), "filename").alias("cover_uri")
+    )
+    return C.preview_pages(chapters, meta, C.image_uris(flow.images)).select("doc_id", F.md5("html").alias("digest"), F.char_length("html").cast("long").alias("n_chars"))
 
 
 def queries() -> dict[str, Query]:
@@ -200,11 +203,11 @@ def queries() -> dict[str, Query]:
         "q01_flow_union": flow(lambda x: x.events),
         "q02_nonblank_lines": flow(lambda x: L.text_lines(x.events).select("doc_id", "event_seq", "text", F.char_length("text").cast("long").alias("n_chars"))),
         "q03_page_counts": flow(lambda x: x.events.groupBy("doc_id", "page_num").agg(F.count_if(F.col("is_image") == 0).alias("n_lines"), F.count_if(F.col("is_image") == 1).alias("n_images"))),
-        "q04_nearest_rank_font": flow(lambda x: L.body_font(x.events)),
-        "q05_left_margin": flow(lambda x: L.left_margin(x.events)),
-        "q06_line_gap": flow(lambda x: L.line_gap(x.events)),
-        "q07_layout_metrics": flow(lambda x: L.layout_metrics(x.docs, x.events)),
-        "q08_chapter_baseline": flow(lambda x: L.chapter_baseline(x.docs, x.events)),
+        "q04_nearest_rank_font": flow(lambda x: L.body_font(x.numbers)),
+        "q05_left_margin": flow(lambda x: L.left_margin(x.numbers)),
+        "q06_line_gap": flow(lambda x: L.line_gap(x.numbers)),
+        "q07_layout_metrics": flow(lambda x: x.profile().select("doc_id", "baseline_font", "left_margin", "line_gap")),
+        "q08_chapter_baseline": flow(lambda x: L.with_baselines(X.flow_events(x.rows)).groupBy("doc_id").agg(F.max("baseline").alias("baseline"))),
         "q09_heading_lines": flow(lambda x: L.with_headings(x.headings()).where("is_heading").select("doc_id", "event_seq", T.utrim(F.col("text")).alias("text"))),
         "q10_chapters": flow(lambda x: L.chapters(L.chapter_events(x.headings()))),
         "q11_line_kinds": flow(lambda x: x.kinds().where("live").select("doc_id", "chapter_id", "event_seq", "kind")),
@@ -214,7 +217,7 @@ def queries() -> dict[str, Query]:
         "q15_escape_html": lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.md5(T.escape_html(F.col("html"))).alias("digest")),
         "q16_block_html": flow(lambda x: L.rendered_blocks(x.kinds()).select("doc_id", "chapter_id", "block_ord", "html")),
         "q17_chapter_body": flow(lambda x: L.chapter_bodies(x.kinds()).select("doc_id", "chapter_ord", "title", "body")),
-        "q18_chapter_xhtml": flow(lambda x: L.chapter_documents(L.chapter_bodies(x.kinds())).select("doc_id", "out_ord", "href", "title", "xhtml")),
+        "q18_chapter_xhtml": flow(lambda x: L.chapter_documents(L.written_chapters(L.chapter_pieces(x.kinds()))).select("doc_id", "out_ord", "href", "title", "xhtml")),
         "q19_cover_candidates": flow(lambda x: C.cover_candidates(x.profile())),
         "q20_cover_selection": flow(lambda x: C.select_covers(x.profile())),
         "q21_cover_xhtml": flow(lambda x: C.select_covers(x.profile()).select("doc_id", T.cover_xhtml(F.col("filename"), F.col("width"), F.col("height")).alias("xhtml"))),
@@ -262,7 +265,7 @@ def oracle_sql() -> dict[str, str]:
   || '<h1>Doc &amp; ' || c.doc_id::varchar || '</h1>' || {nl} || '<p><em>A &lt;B&gt;</em></p>' || {nl} || coalesce(parts, '') || '</body></html>' as html from covers c left join
   (select doc_id, string_agg('<h2 id="chap' || n::varchar || '">' || {e("title")} || '</h2>' || {nl} || body || {nl} || '<hr/>' || {nl}, '' order by n) as parts from
     (select doc_id, title, body, row_number() over (partition by doc_id order by chapter_ord) as n from chapters c2 join
-      (select doc_id, chapter_id, string_agg(case when kind = 'image' then {image} else html end, '' order by block_ord) as body from html join_ left join (select doc_id, image_idx, mime, bytes from images) i2 using (doc_id, image_idx) group by all) using (doc_id, chapter_id)
+      (select doc_id, chapter_id, string_agg(case when kind = 'image' then {image} else html end, '' order by block_ord) as body from html join_ left join (select doc_id, filename, arg_min(mime, image_idx) as mime, arg_min(bytes, image_idx) as bytes from images group by all) i2 using (doc_id, filename) group by all) using (doc_id, chapter_id)
      where trim(body) <> '') group by doc_id) using (doc_id))"""
     )
     return {

@@ -118,7 +118,8 @@ def test_metrics(spark, rows, expected):
     docs, events = flow(spark, rows)
     r = L.profile(docs, events).first()
     assert (r["baseline_font"], r["left_margin"], r["line_gap"], r["baseline"]) == expected
-    assert L.body_font(events).count() == L.left_margin(events).count() == int(any(isinstance(t, str) and t.strip() for _, _, t, _, _ in rows))
+    numbers = L.profile_rows(docs, events)
+    assert L.body_font(numbers).count() == L.left_margin(numbers).count() == int(any(isinstance(t, str) and t.strip() for _, _, t, _, _ in rows))
 
 
 @pytest.mark.parametrize(
@@ -287,6 +288,40 @@ def test_wrap_of_all_rows(spark):
             assert all(width(a) + 1 + 0.5 + width(b.split()[0]) > 60 - 1e-6 for a, b in zip(lines, lines[1:]))
 
 
+def sent_bytes(df):
+    """Bytes that the exchanges of an executed plan have sent."""
+    total, left = 0, [df._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            left.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            left.append(node.plan())
+        else:
+            left += [node.children().apply(i) for i in range(node.children().size())]
+        if kind == "ShuffleExchangeExec":
+            total += node.metrics().apply("dataSize").value()
+    return total
+
+
+def test_previews_of_a_picture_book(spark):
+    """Of 200 chapters and 200 images, each image is sent about once: no chapter meets the images of others."""
+    size = 20_000
+    lines = [(1, k, 2 * k, float(k), 0, f"Chapter {k}" if k % 2 else "words", 10.0, 0.1, None) for k in range(1, 401)]
+    shown = [(1, k, 2 * k + 1, float(k), 1, None, None, None, k // 2) for k in range(2, 401, 2)]
+    images = spark.createDataFrame([(1, k, f"i{k % 199}.png", "image/png", 10, 10, bytearray([k % 251]) * size) for k in range(1, 201)], "doc_id long, image_idx int, filename string, mime string, width int, height int, bytes binary")
+    docs, events = spark.range(1, 2).toDF("doc_id"), L.ordered(spark.createDataFrame(lines + shown, EVENTS))
+    known = C.with_cover(L.profile(docs, events, images.drop("bytes"))).withColumn("consumed_image", F.col("cover.consumed_image")).drop("shown", "opening", "cover")
+    chapters = L.written_chapters(L.chapter_pieces(L.classified(L.chapter_events(L.with_names(known.join(events, "doc_id", "left"))))))
+    meta = docs.selectExpr("doc_id", "'T' as title", "'A' as author", "'c' as cover_uri")
+    pages = C.preview_pages(chapters, meta, C.image_uris(images))
+    (row,) = pages.collect()
+    uris = [u.split('"', 1)[0] for u in row["html"].split('src="')[2:]]
+    assert row["html"].count("<h2 id=") == 200 and len(uris) == 200 and uris[0] != uris[1] and uris[199] == uris[0]  # the first of a name
+    assert sent_bytes(pages) < 3 * 200 * size
+
+
 def rows_of(found):
     return sorted([tuple(round(x, 9) if isinstance(x, float) else int(x) if isinstance(x, bool) else x for x in r) for r in found], key=repr)
 
