@@ -6,10 +6,12 @@ what can't be read is missing from its book and a row of its diagnostics.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,8 @@ from ..sources import pdf, raster, sinks
 
 
 def read_pdfs(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id (a hash of the path), path and content of the PDF files in a folder, or of one file."""
+    """doc_id (a hash of the path), path and content of the PDF files in a folder, or of one file; no patterns."""
+    folder = re.sub(r"([{}\[\]*?\\])", r"\\\1", folder)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", "true").load(folder)
     return files.select(F.xxhash64("path").alias("doc_id"), F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("path"), "content")
 
@@ -129,12 +132,32 @@ def convert(files: DataFrame, overrides: DataFrame | None = None, cover_files: D
     return Conversion(metadata, chapters, epubs, previews, diagnostics, summary)
 
 
+#: Folder of the summary and the diagnostics in a target, and the file that tells it from a user's own.
+REPORT, MARK = "quire-report", "made-by-quire"
+
+
+def report_folder(target: str) -> str:
+    """The folder of the report in ``target``, made where it isn't there; a folder that isn't ours is refused."""
+    store, base = sinks.store_of(f"{target.rstrip('/')}/{REPORT}")
+    if store.get_file_info(base).type != fs.FileType.NotFound and store.get_file_info(f"{base}/{MARK}").type != fs.FileType.File:
+        raise ValueError(f"{target}/{REPORT} is there already, and isn't a report of this engine")
+    store.create_dir(base, recursive=True)
+    with store.open_output_stream(f"{base}/{MARK}") as f:
+        f.write(b"Rewritten by each conversion.\n")
+    return f"{target.rstrip('/')}/{REPORT}"
+
+
 def convert_folder(spark: SparkSession, source: str, target: str, cover: bytes | None = None, overrides: DataFrame | None = None, lang: str = "pt") -> DataFrame:
-    """Convert the PDF files of ``source`` into EPUB and preview files in ``target``; returns the summary, written there too."""
+    """Convert the PDF files of ``source`` into EPUB and preview files in ``target``; returns the summary.
+
+    Books appear all or none (``sinks.write_files``). The summary and the diagnostics are JSON in ``REPORT`` there.
+    """
+    report = report_folder(target)
     files = read_pdfs(spark, source)
     covers = files.select("doc_id").withColumn("bytes", F.lit(bytearray(cover))) if cover is not None else None
     done = convert(files, overrides, covers, lang)
-    for made in (done.epubs, done.previews.withColumn("content", F.col("content").cast("binary"))):
-        sinks.write_files(made, target).write.format("noop").mode("overwrite").save()
-    done.diagnostics.write.mode("overwrite").json(f"{target.rstrip('/')}/diagnostics")
+    made = done.epubs.select("path", "content").unionByName(done.previews.select("path", F.col("content").cast("binary").alias("content")))
+    sinks.write_files(made, target)
+    done.diagnostics.write.mode("overwrite").json(f"{report}/diagnostics")
+    done.summary.write.mode("overwrite").json(f"{report}/summary")
     return done.summary

@@ -15,7 +15,8 @@ from ..functions import text as T
 from ..operators import covers as C
 from ..operators import glyphs as G
 from ..operators import layout as L
-from ..sources import pdf, raster
+from ..scratch import Scratch
+from ..sources import pdf, raster, sinks
 from ..functions.wrap import wrap_text
 from . import fixtures as X
 from .convert import convert, document_metadata
@@ -197,6 +198,15 @@ def _previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.preview_pages(chapters, meta, C.image_uris(flow.images)).select("doc_id", F.md5("html").alias("digest"), F.char_length("html").cast("long").alias("n_chars"))
 
 
+def _published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as files of the committing sink, read back from its folder."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    folder = f"{Scratch(spark, 'published').root}/pages"
+    sinks.write_files(pages.select(F.format_string("page_%d.html", "page_id").alias("path"), F.col("html").alias("content")), folder)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "page_*.html").load(folder)
+    return found.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.col("length").alias("n_bytes"), F.md5("content").alias("digest"))
+
+
 def queries() -> dict[str, Query]:
     flow = lambda f: lambda spark, sf_dir: f(Flow(spark, sf_dir))
     return {
@@ -239,6 +249,7 @@ def queries() -> dict[str, Query]:
         "q35_word_wrap": _wrapped,
         "q36_convert": _converted,
         "q37_metadata": _metadata,
+        "q38_file_sink": _published,
     }
 
 
@@ -338,6 +349,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "q37_metadata": f"""select doc_id, coalesce({titled}, {_STEM.format(path + " || '.pdf'")}) as title, case when length(coalesce(text, '')) % 3 = 2 then trim(coalesce(source, 'x')) else '' end as author,
   case when doc_id % 2 = 1 and (select count(*) from documents where doc_id % 2 = 1) > 1 then doc_id::varchar || '-' else '' end || {_STEM.format(path + " || '.pdf'")} || '.epub' as name from documents""",
+        "q38_file_sink": "select 'page_' || page_id::varchar || '.html' as name, octet_length(encode(coalesce(html, '')))::bigint as n_bytes, md5(coalesce(html, '')) as digest from pages",
         "q33_diagnostics": X.with_ctes(
             """select * from (select stage, row_number() over (partition by stage order by doc_id desc, page_num desc, event_seq desc)::int as age, doc_id, page_num, event_seq, level, message from
   (select doc_id, 'chapters' as stage, page_num, event_seq, 'info' as level, 'heading: ' || text as message from marked where is_heading union all

@@ -1,19 +1,26 @@
 """Sinks: EPUB archives, as rows (path, content), and files in a folder of any store that pyarrow can open.
 
-A file is written under a temporary name and moved, so a task that runs again writes the same file again.
+Files are written by a data source with a commit: all of a job appear, or none.
 """
 
 from __future__ import annotations
 
 import io
+import os
 import uuid
 import zipfile
+from collections import Counter
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.types import StructType
 
 # Parts of an EPUB container.
 CONTAINER = '<?xml version="1.0"?><container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'
@@ -21,17 +28,16 @@ MODIFIED = "2000-01-01T00:00:00Z"
 _META, _LINK = '<meta charset="utf-8"/></head>', '<meta charset="utf-8"/><link rel="stylesheet" type="text/css" href="stylesheet.css"/></head>'
 
 #: How each class of the chapters' markup is set.
-_RULES = {
-    "body": {"padding": "0 4%", "line-height": "1.45", "hyphens": "auto"},
-    "h1": {"font-size": "160%", "page-break-before": "always", "margin-bottom": "1.2em"},
-    "h2": {"font-size": "125%", "margin-top": "1.5em", "page-break-after": "avoid"},
-    "p": {"margin": "0 0 0.2em", "text-indent": "1.2em"},
-    "h1 + p, h2 + p": {"text-indent": "0"},
-    "p.legenda": {"font-size": "90%", "font-style": "italic", "text-indent": "0", "text-align": "center"},
-    "p.direita": {"text-indent": "0", "text-align": "right"},
-    "img": {"width": "auto", "max-width": "100%", "page-break-inside": "avoid"},
-}
-STYLESHEET = "".join(f"{of} {{ {' '.join(f'{k}: {v};' for k, v in rules.items())} }}\n" for of, rules in _RULES.items())
+STYLESHEET = """\
+body { padding: 0 4%; line-height: 1.45; hyphens: auto; }
+h1 { font-size: 160%; page-break-before: always; margin-bottom: 1.2em; }
+h2 { font-size: 125%; margin-top: 1.5em; page-break-after: avoid; }
+p { margin: 0 0 0.2em; text-indent: 1.2em; }
+h1 + p, h2 + p { text-indent: 0; }
+p.legenda { font-size: 90%; font-style: italic; text-indent: 0; text-align: center; }
+p.direita { text-indent: 0; text-align: right; }
+img { width: auto; max-width: 100%; page-break-inside: avoid; }
+"""
 
 
 def quoted(text: str) -> str:
@@ -121,20 +127,99 @@ def epub_files(meta: DataFrame, chapters: DataFrame, resources: DataFrame, cover
     return rows.groupBy("doc_id").applyInArrow(book, "doc_id long, path string, content binary")
 
 
-def write_files(files: DataFrame, folder: str) -> DataFrame:
-    """Write path and content of each row below ``folder`` (a path or URI that every executor sees); returns the paths."""
+def store_of(folder: str) -> tuple[fs.FileSystem, str]:
+    """The store of a path or URI, and the path within it."""
+    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), os.path.abspath(folder))
+
+
+@dataclass
+class Staged(WriterCommitMessage):
+    """What a task has staged: the folder of its own."""
+
+    folder: str
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
 
-        store, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
-        store.create_dir(base, recursive=True)
-        for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                part = f"{base}/.{path}.{uuid.uuid4().hex}"
-                with store.open_output_stream(part) as f:
-                    f.write(content.encode() if isinstance(content, str) else content)
-                store.move(part, f"{base}/{path}")
-            yield batch.select(["doc_id", "path"])
+class FileWriter(DataSourceArrowWriter):
+    """Stages each task's files in a folder of its own, all of them in one hidden folder of the job.
 
-    return files.select("doc_id", "path", "content").mapInArrow(run, "doc_id long, path string")
+    The commit moves the files of the tasks that count to their names, and takes all back if one can't be moved; then, as
+    after a failure, the hidden folder goes with whatever else is in it: files of tasks that failed or ran twice.
+    """
+
+    def __init__(self, folder: str):
+        self.folder, self.stage = folder.rstrip("/"), f".quire-{uuid.uuid4().hex}"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Staged:
+        store, base = store_of(self.folder)
+        own = f"{base}/{self.stage}/{uuid.uuid4().hex}"
+        store.create_dir(own, recursive=True)
+        for batch in iterator:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                if not path or "/" in path or path in (".", ".."):
+                    raise ValueError(f"not a file name: {path!r}")
+                if store.get_file_info(f"{own}/{path}").type != fs.FileType.NotFound:
+                    raise ValueError(f"two files are named {path!r}")
+                with store.open_output_stream(f"{own}/{path}") as f:
+                    f.write(content.as_buffer() if content.is_valid else b"")
+        return Staged(own)
+
+    def commit(self, messages: list[Staged | None]) -> None:
+        store, base = store_of(self.folder)
+        found = [f for m in messages if m for f in store.get_file_info(fs.FileSelector(m.folder))]
+        names = Counter(f.base_name for f in found)
+        if twice := next((n for n, k in names.items() if k > 1), None):
+            raise ValueError(f"two files are named {twice!r}")
+        saved = f"{base}/{self.stage}/replaced"
+        store.create_dir(saved, recursive=True)
+        done: list[str] = []
+
+        def publish(file: fs.FileInfo) -> None:
+            target = f"{base}/{file.base_name}"
+            there = store.get_file_info(target).type
+            if there == fs.FileType.Directory:
+                raise ValueError(f"{target} is a folder")
+            if there == fs.FileType.File:
+                store.move(target, f"{saved}/{file.base_name}")
+            done.append(file.base_name)
+            store.move(file.path, target)
+
+        try:
+            with ThreadPoolExecutor(16) as pool:
+                list(pool.map(publish, found))
+        except Exception:
+            for name in done:
+                for path, to in ((f"{base}/{name}", None), (f"{saved}/{name}", f"{base}/{name}")):
+                    if store.get_file_info(path).type == fs.FileType.File:
+                        store.move(path, to) if to else store.delete_file(path)
+            raise
+        self.abort(messages)
+
+    def abort(self, messages: list[Staged | None]) -> None:
+        store, base = store_of(self.folder)
+        if store.get_file_info(f"{base}/{self.stage}").type != fs.FileType.NotFound:
+            store.delete_dir(f"{base}/{self.stage}")
+
+
+class Files(DataSource):
+    """Rows (path, content) as files of the folder that is saved to."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "quire_files"
+
+    def writer(self, schema: StructType, overwrite: bool) -> FileWriter:
+        if overwrite:
+            raise ValueError("files are added to a folder, or replaced one by one; it is never overwritten")
+        return FileWriter(self.options["path"])
+
+
+def write_files(files: DataFrame, folder: str) -> None:
+    """Write path (a file name) and content of each row into ``folder``, a path or URI that every executor sees.
+
+    All files appear, or none: see ``FileWriter``. A file of the same name that is there is replaced, all others are left
+    alone; two rows of one name are an error; null content is an empty file. The driver moves files, one rename each, as
+    Spark's own file formats do when they commit.
+    """
+    spark = files.sparkSession
+    spark.dataSource.register(Files)
+    files.select("path", F.col("content").cast("binary").alias("content")).write.format("quire_files").mode("append").save(folder)

@@ -65,7 +65,7 @@ def block_list(spark, rows, metrics=(15.0, 0.12, 19.5)):
 @pytest.mark.parametrize(
     ("rows", "expected"),
     [
-        ([(1, 10, "Primeira metade", 15, 0.12), (1, 29.5, "da frase.", 15, 0.12)], [("paragraph", "Primeira metade da frase.")]),
+        ([(1, 10, "uma linha", 15, 0.12), (1, 29.5, "e outra", 15, 0.12)], [("paragraph", "uma linha e outra")]),
         ([(1, 10, "a", 15, 0.12), (1, 29.5, "b", 15, 0.15), (1, 49, "c", 15, 0.12)], [("paragraph", "a"), ("paragraph", "b c")]),
         ([(1, 700, "a", 15, 0.12), (2, 60, "b", 15, 0.12)], [("paragraph", "a b")]),
         ([(1, 10, "a", 15, 0.12), (1, 49, "b", 15, 0.12)], [("paragraph", "a"), ("paragraph", "b")]),
@@ -73,7 +73,7 @@ def block_list(spark, rows, metrics=(15.0, 0.12, 19.5)):
         ([(1, 10, "» » »", 20, 0.12)], [("paragraph", "» » »")]),
         ([(1, 10, "One", 20, 0.12), (1, 40, "two", 20, 0.12)], [("heading", "One two")]),
         ([(1, 10, 3, 0, 0), (1, 20, "cap", 12, 0.3), (1, 40, "b", 15, 0.12)], [("image", 3), ("caption", "cap"), ("paragraph", "b")]),
-        ([(1, 10, "a", 15, 0.12), (1, 29.5, "— Disraeli", 15, 0.62)], [("paragraph", "a"), ("right", "— Disraeli")]),
+        ([(1, 10, "a", 15, 0.12), (1, 29.5, "(um autor)", 15, 0.62)], [("paragraph", "a"), ("right", "(um autor)")]),
         ([(1, 10, "a", 15, 0.12), (1, 20, 0, 0, 0), (1, 29.5, "b", 15, 0.12)], [("paragraph", "a"), ("image", 0), ("paragraph", "b")]),
         ([(1, 10, "   ", 15, 0.12), (1, 20, "\t", 15, 0.12)], []),
     ],
