@@ -60,6 +60,19 @@ def with_cover(profile: DataFrame, given: DataFrame | None = None) -> DataFrame:
     return out.withColumn("cover", best).drop("_i", "_mime", "_width", "_height", "candidates")
 
 
+def consumed_images(events: DataFrame, images: DataFrame) -> DataFrame:
+    """doc_id and consumed_image, where a shown image becomes the cover: that of ``with_cover``, of documents of any size."""
+    pages = events.select("doc_id", "page_num").distinct()
+    first = pages.groupBy("doc_id").agg(F.min("page_num").alias("first"))
+    second = pages.join(first, "doc_id").where(F.col("page_num") > F.col("first")).groupBy("doc_id").agg(F.min("page_num").alias("page_num"))
+    opening = first.select("doc_id", F.col("first").alias("page_num")).unionByName(second)
+    sized = images.select("doc_id", "image_idx", "width", "height")
+    shown = events.where("is_image = 1").join(opening, ["doc_id", "page_num"]).join(sized, ["doc_id", "image_idx"])
+    area = F.col("width").cast("long") * F.col("height")
+    best = shown.groupBy("doc_id", "page_num").agg(F.max(F.struct(area.alias("area"), "y", "arrival_seq", "image_idx", "width", "height")).alias("b"))
+    return best.where((F.col("b.width") >= LEAST_WIDTH) & (F.col("b.height") >= LEAST_HEIGHT)).groupBy("doc_id").agg(F.min_by("b.image_idx", "page_num").alias("consumed_image"))
+
+
 def select_covers(profile: DataFrame, given: DataFrame | None = None) -> DataFrame:
     """One row per document: its cover."""
     return with_cover(profile, given).select("doc_id", "cover.*")

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.text import FIRST_CHAPTER, block_html, has_words, image_path, image_tag, is_chapter_line, utrim, xhtml_document
@@ -180,40 +180,59 @@ def chapters(marked: DataFrame) -> DataFrame:
     return _retained(found).select("doc_id", "chapter_id", "chapter_ord", "title", "n_events")
 
 
-def classified(marked: DataFrame) -> DataFrame:
-    """``marked`` with live, kind, indented, gapped, after_image and block_ord (from 1), chapter by chapter.
+def line_kind(text: Column, font: Column, x: Column, image: Column, base: Column, after_image: Column) -> Column:
+    """What a live row is: image, heading, caption, right or paragraph."""
+    chars = F.char_length(text)
+    return (
+        F.when(image, "image")
+        .when(has_words(text) & (font >= base * d(HEADING_FONT)) & (chars < HEADING_CHARS), "heading")
+        .when(after_image & (font <= base * d(CAPTION_FONT)), "caption")
+        .when((x > RIGHT_X) & (chars < RIGHT_CHARS), "right")
+        .otherwise("paragraph")
+    )
 
-    Live are non-blank lines and images of bodies, without the image that became the cover; other rows have no kind.
-    ``marked`` has the metrics of its document, and consumed_image.
-    """
-    order = Window.partitionBy("doc_id", "chapter_id").orderBy("event_seq")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
+
+def with_live(marked: DataFrame) -> DataFrame:
+    """``marked`` with live: non-blank lines and images of bodies, without the image that became the cover. Trims text."""
     lines = marked.withColumn("text", utrim(F.col("text")))
     cover = (F.col("is_image") == 1) & F.col("image_idx").eqNullSafe(F.col("consumed_image"))
     live = ~F.col("is_heading") & ((F.col("is_image") == 1) | (F.col("text") != "")) & ~cover
-    lines = lines.withColumn("live", F.coalesce(live, F.lit(False)))
-    lines = lines.withColumn("_p", F.last(F.when(F.col("live"), F.struct("is_image", "y")), ignorenulls=True).over(before))
+    return lines.withColumn("live", F.coalesce(live, F.lit(False)))
+
+
+def with_kinds(lines: DataFrame, order: WindowSpec, row: Column | None = None, kind: Column | None = None) -> DataFrame:
+    """Rows ``with_live`` with kind, indented, gapped, after_image and starts (1 where a block starts, null if not live).
+
+    ``order`` is by event_seq within what belongs together. ``row`` (is_image, y) and ``kind`` are those of the live row
+    before it, where it has one: else a window's first live row has none before it.
+    """
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.last(F.when(F.col("live"), F.struct("is_image", "y")), ignorenulls=True).over(before)
+    lines = lines.withColumn("_p", earlier if row is None else F.coalesce(earlier, row))
     lines = lines.withColumn("after_image", F.coalesce(F.col("_p.is_image") == 1, F.lit(False)))
-    chars, font, base = F.char_length("text"), F.col("font_size"), F.col("baseline_font")
-    kind = (
-        F.when(F.col("is_image") == 1, "image")
-        .when(has_words(F.col("text")) & (font >= base * d(HEADING_FONT)) & (chars < HEADING_CHARS), "heading")
-        .when(F.col("after_image") & (font <= base * d(CAPTION_FONT)), "caption")
-        .when((F.col("x_start") > RIGHT_X) & (chars < RIGHT_CHARS), "right")
-        .otherwise("paragraph")
-    )
+    own = line_kind(F.col("text"), F.col("font_size"), F.col("x_start"), F.col("is_image") == 1, F.col("baseline_font"), F.col("after_image"))
     gap = F.col("y") - F.when(~F.col("after_image"), F.col("_p.y"))
     lines = (
-        lines.withColumn("kind", F.when(F.col("live"), kind))
+        lines.withColumn("kind", F.when(F.col("live"), own))
         .withColumn("indented", F.coalesce(F.col("x_start") > F.col("left_margin") + d(INDENT), F.lit(False)))
         .withColumn("gapped", F.coalesce((gap > 0) & (gap > F.col("line_gap") * d(PARAGRAPH_GAP)), F.lit(False)))
     )
     previous = F.last("kind", ignorenulls=True).over(before)
+    previous = previous if kind is None else F.coalesce(previous, kind)
     starts = (
         (F.col("kind") == "image") | F.col("after_image") | previous.isNull() | (F.col("kind") != previous) | ((F.col("kind") == "paragraph") & (F.col("indented") | F.col("gapped")))
     )
-    marked = lines.withColumn("_s", F.when(F.col("live"), starts.cast("int")))
-    return marked.withColumn("block_ord", F.when(F.col("live"), F.sum("_s").over(order.rowsBetween(Window.unboundedPreceding, 0)))).drop("_p", "_s")
+    return lines.withColumn("starts", F.when(F.col("live"), starts.cast("int"))).drop("_p")
+
+
+def classified(marked: DataFrame) -> DataFrame:
+    """``marked`` with live, kind, indented, gapped, after_image and block_ord (from 1), chapter by chapter.
+
+    Rows that are not live have no kind. ``marked`` has the metrics of its document, and consumed_image.
+    """
+    order = Window.partitionBy("doc_id", "chapter_id").orderBy("event_seq")
+    found = with_kinds(with_live(marked), order)
+    return found.withColumn("block_ord", F.when(F.col("live"), F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))).drop("starts")
 
 
 def _grouped(kinds: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from ..functions import text as T
 from ..operators import covers as C
 from ..operators import glyphs as G
 from ..operators import layout as L
+from ..operators import ranges as S
+from ..operators import ranks as R
 from ..scratch import Scratch
 from ..sources import pdf, raster, sinks
 from ..functions.wrap import wrap_text
@@ -198,6 +200,29 @@ def _previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.preview_pages(chapters, meta, C.image_uris(flow.images)).select("doc_id", F.md5("html").alias("digest"), F.char_length("html").cast("long").alias("n_chars"))
 
 
+def _ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of each document, and, without doc_id, of all lines of all documents."""
+    values = R.line_values(Flow(spark, sf_dir).events)
+    values = values.withColumn("of", F.explode(F.array(F.col("doc_id"), F.lit(None).cast("long")))).select(F.col("of").alias("doc_id"), "metric", "value")
+    return R.nearest_ranks(values, ["doc_id", "metric"], R.METRIC_RANK)
+
+
+def _range_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flow = Flow(spark, sf_dir)
+    events = X.flow_events(flow.rows).where("is_image is not null")
+    known = R.rank_metrics(flow.documents, events).join(C.consumed_images(events, flow.images), "doc_id", "left")
+    return S.range_blocks(S.range_kinds(events, known))
+
+
+def _joined_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of one document that is all of them, one after the other."""
+    flow = Flow(spark, sf_dir)
+    events = X.flow_events(flow.rows).where("is_image is not null").withColumn("page_num", F.col("doc_id") * 1024 + F.col("page_num"))
+    events = events.withColumn("doc_id", F.lit(0).cast("long"))
+    known = R.rank_metrics(events.select("doc_id").limit(1), events).withColumn("consumed_image", F.lit(None).cast("int"))
+    return S.range_blocks(S.range_kinds(events, known)).select("chapter_id", "block_ord", "kind", "text", "image_idx")
+
+
 def _published(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as files of the committing sink, read back from its folder."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
@@ -250,6 +275,9 @@ def queries() -> dict[str, Query]:
         "q36_convert": _converted,
         "q37_metadata": _metadata,
         "q38_file_sink": _published,
+        "q39_rank_selection": _ranks,
+        "q40_range_blocks": _range_blocks,
+        "q41_joined_blocks": _joined_blocks,
     }
 
 
@@ -279,7 +307,15 @@ def oracle_sql() -> dict[str, str]:
       (select doc_id, chapter_id, string_agg(case when kind = 'image' then {image} else html end, '' order by block_ord) as body from html join_ left join (select doc_id, filename, arg_min(mime, image_idx) as mime, arg_min(bytes, image_idx) as bytes from images group by all) i2 using (doc_id, filename) group by all) using (doc_id, chapter_id)
      where trim(body) <> '') group by doc_id) using (doc_id))"""
     )
+    joined = {k: f"select 0::bigint as doc_id, doc_id * 1024 + page_num as page_num, * exclude (doc_id, page_num) from ({X.CTES[k]})" for k in ("lines", "shown")}
+    joined |= {"docs": "select 0::bigint as doc_id", "covers": "select 0::bigint as doc_id, null::int as consumed_image"}
+    ranks = """select doc_id, metric, n, value from (select *, row_number() over (partition by doc_id, metric order by value) - 1 as k, count(*) over (partition by doc_id, metric) as n from
+  (select unnest([doc_id, null]) as doc_id, metric, value from (select doc_id, 'body_font' as metric, font_size as value from texts union all select doc_id, 'left_margin', x_start from texts union all select doc_id, 'line_gap', gap from gaps union all select doc_id, 'baseline', font_size from lines)))
+  where k = case metric when 'left_margin' then round((n - 1) * 0.1::double)::bigint when 'baseline' then n // 2 else round((n - 1) * 0.5::double)::bigint end"""
     return {
+        "q39_rank_selection": X.with_ctes(ranks),
+        "q40_range_blocks": X.with_ctes("select * from blocks"),
+        "q41_joined_blocks": X.with_ctes("select * exclude (doc_id) from blocks", joined),
         "q01_flow_union": X.with_ctes("select * from events"),
         "q02_nonblank_lines": X.with_ctes("select doc_id, event_seq, text, length(text)::bigint as n_chars from texts"),
         "q03_page_counts": X.with_ctes("select doc_id, page_num, count(*) filter (is_image = 0) as n_lines, count(*) filter (is_image = 1) as n_images from events group by all"),
