@@ -1,6 +1,8 @@
-"""Greedy word wrap by glyph advances, and the layout of drawn covers as SVG.
+"""Greedy word wrap by glyph advances, of columns and for drawn covers, and the layout of these as SVG.
 
-The fonts of a drawn cover are the reader's own (SVG text, centred), as no font files are at hand; advances are then
+``with_lines`` works on columns of any text inside the JVM: sizes of words, the word that each line starts with by one fold over
+them, then slices of the words. The fold goes in chunks, so that what it copies as it grows stays small, however long a text
+is. The fonts of a drawn cover are the reader's own (SVG text, centred), as no font files are at hand; advances are then
 those of a table that callers give, or of ``estimate``.
 """
 
@@ -9,11 +11,66 @@ from __future__ import annotations
 from collections.abc import Callable
 from xml.sax.saxutils import escape
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 # Fixed values of a drawn cover: pixels and colours.
 WIDTH, HEIGHT, LARGEST, SMALLEST, STEP, AUTHOR, LEADING, MOST_LINES = 1600, 2560, 140, 40, 8, 72, 1.3, 5
 GROUND, TITLE_INK, AUTHOR_INK = "#1c2433", "#f5f7fa", "#a8b6cc"
 
 
+#: Items that the inner fold of line starts takes at a time.
+CHUNK = 4096
+
+
+def line_starts(sizes: Column, most: int, gap: int) -> Column:
+    """Positions (from 0) of the items that lines start with, each of as many as fit into ``most``, ``gap`` between two."""
+    state = lambda k, room, starts: F.struct(k.alias("k"), room.alias("room"), starts.alias("starts"))
+    none = F.array().cast("array<int>")
+
+    def item(s: Column, size: Column) -> Column:
+        fits = (s["k"] > 0) & (size + gap <= s["room"])
+        room = F.when(fits, s["room"] - gap).otherwise(F.lit(most).cast("long")) - size
+        return state(s["k"] + 1, room, F.when(fits, s["starts"]).otherwise(F.concat(s["starts"], F.array(s["k"]))))
+
+    def chunk(s: Column, at: Column) -> Column:
+        found = F.reduce(F.slice(sizes, at + 1, F.lit(CHUNK)), state(s["k"], s["room"], none), item)
+        return F.struct(found["k"].alias("k"), found["room"].alias("room"), F.concat(s["starts"], F.array(found["starts"])).alias("starts"))
+
+    start = F.struct(F.lit(0).alias("k"), F.lit(0).cast("long").alias("room"), F.array().cast("array<array<int>>").alias("starts"))
+    chunks = F.when(F.size(sizes) > 0, F.sequence(F.lit(0), F.size(sizes) - 1, F.lit(CHUNK))).otherwise(none)
+    return F.reduce(chunks, start, chunk, lambda s: F.flatten(s["starts"]))
+
+
+def word_pieces(word: Column, most: int, width: Callable[[Column], Column]) -> Column:
+    """The word in the widest pieces that fit, of one character at least."""
+    state = lambda done, piece, room: F.struct(done.alias("done"), piece.alias("piece"), room.alias("room"))
+
+    def character(s: Column, c: Column) -> Column:
+        size = width(c).cast("long")
+        closed = (s["piece"] != "") & (size > s["room"])
+        done = F.when(closed, F.concat(s["done"], F.array(s["piece"]))).otherwise(s["done"])
+        return state(done, F.when(closed, c).otherwise(F.concat(s["piece"], c)), F.when(closed, F.lit(most).cast("long")).otherwise(s["room"]) - size)
+
+    start = state(F.array().cast("array<string>"), F.lit(""), F.lit(most).cast("long"))
+    return F.reduce(F.split(word, ""), start, character, lambda s: F.concat(s["done"], F.array(s["piece"])))
+
+
+def with_lines(frame: DataFrame, text: str, name: str, most: int, width: Callable[[Column], Column], space: int) -> DataFrame:
+    """``frame`` with the lines of ``text`` as an array ``name``: white space collapsed, whole words where they fit, the widest
+    pieces of others.
+
+    ``width`` gives the whole number of units of a string, the sum of its characters'; null text has no lines.
+    """
+    words, starts = (f"{name}_{k}" for k in ("words", "starts"))
+    size = lambda w: width(w).cast("long")
+    out = frame.withColumn(words, F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"(?U)\s+"), lambda w: w != ""))
+    out = out.withColumn(words, F.flatten(F.transform(words, lambda w: F.when(size(w) > most, word_pieces(w, most, width)).otherwise(F.array(w)))))
+    out = out.withColumn(starts, line_starts(F.transform(words, size), most, space))
+    end = lambda i: F.coalesce(F.get(starts, i + 1), F.size(words))
+    return out.withColumn(name, F.transform(starts, lambda at, i: F.array_join(F.slice(words, at + 1, end(i) - at), " "))).drop(words, starts)
+
+
 def estimate(c: str) -> float:
     """Advance of a character in ems, for common sans-serif faces."""
     return 0.28 if c in "iljI.,;:'|! " else 0.9 if c in "mwMW@" else 0.7 if c.isupper() else 0.56

@@ -84,6 +84,31 @@ def word_glyphs(documents: DataFrame) -> DataFrame:
     )
 
 
+def line_nodes(documents: DataFrame) -> DataFrame:
+    """Lines as nodes of trees, some with a value; some ways lead to no node, some into a cycle."""
+    return document_lines(documents).selectExpr(
+        "doc_id",
+        "i as id",
+        "case when i = 0 or (doc_id + i) % 41 = 0 then null when (doc_id * 5 + i) % 23 = 3 then i + 2 else i - 1 - (doc_id + 3 * i) % least(i, 4) end as parent",
+        "case when length(line) % 31 = 7 then length(line) end as value",
+    )
+
+
+def line_operators(documents: DataFrame) -> DataFrame:
+    """Lines as operators of a content stream: matrices turn by right angles and shift by whole numbers."""
+    return document_lines(documents).selectExpr(
+        "doc_id",
+        "cast(i as bigint) as k",
+        "element_at(array('q', 'cm', 'Do', 'Q', 'cm', 'q', 'BT', 'Do', 'Q', 'cm', 'Do'), cast((doc_id * 7 + i * 3 + length(line)) % 11 as int) + 1) as op",
+        "element_at(array(1D, 0D, -1D, 0D), cast(length(line) % 4 as int) + 1) as a",
+        "element_at(array(0D, 1D, 0D, -1D), cast(length(line) % 4 as int) + 1) as b",
+        "element_at(array(0D, -1D, 0D, 1D), cast(length(line) % 4 as int) + 1) as c",
+        "element_at(array(1D, 0D, 1D, 0D), cast(length(line) % 4 as int) + 1) as d",
+        "cast(i * 13 % 40 - 20 as double) as e",
+        "cast(length(line) % 50 as double) as f",
+    )
+
+
 #: The same in DuckDB, as common table expressions; each may use those before it.
 CTES = {
     "q": "select doc_id, unnest(range(len(string_split(text, chr(10)))))::int as i, unnest(string_split(text, chr(10))) as line from documents where text is not null",

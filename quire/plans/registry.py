@@ -17,9 +17,11 @@ from ..operators import glyphs as G
 from ..operators import layout as L
 from ..operators import ranges as S
 from ..operators import ranks as R
+from ..operators.matrices import drawn_places
+from ..operators.trees import inherited
 from ..scratch import Scratch
 from ..sources import pdf, raster, sinks
-from ..functions.wrap import wrap_text
+from ..functions.wrap import with_lines
 from . import fixtures as X
 from .convert import convert, document_metadata
 
@@ -181,14 +183,20 @@ def _metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_metadata(files, pdf.parse_pdfs(files, metadata_only=True)).select("doc_id", "title", "author", "name")
 
 
-def _wraps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lines = [wrap_text(t or "", 60.0, lambda c: 1.0 if c.islower() else 1.5) for t in batch.column(1).to_pylist()]
-        yield pa.record_batch([batch.column(0), pa.array([len(x) for x in lines], pa.int64()), pa.array(["\n".join(x) for x in lines], pa.string())], ["item_id", "n_lines", "wrapped"])
+def _wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts in lines of 60 ems, in half ems: a to z are 1 wide, all other characters 1.5."""
+    width = lambda c: 3 * F.char_length(c) - F.regexp_count(c, F.lit("[a-z]"))
+    lines = with_lines(documents_of(spark, sf_dir), "text", "lines", 120, width, 3)
+    return lines.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.md5(F.array_join("lines", "\n")).alias("digest"))
 
 
-def _wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").mapInArrow(_wraps, "item_id long, n_lines long, wrapped string")
+def _inherited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inherited(X.line_nodes(documents_of(spark, sf_dir)), ["doc_id"])
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drawn_places(X.line_operators(documents_of(spark, sf_dir)), ["doc_id"], F.lit(800.0))
+    return found.select("doc_id", "k", "saves", *[F.col(f"matrix.{c}").alias(c) for c in "abcdef"], "y")
 
 
 def _previews(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,6 +286,8 @@ def queries() -> dict[str, Query]:
         "q39_rank_selection": _ranks,
         "q40_range_blocks": _range_blocks,
         "q41_joined_blocks": _joined_blocks,
+        "q42_inherited_values": _inherited,
+        "q43_image_places": _places,
     }
 
 
@@ -312,7 +322,39 @@ def oracle_sql() -> dict[str, str]:
     ranks = """select doc_id, metric, n, value from (select *, row_number() over (partition by doc_id, metric order by value) - 1 as k, count(*) over (partition by doc_id, metric) as n from
   (select unnest([doc_id, null]) as doc_id, metric, value from (select doc_id, 'body_font' as metric, font_size as value from texts union all select doc_id, 'left_margin', x_start from texts union all select doc_id, 'line_gap', gap from gaps union all select doc_id, 'baseline', font_size from lines)))
   where k = case metric when 'left_margin' then round((n - 1) * 0.1::double)::bigint when 'baseline' then n // 2 else round((n - 1) * 0.5::double)::bigint end"""
+    wide = lambda x: f"(3 * length({x}) - length(regexp_replace({x}, '[^a-z]', '', 'g')))"
+    turn = lambda *x: f"[{', '.join(f'{v}::double' for v in x)}][(length(line) % 4)::int + 1]"
+    mul = "{a: m.a * t.a + m.b * t.c, b: m.a * t.b + m.b * t.d, c: m.c * t.a + m.d * t.c, d: m.c * t.b + m.d * t.d, e: m.e * t.a + m.f * t.c + t.e, f: m.e * t.b + m.f * t.d + t.f}"
     return {
+        # Words too wide in pieces (cb, from fit to fit), then lines (l, from next to next), each found by recursion.
+        "q35_word_wrap": rf"""with recursive w0 as (select doc_id, unnest(range(1, len(ws) + 1)) as p, unnest(ws) as w from (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '') as ws from documents)),
+  c as (select doc_id, p, unnest(range(1, length(w)::int + 1)) as j, unnest(string_split(w, '')) as ch from w0 where {wide("w")} > 120),
+  cs as (select *, sum({wide("ch")}) over (partition by doc_id, p order by j) as upto from c),
+  cw as (select doc_id, p, j, (select count(*) from cs b where b.doc_id = a.doc_id and b.p = a.p and b.j >= a.j and b.upto - a.upto + {wide("a.ch")} <= 120) as fit from cs a),
+  cb as (select distinct doc_id, p, 1::bigint as j from c union all select doc_id, p, j + fit from cb join cw using (doc_id, p, j) where (doc_id, p, j + fit) in (select (doc_id, p, j) from cs)),
+  cp as (select cb.doc_id, cb.p, cb.j, string_agg(ch, '' order by cs.j) as w from cb join cw using (doc_id, p, j) join cs on cs.doc_id = cb.doc_id and cs.p = cb.p and cs.j between cb.j and cb.j + fit - 1 group by all),
+  w as (select doc_id, row_number() over (partition by doc_id order by p, j) as k, w, {wide("w")} as width from (select doc_id, p, 0 as j, w from w0 where {wide("w")} <= 120 union all select * from cp)),
+  s as (select *, sum(width + 3) over (partition by doc_id order by k) as upto from w),
+  f as (select doc_id, k, k + (select count(*) from s b where b.doc_id = a.doc_id and b.k >= a.k and b.k < a.k + 64 and b.upto - a.upto + a.width <= 120) as next from s a),
+  l as (select doc_id, 1::bigint as k from w where k = 1 union all select doc_id, next from l join f using (doc_id, k) where (doc_id, next) in (select (doc_id, k) from w)),
+  t as (select l.doc_id, l.k, string_agg(w, ' ' order by w.k) as line from l join f using (doc_id, k) join w on w.doc_id = l.doc_id and w.k >= l.k and w.k < next group by all)
+  select doc_id, count(line)::bigint as n_lines, md5(coalesce(string_agg(line, chr(10) order by k), '')) as digest from documents left join t using (doc_id) group by doc_id""",
+        "q42_inherited_values": X.with_ctes(
+            """select * from (with recursive nodes as (select doc_id, i as id, case when i = 0 or (doc_id + i) % 41 = 0 then null when (doc_id * 5 + i) % 23 = 3 then i + 2 else i - 1 - (doc_id + 3 * i) % least(i, 4) end as parent,
+    case when length(line) % 31 = 7 then length(line) end as value, count(*) over (partition by doc_id) as n from q),
+  way as (select doc_id, id, id as origin, parent, value, n, 0::bigint as steps from nodes union all select w.doc_id, w.id, t.id, t.parent, t.value, w.n, w.steps + 1 from way w join nodes t on t.doc_id = w.doc_id and t.id = w.parent where w.value is null and w.steps <= w.n)
+  select doc_id, id, value::int as value, case when value is not null then origin end as origin, case when value is not null then steps end as steps, case when steps > n then 'cycle' when value is null then 'none' when steps = 0 then 'own' else 'inherited' end as found
+  from way qualify row_number() over (partition by doc_id, id order by steps desc) = 1)"""
+        ),
+        "q43_image_places": X.with_ctes(
+            f"""select * from (with recursive o as (select doc_id, i::bigint as k, ['q', 'cm', 'Do', 'Q', 'cm', 'q', 'BT', 'Do', 'Q', 'cm', 'Do'][((doc_id * 7 + i * 3 + length(line)) % 11)::int + 1] as op,
+    {{a: {turn(1, 0, -1, 0)}, b: {turn(0, 1, 0, -1)}, c: {turn(0, -1, 0, 1)}, d: {turn(1, 0, 1, 0)}, e: (i * 13 % 40 - 20)::double, f: (length(line) % 50)::double}} as m from q),
+  z as (select distinct doc_id, {{a: 1::double, b: 0::double, c: 0::double, d: 1::double, e: 0::double, f: 0::double}} as t from o),
+  r as (select doc_id, -1::bigint as k, null::varchar as op, t, [t][2:] as saved from z
+    union all select r.doc_id, o.k, o.op, case when o.op = 'cm' then {mul} when o.op = 'Q' and len(saved) > 0 then saved[-1] else t end,
+      case when o.op = 'q' then list_append(saved, t) when o.op = 'Q' then saved[:-2] else saved end from r join o on o.doc_id = r.doc_id and o.k = r.k + 1)
+  select doc_id, k, len(saved)::int as saves, {', '.join(f'case when t.{c} = 0 then 0::double else t.{c} end as {c}' for c in 'abcdef')}, least(800::double - t.f, 800::double - t.d - t.f) as y from r where op = 'Do')"""
+        ),
         "q39_rank_selection": X.with_ctes(ranks),
         "q40_range_blocks": X.with_ctes("select * from blocks"),
         "q41_joined_blocks": X.with_ctes("select * exclude (doc_id) from blocks", joined),

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.functions.wrap import drawn_cover, wrap_text
+from quire.functions import wrap
+from quire.functions.wrap import drawn_cover, with_lines, wrap_text
 from quire.operators import covers as C
 from quire.operators import glyphs as G
 from quire.operators import layout as L
@@ -271,21 +272,16 @@ def test_wrap():
     assert drawn_cover("A & B", "C").count("<text") == 2
 
 
-def test_wrap_of_all_rows(spark):
-    """Each line is as many of the words that follow as fit, one character of an overlong word at least; all rows of the query."""
-    advance = lambda c: 1.0 if c.islower() else 1.5
-    width = lambda t: sum(map(advance, t))
-    texts = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").select("item_id", "text").collect()}
-    found = registry.queries()["q35_word_wrap"](spark, SMALL).collect()
-    assert len(found) == len(texts)
-    for r in found:
-        lines = r["wrapped"].split("\n") if r["wrapped"] else []
-        assert r["n_lines"] == len(lines) and all(width(x) <= 60 + 1e-6 for x in lines)
-        words = (texts[r["item_id"]] or "").split()
-        assert "".join(lines).replace(" ", "") == "".join(words)
-        if all(width(w) <= 60 for w in words):
-            assert " ".join(lines).split() == words
-            assert all(width(a) + 1 + 0.5 + width(b.split()[0]) > 60 - 1e-6 for a, b in zip(lines, lines[1:]))
+def test_wrap_of_columns(spark, monkeypatch):
+    """Lines of columns are those of the plain wrap: overlong words, wide characters, white space of all kinds, no words."""
+    monkeypatch.setattr(wrap, "CHUNK", 7)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("aabcW é") if rng.random() < 0.02 else rng.choice("abcWXé") for _ in range(rng.choice((1, 2, 5, 9, 14, 60))))
+    texts = [rng.choice((" ", "\n", "\t ", "\u2003")).join(word() for _ in range(rng.randint(0, 60))) for _ in range(60)] + [None, "", " \n ", "W" * 100, "a" * 5000, " a", "b "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most in (4, 30):  # half ems: two for a to z, three for others
+        found = {r["doc_id"]: r["lines"] for r in with_lines(df, "text", "lines", most, lambda c: 3 * F.char_length(c) - F.regexp_count(c, F.lit("[a-z]")), 3).collect()}
+        assert found == {k: wrap_text(t or "", most / 2, lambda c: 1.0 if "a" <= c <= "z" else 1.5) for k, t in enumerate(texts)}
 
 
 def sent_bytes(df):

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from quire.operators import covers as C
 from quire.operators import layout as L
+from quire.operators.matrices import drawn_places
 from quire.operators.ranges import range_blocks, range_kinds
 from quire.operators.ranks import nearest_ranks, order_key, rank_metrics
 from quire.operators.scans import prefix_states
+from quire.operators.trees import inherited
 
 EVENTS = "doc_id long, page_num int, arrival_seq int, y double, is_image int, text string, font_size double, x_start double, image_idx int"
 
@@ -56,6 +58,71 @@ def test_nearest_ranks(spark):
     assert nearest_ranks(df.where("false"), ["g"], "0").collect() == []
 
 
+def walked(nodes):
+    """(value, origin, steps, found) of each node, by walking up."""
+    out = {}
+    for key in nodes:
+        at, steps, seen = key, 0, set()
+        while True:
+            parent, value = nodes[at]
+            up = None if parent is None else (key[0], parent)
+            if value is not None:
+                out[key] = (value, at[1], steps, "inherited" if steps else "own")
+            elif up not in nodes:
+                out[key] = (None, None, None, "none")
+            elif up in seen:
+                out[key] = (None, None, None, "cycle")
+            else:
+                at, steps = up, steps + 1
+                seen.add(up)
+                continue
+            break
+    return out
+
+
+def test_inherited_values(spark):
+    """Chains, stars, absent parents, cycles with and without a value, a node that is its own parent, two trees."""
+    rng = random.Random(11)
+    nodes = {("chain", k): (k - 1 if k else None, "top" if k == 0 else None) for k in range(300)} | {("lost", k): (k - 1, None) for k in range(100)}
+    nodes |= {("round", k): ((k + 1) % 20, None) for k in range(20)} | {("round", 30 + k): (29 + k if k else 3, None) for k in range(9)} | {("round", 50): (50, None)}
+    nodes |= {("ring", k): ((k + 1) % 9, 5 if k == 4 else None) for k in range(9)} | {("star", k): (0 if k else None, None) for k in range(40)}
+    nodes |= {("wild", k): (rng.choice((None, *range(80))), rng.choice((None, None, None, k))) for k in range(80)}
+    df = spark.createDataFrame([(t, k, p, None if v is None else str(v)) for (t, k), (p, v) in nodes.items()] + [("chain", None, 3, "x")], "tree string, id long, parent long, value string")
+    found = {(r["tree"], r["id"]): (r["value"], r["origin"], r["steps"], r["found"]) for r in inherited(df, ["tree"]).collect()}
+    assert found == {k: (None if v is None else str(v), *rest) for k, (v, *rest) in walked(nodes).items()}
+    assert inherited(df.where("false"), ["tree"]).collect() == []
+
+
+def stacked(ops):
+    """(k, saves, matrix) of each Do, by a stack."""
+    out, saved, now = [], [], (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
+    for k, op, m in ops:
+        if op == "q":
+            saved.append(now)
+        elif op == "Q" and saved:
+            now = saved.pop()
+        elif op == "cm":
+            (a, b, c, d, e, f), (p, q, r, s, t, u) = m, now
+            now = (a * p + b * r, a * q + b * s, c * p + d * r, c * q + d * s, e * p + f * r + t, e * q + f * s + u)
+        elif op == "Do":
+            out.append((k, len(saved), now))
+    return out
+
+
+@pytest.mark.parametrize("part", [1, 4, 256])
+def test_places_of_a_stack(spark, part):
+    """Restores without saves, deep saves, streams longer than a part, operators that do nothing."""
+    rng = random.Random(part)
+    streams = {}
+    for s, weights in enumerate(((2, 2, 3, 2, 1), (4, 1, 2, 1, 0), (1, 5, 2, 2, 0), (0, 1, 1, 1, 0), (0, 0, 0, 3, 0))):
+        streams[s] = [(k, rng.choices(("q", "Q", "cm", "Do", "BT"), weights)[0], tuple(float(rng.choice((-1, 0, 1))) for _ in range(4)) + (rng.randrange(-9, 9) * 1.0, rng.randrange(9) * 1.0)) for k in range(rng.choice((40, 150)))]
+    df = spark.createDataFrame([(s, k, op, *m) for s, ops in streams.items() for k, op, m in ops] + [(9, 0, None, *[0.0] * 6)], "s long, k long, op string, a double, b double, c double, d double, e double, f double")
+    found = sorted((r["s"], r["k"], r["saves"], tuple(r["matrix"]), r["y"]) for r in drawn_places(df, ["s"], F.lit(100.0), part).collect())
+    expected = [(s, k, n, m, min(100 - m[5], 100 - m[3] - m[5])) for s, ops in streams.items() for k, n, m in stacked(ops)]
+    assert found == sorted(expected)
+    assert drawn_places(df.where("false"), ["s"], F.lit(1.0)).collect() == []
+
+
 def book(rng, doc, n):
     """Events on pages that are few or many lines long: headings in runs, images, captions, blanks, indents and gaps."""
     out, page, y = [], rng.randrange(3), 60.0
