@@ -1,20 +1,21 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to one line per block of the page. What is no article by its element or its name (menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles, comments) is an empty line, one for each such element: a box
-within an article is a short gap, a row of them before or after it a long one. Text lengths are summed over a window of
-``WINDOW`` lines. A surge is where this sum rises to the page's threshold, together with the lines that lead up to it; a
-dive is where it next falls to nothing. The text between a surge and its dive is kept.
-
-The threshold is ``MOST``, the value published with the method for windows of three lines, and less on pages of short
-blocks: a ``SHARE`` of the mean of all sums over text. Structure is a weight of lines only: where article elements hold
-at least half of the text, their lines weigh ``INSIDE`` times their length, and lines within and without are two
-distributions, held to one threshold. Otherwise all lines are one distribution. So text that no rule marks goes where it
-is short and stands apart: within an article that is a line of at most ten characters between rows of three boxes.
-
-Within an article element, class words count only as whole names of a menu, an advert, a form, a notice, a sidebar or of
-readers' comments. White space inside a block becomes one space; a line break element is white space; blocks are joined
-by two newlines.
+Markup is stripped to one line per block of the page. Where a wrapper that holds several lines (a div, a section) begins or
+ends, and where something stands that is no article by its element or its name (menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles, comments), there are empty lines. Text lengths are summed over a window of ``WINDOW``
+lines. A surge is where this sum rises to the page's threshold, together with the lines that lead up to it; a dive is where
+it next falls to nothing. The text between a surge and its dive is kept.
+
+The threshold is ``MOST``, the value published with the method for windows of three lines; between the dives where most of
+the text is, a ``SHARE`` of the mean of all sums over text where that is less, as the page is one of short blocks then. All
+text of article elements stays; where they hold less than half of the page's, the distribution is that of all lines, else of
+those beside them. So text that no rule marks goes where it is short and stands apart, outside of article elements only.
+
+Names are whole class names and ids, never parts of them. A form, or an element that is clutter by its name or role, is none
+if it holds an article element, or, on pages without one, the first heading or most of the text. Elements that are clutter
+by themselves are so in any case. Within an article element, class words count only as names of a menu, an advert, a form, a
+notice, a sidebar or of readers' comments. White space inside a block becomes one space; a line break element is white
+space; blocks are joined by two newlines.
 
 Defined results: null, empty or textless html gives an empty text; unclosed elements end where HTML lets them end or
 with the page; a tag without an end is no text; pages of any length and depth are read in time linear in their length;
@@ -36,8 +37,6 @@ from pyspark.sql import functions as F
 WINDOW = 3
 #: Characters in a window that are a surge on any page, and the share of the page's mean that is one where that is less.
 MOST, SHARE = 86, 0.25
-#: What a line within an article element weighs, where these hold most of the text.
-INSIDE = 8
 
 # Element names of HTML, and words that name what is no article.
 _BLOCKS = frozenset(
@@ -46,20 +45,24 @@ _BLOCKS = frozenset(
 )
 _UNSEEN = frozenset("script style template textarea iframe title desc metadata noembed noframes".split())
 _CLUTTER = frozenset("nav header footer aside form menu dialog button select option input label fieldset legend".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adverti[sz]ement\w*|adsense|banner\w*|sponsor\w*|promo\w*|promotion\w*|sidebars?|side|widget\w*|menus?|nav|navbar|navigation|breadcrumbs?|header|masthead"
-    r"|footer|foot|cookies?|consent|gdpr|notices?|notification\w*|alert\w*|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|comments?|comment-\w+|replies|reply|respond|disqus|discussion"
-    r"|share|sharing|social|related|recommended|recommendations|pagination|pager|toolbar|copyright|legal|disclaimer|search)(?:$|[\s_-])",
-    re.I,
-)
-#: Whole class names and ids that are clutter within an article element as well.
+#: Wrappers; where one with several lines begins or ends, the lines are apart.
+_WRAPPERS = frozenset("div section main".split())
+#: Whole class names and ids that are clutter, within an article element as well.
 _NAMED_INSIDE = re.compile(
     r"(?:^|\s)(?:(?:google-|side-)?ads?(?:-box|-slot|-unit|-container|vert|vertisement)?|advertisements?|adverts?|advertising|adsense|sponsored|promo|banner|menu|nav|navbar|navigation|breadcrumbs?"
     r"|sidebar|(?:cookie-|site-)?notices?|cookies?|cookie-(?:banner|consent)|(?:newsletter|signup|subscribe|login|search)(?:-form|-box)?|(?:user-|reader-)?comments?(?:-list|-section|-area|-thread)?"
     r"|respond|disqus_thread)(?:$|\s)",
     re.I,
 )
+#: Those that are clutter outside of article elements only.
+_NAMED_OUTSIDE = re.compile(
+    r"(?:^|\s)(?:(?:site-|page-|global-)?(?:header|footer|masthead)|(?:site-|main-|top-|primary-|footer-)(?:nav|navigation|menu)|nav-?bar|menu-?bar|side-?bar|(?:left-|right-)sidebar|sidebar-(?:left|right)|toolbar"
+    r"|widgets?|(?:cookie|consent|notice)-?bar|popup|modal|overlay|pagination|pager|breadcrumb|copyright|legal|disclaimer|related(?:-posts|-articles)?|recommended|sharing|share(?:-buttons|-links|-bar)?"
+    r"|social(?:-links|-icons|-media|-share)|newsletter|subscribe|subscription|signup|login|search(?:bar)?|replies|reply|discussion)(?:$|\s)",
+    re.I,
+)
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*+)")
 _QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
@@ -70,19 +73,23 @@ _BODY = re.compile(r"<body[\s>]", re.I)
 _ENDED = {"p": _BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
 
 
-def _is_clutter(name: str, attributes: str, inside: bool) -> bool:
-    if name in _CLUTTER:
-        return True
+#: What an element is: no clutter, clutter if it holds no article, clutter in any case.
+NONE, NAMED, ALWAYS = 0, 1, 2
+
+
+def _clutter(name: str, attributes: str, inside: bool) -> int:
+    if name in _CLUTTER and name != "form":
+        return ALWAYS
+    found = NAMED if name == "form" else NONE
     if not attributes or name in ("html", "body", "article", "main"):
-        return False
-    words = _NAMED_INSIDE if inside else _NAMED
+        return found
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key in ("class", "id") and words.search(value) or key == "role" and value.strip().lower() in _ROLES or key == "aria-hidden" and value == "true":
-            return True
-        if key == "hidden" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+        if key == "aria-hidden" and value == "true" or key == "hidden" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            return ALWAYS
+        if key in ("class", "id") and (_NAMED_INSIDE.search(value) or not inside and _NAMED_OUTSIDE.search(value)) or key == "role" and value.strip().lower() in _ROLES:
+            found = NAMED
+    return found
 
 
 class _Tags:
@@ -129,31 +136,60 @@ class _Tags:
         return m.span()
 
 
+class _Box:
+    """A clutter element: what kind, the one around it, and what it holds."""
+
+    __slots__ = ("kind", "outer", "article", "heading", "size")
+
+    def __init__(self, kind: int, outer: _Box | None):
+        self.kind, self.outer, self.article, self.heading, self.size = kind, outer, False, False, 0
+
+
 class _Open:
-    """Open elements, with the places of each name and of blocks at hand."""
+    """Open elements, with the places of each name and of blocks at hand; what a box holds is told to the one around it as
+    it closes."""
 
     def __init__(self):
-        self.stack: list[tuple[str, bool, bool]] = []
+        self.stack: list[tuple[str, _Box | None, bool, list[int] | None]] = []
         self.places: dict[str, list[int]] = {}
         self.blocks: list[int] = []
-        self.clutter = self.article = 0
-
-    def push(self, name: str, clutter: bool, article: bool) -> None:
+        self.article = 0
+        self.boxes: list[_Box] = []
+        self.box: _Box | None = None
+        self.lines = 0
+        #: Line numbers before which a wrapper of several lines begins or ends.
+        self.edges: set[int] = set()
+
+    def push(self, name: str, clutter: int, article: bool) -> None:
         at = len(self.stack)
         self.places.setdefault(name, []).append(at)
         if name in _BLOCKS:
             self.blocks.append(at)
-        self.stack.append((name, clutter, article))
-        self.clutter += clutter
+        if self.box and article:
+            self.box.article = True
+        if self.box and name == "h1":
+            self.box.heading = True
+        own = None
+        if clutter:
+            own = self.box = _Box(clutter, self.box)
+            self.boxes.append(own)
+        self.stack.append((name, own, article, self.lines if name in _WRAPPERS else None))
         self.article += article
 
     def cut(self, size: int) -> None:
         while len(self.stack) > size:
-            name, clutter, article = self.stack.pop()
+            name, own, article, lines = self.stack.pop()
             self.places[name].pop()
             if name in _BLOCKS:
                 self.blocks.pop()
-            self.clutter -= clutter
+            if own:
+                self.box = own.outer
+                if own.outer:
+                    own.outer.article |= own.article
+                    own.outer.heading |= own.heading
+                    own.outer.size += own.size
+            if lines is not None and self.lines > lines + 1:
+                self.edges |= {lines, self.lines}
             self.article -= article
 
     def end(self, name: str) -> None:
@@ -167,30 +203,44 @@ class _Open:
         if self.blocks and name in _ENDED.get(self.stack[self.blocks[-1]][0], ()):
             self.cut(self.blocks[-1])
 
+    def settled(self, total: int, article: bool) -> set[_Box]:
+        """After the page: the boxes that are clutter, of themselves or by one around them."""
+        out: set[_Box] = set()
+        for box in self.boxes:  # outer ones first
+            spared = box.article or not article and (box.heading or 2 * box.size > total)
+            if box.kind == ALWAYS or not spared or box.outer in out:
+                out.add(box)
+        return out
+
 
 def page_lines(html: str) -> list[tuple[str, bool, bool]]:
     """(text, clutter, in an article element) of each block of a page, in order; blocks without text are left out.
 
     Clutter within a block goes from its text; the blocks of one clutter element that follow each other are one line.
+    Lines of no text stand where wrappers begin or end.
     """
-    lines: list[tuple[str, bool, bool]] = []
-    part: list[tuple[str, bool]] = []
+    blocks: list[tuple[list[tuple[str, _Box | None]], bool, bool]] = []
+    part: list[tuple[str, _Box | None]] = []
     tags, open_ = _Tags(html), _Open()
-    box = last_box = 0  # a number for each outermost clutter element
+    article = False  # whether an article element that isn't within clutter holds text
+    total = 0
 
     def end_line() -> None:
-        nonlocal last_box
-        for clutter in (False, True):
-            text = _SPACE.sub(" ", unescape("".join(t for t, c in part if c == clutter))).strip()
-            if text:
-                if not (clutter and lines and lines[-1][1] and last_box == box):
-                    lines.append((text, clutter, open_.article > 0))
-                    last_box = box
-                break
+        nonlocal article, total
+        if any(t and not t.isspace() for t, _ in part):
+            heading = bool(open_.blocks) and open_.stack[open_.blocks[-1]][0] in _HEADINGS
+            blocks.append((part.copy(), open_.article > 0, heading))
+            open_.lines += 1
+            for t, box in part:
+                size = len(t.strip())
+                if box:
+                    box.size += size
+                total += size
+                article |= size > 0 and open_.article > 0 and box is None
         part.clear()
 
     def add(text: str) -> None:
-        part.append((text, open_.clutter > 0))
+        part.append((text, open_.box))
 
     at, n = 0, len(html)
     while at < n:
@@ -249,10 +299,25 @@ def page_lines(html: str) -> list[tuple[str, bool, bool]]:
             open_.begin(name)
         elif attributes.endswith("/"):
             continue
-        clutter = _is_clutter(name, attributes, open_.article > 0)
-        box += clutter and not open_.clutter
-        open_.push(name, clutter, name in ("article", "main"))
+        open_.push(name, _clutter(name, attributes, open_.article > 0), name in ("article", "main"))
     end_line()
+    open_.cut(0)
+    clutter = open_.settled(total, article)
+    lines: list[tuple[str, bool, bool]] = []
+    last = None  # the clutter element of the last line
+    for k, (own, inside, _) in enumerate(blocks):
+        if k in open_.edges and not (k and blocks[k - 1][2]):  # a heading leads up to what follows it
+            lines += [("", False, False)] * WINDOW
+        for unwanted in (False, True):
+            text = _SPACE.sub(" ", unescape("".join(t for t, box in own if (box in clutter) == unwanted))).strip()
+            if text:
+                box = next(box for t, box in own if (box in clutter) == unwanted) if unwanted else None
+                while box and box.outer in clutter:
+                    box = box.outer
+                if not (unwanted and box is last):
+                    lines.append((text, unwanted, inside))
+                last = box
+                break
     return lines
 
 
@@ -274,18 +339,16 @@ def _between(sums: np.ndarray, sizes: np.ndarray, least: float) -> np.ndarray:
 
 
 def chosen_lines(sizes: np.ndarray, inside: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Which lines to keep, by their lengths (0 for clutter) and whether they are in an article element."""
+    """Which lines to keep, by their lengths (0 for clutter and empty ones) and whether they are in an article element."""
     mine = np.where(inside, sizes, 0)
-    apart = 2 * mine.sum() >= sizes.sum() and (sizes > mine).any() and mine.any()
-    weight = INSIDE if 2 * mine.sum() >= sizes.sum() else 1
-    parts = [mine * weight, sizes - mine] if apart else [sizes * weight]
-    # One window for each line: the line and those after it.
-    sums = [np.convolve(p, np.ones(window, np.int64))[window - 1 :] for p in parts]
-    filled = np.concatenate([s[s > 0] for s in sums])
-    least = min(MOST, SHARE * filled.mean()) if len(filled) else MOST
-    keep = np.zeros(len(sizes), bool)
-    for p, s in zip(parts, sums):
-        keep |= _between(s, p, least)
+    known = mine.any() and 2 * mine.sum() >= sizes.sum()  # article elements hold the article
+    rest = sizes - mine if known else sizes
+    sums = np.convolve(rest, np.ones(window, np.int64))[window - 1 :]  # one window for each line: the line and those after it
+    keep = (mine > 0) | _between(sums, rest, MOST)
+    if not known and sums.any():
+        stretch = np.cumsum(sums == 0)  # numbers of what lies between dives
+        most = int(np.argmax(np.bincount(stretch, rest)))
+        keep |= _between(sums, rest, min(MOST, SHARE * sums[sums > 0].mean())) & (stretch == most)
     return keep
 
 

@@ -376,28 +376,59 @@ def test_distribution_against_windows_line_by_line():
         if not sizes.any():
             continue
         mine = int(sizes[inside].sum())
-        weight = line_block.INSIDE if 2 * mine >= sizes.sum() else 1
-        groups = [[int(s) if i else 0 for s, i in zip(sizes, inside)], [0 if i else int(s) for s, i in zip(sizes, inside)]]
-        if weight == 1 or not any(groups[1]):
-            groups = [[int(s) for s in sizes]]
-        groups[0] = [s * weight for s in groups[0]]
-        window = lambda g, k: sum(g[k : k + 3])
-        filled = [window(g, k) for g in groups for k in range(n) if window(g, k)]
-        least = min(86, sum(filled) / len(filled) / 4)
-        want = set()
-        for g in groups:
+        known = mine > 0 and 2 * mine >= sizes.sum()
+        group = [0 if known and i else int(s) for s, i in zip(sizes, inside)]
+        window = lambda k: sum(group[k : k + 3])
+        filled = [window(k) for k in range(n) if window(k)]
+        stretches, texts = [], {}  # between places whose window is empty
+        for k in range(n):
+            stretches.append((stretches[-1] if stretches else 0) + (window(k) == 0))
+            texts[stretches[k]] = texts.get(stretches[k], 0) + group[k]
+        main = max(texts, key=lambda t: (texts[t], -t))
+        want = {k for k in range(n) if inside[k] and sizes[k]}
+        for least, only in ((86, None), *([] if known else [(min(86, sum(filled) / len(filled) / 4), main)])):
             for k in range(n):
-                if not g[k]:
+                if not group[k] or only is not None and stretches[k] != only:
                     continue
                 up = k  # back over lines with text, or over what no window finds empty, to a surge
-                while window(g, up) < least and up + 1 < n and g[up + 1]:
+                while window(up) < least and up + 1 < n and group[up + 1]:
                     up += 1
-                back = next((j for j in range(k, -1, -1) if not window(g, j) or g[j] and window(g, j) >= least), None)
-                if window(g, up) >= least or back is not None and g[back] and window(g, back) >= least and all(window(g, j) for j in range(back, k + 1)):
+                back = next((j for j in range(k, -1, -1) if not window(j) or group[j] and window(j) >= least), None)
+                if window(up) >= least or back is not None and group[back] and window(back) >= least and all(window(j) for j in range(back, k + 1)):
                     want.add(k)
         assert set(np.flatnonzero(line_block.chosen_lines(sizes, inside))) == want
 
 
+ARTICLE = "<h1>Title</h1><p>" + "word " * 60 + "</p><p>Yes.</p>"
+TITLED = "Title\n\n" + ("word " * 60).strip() + "\n\nYes."
+
+
+def test_articles_in_wrappers_stay():
+    """Names that only hold a word of the list, and named elements, forms and roles around an article, are no clutter."""
+    for wrapper in (
+        '<div class="has-sidebar">', '<div class="content no-sidebar">', '<div class="header-fixed">', '<div class="layout with-nav">', '<div id="search-results">', '<section class="legal">',
+        '<form id="aspnetForm">', '<div role="search">', '<div class="notice"><div class="modal">',
+    ):
+        ends = "".join(f"</{name}>" for name in reversed(re.findall(r"<(\w+)", wrapper)))
+        assert main_text(f"<nav>Go</nav>{wrapper}<article>{ARTICLE}</article>{ends}<footer>me</footer>") == TITLED
+        assert main_text(f"{wrapper}<article>{ARTICLE}</article><div class='comments'>No</div>{ends}") == TITLED
+    for name in ("side-by-side", "entry share", "discussion", "social-history", "legal"):  # no article element
+        assert main_text(f'<div class="{name}">{ARTICLE}</div>') == main_text(f'<h1>Title</h1><div class="{name}">{ARTICLE[14:]}</div>') == TITLED
+    assert main_text(f"<aside><article>{ARTICLE}</article></aside>") == ""  # clutter by itself is so in any case
+    gap = "<nav>a</nav><div class=ad>b</div><form>c</form>"
+    assert main_text(f"<article><p>{'x' * 300}</p>{gap}<p>Yes.</p>{gap}<p>{'y' * 300}</p></article>").split("\n\n")[1] == "Yes."
+
+
+def test_the_distribution_tells_unmarked_menus_and_footers():
+    """Pages of nothing but divs: menus, an advert and a footer go by their lengths, in every order of lengths of blocks."""
+    rng = random.Random(13)
+    for _ in range(50):
+        text = [rng.choice((120, 300, 40, 8)) for _ in range(rng.randint(2, 9))] + [200]
+        menu = "<div><ul>" + "<li><a>Link</a></li>" * rng.randint(2, 8) + "</ul></div>"
+        page = f"<body>{menu}<div>Buy this thing now</div><div><h1>Head</h1>{''.join(f'<p>{"x" * n}</p>' for n in text)}</div><div>(c) me</div></body>"
+        assert [len(t) for t in main_text(page).split("\n\n")] == [4, *text]
+
+
 @pytest.mark.parametrize("page", ["<a " * 60_000, "<b>" * 60_000 + "</i>" * 60_000, '<a ">" ' * 40_000, "<head>" * 40_000, "<textarea>" * 40_000, "<p " + "x" * 200_000 + ">y", "<div>" * 50_000])
 def test_main_text_takes_linear_time(page):
     began = time.time()
