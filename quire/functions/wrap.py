@@ -34,8 +34,9 @@ def line_starts(sizes: Column, most: int, gap: int) -> Column:
         return state(s["k"] + 1, room, F.when(fits, s["starts"]).otherwise(F.concat(s["starts"], F.array(s["k"]))))
 
     def chunk(s: Column, at: Column) -> Column:
-        found = F.reduce(F.slice(sizes, at + 1, F.lit(CHUNK)), state(s["k"], s["room"], none), item)
-        return F.struct(found["k"].alias("k"), found["room"].alias("room"), F.concat(s["starts"], F.array(found["starts"])).alias("starts"))
+        # The inner fold's result is taken apart in its last step, as an expression would run it for each part.
+        joined = lambda f: F.struct(f["k"].alias("k"), f["room"].alias("room"), F.concat(s["starts"], F.array(f["starts"])).alias("starts"))
+        return F.reduce(F.slice(sizes, at + 1, F.lit(CHUNK)), state(s["k"], s["room"], none), item, joined)
 
     start = F.struct(F.lit(0).alias("k"), F.lit(0).cast("long").alias("room"), F.array().cast("array<array<int>>").alias("starts"))
     chunks = F.when(F.size(sizes) > 0, F.sequence(F.lit(0), F.size(sizes) - 1, F.lit(CHUNK))).otherwise(none)
