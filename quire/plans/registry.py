@@ -238,6 +238,7 @@ def _published(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{Scratch(spark, 'published').root}/pages"
     sinks.write_files(pages.select(F.format_string("page_%d.html", "page_id").alias("path"), F.col("html").alias("content")), folder)
     found = spark.read.format("binaryFile").option("pathGlobFilter", "page_*.html").load(folder)
+    found = found.coalesce(4 * spark.sparkContext.defaultParallelism)  # files are small: the cost of opening would make a task of each few
     return found.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.col("length").alias("n_bytes"), F.md5("content").alias("digest"))
 
 
