@@ -14,6 +14,7 @@ other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -35,23 +36,28 @@ MOST_BYTES = 1 << 30
 #: The query's pages: rows of this many samples, at most so many rows a page and a strip.
 ROW = 576
 PAGE_ROWS, STRIP_ROWS = 4096, 256
+#: Its tiles, for payloads of at least one tile's rows, and its compressions.
+TILE, KINDS = (16, 192), (DEFLATE, LZW, PACKBITS)
+
+
+_RUNS = re.compile(rb"(.)\1{2,127}", re.DOTALL)
 
 
 def packbits_encode(data: bytes) -> bytes:
-    out, i, n = bytearray(), 0, len(data)
-    while i < n:
-        run = 1
-        while run < 128 and i + run < n and data[i + run] == data[i]:
-            run += 1
-        if run > 1:
-            out += bytes((257 - run, data[i]))
-            i += run
-            continue
-        start = i
-        while i < n and i - start < 128 and not (i + 1 < n and data[i] == data[i + 1]):
-            i += 1
-        out.append(i - start - 1)
-        out += data[start:i]
+    """Runs of 3 to 128 equal bytes as two, all else as literals of at most 128."""
+    out, at = bytearray(), 0
+
+    def literals(upto: int) -> None:
+        for k in range(at, upto, 128):
+            part = data[k : min(k + 128, upto)]
+            out.append(len(part) - 1)
+            out.extend(part)
+
+    for run in _RUNS.finditer(data):
+        literals(run.start())
+        out += bytes((257 - (run.end() - run.start()), data[run.start()]))
+        at = run.end()
+    literals(len(data))
     return bytes(out)
 
 
@@ -69,64 +75,72 @@ def packbits_decode(data: bytes, size: int) -> bytes:
     return bytes(out[:size])
 
 
+#: Bits of the codes after a clear: 9 to 12, widened one code early. Later ones have 12.
+_WIDTHS = np.array([min(12, (258 + k).bit_length()) for k in range(1 << 12)])
+
+
 def lzw_encode(data: bytes) -> bytes:
-    """TIFF's LZW: 9 to 12 bits, high bits first, widened one code early; 256 clears, 257 ends."""
-    codes: list[tuple[int, int]] = [(256, 9)]
-    table = {bytes((k,)): k for k in range(256)}
-    width, following, have = 9, 258, b""
-    for k in range(len(data)):
-        longer = have + data[k : k + 1]
+    """TIFF's LZW: high bits first; 256 clears, 257 ends."""
+    codes, runs, start = [256], [_WIDTHS[:1]], 1  # runs: widths, from clear to clear
+    table: dict[int, int] = {}  # of a code and the byte after it: code << 8 | byte
+    following, have = 258, -1
+    for byte in data:
+        if have < 0:
+            have = byte
+            continue
+        longer = have << 8 | byte
         if longer in table:
-            have = longer
+            have = table[longer]
             continue
-        codes.append((table[have], width))
+        codes.append(have)
         table[longer] = following
         following += 1
-        if following + 1 > 1 << width:
-            width += 1
         if following == 4094:
-            codes.append((256, min(width, 12)))
-            table = {bytes((j,)): j for j in range(256)}
-            width, following = 9, 258
-        have = data[k : k + 1]
-    if have:
-        codes.append((table[have], width))
-        following += 1
-        if following + 1 > 1 << width:
-            width = min(12, width + 1)
-    codes.append((257, width))
-    value = size = 0
-    for code, bits in codes:
-        value, size = value << bits | code, size + bits
-    pad = -size % 8
-    return (value << pad).to_bytes((size + pad) // 8, "big")
+            codes.append(256)
+            runs.append(_WIDTHS[: len(codes) - start])
+            start, following = len(codes), 258
+            table.clear()
+        have = byte
+    codes += [have, 257] if have >= 0 else [257]
+    runs.append(_WIDTHS[: len(codes) - start])
+    wide, bit = np.concatenate(runs)[:, None], np.arange(12)
+    bits = np.array(codes)[:, None] >> np.maximum(wide - 1 - bit, 0) & 1
+    return np.packbits(bits[bit < wide].astype(np.uint8)).tobytes()
 
 
 def lzw_decode(data: bytes, size: int) -> bytes:
-    out, table, width = bytearray(), [bytes((k,)) for k in range(256)] + [b"", b""], 9
-    buffer = held = at = 0
-    before: bytes | None = None
+    """The first ``size`` bytes. Codes are taken apart in blocks, as their widths depend on how many follow a clear only."""
+    raw = np.frombuffer(data + bytes(2), np.uint8).astype(np.uint32)
+    words, total = raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:], 8 * len(data)
+    out, table, before = bytearray(), [bytes((k,)) for k in range(256)] + [b"", b""], b""
+    at = since = 0
     while len(out) < size:
-        while held < width:
-            buffer, held, at = buffer << 8 | data[at], held + 8, at + 1
-        code = buffer >> (held - width)
-        held -= width
-        buffer &= (1 << held) - 1
-        if code == 257:
+        widths = _WIDTHS[np.minimum(np.arange(since, since + min(4096, (total - at) // 9 + 1)), 4095)]
+        ends = at + np.cumsum(widths)
+        n = int(np.searchsorted(ends, total, "right"))
+        if not n:
+            raise ValueError("LZW codes end early")
+        widths, starts = widths[:n], (ends - widths)[:n]
+        codes = words[starts >> 3] >> (24 - widths - (starts & 7)) & (1 << widths) - 1
+        marks = np.flatnonzero(codes >> 1 == 128)
+        n = int(marks[0]) if len(marks) else n
+        parts = []
+        for code in codes[:n].tolist():
+            if before:
+                entry = table[code] if code < len(table) else before + before[:1]
+                table.append(before + entry[:1])
+            else:
+                entry = table[code]
+            parts.append(entry)
+            before = entry
+        out += b"".join(parts)
+        if not len(marks):
+            at, since = int(ends[n - 1]), since + n
+        elif codes[n] == 257:
             break
-        if code == 256:
-            del table[258:]
-            width, before = 9, None
-            continue
-        if before is None:
-            entry = table[code]
         else:
-            entry = table[code] if code < len(table) else before + before[:1]
-            table.append(before + entry[:1])
-        out += entry
-        before = entry
-        if len(table) + 1 >= 1 << width and width < 12:
-            width += 1
+            at, since, before = int(ends[n]), 0, b""
+            del table[258:]
     return bytes(out[:size])
 
 
@@ -310,33 +324,39 @@ def payload_of(text: bytes) -> np.ndarray:
 
 
 def text_tiff(text: bytes) -> bytes:
-    """A deflated, differenced grey file of the text's payload; long ones take several pages."""
-    rows = payload_of(text)
-    return write_tiff([rows[k : k + PAGE_ROWS] for k in range(0, len(rows), PAGE_ROWS)])
+    """A grey file of the text's payload; long ones take several pages.
+
+    The crc32 of the text chooses how it is stored, so that equal texts are equal files, and a corpus has all kinds:
+    deflate, LZW or PackBits, strips or (of texts that fill one) tiles, differenced or not, of either byte order.
+    """
+    rows, way = payload_of(text), zlib.crc32(text)
+    pages = [rows[k : k + PAGE_ROWS] for k in range(0, len(rows), PAGE_ROWS)]
+    tile = TILE if len(rows) >= TILE[0] and way // 3 % 2 else None
+    return write_tiff(pages, KINDS[way % 3], 1 + way // 6 % 2, STRIP_ROWS, tile, "<>"[way // 12 % 2])
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pages"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pages", "compression", "tiled"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.bool_()]
     for batch in batches:
         rows = []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             text = (text.as_py() or "").encode()
             file = text_tiff(text)
-            whole, count, tail, total, size, high = hashlib.sha256(), 0, b"", 0, 0, 0
-            for _, page in read_pages(file):
+            whole, count, tail, total, size, high, fields = hashlib.sha256(), 0, b"", 0, 0, 0, {}
+            for fields, page in read_pages(file):
                 raw = page.tobytes()
                 whole.update(raw)
                 tail = (tail + raw)[-32:]
                 count, size, total = count + 1, size + len(raw), total + int(page.sum(dtype=np.int64))
                 high += int((page >= 128).sum())
             feature = f"pages={count};rows={size // ROW};mean={total / size:.6f};high={high / size:.6f}"
-            rows.append((key, len(text), size, whole.hexdigest(), zlib.crc32(tail), len(file), hashlib.sha256(file).hexdigest(), feature, count))
+            rows.append((key, len(text), size, whole.hexdigest(), zlib.crc32(tail), len(file), hashlib.sha256(file).hexdigest(), feature, count, _NAMES[fields[COMPRESSION][0]], TILE_OFFSETS in fields))
         yield pa.record_batch([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * len(names), kinds)], names)
 
 
 def text_media(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: digests of its text stored as TIFF and read back (null text: empty)."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        _digests, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pages int"
+        _digests, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pages int, compression string, tiled boolean"
     )

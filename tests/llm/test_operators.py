@@ -22,7 +22,7 @@ from quire.llm.pareto_mix import mix_digest, mixed_documents
 from quire.llm.ppm_language import ContextTrees, identify_language, learn
 from quire.llm.queries import damaged_replica
 from quire.llm.substring_dedup import SuffixAutomaton, substring_dedup, substring_dedup_digest
-from quire.llm.tiff import read_pages, text_media, text_tiff, tiff_pages, write_tiff
+from quire.llm.tiff import lzw_decode, lzw_encode, packbits_decode, packbits_encode, read_pages, text_media, text_tiff, tiff_pages, write_tiff
 from quire.llm.toxicity_pu import score_toxicity, train
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -163,6 +163,33 @@ def test_tiff(spark, odd):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), 576, hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-32:]))
 
 
+def test_tiff_codecs():
+    """The worked example of each published format, and round trips across code widths and table resets."""
+    packed = bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")
+    plain = bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22" + "AA" * 10)
+    assert packbits_encode(plain) == packed and packbits_decode(packed, len(plain)) == plain
+    codes = [256, 7, 258, 8, 8, 258, 6, 6, 257]
+    bits = "".join(format(c, "09b") for c in codes)
+    stored = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    assert lzw_encode(bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])) == stored and lzw_decode(stored, 9) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 2, 127, 128, 129, 254, 255, 510, 766, 1790, 3838, 3839, 3840, 9000, 40000):
+        for data in (rng.bytes(size), bytes(size), rng.integers(0, 2, size).astype(np.uint8).tobytes()):
+            assert lzw_decode(lzw_encode(data), size) == data and packbits_decode(packbits_encode(data), size) == data
+
+
+def test_tiff_query_kinds(spark):
+    """Equal texts are stored alike, and a corpus has all compressions, in strips and in tiles; clashing columns are not read."""
+    texts = [f"text {k} é " * (k % 7 * 300) for k in range(60)]
+    df = spark.createDataFrame([(k, t, "x", -1) for k, t in enumerate(texts + texts)], "doc_id long, text string, compression string, n_bytes int")
+    got = {r["doc_id"]: r for r in text_media(df).collect()}
+    for k, text in enumerate(texts):
+        padded = text.encode() + b"\xff" * (max(576, -(-len(text.encode()) // 576) * 576) - len(text.encode()))
+        assert got[k]["payload_sha256"] == hashlib.sha256(padded).hexdigest() and got[k][1:] == got[k + 60][1:]
+        assert not got[k]["tiled"] or len(padded) >= 16 * 576
+    assert {(r["compression"], r["tiled"]) for r in got.values()} == {(c, t) for c in ("deflate", "lzw", "packbits") for t in (False, True)}
+
+
 @pytest.mark.parametrize(("bits", "planes"), [(1, 1), (2, 1), (4, 2), (16, 1), (16, 3)])
 def test_tiff_depths(bits, planes):
     """Pages of other depths and of planes, with strips put together by hand."""
