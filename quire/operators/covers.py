@@ -94,12 +94,12 @@ def preview_pages(chapters: DataFrame, meta: DataFrame, uris: DataFrame) -> Data
     """One page per document: cover, title, author, and all chapters with their images as data URIs.
 
     ``chapters``: doc_id, out_ord, title, pieces (of ``written_chapters``); ``meta``: doc_id, title, author, cover_uri;
-    ``uris``: doc_id, image_idx, filename, uri, of equal names the first counts. A document's URIs are sent once and meet its
-    page, where each image block takes its own: no chapter meets those of others.
+    ``uris``: doc_id, image_idx, filename, uri, of equal names the first counts; partitioned by doc_id, so that they are not
+    sent again. A document's URIs meet its page, where each image block takes its own: no chapter meets those of others.
     """
     chapter = F.struct("out_ord", "title", "pieces")
     pages = chapters.groupBy("doc_id").agg(F.array_sort(F.collect_list(chapter)).alias("chapters"))
-    own = uris.repartition("doc_id").groupBy("doc_id", "filename").agg(F.min_by("uri", "image_idx").alias("uri"))
+    own = uris.groupBy("doc_id", "filename").agg(F.min_by("uri", "image_idx").alias("uri"))
     own = own.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("filename", "uri"))).alias("uris"))
     part = lambda c: F.concat(
         F.lit('<h2 id="chap'), c["out_ord"].cast("string"), F.lit('">'), escape_html(c["title"]), F.lit("</h2>\n"),

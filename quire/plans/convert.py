@@ -6,14 +6,16 @@ what can't be read is missing from its book and a row of its diagnostics.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from ..functions import text as T
 from ..functions.wrap import drawn_cover
@@ -63,21 +65,17 @@ def usable_covers(files: DataFrame) -> DataFrame:
     return sized.mapInArrow(run, "doc_id long, mime string, width int, height int, bytes binary").where("mime is not null")
 
 
-def drawn_covers(meta: DataFrame) -> DataFrame:
-    """doc_id and bytes of the cover that is drawn for a title and an author."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [drawn_cover(t or "", a or "").encode() for t, a in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.record_batch([batch.column(0), pa.array(made, pa.binary())], ["doc_id", "bytes"])
-
-    return meta.select("doc_id", "title", "author").mapInArrow(run, "doc_id long, bytes binary")
+@F.arrow_udf(BinaryType())
+def drawn(title: pa.Array, author: pa.Array) -> pa.Array:
+    """The cover that is drawn for a title and an author; null for a null title."""
+    return pa.array([None if t is None else drawn_cover(t, a or "").encode() for t, a in zip(title.to_pylist(), author.to_pylist())], pa.binary())
 
 
 @dataclass
 class Conversion:
     """metadata; chapters (doc_id, out_ord, href, title, body, xhtml); epubs and previews (doc_id, path, content);
-    diagnostics; summary (doc_id, path, title, author, pages, images, chapters, epub, error)."""
+    diagnostics; summary (doc_id, path, title, author, pages, images, chapters, epub, error); totals (unread files, pages, images,
+    chapters: over all files). ``close`` deletes the tables that these read."""
 
     metadata: DataFrame
     chapters: DataFrame
@@ -85,36 +83,56 @@ class Conversion:
     previews: DataFrame
     diagnostics: DataFrame
     summary: DataFrame
+    totals: dict[str, int]
+    scratch: Scratch
+
+    def close(self) -> None:
+        self.scratch.close()
+
+
+#: What a file that can't be read leaves.
+UNREAD = "kind = 'diagnostic' and page_num is null and text like 'not loaded%'"
 
 
 def convert(files: DataFrame, overrides: DataFrame | None = None, cover_files: DataFrame | None = None, lang: str = "pt") -> Conversion:
-    """``files``: doc_id, path, content; ``cover_files`` (doc_id, bytes): covers to use instead of a file's own."""
+    """``files``: doc_id, path, content; ``cover_files`` (doc_id, bytes): covers to use instead of a file's own.
+
+    What comes in is dealt out by doc_id once, before it is parsed; all tables between are in buckets of it, so that no later
+    join or group by doc_id exchanges anything. Only metadata are sent once more, after names have been counted. The totals
+    are observed on writes, whose tasks each count once however often they run; no table is read for them.
+    """
     scratch = Scratch(files.sparkSession, "convert")
-    rows = scratch.cut(pdf.parse_pdfs(files), "rows")
-    metadata = scratch.cut(document_metadata(files, rows, overrides), "metadata")
+    parsed, made = Observation("parsed"), Observation("made")
+    kinds = [F.count_if(F.col("kind") == k).alias(f"{k}s") for k in ("page", "image")]
+    dealt = files.select("doc_id", "content").repartition(scratch.buckets(), "doc_id")
+    rows = scratch.cut_by(pdf.parse_pdfs(dealt).observe(parsed, *kinds, F.count_if(F.expr(UNREAD)).alias("unread")), "rows", "doc_id")
+    paths = scratch.deal(files.select(F.col("doc_id").cast("long"), "path"), "paths", "doc_id")
+    own = overrides and scratch.deal(overrides.select(F.col("doc_id").cast("long"), "title", "author", "lang"), "overrides", "doc_id")
+    metadata = scratch.deal(document_metadata(paths, rows, own), "metadata", "doc_id")
     docs = rows.where("kind = 'meta'").select("doc_id")
-    lines, shown, assets = pdf.parsed_lines(rows), pdf.parsed_images(rows), pdf.parsed_assets(rows)
-    pages = rows.where("kind = 'page'").select("doc_id", "page_num")
-    given = scratch.cut(usable_covers(cover_files), "given") if cover_files is not None else None
+    assets = pdf.parsed_assets(rows)
+    given = scratch.deal(usable_covers(cover_files), "given", "doc_id") if cover_files is not None else None
 
-    known = scratch.cut(C.with_cover(L.profile(docs, L.all_events(lines, shown), assets.drop("bytes"), pages), given), "profile")
-    flow = known.withColumn("consumed_image", F.col("cover.consumed_image")).drop("shown", "opening", "cover").join(L.union_events(lines, shown), "doc_id", "left")
+    known = scratch.cut_by(C.with_cover(L.profile_of(pdf.parsed_profile(rows)), given), "profile", "doc_id")
+    flow = known.withColumn("consumed_image", F.col("cover.consumed_image")).drop("shown", "opening", "cover").join(L.ordered(pdf.parsed_events(rows)), "doc_id", "left")
     marked = L.chapter_events(L.with_names(flow))
-    written = scratch.cut(L.written_chapters(L.chapter_pieces(L.classified(marked))), "chapters")
+    written = L.written_chapters(L.chapter_pieces(L.classified(marked))).observe(made, F.count(F.lit(1)).alias("chapters"))
+    written = scratch.cut_by(written, "chapters", "doc_id")
     chapters = L.chapter_documents(written)
 
     chosen = known.select("doc_id", "cover.*")
-    covers = chosen.join(assets.select("doc_id", F.col("image_idx").alias("consumed_image"), F.col("bytes").alias("own")), ["doc_id", "consumed_image"], "left")
-    covers = covers.join(drawn_covers(metadata).withColumnRenamed("bytes", "drawn"), "doc_id")
+    # The difference keeps image_idx from being a key of the join, which then would be exchanged by both.
+    shown_first = F.col("image_idx") - F.col("consumed_image") == 0
+    found = assets.select("doc_id", "image_idx", F.col("bytes").alias("own")).join(chosen.select("doc_id", "consumed_image"), "doc_id").where(shown_first).select("doc_id", "own")
+    covers = chosen.join(found, "doc_id", "left").join(metadata.select("doc_id", "title", "author"), "doc_id")
     covers = covers.join(given.select("doc_id", F.col("bytes").alias("file")), "doc_id", "left") if given is not None else covers.withColumn("file", F.lit(None).cast("binary"))
+    covers = covers.withColumn("drawn", drawn(F.when(F.col("source") == "drawn", F.coalesce("title", F.lit(""))), F.col("author")))
     data = F.when(F.col("source") == "given", F.col("file")).when(F.col("source") == "detected", F.col("own")).otherwise(F.col("drawn"))
     covers = covers.select("doc_id", "filename", "mime", data.alias("bytes"), T.cover_xhtml(F.col("filename"), F.col("width"), F.col("height")).alias("xhtml"))
-    covers = scratch.cut(covers, "covers")
+    covers = scratch.cut_by(covers, "covers", "doc_id")
 
-    left = C.resources(assets.drop("bytes"), chosen).select("doc_id", "image_idx")
-    resources = assets.join(left, ["doc_id", "image_idx"])
     loaded = metadata.join(docs, "doc_id", "left_semi")
-    epubs = sinks.epub_files(loaded, chapters, resources, covers, lang)
+    epubs = sinks.epub_files(loaded, chapters, C.resources(assets, chosen), covers, lang)
     uris = covers.select("doc_id", T.data_uri(F.col("mime"), F.col("bytes")).alias("cover_uri"))
     html = C.preview_pages(written, loaded.select("doc_id", "title", "author").join(uris, "doc_id"), C.image_uris(assets))
     previews = html.join(loaded.select("doc_id", F.concat(F.regexp_replace("name", r"\.epub$", ""), F.lit(".preview.html")).alias("path")), "doc_id").select("doc_id", "path", F.col("html").alias("content"))
@@ -123,13 +141,11 @@ def convert(files: DataFrame, overrides: DataFrame | None = None, cover_files: D
         refused = cover_files.select("doc_id").join(given, "doc_id", "left_anti")
         diagnostics = diagnostics.unionByName(refused.select("doc_id", F.lit("cover").alias("stage"), F.lit(0).alias("page_num"), F.lit(0).alias("event_seq"), F.lit("warning").alias("level"), F.lit("the given cover is no JPEG or PNG").alias("message")))
 
-    counts = rows.groupBy("doc_id").agg(
-        F.count_if(F.col("kind") == "page").alias("pages"), F.count_if(F.col("kind") == "image").alias("images"),
-        F.max(F.when((F.col("kind") == "diagnostic") & F.col("page_num").isNull() & F.col("text").startswith("not loaded"), F.col("text"))).alias("error"),
-    )
-    summary = metadata.join(counts, "doc_id", "left").join(chapters.groupBy("doc_id").agg(F.count("*").alias("chapters")), "doc_id", "left")
+    counts = rows.groupBy("doc_id").agg(*kinds, F.max(F.when(F.expr(UNREAD), F.col("text"))).alias("error"))
+    summary = metadata.join(counts, "doc_id", "left").join(written.groupBy("doc_id").agg(F.count("*").alias("chapters")), "doc_id", "left")
     summary = summary.select("doc_id", "path", "title", "author", "pages", "images", F.coalesce("chapters", F.lit(0).cast("long")).alias("chapters"), F.when(F.col("error").isNull(), F.col("name")).alias("epub"), "error")
-    return Conversion(metadata, chapters, epubs, previews, diagnostics, summary)
+    totals = {k: o.get.get(k) or 0 for o, names in ((parsed, ("pages", "images", "unread")), (made, ("chapters",))) for k in names}
+    return Conversion(metadata, chapters, epubs, previews, diagnostics, summary, totals, scratch)
 
 
 #: Folder of the summary and the diagnostics in a target, and the file that tells it from a user's own.
@@ -150,7 +166,8 @@ def report_folder(target: str) -> str:
 def convert_folder(spark: SparkSession, source: str, target: str, cover: bytes | None = None, overrides: DataFrame | None = None, lang: str = "pt") -> DataFrame:
     """Convert the PDF files of ``source`` into EPUB and preview files in ``target``; returns the summary.
 
-    Books appear all or none (``sinks.write_files``). The summary and the diagnostics are JSON in ``REPORT`` there.
+    Books appear all or none (``sinks.write_files``). The summary and the diagnostics are JSON in ``REPORT`` there, and so
+    are the totals.
     """
     report = report_folder(target)
     files = read_pdfs(spark, source)
@@ -160,4 +177,8 @@ def convert_folder(spark: SparkSession, source: str, target: str, cover: bytes |
     sinks.write_files(made, target)
     done.diagnostics.write.mode("overwrite").json(f"{report}/diagnostics")
     done.summary.write.mode("overwrite").json(f"{report}/summary")
-    return done.summary
+    store, base = sinks.store_of(f"{report}/totals.json")
+    with store.open_output_stream(base) as f:
+        f.write(json.dumps(done.totals).encode())
+    done.close()
+    return spark.read.schema(done.summary.schema).json(f"{report}/summary")

@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -206,7 +206,7 @@ def _previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     meta = C.select_covers(flow.profile()).select(
         "doc_id", F.concat(F.lit("Doc & "), F.col("doc_id").cast("string")).alias("title"), F.lit("A <B>").alias("author"), F.concat(F.lit("cover:"), "filename").alias("cover_uri")
     )
-    return C.preview_pages(chapters, meta, C.image_uris(flow.images)).select("doc_id", F.md5("html").alias("digest"), F.char_length("html").cast("long").alias("n_chars"))
+    return C.preview_pages(chapters, meta, C.image_uris(flow.images).repartition("doc_id")).select("doc_id", F.md5("html").alias("digest"), F.char_length("html").cast("long").alias("n_chars"))
 
 
 def _ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,6 +232,19 @@ def _joined_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.range_blocks(S.range_kinds(events, known)).select("chapter_id", "block_ord", "kind", "text", "image_idx")
 
 
+def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the writes of all events and all chapters count beside their work."""
+    flow, scratch = Flow(spark, sf_dir), Scratch(spark, "totals")
+    seen, made = Observation("events"), Observation("chapters")
+    events = flow.events.observe(seen, F.count_if(F.col("is_image") == 0).alias("lines"), F.count_if(F.col("is_image") == 1).alias("images"), F.sum(F.char_length("text")).alias("chars"))
+    chapters = L.chapters(L.chapter_events(flow.headings())).observe(made, F.count(F.lit(1)).alias("chapters"), F.max("n_events").alias("longest"))
+    for table, label in ((events, "events"), (chapters, "chapters")):
+        scratch.cut(table, label)
+    scratch.close()
+    found = {k: seen.get.get(k) for k in ("lines", "images", "chars")} | {k: made.get.get(k) for k in ("chapters", "longest")}
+    return spark.createDataFrame([tuple(found.values())], ", ".join(f"{k} long" for k in found))
+
+
 def _published(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as files of the committing sink, read back from its folder."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
@@ -290,6 +303,7 @@ def queries() -> dict[str, Query]:
         "q41_joined_blocks": _joined_blocks,
         "q42_inherited_values": _inherited,
         "q43_image_places": _places,
+        "q44_observed_totals": _totals,
     }
 
 
@@ -356,6 +370,10 @@ def oracle_sql() -> dict[str, str]:
     union all select r.doc_id, o.k, o.op, case when o.op = 'cm' then {mul} when o.op = 'Q' and len(saved) > 0 then saved[-1] else t end,
       case when o.op = 'q' then list_append(saved, t) when o.op = 'Q' then saved[:-2] else saved end from r join o on o.doc_id = r.doc_id and o.k = r.k + 1)
   select doc_id, k, len(saved)::int as saves, {', '.join(f'case when t.{c} = 0 then 0::double else t.{c} end as {c}' for c in 'abcdef')}, least(800::double - t.f, 800::double - t.d - t.f) as y from r where op = 'Do')"""
+        ),
+        "q44_observed_totals": X.with_ctes(
+            """select e.*, c.* from (select count(*) filter (is_image = 0) as lines, count(*) filter (is_image = 1) as images, sum(length(text))::bigint as chars from events) e,
+  (select count(*) as chapters, max(n_events)::bigint as longest from chapters) c"""
         ),
         "q39_rank_selection": X.with_ctes(ranks),
         "q40_range_blocks": X.with_ctes("select * from blocks"),

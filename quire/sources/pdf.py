@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import utrim
 from ..operators.glyphs import JUMP, STEP, image_y
 from .filters import ascii85, ascii_hex, lzw, run_length
 from .fonts import Font
@@ -622,15 +623,26 @@ def parse_pdfs(files: DataFrame, metadata_only: bool = False) -> DataFrame:
     return files.select(F.col("doc_id").cast("long"), F.col("content")).mapInArrow(_parsed(metadata_only), ROWS_DDL)
 
 
-def parsed_lines(rows: DataFrame) -> DataFrame:
-    """The lines as events."""
-    return rows.where("kind = 'line'").select("doc_id", "page_num", F.col("k").alias("arrival_seq"), "y", F.lit(0).alias("is_image"), "text", "font_size", "x_start", F.lit(None).cast("int").alias("image_idx"))
-
-
-def parsed_images(rows: DataFrame) -> DataFrame:
-    """The drawn images as events; they follow lines of the same y."""
-    y = image_y(F.col("width"), F.col("height"), F.col("y"))
-    return rows.where("kind = 'drawn'").select("doc_id", "page_num", F.col("k").alias("arrival_seq"), y.alias("y"), F.lit(1).alias("is_image"), "image_idx")
+def parsed_events(rows: DataFrame) -> DataFrame:
+    """The lines and the drawn images as events, in one scan; images follow lines of the same y."""
+    line = F.col("kind") == "line"
+    y = F.when(line, F.col("y")).otherwise(image_y(F.col("width"), F.col("height"), F.col("y")))
+    own = [F.when(line, F.col(c)).alias(c) for c in ("text", "font_size", "x_start")]
+    found = rows.where("kind in ('line', 'drawn')")
+    return found.select("doc_id", "page_num", F.col("k").alias("arrival_seq"), y.alias("y"), F.when(line, 0).otherwise(1).alias("is_image"), *own, F.when(~line, F.col("image_idx")).alias("image_idx"))
+
+
+def parsed_profile(rows: DataFrame) -> DataFrame:
+    """What ``layout.profile_rows`` makes of documents, events, images and pages, in one scan."""
+    of = lambda kind, value: F.when(F.col("kind") == kind, value)
+    place = ("page_num", F.col("k").alias("arrival_seq"))
+    y = image_y(F.col("width"), F.col("height"), F.col("y")).alias("y")
+    line = F.struct(place[0], "y", place[1], (utrim(F.col("text")) == "").alias("blank"), "font_size", "x_start")
+    size = [F.col(c).cast("int").alias(c) for c in ("width", "height")]
+    entry = F.struct(F.col("image_idx").alias("key"), F.struct("filename", "mime", *size).alias("value"))
+    found = rows.where("kind in ('meta', 'page', 'line', 'drawn', 'image')")
+    shown = F.struct(place[0], y, place[1], "image_idx")
+    return found.select("doc_id", of("page", F.col("page_num")).alias("page_num"), of("line", line).alias("line"), of("drawn", shown).alias("shown"), of("image", entry).alias("entry"))
 
 
 def parsed_assets(rows: DataFrame) -> DataFrame:

@@ -99,32 +99,27 @@ def build_epub(
 def epub_files(meta: DataFrame, chapters: DataFrame, resources: DataFrame, covers: DataFrame, lang: str = "pt") -> DataFrame:
     """doc_id, path, content. meta: doc_id, name, title, author (and lang); chapters: doc_id, out_ord, href, title, xhtml;
 
-    resources: doc_id, image_idx, filename, mime, bytes; covers: doc_id, filename, mime, bytes, xhtml. Documents without
-    meta have no file. A document's parts meet in one task: a book must fit there.
+    resources: doc_id, image_idx, filename, mime, bytes; covers: doc_id, filename, mime, bytes, xhtml, one a document.
+    Documents without meta have no file. A book meets its images in one task, where it must fit; tables that are in equal
+    buckets by doc_id are not exchanged.
     """
     own = F.coalesce("lang", F.lit(lang)) if "lang" in meta.columns else F.lit(lang)
-    rows = (
-        meta.select("doc_id", F.lit("meta").alias("kind"), F.lit(0).alias("k"), F.col("name").alias("a"), F.col("title").alias("b"), F.col("author").alias("c"), own.alias("d"))
-        .unionByName(chapters.select("doc_id", F.lit("chapter").alias("kind"), F.col("out_ord").alias("k"), F.col("href").alias("a"), F.col("title").alias("b"), F.col("xhtml").alias("c")), True)
-        .unionByName(resources.select("doc_id", F.lit("image").alias("kind"), F.col("image_idx").alias("k"), F.col("filename").alias("a"), F.col("mime").alias("b"), "bytes"), True)
-        .unionByName(covers.select("doc_id", F.lit("cover").alias("kind"), F.lit(0).alias("k"), F.col("filename").alias("a"), F.col("mime").alias("b"), F.col("xhtml").alias("c"), "bytes"), True)
-    )
-
+    parts = chapters.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("out_ord", "href", "title", "xhtml"))).alias("chapters"))
+    cover = covers.where("bytes is not null").select("doc_id", F.struct("filename", "mime", "bytes", "xhtml").alias("cover"))
+    books = meta.select("doc_id", "name", "title", "author", own.alias("lang")).join(parts, "doc_id", "left").join(cover, "doc_id", "left")
     schema = pa.schema([("doc_id", pa.int64()), ("path", pa.string()), ("content", pa.binary())])
 
-    def book(table: pa.Table) -> pa.Table:
-        parts = sorted(table.to_pylist(), key=lambda r: r["k"])
-        of = lambda kind: [r for r in parts if r["kind"] == kind]
-        if not (head := of("meta")):
+    def book(head: pa.Table, images: pa.Table) -> pa.Table:
+        if not len(head):
             return schema.empty_table()
-        cover = next(((r["a"], r["b"], r["bytes"], r["c"]) for r in of("cover") if r["bytes"] is not None), None)
-        chapter = [(r["a"], r["b"], r["c"]) for r in of("chapter")]
-        images = [(r["a"], r["b"], r["bytes"]) for r in of("image")]
-        key, name = head[0]["doc_id"], head[0]["a"]
-        data = build_epub(head[0]["b"], head[0]["c"], head[0]["d"], chapter, images, cover, f"{key}/{name}")
-        return pa.table([[key], [name], [data]], schema=schema)
-
-    return rows.groupBy("doc_id").applyInArrow(book, "doc_id long, path string, content binary")
+        r = head.slice(0, 1).to_pylist()[0]
+        chapter = [(c["href"], c["title"], c["xhtml"]) for c in r["chapters"] or ()]
+        image = [(i["filename"], i["mime"], i["bytes"]) for i in images.sort_by("image_idx").to_pylist()]
+        data = build_epub(r["title"], r["author"], r["lang"], chapter, image, r["cover"] and tuple(r["cover"].values()), f"{r['doc_id']}/{r['name']}")
+        return pa.table([[r["doc_id"]], [r["name"]], [data]], schema=schema)
+
+    images = resources.select("doc_id", "image_idx", "filename", "mime", "bytes")
+    return books.groupBy("doc_id").cogroup(images.groupBy("doc_id")).applyInArrow(book, "doc_id long, path string, content binary")
 
 
 def store_of(folder: str) -> tuple[fs.FileSystem, str]:

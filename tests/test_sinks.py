@@ -1,10 +1,13 @@
 """EPUB archives and whole conversions: parts in order, names that need escapes, covers, previews, files, the command."""
 
 import io
+import json
+import re
 import struct
 import xml.etree.ElementTree as ET
 import zipfile
 import zlib
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quire.__main__ import arguments, main
 from quire.plans.convert import MARK, REPORT, convert, convert_folder, document_metadata, read_pdfs, usable_covers
+from quire.scratch import Scratch
 from quire.sources import pdf, raster
 from quire.sources.sinks import STYLESHEET, FileWriter, epub_files, write_files
 
@@ -151,6 +155,42 @@ def test_convert(spark):
     assert {(1, "parse", "image img_8_0.png: unsupported codec"), (1, "parse", "1 lines"), (1, "chapters", "heading: Chapter 1"), (1, "cover", "cover below the sharp size: 400x1000")} <= messages
 
 
+def test_conversion_exchanges_nothing_by_document(spark, monkeypatch):
+    """After what comes in has been dealt out by doc_id, neither the tables between nor the results are exchanged by it; the
+    totals of the writes are those of the summary; what is closed is gone."""
+    plans = {}
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    cut_by = Scratch.cut_by
+    monkeypatch.setattr(Scratch, "cut_by", lambda self, df, label, key: (plans.__setitem__(label, plan(df)), cut_by(self, df, label, key))[1])
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plain = pdf.write_pdf([[(60, 80, 10, "Part 2"), (60, 120, 10, "one"), (60, 160, 10, "Part 3"), (60, 200, 10, "two")], [(60, 80, 10, "three")]])
+        covers = spark.createDataFrame([(2, bytearray(raster.encode_png("gray", bytes(12), 4, 3)))], "doc_id long, bytes binary")
+        overrides = spark.createDataFrame([(2, "Mine", None, None)], "doc_id long, title string, author string, lang string")
+        done = convert(files_of(spark, (1, "/in/a.pdf", picture_pdf()), (2, "/in/b.pdf", plain), (3, "/in/c.pdf", b"broken")), overrides, covers)
+        results = {k: getattr(done, k) for k in ("metadata", "chapters", "epubs", "previews", "summary")}
+        plans |= {k if k not in plans else f"{k} of the result": plan(df) for k, df in results.items()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    sent = {k: set(re.findall(r"Exchange hashpartitioning\(doc_id#\d+L?, \d+\), (\w+)", text)) for k, text in plans.items()}
+    assert {"rows", "paths", "overrides", "metadata", "given", "profile", "chapters", "covers", "epubs", "previews", "summary"} <= plans.keys()
+    assert {k: v for k, v in sent.items() if v} == dict.fromkeys(("rows", "paths", "overrides", "metadata", "given"), {"REPARTITION_BY_NUM"})
+    rows = done.summary.collect()
+    assert done.totals == {k: sum(r[k] or 0 for r in rows) for k in ("pages", "images", "chapters")} | {"unread": sum(r["error"] is not None for r in rows)}
+    assert done.totals["pages"] == 4 and done.totals["unread"] == 1 and {r["doc_id"] for r in done.epubs.collect()} == {1, 2}
+    held, root = list(done.scratch.tables), Path(done.scratch.root.removeprefix("file:"))
+    assert all(spark.catalog.tableExists(t) for t in held) and root.exists()
+    done.close()
+    assert not any(spark.catalog.tableExists(t) for t in held) and not root.exists()
+
+
+def test_conversion_of_nothing(spark):
+    done = convert(files_of(spark, (1, "/in/a.pdf", b"")).where("false"))
+    assert done.totals == {"pages": 0, "images": 0, "unread": 0, "chapters": 0}
+    assert not any(getattr(done, k).count() for k in ("metadata", "chapters", "epubs", "previews", "diagnostics", "summary"))
+
+
 def test_covers_and_overrides(spark):
     png = raster.encode_png("gray", bytes(12), 4, 3)
     jpeg = b"\xff\xd8\xff\xff\xe0\x00\x04ab\xff\xc0\x00\x0b\x08" + struct.pack(">HH", 30, 20) + b"\x01\x01\x11\x00"
@@ -183,6 +223,7 @@ def test_folders(spark, tmp_path):
     assert names(target) == ["Meu livro+1.epub", "Meu livro+1.preview.html", REPORT]
     assert [r["epub"] for r in spark.read.json(f"{target}/{REPORT}/summary").collect()] == ["Meu livro+1.epub"]
     assert {r["message"] for r in spark.read.json(f"{target}/{REPORT}/diagnostics").collect()} >= {"heading: Capítulo 1", "2 lines"}
+    assert json.loads((target / REPORT / "totals.json").read_text()) == {"pages": 1, "images": 0, "unread": 0, "chapters": 1}
 
 
 def test_folders_of_others_are_left_alone(spark, tmp_path):
