@@ -12,8 +12,9 @@ it) to where these documents are streamed, and routes are found first:
    equal anchors, so windows whose anchor stands in one document only are settled.
 3. The remaining windows are hashed; for each, the smallest document that holds it is the reference, and its shard
    there the one to stream past.
-4. Every document with such windows is streamed past the automata of its references. The matching statistics alone
-   decide what goes: maximal spans of at least ``min_words`` words.
+4. Every document with such windows is streamed past the automata of its references, a long one shard by shard too: a
+   shard of it meets those that hold its own windows and no others. The matching statistics alone decide what goes:
+   maximal spans of at least ``min_words`` words.
 
 Defined results: null text is no words; null doc_id is never a reference and loses nothing; repeated rows with one
 doc_id are no references of each other; texts of any length are handled in pieces of bounded size; an empty table gives
@@ -161,7 +162,7 @@ def _profiles(size: int):
 
 
 def _windows(size: int, shard_words: int):
-    """Of candidate documents: the windows whose anchors stand in other documents too, and the shard that has them."""
+    """Of candidate documents: the windows whose anchors stand in other documents too, and the shards that have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,14 +175,44 @@ def _windows(size: int, shard_words: int):
                 doc = np.repeat(np.arange(row, end), np.diff(before))[at] if len(at) else at
                 hashes = grams(words, size)[at]
                 shard = (at - before[doc - row]) // shard_words
-                order = np.lexsort((hashes, doc))  # a window that a document repeats counts once
+                order = np.lexsort((shard, hashes, doc))  # a window that a shard repeats counts once
                 doc, hashes, shard = doc[order], hashes[order], shard[order]
-                once = np.append(True, (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])) if len(doc) else np.zeros(0, bool)
+                new = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1]) | (shard[1:] != shard[:-1])
+                once = np.append(True, new) if len(doc) else np.zeros(0, bool)
                 yield pa.record_batch([pa.array(hashes[once].view(np.int64)), ids.take(pa.array(doc[once])), pa.array(shard[once], pa.int32())], ["w", "doc_id", "shard"])
 
     return run
 
 
+def _cut_up(size: int, shard_words: int):
+    """Texts as shards of ``shard_words`` words and the ``size - 1`` words after them, joined by one space."""
+    reach = shard_words + size - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(doc_id: int, key: int, shard: int, words: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{"doc_id": doc_id, "key": key, "shard": shard, "text": b" ".join(words).decode()}], _SHARDS)
+
+        for batch in batches:
+            for doc_id, key, text in zip(*(batch.column(i) for i in range(3))):
+                held, shard = [], 0
+                for words in word_pieces(text.as_py().encode()):
+                    held += words
+                    while len(held) >= reach:
+                        yield row(doc_id.as_py(), key.as_py(), shard, held[:reach])
+                        held, shard = held[shard_words:], shard + 1
+                if len(held) >= size or not shard:
+                    yield row(doc_id.as_py(), key.as_py(), shard, held)
+
+    return run
+
+
+def shards_of(texts: DataFrame, size: int, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """``texts`` (doc_id, key, text) shard by shard; those too short for a second one stay as they are, in the JVM."""
+    short = F.octet_length("text") < 2 * shard_words  # a word and a space
+    long = texts.where(~short).select("doc_id", "key", "text").mapInArrow(_cut_up(size, shard_words), "doc_id long, key long, shard int, text string")
+    return texts.where(short).select("doc_id", "key", F.lit(0).alias("shard"), "text").unionByName(long)
+
+
 def _streamed(size: int, shard_words: int):
     """Rows sorted by shard, the reference first: its automaton, then the spans that it covers of each document."""
 
@@ -189,22 +220,21 @@ def _streamed(size: int, shard_words: int):
         held, automaton = None, None
         for batch in batches:
             out: list[tuple[int, int, list[int], list[int]]] = []
-            ref, shard, salt, mine, ids, keys = (batch.column(i).to_pylist() for i in range(6))
-            for row, _, data, offsets in blocks(batch.column(6), 1):
-                words, place = word_hashes(data, offsets)[0], (ref[row], shard[row], salt[row])
+            ref, shard, salt, mine, ids, keys, parts = (batch.column(i).to_pylist() for i in range(7))
+            for row, _, data, offsets in blocks(batch.column(7), 1):
+                words, place = word_hashes(data, offsets)[0].tolist(), (ref[row], shard[row], salt[row])
                 if mine[row]:
                     if held != place:
-                        start = shard[row] * shard_words
-                        held, automaton = place, SuffixAutomaton(words[start : start + shard_words + size - 1].tolist())
-                elif held == place:
-                    items = (x for k in range(0, len(words), shard_words) for x in words[k : k + shard_words].tolist())
-                    if spans := automaton.matches(items if len(words) > shard_words else words.tolist(), size):
-                        out.append((ids[row], keys[row], [a for a, _ in spans], [b for _, b in spans]))
+                        held, automaton = place, SuffixAutomaton(words)
+                elif held == place and (spans := automaton.matches(words, size)):
+                    start = parts[row] * shard_words
+                    out.append((ids[row], keys[row], [start + a for a, _ in spans], [start + b for _, b in spans]))
             yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "key", "starts", "ends"), x)) for x in out], _SPANS)
 
     return run
 
 
+_SHARDS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("shard", pa.int32()), ("text", pa.string())])
 _SPANS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
 
 
@@ -251,6 +281,20 @@ def _same_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.take(pa.array(rows, pa.int64()))
 
 
+def routed(shards: DataFrame, routes: DataFrame) -> DataFrame:
+    """What is sent: ``shards`` to the shards that ``routes`` name, and these once for every ``DOCS_A_SHARD`` of them."""
+    asked = routes.groupBy("ref", "ref_shard").agg(F.ceil(F.count("*") / F.lit(DOCS_A_SHARD)).alias("salts"))
+    references = (
+        shards.join(asked.withColumnsRenamed({"ref": "doc_id", "ref_shard": "shard"}), ["doc_id", "shard"])
+        .select(F.col("doc_id").alias("ref"), F.col("shard").alias("ref_shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("mine"), "doc_id", "key", "shard", "text")
+    )
+    streamed = (
+        shards.join(routes.join(asked, ["ref", "ref_shard"]), ["doc_id", "shard"])
+        .select("ref", "ref_shard", F.expr("pmod(xxhash64(doc_id, shard), salts)").alias("salt"), F.lit(False).alias("mine"), "doc_id", "key", "shard", "text")
+    )
+    return references.unionByName(streamed)
+
+
 def repeats(docs: DataFrame, min_words: int = 50, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """Profiles of all rows, and what to do with classes of equal word sequences.
 
@@ -277,22 +321,13 @@ def repeats(docs: DataFrame, min_words: int = 50, scratch: Scratch | None = None
 
     windows = scratch.cut(found.select("doc_id", "text", "anchors").mapInArrow(_windows(min_words, SHARD_WORDS), "w long, doc_id long, shard int"), "windows")
     held = windows.groupBy("w").agg(F.min(F.struct("doc_id", "shard")).alias("least"), F.max("doc_id").alias("last"))
-    held = held.where("least.doc_id < last").select("w", F.col("least.doc_id").alias("ref"), F.col("least.shard").alias("shard"))
-    routes = windows.drop("shard").join(held, "w").where("doc_id > ref").select("doc_id", "ref", "shard").distinct()
+    held = held.where("least.doc_id < last").select("w", F.col("least.doc_id").alias("ref"), F.col("least.shard").alias("ref_shard"))
+    routes = windows.join(held, "w").where("doc_id > ref").select("doc_id", "shard", "ref", "ref_shard").distinct()
     routes = scratch.cut(routes, "routes")
     scratch.drop("windows")
-    shards = routes.groupBy("ref", "shard").agg(F.ceil(F.count("*") / F.lit(DOCS_A_SHARD)).alias("salts"))
-    text = found.select("doc_id", "key", "text")
-    references = (
-        text.withColumnRenamed("doc_id", "ref").join(shards, "ref")
-        .select("ref", "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("mine"), F.col("ref").alias("doc_id"), "key", "text")
-    )
-    streamed = (
-        text.join(routes.join(shards, ["ref", "shard"]), "doc_id")
-        .select("ref", "shard", F.expr("pmod(xxhash64(doc_id), salts)").alias("salt"), F.lit(False).alias("mine"), "doc_id", "key", "text")
-    )
     spans = (
-        references.unionByName(streamed).repartition("ref", "shard", "salt").sortWithinPartitions("ref", "shard", "salt", F.desc("mine"))
+        routed(shards_of(found, min_words, SHARD_WORDS), routes)
+        .repartition("ref", "ref_shard", "salt").sortWithinPartitions("ref", "ref_shard", "salt", F.desc("mine"))
         .mapInArrow(_streamed(min_words, SHARD_WORDS), "doc_id long, key long, starts array<int>, ends array<int>")
         .groupBy("doc_id", "key").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
     )

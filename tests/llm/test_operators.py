@@ -102,6 +102,27 @@ def test_substrings_of_long_references(spark, monkeypatch):
     assert substring_dedup(df).columns == df.columns
 
 
+def test_bytes_sent_of_long_texts(spark, monkeypatch):
+    """Near copies of 40,000 words, 20 shards: what is sent is about both texts, not both once for every shard."""
+    monkeypatch.setattr(substring_module, "SHARD_WORDS", 2000)
+    sent, routed = [], substring_module.routed
+
+    def counted(shards, routes):
+        out = routed(shards, routes)
+        sent.extend(out.selectExpr("sum(octet_length(text))", "count(*)").first())
+        return out
+
+    monkeypatch.setattr(substring_module, "routed", counted)
+    words = [f"word{k}" for k in range(40_000)]
+    texts = {1: " ".join(words), 2: " ".join([*words[:7000], "new", *words[7000:]])}
+    found = substring_dedup_digest(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in found} == {1: 0, 2: 40_000}
+    assert {r["doc_id"]: r["kept_sha256"] for r in found}[2] == hashlib.sha256(b"new").hexdigest()
+    # 20 shards of the reference; those of the other, of which all but the first few cross a border of the reference's
+    size = sum(len(t) for t in texts.values())
+    assert size < sent[0] < 2 * size and sent[1] <= 20 + 2 * 21
+
+
 def test_words_in_pieces(monkeypatch):
     monkeypatch.setattr(substring_module, "BLOCK_BYTES", 50)
     raw = ("é a\tbb  ccc\n" * 40 + "x" * 300 + " end ").encode()
