@@ -22,6 +22,8 @@ from ..operators.matrices import drawn_places
 from ..operators.trees import inherited
 from ..scratch import Scratch
 from ..sources import pdf, raster, sinks
+from ..streaming import progress as P
+from ..functions.samples import cmyk_to_rgb
 from ..functions.wrap import with_lines
 from . import fixtures as X
 from .convert import convert, document_metadata
@@ -77,7 +79,8 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for i, line in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            out.append("".join(map(str, raster.unpack_bits(line.encode()[:24], 3 + len(line) % 9, 2, 1 << i % 4).ravel())))
+            raw, width, depth = line.encode(), 3 + len(line) % 9, 1 << i % 4
+            out.append("".join(map(str, raster.unpack_bits(raw, width, max(1, -(-len(raw) // (-(-width * depth // 8)))), depth).ravel())))
         yield pa.record_batch([*batch.columns[:2], pa.array(out, pa.string())], ["doc_id", "i", "bits"])
 
 
@@ -97,16 +100,11 @@ def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.md5("rgb").alias("digest"), (F.length("rgb") / 6).cast("long").alias("pixels"))
 
 
-def _inks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first four characters of each line as the inks of a pixel."""
-    for batch in batches:
-        raw = b"".join(bytes(ord(c) & 255 for c in line[:4]).ljust(4, b"\0") for line in batch.column(2).to_pylist())
-        rgb = raster.cmyk_to_rgb(raw)
-        yield pa.record_batch([*batch.columns[:2], *(pa.array(list(rgb[k::3]), pa.int32()) for k in range(3))], ["doc_id", "i", "r", "g", "b"])
-
-
 def _cmyk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.document_lines(documents_of(spark, sf_dir)).mapInArrow(_inks, "doc_id long, i int, r int, g int, b int")
+    """The characters of each line as the inks of pixels."""
+    inks = F.transform(F.split("line", ""), lambda c: F.ascii(c) % 256)
+    rgb = X.document_lines(documents_of(spark, sf_dir)).select("doc_id", "i", cmyk_to_rgb(inks).alias("rgb"))
+    return rgb.select("doc_id", "i", (F.size("rgb") / 3).cast("long").alias("pixels"), F.md5(F.array_join("rgb", ",")).alias("digest"))
 
 
 _FILTERS = (["DCTDecode"], ["DCTDecode", "FlateDecode"], ["FlateDecode"], ["JPXDecode"], ["CCITTFaxDecode"], ["JBIG2Decode", "FlateDecode"], [], ["ASCII85Decode", "LZWDecode"])
@@ -245,6 +243,17 @@ def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([tuple(found.values())], ", ".join(f"{k} long" for k in found))
 
 
+def _progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages in two parts, odd lines first; the stream stops after the first and is started again for the second."""
+    flow, scratch = Flow(spark, sf_dir), Scratch(spark, "progress")
+    told = P.messages(X.flow_events(flow.rows).where("is_image is not null"))
+    folders = [f"{scratch.root}/{k}" for k in ("messages", "progress", "checkpoint")]
+    for odd in (1, 0):
+        told.where(f"floor(seq / 2) % 2 = {odd}").write.mode("append").parquet(folders[0])
+        P.follow(spark, *folders)
+    return P.current(spark, folders[1])
+
+
 def _published(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as files of the committing sink, read back from its folder."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
@@ -304,6 +313,7 @@ def queries() -> dict[str, Query]:
         "q42_inherited_values": _inherited,
         "q43_image_places": _places,
         "q44_observed_totals": _totals,
+        "q45_progress": _progress,
     }
 
 
@@ -314,8 +324,8 @@ _STEM = r"nullif(regexp_replace(regexp_extract({}, '([^/]*)/*$', 1), '(.)\.[^.]*
 def oracle_sql() -> dict[str, str]:
     nl, e = "chr(10)", _ESCAPED.format
     head = f"""'<?xml version="1.0" encoding="UTF-8"?>' || {nl} || '<!DOCTYPE html>' || {nl} || '<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops">' || {nl}"""
-    ink = lambda k: f"(1::float - ((case when length(line) >= {k} then unicode(substr(line, {k}, 1)) % 256 else 0 end)::float / 255::float)::float)"
-    mixed = lambda k: f"floor(255::float * {ink(k)} * {ink(4)})::int"
+    left = lambda k: f"(1::float - (l[4 * p + {k}]::float / 255::float)::float)"
+    mixed = lambda k: f"floor(255::float * {left(k)} * {left(4)})::int"
     table = lambda k, v: f"(case when {k} * v + {v} < 200 then {k} * v + {v} else 0 end)"
     pale = lambda j: f"floor(255::float * (1::float - ({table(4, j)}::float / 255::float)::float) * (1::float - ({table(4, 3)}::float / 255::float)::float))::int"
     hexed = lambda *x: " || ".join(f"lpad(lower(hex({v})), 2, '0')" for v in x)
@@ -422,11 +432,18 @@ def oracle_sql() -> dict[str, str]:
         "q26_image_position": X.with_ctes("select doc_id, i, least(800::double - (length(line) * 7 % 800)::double, 800::double - (length(line) * 3 % 400 - 200)::double - (length(line) * 7 % 800)::double) as y from q"),
         "q27_pdf_string_decode": "select doc_id, md5(text) as digest, length(text)::bigint as n_chars from documents",
         "q28_output_names": f"select page_id, coalesce({_STEM.format('url')}, 'Documento') as title, coalesce({_STEM.format('url')}, 'livro') || '.epub' as epub from pages",
-        "q29_cmyk_rgb": X.with_ctes(f"select doc_id, i, {mixed(1)} as r, {mixed(2)} as g, {mixed(3)} as b from q"),
+        "q29_cmyk_rgb": X.with_ctes(
+            f"""select doc_id, i, len(l) // 4 as pixels, md5(coalesce(array_to_string(flatten(list_transform(range(len(l) // 4), lambda p: [{mixed(1)}, {mixed(2)}, {mixed(3)}])), ','), '')) as digest
+  from (select doc_id, i, list_transform(string_split(line, ''), lambda c: unicode(c) % 256) as l from q)"""
+        ),
+        "q45_progress": X.with_ctes(
+            """select doc_id, count(*) filter (is_image = 0) as lines, count(*) filter (is_image = 1) as images, coalesce(sum(length(text)), 0)::bigint as chars, max(page_num) as page_num,
+  arg_max(case when is_image = 1 then 'image ' || image_idx::varchar else text end, arrival_seq) as message from (select * from lines union all select * from shown) group by doc_id"""
+        ),
         "q30_unpack_bits": X.with_ctes(
-            """select doc_id, i, array_to_string(list_transform(range(2 * w), lambda x: substr(b, ((x // w) * (((w * d + 7) // 8) * 8) + (x % w) * d + 1)::int, 1)), '') as bits from
-  (select doc_id, i, 3 + length(line) % 9 as w, [1, 2, 4, 8][i % 4 + 1] as d, rpad(left(array_to_string(list_transform(string_split(lower(hex(encode(line))), ''), lambda c: lpad(bin(instr('0123456789abcdef', c) - 1), 4, '0')), ''), 192), 400, '0') as b
-   from q where line <> '' union all select doc_id, i, 3, 1, repeat('0', 400) from q where line = '')"""
+            """select doc_id, i, array_to_string(list_transform(range(w * greatest(1, (length(b) + r - 1) // r)), lambda x: case when (x // w) * r + (x % w) * d < length(b) then substr(b, ((x // w) * r + (x % w) * d + 1)::int, 1) else '0' end), '') as bits from
+  (select *, (w * d + 7) // 8 * 8 as r from (select doc_id, i, 3 + length(line) % 9 as w, [1, 2, 4, 8][i % 4 + 1] as d,
+    coalesce(array_to_string(list_transform(string_split(lower(hex(encode(line))), ''), lambda c: lpad(bin(instr('0123456789abcdef', c) - 1), 4, '0')), ''), '') as b from q where line <> '' union all select doc_id, i, 3, [1, 2, 4, 8][i % 4 + 1], '' from q where line = ''))"""
         ),
         "q31_indexed_palette": f"""with v as (select unnest(range(256)) as v), p as (select v, 0 as base, {hexed(table(1, 0), table(1, 0), table(1, 0))} as rgb from v
   union all select v, 1, {hexed(table(3, 0), table(3, 1), table(3, 2))} from v union all select v, 2, {hexed(pale(0), pale(1), pale(2))} from v),
