@@ -3,6 +3,9 @@
 The value of a rank is found digit by digit: values are keyed by whole numbers of the same order, counts by group and
 leading digit say which digit the rank falls on, and only values with that digit go on to the next. What is exchanged is
 counts, of which a group has at most ``2 ** DIGIT`` a round. Groups of any size take as many rounds as keys have digits.
+
+Groups of at most ``HELD`` distinct values need no rounds: their counts are summed in order in one window. So there are few
+groups with rounds, and tables of a row a group, which grow with the documents, meet nothing that could be broadcast.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ from .layout import SMALLEST, d
 
 #: Bits of a digit; keys have 64.
 DIGIT = 16
+#: Distinct values of a group that a window takes.
+HELD = 4096
 _MANTISSA = 1 << 52
 
 
@@ -34,19 +39,25 @@ def order_key(value: Column) -> Column:
     return F.when(F.isnan(value), infinite + 1).when(value < 0, -bits).otherwise(bits)
 
 
-def nearest_ranks(values: DataFrame, by: list[str], rank: str, value: str = "value") -> DataFrame:
+def nearest_ranks(values: DataFrame, by: list[str], rank: str, value: str = "value", held: int = HELD) -> DataFrame:
     """``by``, n (values of the group) and ``value`` at the rank that the SQL ``rank`` makes of n (from 0, in order).
 
     ``values`` has ``by`` (nulls are a group as well) and ``value`` (double); null values don't count, and groups without
-    others have no row. Equal values are counted where they are read; a row of each is written and read again.
+    others have no row. Equal values are counted where they are read; a row of each is written and read again. Groups of
+    more than ``held`` distinct values are taken digit by digit.
     """
     scratch = Scratch(values.sparkSession, "ranks")
-    counted = values.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("k"))
-    counted = scratch.cut(counted.withColumn("key", order_key(F.col(value))), "counted")
+    counted = scratch.cut(values.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("k")), "counted")
+    place = F.expr(rank).cast("long")
+    large = counted.groupBy(*by).agg(F.sum("k").alias("n"), F.count("*").alias("m")).where(F.col("m") > held).withColumn("place", place).drop("m")
+    large = scratch.cut(large, "large")
+    if large.isEmpty():
+        return _by_window(counted, by, place, value)
     other = lambda frame, *more: frame.select(*[F.col(c).alias(f"_{c}") for c in by], *more)
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
-    wanted = other(counted.groupBy(*by).agg(F.sum("k").alias("n")).withColumn("place", F.expr(rank).cast("long")), "n", "place")
-    left = counted
+    small = counted.join(other(large), same, "left_anti")
+    left = counted = counted.join(other(large), same, "left_semi").withColumn("key", order_key(F.col(value)))
+    wanted = other(large, "n", "place")
     for shift in range(64 - DIGIT, -1, -DIGIT):
         counts = left.groupBy(*by, F.shiftright("key", shift).alias("digit")).agg(F.sum("k").alias("k"), F.min(value).alias("low"))
         upto = F.sum("k").over(Window.partitionBy(*by).orderBy("digit"))
@@ -54,7 +65,14 @@ def nearest_ranks(values: DataFrame, by: list[str], rank: str, value: str = "val
         found = scratch.cut(met.select(*by, "n", (F.col("place") - F.col("upto") + F.col("k")).alias("place"), "digit", "low"), f"found-{shift}")
         wanted = other(found, "n", "place")
         left = counted.join(other(found, F.col("digit").alias("_digit")), [*same, F.shiftright("key", shift) == F.col("_digit")], "left_semi")
-    return found.select(*by, "n", F.col("low").alias(value))
+    return _by_window(small, by, place, value).unionByName(found.select(*by, "n", F.col("low").alias(value)))
+
+
+def _by_window(counted: DataFrame, by: list[str], place: Column, value: str) -> DataFrame:
+    """``nearest_ranks`` of groups whose counts fit a window."""
+    of = Window.partitionBy(*by)
+    rows = counted.withColumn("upto", F.sum("k").over(of.orderBy(value))).withColumn("n", F.sum("k").over(of))
+    return rows.withColumn("place", place).where("upto > place and upto - k <= place").select(*by, "n", value)
 
 
 def line_values(events: DataFrame) -> DataFrame:

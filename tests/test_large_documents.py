@@ -15,6 +15,7 @@ from quire.operators.ranges import range_blocks, range_kinds
 from quire.operators.ranks import nearest_ranks, order_key, rank_metrics
 from quire.operators.scans import prefix_states
 from quire.operators.trees import inherited
+from quire.scratch import Scratch
 
 EVENTS = "doc_id long, page_num int, arrival_seq int, y double, is_image int, text string, font_size double, x_start double, image_idx int"
 
@@ -58,6 +59,27 @@ def test_nearest_ranks(spark):
     assert nearest_ranks(df.where("false"), ["g"], "0").collect() == []
 
 
+def test_nearest_ranks_of_large_groups(spark):
+    """Groups beyond what a window takes, beside small ones: the same values, digit by digit."""
+    rng = random.Random(4)
+    rows = [("many", rng.gauss(0, 1)) for _ in range(900)] + [(None, rng.choice((-1, 1)) * math.exp(rng.uniform(-300, 300))) for _ in range(700)] + [("few", float(k % 3)) for k in range(10)]
+    df = spark.createDataFrame(rows, "g string, value double")
+    for q in (0.0, 0.5, 1.0):
+        found = [nearest_ranks(df, ["g"], f"round((n - 1) * {q}D)", held=held).collect() for held in (8, 4096)]
+        assert sorted(found[0], key=str) == sorted(found[1], key=str) and len(found[0]) == 3
+
+
+def test_ranks_broadcast_no_table_of_all_groups(spark, monkeypatch):
+    """A table of a row a group is small as a file however many groups there are; it must not go through the driver."""
+    plans, cut = [], Scratch.cut
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(Scratch, "cut", lambda self, df, label: (plans.append(plan(df)), cut(self, df, label))[1])
+    df = spark.range(20000).selectExpr("id % 5000 as g", "cast(id as double) as value")
+    found = nearest_ranks(df, ["g"], "0")
+    assert not [p for p in [*plans, plan(found)] if "Broadcast" in p]
+    assert found.count() == 5000 and found.where("n = 4 and value = g").count() == 5000
+
+
 def walked(nodes):
     """(value, origin, steps, found) of each node, by walking up."""
     out = {}
