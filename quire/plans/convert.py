@@ -131,7 +131,7 @@ def convert(files: DataFrame, overrides: DataFrame | None = None, cover_files: D
     covers = covers.select("doc_id", "filename", "mime", data.alias("bytes"), T.cover_xhtml(F.col("filename"), F.col("width"), F.col("height")).alias("xhtml"))
     covers = scratch.cut_by(covers, "covers", "doc_id")
 
-    loaded = metadata.join(docs, "doc_id", "left_semi")
+    loaded = metadata.join(docs, "doc_id", "left_semi").hint("merge")
     epubs = sinks.epub_files(loaded, chapters, C.resources(assets, chosen), covers, lang)
     uris = covers.select("doc_id", T.data_uri(F.col("mime"), F.col("bytes")).alias("cover_uri"))
     html = C.preview_pages(written, loaded.select("doc_id", "title", "author").join(uris, "doc_id"), C.image_uris(assets))

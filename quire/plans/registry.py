@@ -165,8 +165,8 @@ def flow_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _converted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chapters of EPUB files, made of PDF files, read back."""
-    return convert(flow_files(spark, sf_dir)).epubs.mapInArrow(_unzipped, "doc_id long, path string, out_ord int, href string, digest string")
+    """The chapters of EPUB files, made of PDF files, read back. The PDF files are written once: paths are read apart from them."""
+    return convert(Scratch(spark, "flow").cut(flow_files(spark, sf_dir), "files")).epubs.mapInArrow(_unzipped, "doc_id long, path string, out_ord int, href string, digest string")
 
 
 def _titled_pdf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

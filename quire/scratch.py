@@ -40,12 +40,13 @@ class Scratch:
 
         There are as many buckets as the session has shuffle partitions. ``df`` is to be partitioned by ``key`` alike, as
         are plans over such tables (``deal`` does it for others); else each task would write a file to each bucket.
+        Joins merge such tables: by the size of its files, many times smaller than its rows, one would be broadcast.
         """
         name = f"quire_{uuid.uuid4().hex}"
         out = df.write.bucketBy(self.buckets(), key).option("compression", "zstd").option("path", f"{self.root}/{label}")
         out.saveAsTable(name)
         self.tables.append(name)
-        return self.spark.read.table(name)
+        return self.spark.read.table(name).hint("merge")
 
     def deal(self, df: DataFrame, label: str, key: str) -> DataFrame:
         """``cut_by`` of a table that comes in any order: exchanged once."""

@@ -185,6 +185,24 @@ def test_conversion_exchanges_nothing_by_document(spark, monkeypatch):
     assert not any(spark.catalog.tableExists(t) for t in held) and not root.exists()
 
 
+def test_conversion_broadcasts_no_table_of_documents(spark, monkeypatch):
+    """Tables of a row a document are small as files, large as rows: no join of the conversion sends one to the driver."""
+    plans = {}
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    cut_by = Scratch.cut_by
+    monkeypatch.setattr(Scratch, "cut_by", lambda self, df, label, key: (plans.__setitem__(label, plan(df)), cut_by(self, df, label, key))[1])
+    plain = pdf.write_pdf([[(60, 80, 10, "Part 2"), (60, 120, 10, "one")]])
+    covers = spark.createDataFrame([(2, bytearray(raster.encode_png("gray", bytes(12), 4, 3)))], "doc_id long, bytes binary")
+    overrides = spark.createDataFrame([(2, "Mine", None, None)], "doc_id long, title string, author string, lang string")
+    done = convert(files_of(spark, (1, "/in/a.pdf", picture_pdf()), (2, "/in/b.pdf", plain)), overrides, covers)
+    plans |= {f"{k} of the result": plan(getattr(done, k)) for k in ("metadata", "chapters", "epubs", "previews", "summary")}
+    sent = {k: len(re.findall("BroadcastExchange", text)) for k, text in plans.items()}
+    # Names that several files have, counted, are no table of documents.
+    assert {k: n for k, n in sent.items() if n and k != "metadata"} == {} and sent["metadata"] <= 1
+    assert {r["doc_id"] for r in done.epubs.collect()} == {1, 2}
+    done.close()
+
+
 def test_conversion_of_nothing(spark):
     done = convert(files_of(spark, (1, "/in/a.pdf", b"")).where("false"))
     assert done.totals == {"pages": 0, "images": 0, "unread": 0, "chapters": 0}
