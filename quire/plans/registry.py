@@ -61,8 +61,19 @@ def documents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
-def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Bytes of input, on average, of which Python holds values and results at a time.
+SLICE = 1 << 20
+
+
+def sliced(batches: Iterator[pa.RecordBatch], most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about ``most`` bytes (of a row at least), so that what Python makes of them at a time is small."""
     for batch in batches:
+        step = max(1, batch.num_rows * most // max(most, batch.nbytes))
+        yield from (batch.slice(k, step) for k in range(0, batch.num_rows, step))
+
+
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in sliced(batches):
         yield pa.record_batch([batch.column(0), pa.array([pdf.pdf_text(b) if b is not None else None for b in batch.column(1).to_pylist()], pa.string())], ["doc_id", "s"])
 
 
@@ -111,7 +122,7 @@ _FILTERS = (["DCTDecode"], ["DCTDecode", "FlateDecode"], ["FlateDecode"], ["JPXD
 
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         sizes = [len(t or "") for t in batch.column(1).to_pylist()]
         errors = [pdf.image_error(_FILTERS[n % 8]) for n in sizes]
         names = [None if e else pdf.image_filename(n % 100, n % 3, _FILTERS[n % 8]) for n, e in zip(sizes, errors)]
@@ -123,7 +134,7 @@ def _codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _as_pdf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             lines = (text or "").split("\n")
             pages = [[(60.0 + 9 * (k % 3), 60.0 + 17 * k, 10.0, t) for k, t in enumerate(lines[a : a + 40])] for a in range(0, len(lines), 40)]
@@ -137,7 +148,7 @@ def _roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _flow_pdf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The flow's lines as a PDF, at five times their distances: no two of them are one line."""
-    for batch in batches:
+    for batch in sliced(batches):
         for key, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             pages: dict[int, list] = {}
             for r in lines or []:
@@ -147,7 +158,7 @@ def _flow_pdf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _unzipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         rows = []
         for key, path, content in zip(*(batch.column(k).to_pylist() for k in range(3))):
             book = zipfile.ZipFile(io.BytesIO(content))
@@ -170,16 +181,18 @@ def _converted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _titled_pdf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        made = [pdf.write_pdf([], (t or "").split("\n")[0] if len(t or "") % 3 else " \t", ["", " ", f" {s} "][len(t or "") % 3]) for t, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+    for batch in sliced(batches):
+        made = [pdf.write_pdf([], t if n else " \t", ["", " ", f" {s} "][n]) for t, n, s in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))]
         yield pa.record_batch([*batch.columns[:2], pa.array(made, pa.binary())], ["doc_id", "path", "content"])
 
 
 def _metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     path = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("/in/vol."), F.col("doc_id").cast("string"), F.lit(".final.pdf"))).otherwise(F.lit("/in/livro.PDF"))
-    files = docs.select("doc_id", path.alias("path"), "text", F.coalesce("source", F.lit("x")).alias("source")).mapInArrow(_titled_pdf, "doc_id long, path string, content binary")
-    return document_metadata(files, pdf.parse_pdfs(files, metadata_only=True)).select("doc_id", "title", "author", "name")
+    text = F.coalesce("text", F.lit(""))
+    first, rest = F.substring_index(text, "\n", 1).alias("first"), (F.char_length(text) % 3).alias("rest")
+    files = docs.select("doc_id", path.alias("path"), first, rest, F.coalesce("source", F.lit("x")).alias("source")).mapInArrow(_titled_pdf, "doc_id long, path string, content binary")
+    return document_metadata(docs.select("doc_id", path.alias("path")), pdf.parse_pdfs(files, metadata_only=True)).select("doc_id", "title", "author", "name")
 
 
 def _wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
