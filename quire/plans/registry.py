@@ -100,15 +100,15 @@ def _unpacked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _palettes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = [raster.indexed_to_rgb((t or "").encode(), 1 << 30, bytes(range(200)), b).hex() for t, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-        yield pa.record_batch([batch.column(0), pa.array(out, pa.string())], ["doc_id", "rgb"])
+    for batch in sliced(batches):
+        out = [raster.indexed_to_rgb((t or "").encode(), 1 << 30, bytes(range(200)), b) for t, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "rgb"])
 
 
 def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.element_at(F.array(*[F.lit(b) for b in ("DeviceGray", "DeviceRGB", "DeviceCMYK")]), (F.coalesce(F.char_length("text"), F.lit(0)) % 3).cast("int") + 1)
-    out = documents_of(spark, sf_dir).select("doc_id", "text", base.alias("base")).mapInArrow(_palettes, "doc_id long, rgb string")
-    return out.select("doc_id", F.md5("rgb").alias("digest"), (F.length("rgb") / 6).cast("long").alias("pixels"))
+    out = documents_of(spark, sf_dir).select("doc_id", "text", base.alias("base")).mapInArrow(_palettes, "doc_id long, rgb binary")
+    return out.select("doc_id", F.md5(F.lower(F.hex("rgb"))).alias("digest"), (F.length("rgb") / 3).cast("long").alias("pixels"))
 
 
 def _cmyk(spark: SparkSession, sf_dir: str) -> DataFrame:

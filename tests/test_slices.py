@@ -1,9 +1,12 @@
 """Python steps over Arrow batches: what they hold and give at a time is small, however large a batch is."""
 
+import hashlib
+
 import pyarrow as pa
+import pytest
 
 from quire.plans import registry as R
-from quire.sources import pdf
+from quire.sources import pdf, raster
 
 TEXT = "".join(chr(97 + k % 26) for k in range(40000))
 KEYS = pa.array(range(200), pa.int64())
@@ -25,3 +28,9 @@ def test_titles_of_long_first_lines():
     text = pa.array([TEXT] * 200)
     rows = pieces(R._titled_pdf, pa.array(["/in/a.pdf"] * 200), text, pa.array([2] * 200, pa.int32()), pa.array(["s"] * 200))
     assert next(pdf.parse_document(0, rows[0]["content"], metadata_only=True)) == {"kind": ["meta"], "text": [TEXT], "author": ["s"]}
+
+
+@pytest.mark.parametrize("base", ["DeviceGray", "DeviceRGB", "DeviceCMYK"])
+def test_palettes_of_long_texts(base):
+    rows = pieces(R._palettes, pa.array([TEXT] * 200), pa.array([base] * 200))
+    assert {hashlib.md5(r["rgb"]).digest() for r in rows} == {hashlib.md5(raster.indexed_to_rgb(TEXT.encode(), 1 << 30, bytes(range(200)), base)).digest()}
