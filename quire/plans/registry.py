@@ -87,11 +87,12 @@ def _pdf_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The first bits of samples of 1, 2, 4 or 8 bits, in two rows, out of each line's bytes."""
-    for batch in batches:
+    for batch in sliced(batches):
         out = []
         for i, line in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             raw, width, depth = line.encode(), 3 + len(line) % 9, 1 << i % 4
-            out.append("".join(map(str, raster.unpack_bits(raw, width, max(1, -(-len(raw) // (-(-width * depth // 8)))), depth).ravel())))
+            found = raster.unpack_bits(raw, width, max(1, -(-len(raw) // (-(-width * depth // 8)))), depth)
+            out.append((found + ord("0")).tobytes().decode())
         yield pa.record_batch([*batch.columns[:2], pa.array(out, pa.string())], ["doc_id", "i", "bits"])
 
 

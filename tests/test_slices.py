@@ -34,3 +34,12 @@ def test_titles_of_long_first_lines():
 def test_palettes_of_long_texts(base):
     rows = pieces(R._palettes, pa.array([TEXT] * 200), pa.array([base] * 200))
     assert {hashlib.md5(r["rgb"]).digest() for r in rows} == {hashlib.md5(raster.indexed_to_rgb(TEXT.encode(), 1 << 30, bytes(range(200)), base)).digest()}
+
+
+def test_bits_of_long_lines():
+    rows = pieces(R._bits, pa.array(range(200), pa.int32()), pa.array([TEXT] * 200))
+    raw, width = "".join(f"{b:08b}" for b in TEXT.encode()), 3 + len(TEXT) % 9
+    for r in rows[:4]:
+        depth = 1 << r["i"] % 4
+        size = -(-width * depth // 8) * 8
+        assert r["bits"] == "".join(raw[at + x * depth] if at + x * depth < len(raw) else "0" for at in range(0, len(raw), size) for x in range(width))
