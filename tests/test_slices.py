@@ -7,6 +7,7 @@ import pytest
 
 from quire.plans import registry as R
 from quire.sources import pdf, raster
+from quire.sources.fonts import Font
 
 TEXT = "".join(chr(97 + k % 26) for k in range(40000))
 KEYS = pa.array(range(200), pa.int64())
@@ -43,3 +44,19 @@ def test_bits_of_long_lines():
         depth = 1 << r["i"] % 4
         size = -(-width * depth // 8) * 8
         assert r["bits"] == "".join(raw[at + x * depth] if at + x * depth < len(raw) else "0" for at in range(0, len(raw), size) for x in range(width))
+
+
+def font(ranges: bytes) -> Font:
+    info = {"Subtype": "Type0", "Encoding": "Identity-H", "ToUnicode": pdf.Stream({}, ranges), "DescendantFonts": [{"DW": 500}]}
+    return Font(info, lambda x: x, lambda s: s.raw, pdf._values)
+
+
+def test_codes_that_are_utf16_are_not_looked_up():
+    space = b"1 begincodespacerange <0000> <ffff> endcodespacerange "
+    plain = font(space + b"1 beginbfrange <0000> <ffff> <0000> endbfrange")
+    looked = font(space + b"2 beginbfrange <0000> <0fff> <0000> <1000> <ffff> <1000> endbfrange")
+    for text in ("", "plain", "á€漢", "\U0001f600 and \ud800 alone"):
+        data = text.encode("utf-16-be", "surrogatepass")
+        for shown in (data, data + b"\0"):
+            assert plain.shown(shown) == looked.shown(shown)
+    assert not plain.map and looked.map
