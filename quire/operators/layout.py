@@ -143,11 +143,19 @@ def with_baselines(events: DataFrame) -> DataFrame:
     return events.join(line_medians(events), "doc_id", "left").withColumn("baseline", F.coalesce("chapter_font", d(1))).drop("chapter_font")
 
 
+def with_facts(events: DataFrame) -> DataFrame:
+    """``events`` with all that headings, kinds and blank lines are told by of a text: chars, worded, chapter_line. Trims text."""
+    text = F.col("text")
+    return events.withColumn("text", utrim(text)).withColumns({"chars": F.char_length(text), "worded": has_words(text), "chapter_line": is_chapter_line(text)})
+
+
 def with_headings(flow: DataFrame) -> DataFrame:
-    """``flow`` (events with their document's baseline) with is_heading."""
+    """``flow`` (events with their document's baseline, and facts if they are known) with is_heading."""
     text, base = utrim(F.col("text")), F.col("baseline")
-    sized = (base > 0) & (F.col("font_size") >= base * d(CHAPTER_FONT)) & (F.char_length(text) < HEADING_CHARS)
-    heading = (F.col("is_image") == 0) & has_words(text) & (is_chapter_line(text) | sized)
+    known = "chars" in flow.columns
+    chars, worded, chapter_line = (F.col(c) for c in ("chars", "worded", "chapter_line")) if known else (F.char_length(text), has_words(text), is_chapter_line(text))
+    sized = (base > 0) & (F.col("font_size") >= base * d(CHAPTER_FONT)) & (chars < HEADING_CHARS)
+    heading = (F.col("is_image") == 0) & worded & (chapter_line | sized)
     return flow.withColumn("is_heading", F.coalesce(heading, F.lit(False)))
 
 
@@ -180,12 +188,11 @@ def chapters(marked: DataFrame) -> DataFrame:
     return _retained(found).select("doc_id", "chapter_id", "chapter_ord", "title", "n_events")
 
 
-def line_kind(text: Column, font: Column, x: Column, image: Column, base: Column, after_image: Column) -> Column:
+def line_kind(chars: Column, worded: Column, font: Column, x: Column, image: Column, base: Column, after_image: Column) -> Column:
     """What a live row is: image, heading, caption, right or paragraph."""
-    chars = F.char_length(text)
     return (
         F.when(image, "image")
-        .when(has_words(text) & (font >= base * d(HEADING_FONT)) & (chars < HEADING_CHARS), "heading")
+        .when(worded & (font >= base * d(HEADING_FONT)) & (chars < HEADING_CHARS), "heading")
         .when(after_image & (font <= base * d(CAPTION_FONT)), "caption")
         .when((x > RIGHT_X) & (chars < RIGHT_CHARS), "right")
         .otherwise("paragraph")
@@ -193,36 +200,42 @@ def line_kind(text: Column, font: Column, x: Column, image: Column, base: Column
 
 
 def with_live(marked: DataFrame) -> DataFrame:
-    """``marked`` with live: non-blank lines and images of bodies, without the image that became the cover. Trims text."""
-    lines = marked.withColumn("text", utrim(F.col("text")))
+    """``marked`` with live: non-blank lines and images of bodies, without the image that became the cover. Trims text (that
+    with facts is trimmed)."""
+    known = "chars" in marked.columns
+    lines = marked if known else marked.withColumn("text", utrim(F.col("text")))
     cover = (F.col("is_image") == 1) & F.col("image_idx").eqNullSafe(F.col("consumed_image"))
-    live = ~F.col("is_heading") & ((F.col("is_image") == 1) | (F.col("text") != "")) & ~cover
+    live = ~F.col("is_heading") & ((F.col("is_image") == 1) | (F.col("chars") > 0 if known else F.col("text") != "")) & ~cover
     return lines.withColumn("live", F.coalesce(live, F.lit(False)))
 
 
 def with_kinds(lines: DataFrame, order: WindowSpec, row: Column | None = None, kind: Column | None = None) -> DataFrame:
     """Rows ``with_live`` with kind, indented, gapped, after_image and starts (1 where a block starts, null if not live).
 
-    ``order`` is by event_seq within what belongs together. ``row`` (is_image, y) and ``kind`` are those of the live row
-    before it, where it has one: else a window's first live row has none before it.
+    ``order`` is that of reading; only live rows of the same chapter count as earlier ones. ``row`` (is_image, y) and
+    ``kind`` are those of the live row before it, where it has one: else a chapter's first live row has none before it.
     """
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.last(F.when(F.col("live"), F.struct("is_image", "y")), ignorenulls=True).over(before)
+    last = lambda *c: F.last(F.when(F.col("live"), F.struct("chapter_id", *c)), ignorenulls=True).over(before)
+    lines = lines.withColumn("_p", last("is_image", "y"))
+    earlier = F.when(F.col("_p.chapter_id") == F.col("chapter_id"), F.struct("_p.is_image", "_p.y"))
     lines = lines.withColumn("_p", earlier if row is None else F.coalesce(earlier, row))
     lines = lines.withColumn("after_image", F.coalesce(F.col("_p.is_image") == 1, F.lit(False)))
-    own = line_kind(F.col("text"), F.col("font_size"), F.col("x_start"), F.col("is_image") == 1, F.col("baseline_font"), F.col("after_image"))
+    chars, worded = (F.col("chars"), F.col("worded")) if "chars" in lines.columns else (F.char_length("text"), has_words(F.col("text")))
+    own = line_kind(chars, worded, F.col("font_size"), F.col("x_start"), F.col("is_image") == 1, F.col("baseline_font"), F.col("after_image"))
     gap = F.col("y") - F.when(~F.col("after_image"), F.col("_p.y"))
     lines = (
         lines.withColumn("kind", F.when(F.col("live"), own))
         .withColumn("indented", F.coalesce(F.col("x_start") > F.col("left_margin") + d(INDENT), F.lit(False)))
         .withColumn("gapped", F.coalesce((gap > 0) & (gap > F.col("line_gap") * d(PARAGRAPH_GAP)), F.lit(False)))
     )
-    previous = F.last("kind", ignorenulls=True).over(before)
+    lines = lines.withColumn("_k", last("kind"))
+    previous = F.when(F.col("_k.chapter_id") == F.col("chapter_id"), F.col("_k.kind"))
     previous = previous if kind is None else F.coalesce(previous, kind)
     starts = (
         (F.col("kind") == "image") | F.col("after_image") | previous.isNull() | (F.col("kind") != previous) | ((F.col("kind") == "paragraph") & (F.col("indented") | F.col("gapped")))
     )
-    return lines.withColumn("starts", F.when(F.col("live"), starts.cast("int"))).drop("_p")
+    return lines.withColumn("starts", F.when(F.col("live"), starts.cast("int"))).drop("_p", "_k")
 
 
 def classified(marked: DataFrame) -> DataFrame:

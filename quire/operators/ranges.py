@@ -5,6 +5,9 @@ heading, and the last two live rows of the chapter (a block starts by the kind o
 image stood before that one). So each range tells these of itself, a prefix over the ranges says what each of them begins
 with, and each range is done alone, the same windows over it that ``layout`` has over a document. Numbers of blocks take a
 second prefix. No window or exchange of events is by doc_id alone; a task holds some ranges of ``PAGES`` pages.
+
+Events are written once, with what their texts tell (``noted``): metrics, states and sums read numbers alone, and text is
+sent twice, to its range and to its block.
 """
 
 from __future__ import annotations
@@ -13,17 +16,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
-from .layout import line_kind, with_headings, with_kinds, with_live
+from .layout import line_kind, with_facts, with_headings, with_kinds, with_live
 from .scans import prefix_states
 
 #: Pages of a range.
 PAGES = 32
 _BY = ["doc_id", "range"]
 _ORDER = ("page_num", "y", "is_image", "arrival_seq")
-_TAIL = "array<struct<is_image:int,y:double,text:string,font_size:double,x_start:double>>"
+_TAIL = "array<struct<is_image:int,y:double,chars:int,worded:boolean,font_size:double,x_start:double>>"
 _STATE = f"struct<n:bigint,starts:bigint,first_heading:boolean,last_heading:boolean,resets:boolean,tail:{_TAIL}>"
 
 
+def noted(events: DataFrame) -> DataFrame:
+    """``events`` with facts, written once for all who read them."""
+    return Scratch(events.sparkSession, "events").cut(with_facts(events), "events")
+
+
 def _last_two(rows: Column) -> Column:
     return F.slice(rows, F.greatest(F.size(rows) - 1, F.lit(1)), F.lit(2))
 
@@ -44,11 +52,12 @@ def _states(flow: DataFrame) -> DataFrame:
     rows = flow.withColumn("start", F.col("is_heading") & ~F.coalesce(F.lag("is_heading").over(order), F.lit(False)))
     rows = rows.withColumn("upto", F.sum(F.col("is_heading").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("headings", F.sum(F.col("is_heading").cast("int")).over(Window.partitionBy(*_BY)))
-    place, tail = F.struct(*_ORDER), F.struct(*_ORDER[:1], *[F.col(c) for c in ("y", "is_image", "arrival_seq", "text", "font_size", "x_start")])
+    place, own = F.struct(*_ORDER), ("is_image", "y", "chars", "worded", "font_size", "x_start")
+    tail = F.struct(*_ORDER, *[F.col(c).alias(f"_{c}") for c in own])
     last = F.array_sort(F.collect_list(F.when(F.col("live") & (F.col("upto") == F.col("headings")), tail)))
     found = rows.groupBy(*_BY).agg(
         F.count("*").alias("n"), F.count_if("start").alias("starts"), F.min_by("is_heading", place).alias("first_heading"), F.max_by("is_heading", place).alias("last_heading"),
-        (F.max("headings") > 0).alias("resets"), F.transform(_last_two(last), lambda r: F.struct(*[r[c] for c in ("is_image", "y", "text", "font_size", "x_start")])).alias("tail"),
+        (F.max("headings") > 0).alias("resets"), F.transform(_last_two(last), lambda r: F.struct(*[r[f"_{c}"].alias(c) for c in own])).alias("tail"),
     )
     return found.select("doc_id", F.col("range").alias("at"), F.struct("n", "starts", "first_heading", "last_heading", "resets", "tail").cast(_STATE).alias("state"))
 
@@ -59,19 +68,19 @@ def _before(parts: DataFrame, zero: Column, combine) -> DataFrame:
 
 
 def range_kinds(events: DataFrame, known: DataFrame, pages: int = PAGES) -> DataFrame:
-    """``layout.classified`` without block_ord, of events that need no event_seq: adds range, event_seq, chapter_id, live,
-    kind, indented, gapped, after_image, starts and carried (of a chapter that began before the range).
+    """``layout.classified`` without block_ord, of events (``noted`` or not) that need no event_seq: adds range, event_seq,
+    chapter_id, live, kind, indented, gapped, after_image, starts and carried (of a chapter that began before the range).
 
     ``known`` has a row a document: baseline, baseline_font, left_margin, line_gap and consumed_image; page numbers are not
     negative. Documents without events have no rows.
     """
     scratch = Scratch(events.sparkSession, "ranges")
-    rows = events.withColumn("range", F.floor(F.col("page_num") / pages))
-    own = rows.select(*_BY).distinct().join(known, "doc_id")
-    flow = with_live(with_headings(rows.join(own, _BY)))
-    parts = scratch.cut(_states(flow), "states")
+    rows = (events if "chars" in events.columns else noted(events)).withColumn("range", F.floor(F.col("page_num") / pages))
+    own = scratch.cut(rows.select(*_BY).distinct().join(known, "doc_id"), "known")
+    parts = scratch.cut(_states(with_live(with_headings(rows.join(own, _BY)))), "states")
     zero = F.expr(f"cast(named_struct('n', 0L, 'starts', 0L, 'first_heading', null, 'last_heading', null, 'resets', false, 'tail', array()) as {_STATE})")
-    met = flow.join(_before(parts, zero, _joined), _BY)
+    own = scratch.cut(own.join(_before(parts, zero, _joined), _BY), "before")
+    met = with_live(with_headings(rows.join(own, _BY)))
 
     order = Window.partitionBy(*_BY).orderBy(*_ORDER)
     previous = F.coalesce(F.lag("is_heading").over(order), F.col("before.last_heading"), F.lit(False))
@@ -81,25 +90,26 @@ def range_kinds(events: DataFrame, known: DataFrame, pages: int = PAGES) -> Data
     tail = F.when(F.col("carried"), F.col("before.tail"))
     back = lambda k: F.get(tail, F.size(tail) - k)
     row = back(1)
-    kind = line_kind(row["text"], row["font_size"], row["x_start"], row["is_image"] == 1, F.col("baseline_font"), F.coalesce(back(2)["is_image"] == 1, F.lit(False)))
-    chapter = Window.partitionBy(*_BY, "chapter_id").orderBy("event_seq")
-    found = with_kinds(met, chapter, F.when(row.isNotNull(), F.struct(row["is_image"], row["y"])), F.when(row.isNotNull(), kind))
-    return found.drop("start", "before")
+    kind = line_kind(row["chars"], row["worded"], row["font_size"], row["x_start"], row["is_image"] == 1, F.col("baseline_font"), F.coalesce(back(2)["is_image"] == 1, F.lit(False)))
+    found = with_kinds(met, order, F.when(row.isNotNull(), F.struct(row["is_image"], row["y"])), F.when(row.isNotNull(), kind))
+    return found.drop("start", "before", "chars", "worded", "chapter_line")
 
 
 def range_blocks(kinds: DataFrame) -> DataFrame:
-    """``layout.blocks`` of ``range_kinds``: doc_id, chapter_id, block_ord, kind, text, image_idx."""
+    """``layout.blocks`` of ``range_kinds``: doc_id, chapter_id, block_ord, kind, text, image_idx.
+
+    ``kinds`` are made twice: without text for the numbers of blocks, then with it.
+    """
     scratch = Scratch(kinds.sparkSession, "range-blocks")
-    kinds = kinds.where("live").select(*_BY, "chapter_id", "event_seq", "kind", "starts", "carried", "text", "image_idx")
-    kinds = scratch.cut(kinds, "kinds")
-    # Of each range: the blocks that its last chapter begins there, and whether that chapter began before it.
-    sums = kinds.groupBy(*_BY, "chapter_id", "carried").agg(F.sum("starts").alias("n"))
-    parts = sums.groupBy("doc_id", F.col("range").alias("at")).agg(F.max(F.struct("chapter_id", "n")).alias("state"))
+    kinds = kinds.where("live").select(*_BY, "chapter_id", "event_seq", "kind", "starts", "text", "image_idx")
+    # Of each range: its last chapter, and the blocks that this begins there.
+    sums = kinds.groupBy(*_BY, "chapter_id").agg(F.sum("starts").alias("n"))
+    parts = scratch.cut(sums.groupBy("doc_id", F.col("range").alias("at")).agg(F.max(F.struct("chapter_id", "n")).alias("state")), "sums")
     joined = lambda a, b: F.when(a["chapter_id"] == b["chapter_id"], F.struct(b["chapter_id"], (a["n"] + b["n"]).alias("n"))).otherwise(b)
-    before = _before(parts, F.expr("named_struct('chapter_id', -1L, 'n', 0L)"), joined)
+    before = scratch.cut(_before(parts, F.expr("named_struct('chapter_id', -1L, 'n', 0L)"), joined), "sums-before")
     order = Window.partitionBy(*_BY, "chapter_id").orderBy("event_seq").rowsBetween(Window.unboundedPreceding, 0)
     earlier = F.when(F.col("before.chapter_id") == F.col("chapter_id"), F.col("before.n")).otherwise(0)
-    rows = kinds.join(before, _BY).withColumn("block_ord", F.sum("starts").over(order) + earlier)
+    rows = kinds.withColumn("own", F.sum("starts").over(order)).join(before, _BY).withColumn("block_ord", F.col("own") + earlier)
     return rows.groupBy("doc_id", "chapter_id", "block_ord").agg(
         F.max("kind").alias("kind"), F.expr("listagg(text, ' ') within group (order by event_seq)").alias("text"), F.max("image_idx").alias("image_idx")
     )

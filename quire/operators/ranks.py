@@ -77,8 +77,10 @@ def _by_window(counted: DataFrame, by: list[str], place: Column, value: str) ->
 
 def line_values(events: DataFrame) -> DataFrame:
     """doc_id, metric and value of what metrics are taken from: body_font and left_margin of each text line, line_gap to the
-    one above on its page, and baseline of each line, blank ones too. ``events`` need not be ordered."""
-    lines = events.where("is_image = 0").withColumn("blank", F.regexp_replace("text", r"(?U)^\s+|\s+$", "") == "")
+    one above on its page, and baseline of each line, blank ones too. ``events`` need not be ordered; of those
+    that are ``ranges.noted`` no text is read."""
+    blank = F.col("chars") == 0 if "chars" in events.columns else F.regexp_replace("text", r"(?U)^\s+|\s+$", "") == ""
+    lines = events.where("is_image = 0").withColumn("blank", blank)
     above = F.lag("y").over(Window.partitionBy("doc_id", "page_num", "blank").orderBy("y", "arrival_seq"))
     gap = F.col("y") - above
     text = lambda v: F.when(~F.col("blank"), v)

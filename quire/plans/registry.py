@@ -230,7 +230,7 @@ def _ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _range_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     flow = Flow(spark, sf_dir)
-    events = X.flow_events(flow.rows).where("is_image is not null")
+    events = S.noted(X.flow_events(flow.rows).where("is_image is not null"))
     known = R.rank_metrics(flow.documents, events).join(C.consumed_images(events, flow.images), "doc_id", "left")
     return S.range_blocks(S.range_kinds(events, known))
 
@@ -239,7 +239,7 @@ def _joined_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The blocks of one document that is all of them, one after the other."""
     flow = Flow(spark, sf_dir)
     events = X.flow_events(flow.rows).where("is_image is not null").withColumn("page_num", F.col("doc_id") * 1024 + F.col("page_num"))
-    events = events.withColumn("doc_id", F.lit(0).cast("long"))
+    events = S.noted(events.withColumn("doc_id", F.lit(0).cast("long")))
     known = R.rank_metrics(events.select("doc_id").limit(1), events).withColumn("consumed_image", F.lit(None).cast("int"))
     return S.range_blocks(S.range_kinds(events, known)).select("chapter_id", "block_ord", "kind", "text", "image_idx")
 

@@ -183,3 +183,16 @@ def test_ranges_are_as_whole_documents(spark):
     plan = range_blocks(range_kinds(events, known, 1))._jdf.queryExecution().optimizedPlan().toString()
     assert "windowspecdefinition(doc_id" in plan  # each window has the range beside it
     assert all(", range" in w for w in re.findall(r"windowspecdefinition\(doc_id#\d+L?([^)]{0,12})", plan))
+
+
+def test_ranges_read_texts_once(spark, monkeypatch):
+    """What texts tell is written with the events, and no later table or plan searches texts; states and sums read none."""
+    rng = random.Random(5)
+    plans, cut = {}, Scratch.cut
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(Scratch, "cut", lambda self, df, label: (plans.__setitem__(label, plan(df)), cut(self, df, label))[1])
+    events = spark.createDataFrame(book(rng, 1, 60), EVENTS)
+    known = spark.createDataFrame([(1, 15.0, 0.126, 19.5, 15.0, None)], "doc_id long, baseline_font double, left_margin double, line_gap double, baseline double, consumed_image int")
+    found = range_blocks(range_kinds(events, known, 1))
+    assert [label for label, p in plans.items() if "text#" in p] == ["events"] and {"states", "sums"} <= set(plans)
+    assert not re.search("(?i)regexp|rlike", plan(found)) and found.count() > 10
