@@ -19,27 +19,32 @@ WIDTH, HEIGHT, LARGEST, SMALLEST, STEP, AUTHOR, LEADING, MOST_LINES = 1600, 2560
 GROUND, TITLE_INK, AUTHOR_INK = "#1c2433", "#f5f7fa", "#a8b6cc"
 
 
-#: Items that the inner fold of line starts takes at a time.
-CHUNK = 4096
+#: Items that the inner fold of line starts takes at a time, at least.
+CHUNK = 64
 
 
 def line_starts(sizes: Column, most: int, gap: int) -> Column:
-    """Positions (from 0) of the items that lines start with, each of as many as fit into ``most``, ``gap`` between two."""
+    """Positions (from 0) of the items that lines start with, each of as many as fit into ``most``, ``gap`` between two.
+
+    ``sizes`` (longs, none negative) are read once a chunk, so they are to be a column, not an expression. A fold copies its
+    state at each step, so a chunk has about as many items as there are chunks.
+    """
+    many = F.greatest(F.lit(CHUNK), F.ceil(F.sqrt(F.size(sizes))).cast("int"))
     state = lambda k, room, starts: F.struct(k.alias("k"), room.alias("room"), starts.alias("starts"))
     none = F.array().cast("array<int>")
 
     def item(s: Column, size: Column) -> Column:
-        fits = (s["k"] > 0) & (size + gap <= s["room"])
-        room = F.when(fits, s["room"] - gap).otherwise(F.lit(most).cast("long")) - size
-        return state(s["k"] + 1, room, F.when(fits, s["starts"]).otherwise(F.concat(s["starts"], F.array(s["k"]))))
+        # One condition for all of the state: each step of a fold is interpreted. ``room`` is what a further item may take.
+        fits = state(s["k"] + 1, s["room"] - size - gap, s["starts"])
+        return F.when(size <= s["room"], fits).otherwise(state(s["k"] + 1, F.lit(most - gap).cast("long") - size, F.concat(s["starts"], F.array(s["k"]))))
 
     def chunk(s: Column, at: Column) -> Column:
         # The inner fold's result is taken apart in its last step, as an expression would run it for each part.
         joined = lambda f: F.struct(f["k"].alias("k"), f["room"].alias("room"), F.concat(s["starts"], F.array(f["starts"])).alias("starts"))
-        return F.reduce(F.slice(sizes, at + 1, F.lit(CHUNK)), state(s["k"], s["room"], none), item, joined)
+        return F.reduce(F.slice(sizes, at + 1, many), state(s["k"], s["room"], none), item, joined)
 
-    start = F.struct(F.lit(0).alias("k"), F.lit(0).cast("long").alias("room"), F.array().cast("array<array<int>>").alias("starts"))
-    chunks = F.when(F.size(sizes) > 0, F.sequence(F.lit(0), F.size(sizes) - 1, F.lit(CHUNK))).otherwise(none)
+    start = F.struct(F.lit(0).alias("k"), F.lit(-1).cast("long").alias("room"), F.array().cast("array<array<int>>").alias("starts"))
+    chunks = F.when(F.size(sizes) > 0, F.sequence(F.lit(0), F.size(sizes) - 1, many)).otherwise(none)
     return F.reduce(chunks, start, chunk, lambda s: F.flatten(s["starts"]))
 
 
@@ -63,13 +68,16 @@ def with_lines(frame: DataFrame, text: str, name: str, most: int, width: Callabl
 
     ``width`` gives the whole number of units of a string, the sum of its characters'; null text has no lines.
     """
-    words, starts = (f"{name}_{k}" for k in ("words", "starts"))
+    words, sizes, starts = (f"{name}_{k}" for k in ("words", "sizes", "starts"))
     size = lambda w: width(w).cast("long")
-    out = frame.withColumn(words, F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"(?U)\s+"), lambda w: w != ""))
-    out = out.withColumn(words, F.flatten(F.transform(words, lambda w: F.when(size(w) > most, word_pieces(w, most, width)).otherwise(F.array(w)))))
-    out = out.withColumn(starts, line_starts(F.transform(words, size), most, space))
+    wide = F.exists(sizes, lambda s: s > most)
+    pieces = F.flatten(F.transform(words, lambda w: F.when(size(w) > most, word_pieces(w, most, width)).otherwise(F.array(w))))
+    out = frame.withColumn(words, F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), r"(?U)\s+"), ""))
+    # Sizes are a column, as the fold over them would make them anew for each chunk; few texts have words to break.
+    out = out.withColumn(sizes, F.transform(words, size)).withColumn(words, F.when(wide, pieces).otherwise(F.col(words)))
+    out = out.withColumn(sizes, F.when(wide, F.transform(words, size)).otherwise(F.col(sizes))).withColumn(starts, line_starts(F.col(sizes), most, space))
     end = lambda i: F.coalesce(F.get(starts, i + 1), F.size(words))
-    return out.withColumn(name, F.transform(starts, lambda at, i: F.array_join(F.slice(words, at + 1, end(i) - at), " "))).drop(words, starts)
+    return out.withColumn(name, F.transform(starts, lambda at, i: F.array_join(F.slice(words, at + 1, end(i) - at), " "))).drop(words, sizes, starts)
 
 
 def estimate(c: str) -> float:

@@ -284,6 +284,15 @@ def test_wrap_of_columns(spark, monkeypatch):
         assert found == {k: wrap_text(t or "", most / 2, lambda c: 1.0 if "a" <= c <= "z" else 1.5) for k, t in enumerate(texts)}
 
 
+def test_wrap_measures_words_once(spark):
+    """However many chunks a text has, the fold over its words reads their sizes; it doesn't make them."""
+    texts = spark.createDataFrame([(1, " ".join(["word"] * 3000))], "doc_id long, text string")
+    found = with_lines(texts, "text", "lines", 30, lambda c: 3 * F.char_length(c), 3)
+    (fold,) = (p for p in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "AS lines_starts" in p)
+    assert "reduce(" in fold and "char_length" not in fold
+    assert found.first()["lines"] == ["word word"] * 1500
+
+
 def sent_bytes(df):
     """Bytes that the exchanges of an executed plan have sent."""
     total, left = 0, [df._jdf.queryExecution().executedPlan()]
